@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -53,3 +54,25 @@ def crc_mod(id_col: str | Column, mod: int) -> Column:
     """crc32 of the id written as text, modulo ``mod``; a null id counts as the empty text."""
     c = F.col(id_col) if isinstance(id_col, str) else id_col
     return F.pmod(F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")), F.lit(mod))
+
+
+def word_counts(docs: DataFrame, text_col: str = "text", room: int = 200_000) -> DataFrame:
+    """(word, n) over all texts: A-Z lower-cased, words ``[^\\x20\\x09-\\x0D]+``; counted in each task, then summed."""
+    configure(docs.sparkSession)
+
+    def work(batches):
+        seen: Counter = Counter()
+
+        def rows():
+            return {"word": list(seen), "n": list(seen.values())}
+
+        for batch in batches:
+            for raw in text_bytes(batch):
+                seen.update(raw.lower().split())
+            if len(seen) > room:
+                yield rows()
+                seen.clear()
+        yield rows()
+
+    counted = map_arrow(docs.select(docs[text_col].alias("text")), work, "word binary, n long", pa.schema([("word", pa.binary()), ("n", pa.int64())]))
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
