@@ -34,7 +34,7 @@ from basalt.llm.common import checkpoint, configure, crc_mod, map_arrow, text_by
 CLASSES = 48
 CORE = 1000
 CLUSTERED = 8000
-NEAR = 400_000
+NEAR = 250_000
 SWEEPS = 8
 #: A token that no text can hold, for a document's end.
 END = b" "
@@ -146,6 +146,20 @@ class Model:
         self.log_count = np.append(np.log10(counts + 1), 0.0)
 
 
+def cut(counts: DataFrame, most: int) -> int:
+    """The count above which there are at most ``most`` words; 0 if there are no more at all.
+
+    It comes from the counts of counts, whose rows grow as the root of the tokens, so that no task
+    and no driver holds more than the chosen words.
+    """
+    above = 0
+    for n, words in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
+        above += words
+        if above > most:
+            return n
+    return 0
+
+
 def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     """The bounded model and the table (word, n) of the words that it doesn't hold."""
     spark = configure(docs.sparkSession)
@@ -153,8 +167,10 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     counts = checkpoint(word_counts(texts))
     words_total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = texts.count()
-    top = counts.orderBy(F.desc("n"), "word").limit(NEAR).toPandas()
+    least = cut(counts, NEAR)
+    top = counts.where(F.col("n") > least).toPandas().sort_values(["n", "word"], ascending=[False, True])
     names, n = [bytes(x) for x in top["word"]], top["n"].to_numpy(dtype=np.int64)
+    del top
     ids = Ids(zip(names, range(1, len(names) + 1), strict=True))
     ids[END] = 0  # the end is word 0, then words by frequency
     n = np.concatenate([[ends], n]).astype(np.int64)
@@ -206,7 +222,6 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     trans[codes] = seen
     rare = (int(words_total - n[1:clustered].sum()), int(distinct - (clustered - 1)))
     model = Model(ids, n, of, rare, trans.reshape(k, k), int(words_total + ends), int(distinct + (ends > 0)))
-    least = int(n[-1]) if len(names) == NEAR else 0
     return model, counts.where(F.col("n") <= least)
 
 
