@@ -1,6 +1,701 @@
-"""Registered queries and their DuckDB twins."""
+"""Registered queries of the analytics operators, each with its DuckDB twin."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basalt.core import settings as S
+from basalt.operators import features as X
+from basalt.operators import metrics as M
+from basalt.operators import profile as P
+from basalt.operators import relation as R
+from basalt.operators import select as C
+from basalt.operators import split as L
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, *, name: str | None = None):
+    """Register a query; ``sql`` is its twin for DuckDB."""
+
+    def add(f):
+        key = name or f.__name__
+        QUERIES[key] = lambda spark, d: f(lambda t: spark.read.parquet(f"{d}/{t}.parquet"))
+        if sql:
+            ORACLE_SQL[key] = sql
+        return f
+
+    return add
+
+
+# Frames that queries share, and the same in SQL
+
+
+def lines(t) -> DataFrame:
+    d = t("lineitem").select("l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus", "l_returnflag")
+    return d.withColumns({"disc": F.nullif("l_discount", F.lit(0.0)), "y": (F.col("l_returnflag") == "R").cast("int"), "big": (F.col("l_extendedprice") * (1 - F.col("l_discount")) > 50000).cast("int"), "price2": F.col("l_extendedprice") * 1.05 + F.col("l_tax"), "flat": F.col("l_quantity") * 0})
+
+
+LINES = "lines AS (SELECT l_orderkey, l_quantity, l_extendedprice, l_discount, l_tax, l_linestatus, l_returnflag, nullif(l_discount, 0.0) AS disc, (l_returnflag = 'R')::INT AS y, (l_extendedprice * (1 - l_discount) > 50000)::INT AS big, l_extendedprice * 1.05 + l_tax AS price2, l_quantity * 0 AS flat FROM lineitem)"
+
+
+def scores(t) -> DataFrame:
+    v = F.col("value")
+    return t("events").select("event_id", "user_id", "event_type", "ts", "value", F.round(v / (v + 50), 4).alias("p"), (F.col("event_type") == "purchase").cast("int").alias("y"))
+
+
+SCORES = "scores AS (SELECT event_id, user_id, event_type, ts, value, round(value / (value + 50), 4) AS p, (event_type = 'purchase')::INT AS y FROM events)"
+
+
+def cells(table: str, columns: list[str], keep: str = "", kind: str = "DOUBLE") -> str:
+    return " UNION ALL ".join(f"SELECT {keep}'{c}' AS feature, {c}::{kind} AS value FROM {table}" for c in columns)
+
+
+# Profiles
+
+NUM = ["l_quantity", "l_extendedprice", "disc", "l_tax", "flat"]
+_Q = ", ".join(f"round(quantile_cont(value, {x}), 6) AS {k}" for k, x in P.LEVELS.items())
+_SUMMARY = f"""WITH {LINES}, c AS ({cells("lines", NUM)}),
+a AS (SELECT feature, count(value) AS count, round(avg((value IS NULL)::INT), 6) AS missing_pct, round(count(*) FILTER (value = 0) / count(*), 6) AS zero_pct, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
+ round(stddev_samp(value) / nullif(abs(avg(value)), 0), 6) AS cv, round(min(value), 6) AS min, {_Q}, round(max(value), 6) AS max, CASE WHEN stddev_pop(value) > 0 THEN round(skewness(value), 6) END AS skewness, CASE WHEN stddev_pop(value) > 0 THEN round(kurtosis(value), 6) END AS kurtosis,
+ avg(value) AS m, stddev_pop(value) AS s, quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi,
+ coalesce(stddev_samp(value) = 0, true) AS constant_flag, coalesce(var_samp(value) < 0.01, true) AS near_zero_variance_flag FROM c GROUP BY feature),
+b AS (SELECT feature, round(count(*) FILTER (value < lo OR value > hi) / count(*), 6) AS outlier_pct_iqr, round(count(*) FILTER (s > 0 AND abs(value - m) / nullif(s, 0) > 3) / nullif(count(value), 0), 6) AS outlier_pct_zscore FROM c JOIN a USING (feature) GROUP BY feature)
+SELECT a.* EXCLUDE (m, s, lo, hi), b.outlier_pct_iqr, b.outlier_pct_zscore FROM a JOIN b USING (feature)"""
+
+
+@query(_SUMMARY)
+def numeric_summary(t):
+    return P.numeric_summary(lines(t), NUM)
+
+
+CAT = ["o_orderstatus", "o_orderpriority", "o_orderdate"]
+_FREQ = f"c AS ({cells('orders', CAT, kind='VARCHAR')}), f AS (SELECT feature, value, count(*) AS n FROM c WHERE value IS NOT NULL GROUP BY ALL)"
+_IMB = "i AS (SELECT feature, count(*) AS levels, round(CASE WHEN count(*) = 1 THEN 1 ELSE 1 + sum(p * log2(p)) / nullif(log2(count(*)), 0) END, 4) AS imbalance FROM (SELECT *, n / sum(n) OVER (PARTITION BY feature) AS p FROM f) GROUP BY feature)"
+
+
+@query(f"""WITH {_FREQ}, {_IMB}, b AS (SELECT feature, count(value) AS count, round(avg((value IS NULL)::INT), 6) AS missing_pct FROM c GROUP BY feature),
+r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS k, sum(n) OVER (PARTITION BY feature) AS all_n FROM f)
+SELECT b.feature, count, missing_pct, levels AS n_unique, value AS top_value, round(n / all_n, 6) AS top_freq, levels > 50 AS cardinality_flag, imbalance FROM b JOIN i USING (feature) JOIN r ON r.feature = b.feature AND k = 1""")
+def categorical_summary(t):
+    return P.categorical_summary(t("orders"), CAT)
+
+
+@query(f"WITH {_FREQ}, {_IMB} SELECT * FROM i")
+def imbalance_score(t):
+    return P.imbalance_score(t("orders"), CAT)
+
+
+@query("SELECT 'o_orderdate' AS feature, count(o_orderdate) AS count, 0.0 AS missing_pct, count(DISTINCT o_orderdate) AS n_unique, min(o_orderdate)::VARCHAR AS min, max(o_orderdate)::VARCHAR AS max FROM orders")
+def datetime_summary(t):
+    return P.datetime_summary(t("orders"), ["o_orderdate"])
+
+
+@query("SELECT 'high' AS feature, count(b) AS count, round(avg((b IS NULL)::INT), 6) AS missing_pct, count(*) FILTER (b) AS n_true, count(*) FILTER (NOT b) AS n_false, round(avg(b::INT), 6) AS pct_true FROM (SELECT nullif(p_size, 1) > 25 AS b FROM part)")
+def boolean_summary(t):
+    return P.boolean_summary(t("part").select((F.nullif("p_size", F.lit(1)) > 25).alias("high")), ["high"])
+
+
+@query("WITH d AS (SELECT c_nationkey, c_mktsegment, nullif(c_nationkey % 5, 0) AS g FROM customer), k AS (SELECT *, count(*) AS n FROM d GROUP BY ALL) SELECT sum(n)::BIGINT AS rows, 3 AS columns, sum(n * (g IS NULL)::INT)::BIGINT AS missing_cells, round(sum(n * (g IS NULL)::INT) / (sum(n) * 3), 6) AS missing_pct, (sum(n) - count(*))::BIGINT AS duplicate_rows, round((sum(n) - count(*)) / sum(n), 6) AS duplicate_pct FROM k")
+def overview(t):
+    return P.overview(t("customer").select("c_nationkey", "c_mktsegment", F.nullif(F.col("c_nationkey") % 5, F.lit(0)).alias("g")))
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS group_size FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_groups(t):
+    return P.duplicate_groups(t("lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query(f"WITH c AS ({cells('part', ['p_brand', 'p_type'], kind='VARCHAR')}), f AS (SELECT feature, value, count(*) AS n FROM c WHERE value IS NOT NULL GROUP BY ALL) SELECT * FROM (SELECT *, round(n / sum(n) OVER (PARTITION BY feature), 6) AS pct, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rank FROM f) WHERE rank <= 5")
+def value_counts_top(t):
+    return P.value_counts(t("part"), ["p_brand", "p_type"], 5)
+
+
+@query(f"WITH c AS (SELECT DISTINCT * FROM ({cells('customer', ['c_acctbal', 'c_nationkey'])})), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) AS rank, 'low' AS side FROM c UNION ALL SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC), 'high' FROM c) SELECT * FROM r WHERE rank <= 5")
+def extreme_values(t):
+    return P.extreme_values(t("customer"), ["c_acctbal", "c_nationkey"])
+
+
+_GUIDE = ", ".join(f"round(quantile_cont(value, {x}), 6) AS p{round(100 * x)}" for x in (0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99))
+
+
+@query(f"WITH {LINES}, c AS ({cells('lines', NUM)}), p AS (SELECT feature, avg((value IS NULL)::INT) AS null_rate, var_samp(value) AS variance, stddev_samp(value) / nullif(abs(avg(value)), 0) AS cv FROM c GROUP BY feature), l AS (SELECT 'null_rate' AS metric, null_rate AS value FROM p UNION ALL SELECT 'variance', variance FROM p UNION ALL SELECT 'cv', cv FROM p) SELECT metric, {_GUIDE} FROM l GROUP BY metric")
+def threshold_guide(t):
+    return P.threshold_guide(lines(t), NUM)
+
+
+@query(r"SELECT word, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \t\n\r\f\x0b]+')) AS word FROM conversations) WHERE word <> '' GROUP BY word")
+def word_freq(t):
+    return P.word_frequency(t("conversations"), "text")
+
+
+@query("SELECT char, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS char FROM conversations) WHERE char <> '' GROUP BY char")
+def char_freq(t):
+    return P.char_frequency(t("conversations"), "text")
+
+
+@query(f"WITH {LINES} SELECT feature, round(avg((value IS NULL)::INT), 6) AS missing_pct FROM ({cells('lines', ['disc', 'l_tax', 'l_returnflag'], kind='VARCHAR')}) GROUP BY feature")
+def missing_summary(t):
+    return P.missing_summary(lines(t).select("disc", "l_tax", "l_returnflag"))
+
+
+@query(f"WITH {LINES} SELECT 'a' AS a, 'b' AS b, round(corr((disc IS NULL)::INT, (nullif(l_tax, 0.0) IS NULL)::INT), 6) AS r FROM lines")
+def nullity_corr(t):
+    return P.nullity_correlation(lines(t).select(F.col("disc").alias("a"), F.nullif("l_tax", F.lit(0.0)).alias("b"), F.col("y").alias("c")), ["a", "b", "c"])
+
+
+@query("WITH r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 12 AS w FROM events) SELECT least(floor((value - lo) / w), 11)::INT AS bin, count(*) AS n FROM events, r GROUP BY 1")
+def histogram_equal_width(t):
+    return P.histogram(t("events"), "value", 12)
+
+
+# Relations
+
+IVN = ["l_quantity", "l_discount", "l_extendedprice", "l_tax"]
+
+
+def woe_sql(target: str = "y", numeric: bool = True, columns: list[str] | None = None) -> str:
+    columns = columns or (IVN if numeric else ["l_linestatus", "l_returnflag"])
+    if numeric:
+        b = f"c AS ({cells('lines', columns, f'{target} AS y, ')}), e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM c WHERE value IS NOT NULL GROUP BY feature), b AS (SELECT feature, list_filter(edges, lambda z: z >= value)[1] AS bin, y FROM c JOIN e USING (feature) WHERE value IS NOT NULL)"
+    else:
+        b = f"c AS ({cells('lines', columns, f'{target} AS y, ', 'VARCHAR')}), b AS (SELECT feature, value AS bin, y FROM c WHERE value IS NOT NULL)"
+    return f"""{LINES}, {b}, g AS (SELECT feature, bin, count(*) AS count, sum(y)::BIGINT AS events FROM b GROUP BY feature, bin),
+h AS (SELECT *, greatest(events / greatest(sum(events) OVER p, 1e-8), 1e-8) AS de, greatest((count - events) / greatest(sum(count - events) OVER p, 1e-8), 1e-8) AS dn FROM g WINDOW p AS (PARTITION BY feature)),
+w AS (SELECT feature, bin, count, events, round(events / count, 6) AS event_rate, ln(de / dn) AS woe, (de - dn) * ln(de / dn) AS iv_contrib FROM h)"""
+
+
+def _woe(d: DataFrame) -> DataFrame:
+    return d.select("feature", "bin", "count", "events", "event_rate", P.r6(F.col("woe")).alias("woe"), P.r6(F.col("iv_contrib")).alias("iv_contrib"))
+
+
+_WOE = "SELECT feature, {bin} AS bin, count, events, event_rate, round(woe, 6) AS woe, round(iv_contrib, 6) AS iv_contrib FROM w"
+
+
+@query(f"WITH {woe_sql()} {_WOE.format(bin='round(bin, 6)')}")
+def woe_bins_numeric(t):
+    return _woe(R.woe(R.quantile_bins(lines(t), IVN, "y"))).withColumn("bin", F.col("bin").cast("double"))
+
+
+@query(f"WITH {woe_sql('big', False)} {_WOE.format(bin='bin')}")
+def woe_bins_categorical(t):
+    return _woe(R.woe(R.category_bins(lines(t), ["l_linestatus", "l_returnflag"], "big")))
+
+
+_IV = "SELECT feature, round(sum(iv_contrib), 6) AS iv, count(*) AS n_bins, CASE WHEN sum(iv_contrib) < 0.02 THEN 'Useless' WHEN sum(iv_contrib) < 0.1 THEN 'Weak' WHEN sum(iv_contrib) < 0.3 THEN 'Medium' WHEN sum(iv_contrib) < 0.5 THEN 'Strong' ELSE 'Very Strong' END AS predictive_power FROM w GROUP BY feature"
+
+
+@query(f"WITH {woe_sql()} {_IV}")
+def iv_table(t):
+    return R.iv_table(R.woe(R.quantile_bins(lines(t), IVN, "y")))
+
+
+@query(f"WITH {woe_sql('big')} {_IV}")
+def iv_table_signal(t):
+    return R.iv_table(R.woe(R.quantile_bins(lines(t), IVN, "big")))
+
+
+@query(f"WITH {woe_sql('big', columns=['l_extendedprice'])} SELECT round(bin, 6) AS bin, count, event_rate FROM w")
+def target_rate_by_bin(t):
+    return R.woe(R.quantile_bins(lines(t), ["l_extendedprice"], "big")).select(F.col("bin").cast("double").alias("bin"), "count", "event_rate")
+
+
+COR = ["l_quantity", "l_extendedprice", "disc", "l_tax", "price2"]
+_PAIRS = [(a, b) for i, a in enumerate(COR) for b in COR[i + 1 :]]
+_CORR = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM lines" for a, b in _PAIRS)
+
+
+@query(f"WITH {LINES} {_CORR}")
+def pearson_matrix(t):
+    return R.pearson(lines(t), COR)
+
+
+@query(f"WITH {LINES}, m AS ({_CORR}) SELECT a, b, round(r, 2) AS r FROM m WHERE abs(r) > 0.85")
+def high_corr_pairs(t):
+    return R.high_correlation(lines(t), COR)
+
+
+def _cross(table: str, a: str, b: str) -> str:
+    return f"t AS (SELECT {a}::VARCHAR AS a, {b}::VARCHAR AS b, count(*) AS n FROM {table} GROUP BY ALL), x AS (SELECT p.a, q.b, coalesce(t.n, 0) AS n, na * nb / total AS e, total FROM (SELECT a, sum(n) AS na FROM t GROUP BY a) p CROSS JOIN (SELECT b, sum(n) AS nb FROM t GROUP BY b) q CROSS JOIN (SELECT sum(n) AS total FROM t) LEFT JOIN t ON t.a = p.a AND t.b = q.b)"
+
+
+@query(f"WITH {_cross('orders', 'o_orderstatus', 'o_orderpriority')} SELECT 'o_orderstatus' AS feature_a, 'o_orderpriority' AS feature_b, round(sqrt(sum((n - e) * (n - e) / e) / max(total) / (least(count(DISTINCT a), count(DISTINCT b)) - 1)), 4) AS cramers_v FROM x")
+def cramers_v(t):
+    return R.cramers_v(t("orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query(f"WITH {LINES}, {_cross('lines', 'l_linestatus', 'big')} SELECT 'l_linestatus' AS feature_a, 'big' AS feature_b, round(sqrt(sum(pow(abs(n - e) - least(0.5, abs(n - e)), 2) / e) / max(total)), 2) AS cramers_v FROM x")
+def cramers_v_yates(t):
+    return R.cramers_v(lines(t), "l_linestatus", "big", correction=True)
+
+
+@query(f"WITH {_cross('orders', 'o_orderstatus', 'o_orderpriority')} SELECT a, b, n, round((n - e) / sqrt(e), 6) AS residual, avg((e < 5)::INT) OVER () > 0.2 AS unreliable FROM x")
+def std_residuals(t):
+    return R.residuals(t("orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT event_type AS category, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value) / sqrt(count(*)), 6) AS sem FROM events GROUP BY 1")
+def mean_sem_by_category(t):
+    return R.mean_sem(t("events"), "event_type", "value")
+
+
+@query("SELECT round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 6) AS intercept, round(regr_r2(o_totalprice, o_custkey), 6) AS r2 FROM orders")
+def trend_line(t):
+    return R.trend(t("orders"), "o_totalprice", "o_custkey")
+
+
+@query()
+def vif(t):
+    return R.vif(lines(t), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+@query()
+def pca_variance(t):
+    return R.pca_variance(lines(t), ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "price2"])
+
+
+# Selection and alerts
+
+SEL = ["l_quantity", "l_extendedprice", "disc", "flat", "price2", "l_orderkey"]
+
+
+@query(f"WITH {LINES}, c AS ({cells('lines', SEL)}), s AS (SELECT feature, avg((value IS NULL)::INT) AS nulls, count(DISTINCT value) AS kinds, stddev_samp(value) AS sd, max(n) / nullif(sum(n), 0) AS top FROM c LEFT JOIN (SELECT feature, value, count(*) AS n FROM c WHERE value IS NOT NULL GROUP BY ALL) USING (feature, value) GROUP BY feature), k AS (SELECT feature, max(n) / sum(n) AS share FROM (SELECT feature, value, count(*) AS n FROM c WHERE value IS NOT NULL GROUP BY ALL) GROUP BY feature) SELECT feature, round(nulls, 6) AS null_rate, nulls > 0.05 AS drop_null, coalesce(sd = 0 OR share >= 0.99, true) AS drop_constant, kinds AS n_unique, kinds <= 1 AS drop_cardinality FROM s LEFT JOIN k USING (feature)")
+def select_basic(t):
+    return C.basic(lines(t), SEL, max_null=0.05)
+
+
+@query(f"WITH {woe_sql('big')}, i AS ({_IV}) SELECT feature, iv, 'iv below 0.02' AS reason FROM i WHERE iv < 0.02")
+def select_iv(t):
+    return C.low_iv(lines(t), IVN, "big")
+
+
+@query()
+def select_correlation(t):
+    return C.correlated(lines(t), COR)
+
+
+@query()
+def selection_audit(t):
+    return C.audit(lines(t), SEL, "big")
+
+
+@query(f"WITH {LINES}, c AS ({cells('lines', NUM)}), s AS (SELECT feature, avg((value IS NULL)::INT) AS miss, coalesce(stddev_samp(value) = 0, true) AS const, coalesce(var_samp(value) < 0.01, true) AS nzv, CASE WHEN stddev_pop(value) > 0 THEN skewness(value) END AS skew, count(*) FILTER (value = 0) / count(*) AS zeros FROM c GROUP BY feature) SELECT feature, 'HIGH_MISSING' AS alert FROM s WHERE miss > 0.3 UNION ALL SELECT feature, 'CONSTANT' FROM s WHERE const UNION ALL SELECT feature, 'NEAR_ZERO_VARIANCE' FROM s WHERE nzv AND NOT const UNION ALL SELECT feature, 'SKEWED' FROM s WHERE abs(skew) > 1 UNION ALL SELECT feature, 'ZEROS' FROM s WHERE zeros > 0.05")
+def alerts(t):
+    return C.numeric_alerts(P.numeric_summary(lines(t), NUM))
+
+
+@query(f"WITH {LINES} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, round(corr({c}, big), 6) AS r, CASE WHEN abs(corr({c}, big)) > 0.95 THEN 'critical' ELSE 'ok' END AS level FROM lines" for c in ("l_quantity", "l_extendedprice")) + " UNION ALL SELECT 'big_copy', round(corr(big + l_tax * 0.01, big), 6), 'critical' FROM lines")
+def leakage_check(t):
+    return X.leakage(lines(t).withColumn("big_copy", F.col("big") + F.col("l_tax") * 0.01), ["l_quantity", "l_extendedprice", "big_copy"], "big")
+
+
+# Splits
+
+_ROLE = "CASE WHEN i <= greatest(1, floor(n * 0.2)) THEN 'test' WHEN i <= greatest(1, floor(n * 0.2)) + greatest(1, floor((n - greatest(1, floor(n * 0.2))) * 0.1)) THEN 'val' ELSE 'train' END"
+
+
+def _split_sql(table: str, key: str, by: str = "") -> str:
+    part = f"PARTITION BY {by}" if by else ""
+    return f"SELECT *, {_ROLE} AS split FROM (SELECT *, row_number() OVER ({part} ORDER BY md5({key}::VARCHAR || ':42'), {key}) AS i, count(*) OVER ({part}) AS n FROM {table})"
+
+
+@query(f"SELECT o_orderkey, split FROM ({_split_sql('orders', 'o_orderkey')})")
+def split_random(t):
+    return L.random_split(t("orders").select("o_orderkey"), "o_orderkey")
+
+
+@query(f"SELECT o_orderkey, o_orderstatus, split FROM ({_split_sql('orders', 'o_orderkey', 'o_orderstatus')})")
+def split_stratified(t):
+    return L.random_split(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", by=["o_orderstatus"])
+
+
+_GROUPED = f"g AS ({_split_sql('(SELECT DISTINCT user_id FROM events)', 'user_id')})"
+
+
+@query(f"WITH {_GROUPED} SELECT event_id, user_id, split FROM events JOIN g USING (user_id)")
+def split_grouped(t):
+    return L.grouped_split(t("events").select("event_id", "user_id"), "user_id").select("event_id", "user_id", "split")
+
+
+@query(f"WITH g AS ({_split_sql('''(SELECT DISTINCT user_id FROM events WHERE ts < TIMESTAMP '2024-01-20')''', 'user_id')}) SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-20' THEN 'oot' ELSE split END AS split FROM events LEFT JOIN g USING (user_id)")
+def split_oot_cutoff(t):
+    return L.grouped_split(t("events").select("event_id", "user_id", "ts"), "user_id", "ts", "2024-01-20").select("event_id", "split")
+
+
+@query("SELECT o_orderkey, CASE year(o_orderdate) WHEN 1996 THEN 'train' WHEN 1997 THEN 'test' WHEN 1998 THEN 'val' ELSE 'oot' END AS split FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1999")
+def split_temporal_roles(t):
+    return L.temporal_split(t("orders").select("o_orderkey", F.year("o_orderdate").alias("v")), "v", "o_orderkey", {"1996": "train", "1997": "test", "1998": "val", "1999": "oot"}).select("o_orderkey", "split")
+
+
+@query(f"WITH s AS ({_split_sql('orders', 'o_orderkey')}), c AS (SELECT split, o_orderstatus AS class, count(*) AS n FROM s GROUP BY ALL) SELECT *, round(n / sum(n) OVER (PARTITION BY split), 6) AS rate FROM c")
+def class_distribution(t):
+    return L.class_distribution(L.random_split(t("orders"), "o_orderkey"), "o_orderstatus")
+
+
+@query(f"WITH s AS ({_split_sql('orders', 'o_orderkey')}) SELECT split, min(o_orderdate)::VARCHAR AS first, max(o_orderdate)::VARCHAR AS last, count(*) AS n FROM s GROUP BY split")
+def date_ranges(t):
+    return L.date_ranges(L.random_split(t("orders"), "o_orderkey"), "o_orderdate")
+
+
+@query("SELECT target, count(*) AS n FROM (SELECT (o_totalprice > (SELECT quantile_cont(o_totalprice, 0.5) FROM orders))::INT AS target FROM orders) GROUP BY target")
+def binarise_median(t):
+    return L.binarise(t("orders"), "o_totalprice").groupBy("target").agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority AS class, count(*) AS n, round(sum(count(*)) OVER () / (count(*) OVER () * count(*)), 6) AS weight FROM orders GROUP BY o_orderpriority")
+def class_weights(t):
+    return L.class_weights(t("orders"), "o_orderpriority")
+
+
+_UNDER = "u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR || ':42'), o_orderkey) AS i FROM orders) WHERE i <= (SELECT min(n) FROM (SELECT count(*) AS n FROM orders GROUP BY o_orderstatus)))"
+
+
+@query(f"WITH {_UNDER} SELECT o_orderkey, o_orderstatus FROM u")
+def undersample(t):
+    return L.undersample(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+@query(f"WITH {_UNDER}, a AS (SELECT o_orderstatus AS class, count(*) AS count_before, round(count(*) / sum(count(*)) OVER (), 4) AS pct_before FROM orders GROUP BY 1), b AS (SELECT o_orderstatus AS class, count(*) AS count_after, round(count(*) / sum(count(*)) OVER (), 4) AS pct_after FROM u GROUP BY 1) SELECT * FROM a FULL JOIN b USING (class)")
+def resample_audit(t):
+    o = t("orders").select("o_orderkey", "o_orderstatus")
+    return L.resample_audit(o, L.undersample(o, "o_orderkey", "o_orderstatus"), "o_orderstatus")
+
+
+# Features
+
+
+def out(df: DataFrame, *names: str) -> DataFrame:
+    return df.select("event_id", *[P.r6(F.col(c)).alias(c) for c in names])
+
+
+def ev(t) -> DataFrame:
+    return t("events").select("event_id", "user_id", "event_type", "ts", "value", F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("gap"), F.when(F.col("event_id") % 9 != 0, F.col("event_type")).alias("kind"))
+
+
+EV = "ev AS (SELECT event_id, user_id, event_type, ts, value, CASE WHEN event_id % 7 <> 0 THEN value END AS gap, CASE WHEN event_id % 9 <> 0 THEN event_type END AS kind FROM events)"
+
+
+@query(f"WITH {EV} SELECT event_id, round(coalesce(gap, (SELECT CASE WHEN abs(skewness(gap)) < 0.5 THEN avg(gap) ELSE median(gap) END FROM ev)), 6) AS gap, (gap IS NULL)::INT AS gap_was_missing FROM ev")
+def impute_auto(t):
+    d = ev(t)
+    return X.impute(d, ["gap"])(d).select("event_id", P.r6(F.col("gap")).alias("gap"), "gap_was_missing")
+
+
+@query(f"WITH {EV} SELECT event_id, round(coalesce(gap, (SELECT avg(gap) FROM ev)), 6) AS gap FROM ev")
+def impute_mean(t):
+    d = ev(t)
+    return out(X.impute(d, ["gap"], "mean")(d), "gap")
+
+
+@query(f"WITH {EV} SELECT event_id, coalesce(kind, (SELECT kind FROM ev WHERE kind IS NOT NULL GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1)) AS kind FROM ev")
+def impute_mode(t):
+    d = ev(t)
+    return X.impute(d, ["kind"])(d).select("event_id", "kind")
+
+
+_P = "quantile_cont(gap, {})".format
+_CLIPS = {
+    "winsor": (_P(0.01), _P(0.99)), "iqr": (f"{_P(0.25)} - 1.5 * ({_P(0.75)} - {_P(0.25)})", f"{_P(0.75)} + 1.5 * ({_P(0.75)} - {_P(0.25)})"),
+    "zscore": ("avg(gap) - 3 * stddev_samp(gap)", "avg(gap) + 3 * stddev_samp(gap)"), "mad": ("median(gap) - 3.5 * 1.4826 * mad(gap)", "median(gap) + 3.5 * 1.4826 * mad(gap)"),
+}
+for _m, (_lo, _hi) in _CLIPS.items():
+
+    @query(f"WITH {EV}, l AS (SELECT {_lo} AS lo, {_hi} AS hi FROM ev) SELECT event_id, CASE WHEN gap IS NOT NULL THEN round(greatest(least(gap, hi), lo), 6) END AS gap FROM ev, l", name="winsorize" if _m == "winsor" else f"clip_{_m}")
+    def _clip(t, m=_m):
+        d = ev(t)
+        return out(X.clip(d, ["gap"], m)(d), "gap")
+
+
+_SCALES = {"standard": ("avg(g)", "stddev_pop(g)"), "minmax": ("min(g)", "max(g) - min(g)"), "max_abs": ("0", "max(abs(g))"), "robust": ("median(g)", "quantile_cont(g, 0.75) - quantile_cont(g, 0.25)")}
+for _m, (_a, _b) in _SCALES.items():
+
+    @query(f"WITH {EV}, z AS (SELECT event_id, coalesce(gap, 0) AS g FROM ev), l AS (SELECT {_a} AS a, {_b} AS b FROM z) SELECT event_id, round((g - a) / b, 6) AS gap FROM z, l", name=f"scale_{_m}")
+    def _scale(t, m=_m):
+        d = ev(t)
+        return out(X.scale(d, ["gap"], m)(d), "gap")
+
+
+@query(f"WITH {EV} SELECT event_id, round(value / sqrt(value * value + coalesce(gap, 0) * coalesce(gap, 0)), 6) AS value, round(coalesce(gap, 0) / sqrt(value * value + coalesce(gap, 0) * coalesce(gap, 0)), 6) AS gap FROM ev")
+def scale_l2(t):
+    d = ev(t)
+    return out(X.scale(d, ["value", "gap"], "l2_norm")(d), "value", "gap")
+
+
+_SHAPES = {"log": "ln(value)", "log1p": "ln(1 + value)", "sqrt": "sqrt(value)", "cbrt": "cbrt(value)", "reciprocal": "1 / value"}
+for _m, _e in _SHAPES.items():
+
+    @query(f"SELECT event_id, round({_e}, 6) AS value FROM events", name=f"shape_{_m}")
+    def _shape(t, m=_m):
+        d = t("events")
+        return out(X.reshape(d, ["value"], m)(d), "value")
+
+
+@query("SELECT event_id, round(value + user_id, 6) AS s, round(value - user_id, 6) AS d, round(value * user_id, 6) AS m, round(value / nullif(user_id % 5, 0), 6) AS q FROM events")
+def arithmetic(t):
+    d = t("events").withColumn("u5", F.col("user_id") % 5)
+    steps = [X.arithmetic("value", "user_id", "sum", "s"), X.arithmetic("value", "user_id", "difference", "d"), X.arithmetic("value", "user_id", "product", "m"), X.arithmetic("value", "u5", "ratio", "q")]
+    for s in steps:
+        d = s(d)
+    return out(d, "s", "d", "m", "q")
+
+
+@query(f"WITH {EV} SELECT event_id, coalesce(kind, 'nan') || '_' || event_type AS kind_event_type FROM ev")
+def combine_categories(t):
+    return X.combine("kind", "event_type")(ev(t)).select("event_id", "kind_event_type")
+
+
+_TURN = ", ".join(f"round({f}(2 * pi() * {c} / {p}), 6) AS ts_{n}_{f}" for n, c, p in (("month", "month(ts)", 12), ("dow", "(isodow(ts) - 1)", 7)) for f in ("sin", "cos"))
+
+
+@query(f"WITH e AS (SELECT *, floor((epoch_us(TIMESTAMP '2024-02-10 00:00:00') - epoch_us(ts)) / 86400000000) AS days FROM events) SELECT event_id, round(days, 6) AS ts_age_days, round(round_even(days / 30.44, 0), 6) AS ts_age_months, year(ts) AS ts_year, month(ts) AS ts_month, isodow(ts) - 1 AS ts_day_of_week, quarter(ts) AS ts_quarter, {_TURN}, (isodow(ts) >= 6)::INT AS ts_is_weekend FROM e")
+def date_features(t):
+    d = X.date_parts(t("events"), "ts", "2024-02-10 00:00:00")(t("events"))
+    return d.select("event_id", *[P.r6(F.col(c)).alias(c) if c.endswith(("sin", "cos", "days", "months")) else c for c in d.columns if c.startswith("ts_")])
+
+
+_IDX = "i AS (SELECT kind, row_number() OVER (ORDER BY kind) - 1 AS index FROM (SELECT DISTINCT kind FROM ev WHERE kind IS NOT NULL))"
+
+
+@query(f"WITH {EV}, {_IDX} SELECT event_id, coalesce(index, -1) AS kind_ordinal FROM ev LEFT JOIN i USING (kind)")
+def ordinal(t):
+    return X.ordinal(ev(t), "kind")(ev(t)).select("event_id", "kind_ordinal")
+
+
+@query(f"WITH {EV}, {_IDX} SELECT event_id, coalesce(index, 0) & 1 AS kind_bin0, (coalesce(index, 0) >> 1) & 1 AS kind_bin1, (coalesce(index, 0) >> 2) & 1 AS kind_bin2 FROM ev LEFT JOIN i USING (kind)")
+def binary_bits(t):
+    return X.binary_bits(ev(t), "kind")(ev(t)).select("event_id", "kind_bin0", "kind_bin1", "kind_bin2")
+
+
+@query("SELECT o_orderkey, (o_orderstatus = 'F')::INT AS o_orderstatus_F, (o_orderstatus = 'O')::INT AS o_orderstatus_O, (o_orderstatus = 'P')::INT AS o_orderstatus_P FROM orders")
+def onehot(t):
+    d = X.one_hot(t("orders"), "o_orderstatus")(t("orders"))
+    return d.select("o_orderkey", "o_orderstatus_F", "o_orderstatus_O", "o_orderstatus_P")
+
+
+@query("WITH f AS (SELECT p_name, count(*) AS n FROM part GROUP BY 1) SELECT p_partkey, CASE WHEN n / (SELECT count(*) FROM part) >= 0.016 THEN p_name ELSE 'Other' END AS p_name_grouped FROM part JOIN f USING (p_name)")
+def rare_group(t):
+    return X.rare_group(t("part"), "p_name", 0.016)(t("part")).select("p_partkey", "p_name_grouped")
+
+
+@query("WITH f AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 10) SELECT p_partkey, CASE WHEN f.p_brand IS NOT NULL THEN part.p_brand ELSE 'Other' END AS p_brand_grouped FROM part LEFT JOIN f ON f.p_brand = part.p_brand")
+def rare_topn(t):
+    return X.rare_group(t("part"), "p_brand", top=10)(t("part")).select("p_partkey", "p_brand_grouped")
+
+
+_HASH = "(('0x' || substr(md5(p_name), {}, 8))::BIGINT)".format
+
+
+@query("SELECT p_partkey, " + ", ".join(f"CASE WHEN {_HASH(1)} % 8 = {i} THEN CASE WHEN {_HASH(9)} % 2 = 0 THEN 1 ELSE -1 END ELSE 0 END AS p_name_hash{i}" for i in range(8)) + " FROM part")
+def hash_md5(t):
+    return X.hash_encode("p_name")(t("part")).select("p_partkey", *[f"p_name_hash{i}" for i in range(8)])
+
+
+@query(f"WITH {SCORES}, m AS (SELECT avg(y) AS prior FROM scores), g AS (SELECT user_id, (sum(y) + 10 * prior) / (count(*) + 10) AS v FROM scores, m GROUP BY user_id, prior) SELECT event_id, round(v, 6) AS user_id_target FROM scores JOIN g USING (user_id)")
+def target_encode(t):
+    d = scores(t)
+    return out(X.target_encode(d, "user_id", "y")(d), "user_id_target")
+
+
+@query("WITH g AS (SELECT user_id, count(*) / (SELECT count(*) FROM events) AS v FROM events GROUP BY 1) SELECT event_id, round(v, 6) AS user_id_frequency FROM events JOIN g USING (user_id)")
+def frequency_encode(t):
+    return out(X.frequency_encode(t("events"), "user_id")(t("events")), "user_id_frequency")
+
+
+@query(f"WITH {woe_sql('big', False, ['l_returnflag'])} SELECT l_returnflag, round(greatest(least(woe, 4), -4), 6) AS l_returnflag_woe, count(*) AS n FROM lines JOIN w ON bin = l_returnflag GROUP BY ALL")
+def woe_encode(t):
+    d = lines(t)
+    return X.woe_encode(d, "l_returnflag", "big")(d).groupBy("l_returnflag", P.r6(F.col("l_returnflag_woe")).alias("l_returnflag_woe")).agg(F.count("*").alias("n"))
+
+
+def _binned(edges: str) -> str:
+    return f"WITH e AS (SELECT list_sort(list_distinct({edges})) AS edges FROM events) SELECT event_id, CASE WHEN value < edges[1] OR value > edges[-1] THEN -1 ELSE greatest(len(list_filter(edges, lambda z: z < value)) - 1, 0) END AS value_bin FROM events, e"
+
+
+@query(_binned("quantile_cont(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0])"))
+def bin_quantile(t):
+    return X.bin_column(t("events"), "value", "quantile", 5)(t("events")).select("event_id", "value_bin")
+
+
+@query("WITH l AS (SELECT min(value) AS a, max(value) AS b FROM events) SELECT event_id, greatest((value > a + (b - a) * 1 / 5)::INT + (value > a + (b - a) * 2 / 5)::INT + (value > a + (b - a) * 3 / 5)::INT + (value > a + (b - a) * 4 / 5)::INT, 0) AS value_bin FROM events, l")
+def bin_uniform(t):
+    return X.bin_column(t("events"), "value", "uniform", 5)(t("events")).select("event_id", "value_bin")
+
+
+for _m, _e in {"percentile": "(rank() OVER (ORDER BY value) - 1) / count(*) OVER ()", "global": "cume_dist() OVER (ORDER BY value) * count(*) OVER ()", "dense": "dense_rank() OVER (ORDER BY value) - 1"}.items():
+
+    @query(f"SELECT event_id, round({_e}, 6) AS value_rank FROM events", name=f"{_m}_rank")
+    def _rank(t, m=_m):
+        d = t("events")
+        return out(X.rank_on_train(d, "value", m)(d), "value_rank")
+
+
+for _m, _e in {"ratio": "value / nullif(m, 0)", "zscore": "(value - m) / nullif(s, 0)", "difference": "value - m + 1e-9", "pct_of_total": "100 * value / nullif(t, 0)"}.items():
+
+    @query(f"WITH g AS (SELECT user_id, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s, sum(value) AS t FROM events GROUP BY 1) SELECT event_id, round({_e}, 6) AS value_{_m} FROM events JOIN g USING (user_id)", name=f"group_{_m}")
+    def _group(t, m=_m):
+        d = t("events")
+        d = X.group_relative(d, "user_id", "value", m)(d)
+        return out(d.withColumn(f"value_{m}", F.col(f"value_{m}") + 1e-9) if m == "difference" else d, f"value_{m}")  # off the rounding ties
+
+
+@query("SELECT p_partkey, round(p_size, 6) AS p_size, round(p_retailprice, 6) AS p_retailprice, round(p_size * p_size, 6) AS p_size_pow2, round(p_size * p_retailprice, 6) AS p_size_x_p_retailprice, round(p_retailprice * p_retailprice, 6) AS p_retailprice_pow2 FROM part")
+def polynomial2(t):
+    d = X.polynomial(["p_size", "p_retailprice"])(t("part").select("p_partkey", "p_size", "p_retailprice"))
+    return d.select("p_partkey", *[P.r6(F.col(c)).alias(c) for c in d.columns if c != "p_partkey"])
+
+
+@query()
+def yeo_johnson(t):
+    d = t("part").select("p_partkey", "p_retailprice")
+    return X.registry("yeo_johnson", "p_retailprice")(d)(d)
+
+
+@query(f"WITH {EV}, a AS (SELECT event_id, coalesce(gap, (SELECT CASE WHEN abs(skewness(gap)) < 0.5 THEN avg(gap) ELSE median(gap) END FROM ev)) AS gap FROM ev), l AS (SELECT quantile_cont(gap, 0.01) AS lo, quantile_cont(gap, 0.99) AS hi FROM a), b AS (SELECT event_id, greatest(least(gap, hi), lo) AS gap FROM a, l), m AS (SELECT median(gap) AS c, quantile_cont(gap, 0.75) - quantile_cont(gap, 0.25) AS w FROM b) SELECT event_id, round((gap - c) / w, 6) AS gap FROM b, m")
+def feature_chain(t):
+    d = ev(t).select("event_id", "gap")
+    return out(X.chain(d, [lambda x: X.impute(x, ["gap"], indicator_rate=None), lambda x: X.clip(x, ["gap"]), lambda x: X.scale(x, ["gap"])])(d), "gap")
+
+
+# Metrics and monitoring
+
+_ROC = f"{SCORES}, g AS (SELECT p AS score, sum(y)::BIGINT AS p, sum(1 - y)::BIGINT AS n FROM scores GROUP BY 1), r AS (SELECT *, (sum(p) OVER o)::BIGINT AS tp, (sum(n) OVER o)::BIGINT AS fp FROM g WINDOW o AS (ORDER BY score DESC))"
+
+
+@query(f"WITH {_ROC} SELECT * FROM r")
+def roc_points(t):
+    return M.roc(scores(t), "p", "y")
+
+
+@query(f"WITH {_ROC}, a AS (SELECT sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS auc, sum(p) AS P, sum(n) AS N FROM r) SELECT round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, round((SELECT max(abs(tp / (SELECT sum(p) FROM r) - fp / (SELECT sum(n) FROM r))) FROM r), 6) AS ks FROM a")
+def auc_gini_ks(t):
+    return M.ranking_metrics(scores(t), "p", "y")
+
+
+@query(f"WITH {SCORES} SELECT round(-avg(y * ln(greatest(least(p, 1 - 1e-15), 1e-15)) + (1 - y) * ln(1 - greatest(least(p, 1 - 1e-15), 1e-15))), 6) AS log_loss FROM scores")
+def log_loss(t):
+    return M.log_loss(scores(t), "p", "y")
+
+
+@query(f"WITH {SCORES}, c AS (SELECT count(*) FILTER (p >= 0.5 AND y = 1) AS tp, count(*) FILTER (p >= 0.5 AND y = 0) AS fp, count(*) FILTER (p < 0.5 AND y = 1) AS fn, count(*) FILTER (p < 0.5 AND y = 0) AS tn FROM scores) SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c")
+def confusion_metrics(t):
+    return M.confusion(scores(t), "p", "y")
+
+
+@query(f"WITH {SCORES}, k AS (SELECT y, row_number() OVER (ORDER BY p DESC, event_id) - 1 AS i, count(*) OVER () AS n FROM scores), d AS (SELECT greatest(1, ceil(i * 10 / (n - 1)))::INT AS decile, count(*) AS count, sum(y)::BIGINT AS events FROM k GROUP BY 1) SELECT decile, count, events, round(events / count, 6) AS event_rate, (sum(count) OVER o)::BIGINT AS cum_count, (sum(events) OVER o)::BIGINT AS cum_events, round(sum(events) OVER o / sum(events) OVER (), 6) AS capture_rate, round(events / count / (sum(events) OVER () / sum(count) OVER ()), 6) AS lift FROM d WINDOW o AS (ORDER BY decile)")
+def decile_table(t):
+    return M.decile_table(scores(t), "p", "y", "event_id")
+
+
+_CAL = f"{SCORES}, b AS (SELECT *, CASE " + " ".join(f"WHEN p >= {i * 0.1!r}::DOUBLE AND p < {((i + 1) * 0.1 if i < 9 else 1.0)!r}::DOUBLE THEN {i}" for i in range(10)) + " END AS bin FROM scores), c AS (SELECT bin, count(*) AS n, avg(p) AS predicted, avg(y) AS observed FROM b WHERE bin IS NOT NULL GROUP BY bin)"
+
+
+@query(f"WITH {_CAL} SELECT bin, n, round(predicted, 6) AS predicted, round(observed, 6) AS observed FROM c")
+def reliability_bins(t):
+    return M.calibration_bins(scores(t), "p", "y").select("bin", "n", P.r6(F.col("predicted")).alias("predicted"), P.r6(F.col("observed")).alias("observed"))
+
+
+@query(f"WITH {_CAL} SELECT round(sum(n * abs(predicted - observed)) / (SELECT count(*) FROM scores), 6) AS ece FROM c")
+def ece(t):
+    return M.ece(scores(t), "p", "y")
+
+
+@query("SELECT round(sqrt(avg(pow(l_quantity - 25, 2))), 6) AS rmse, round(avg(abs(l_quantity - 25)), 6) AS mae, round(1 - sum(pow(l_quantity - 25, 2)) / (var_pop(l_quantity) * count(*)), 6) AS r2, round(avg(abs((l_quantity - 25) / nullif(l_quantity, 0))), 6) AS mape, round(median(abs(l_quantity - 25)), 6) AS median_ae FROM lineitem")
+def regression_metrics(t):
+    return M.regression(t("lineitem").withColumn("p", F.lit(25.0)), "p", "l_quantity")
+
+
+def halves(t) -> tuple[DataFrame, DataFrame]:
+    d = t("events").withColumn("late", F.col("ts") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    return d.where("not late"), d.where("late").withColumn("value", F.col("value") + 80)
+
+
+HALVES = "a AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15'), b AS (SELECT * REPLACE (value + 80 AS value) FROM events WHERE ts >= TIMESTAMP '2024-01-15')"
+_LV = "[" + ", ".join(str(i / 10) for i in range(11)) + "]"
+
+
+@query(f"""WITH {HALVES}, e AS (SELECT list_sort(list_distinct(quantile_cont(value, {_LV}))) AS edges FROM a),
+s AS (SELECT k, CASE WHEN value = edges[-1] THEN len(edges) - 1 WHEN value < edges[1] OR value > edges[-1] THEN NULL ELSE len(list_filter(edges, lambda z: z <= value)) END AS bin FROM (SELECT 0 AS k, value FROM a UNION ALL SELECT 1, value FROM b), e),
+n AS (SELECT k, bin, count(*) / sum(count(*)) OVER (PARTITION BY k) AS p FROM s GROUP BY k, bin), g AS (SELECT unnest(range(1, len(edges))) AS bin FROM e),
+j AS (SELECT greatest(coalesce(x.p, 0), 1e-8) AS e, greatest(coalesce(y.p, 0), 1e-8) AS q FROM g LEFT JOIN n x ON x.k = 0 AND x.bin = g.bin LEFT JOIN n y ON y.k = 1 AND y.bin = g.bin)
+SELECT 'value' AS feature, round(sum((q - e) * ln(q / e)), 4) AS psi, sum((q - e) * ln(q / e)) > 0.25 AS flag FROM j""")
+def psi_numeric(t):
+    return M.psi_numeric(*halves(t), ["value"])
+
+
+@query(f"WITH {HALVES}, j AS (SELECT greatest(coalesce(x.p, 0), 1e-8) AS e, greatest(coalesce(y.p, 0), 1e-8) AS q FROM (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM a GROUP BY 1) x FULL JOIN (SELECT event_type, count(*) / sum(count(*)) OVER () AS p FROM b GROUP BY 1) y USING (event_type)) SELECT 'event_type' AS feature, round(sum((q - e) * ln(q / e)), 4) AS psi, sum((q - e) * ln(q / e)) > 0.25 AS flag FROM j")
+def psi_categorical(t):
+    return M.psi_categorical(*halves(t), ["event_type"])
+
+
+_FROZEN = f"{HALVES}, e AS (SELECT list_sort(list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]))) AS edges FROM a), s AS (SELECT k, len(list_filter(edges, lambda z: z < value)) + 1 AS bin FROM (SELECT 0 AS k, value FROM a UNION ALL SELECT 1, value FROM b), e), n AS (SELECT k, bin, count(*) / sum(count(*)) OVER (PARTITION BY k) AS p FROM s GROUP BY k, bin), g AS (SELECT unnest(range(1, len(edges) + 2)) AS bin FROM e), j AS (SELECT g.bin, coalesce(x.p, 0) AS e, coalesce(y.p, 0) AS q FROM g LEFT JOIN n x ON x.k = 0 AND x.bin = g.bin LEFT JOIN n y ON y.k = 1 AND y.bin = g.bin)"
+
+
+@query(f"WITH {_FROZEN} SELECT 'value' AS feature, bin, round(e, 6) AS proportion FROM j")
+def frozen_reference(t):
+    return M.freeze(halves(t)[0], ["value"]).select("feature", "bin", P.r6(F.col("proportion")).alias("proportion"))
+
+
+@query(f"WITH {_FROZEN}, k AS (SELECT greatest(e, 1e-8) AS e, greatest(q, 1e-8) AS q FROM j) SELECT 'value' AS feature, round(sum((q - e) * ln(q / e)), 4) AS csi, sum((q - e) * ln(q / e)) > 0.2 AS flag FROM k")
+def csi_frozen(t):
+    before, after = halves(t)
+    return M.csi(M.freeze(before, ["value"]), after)
+
+
+def pair(t) -> tuple[DataFrame, DataFrame]:
+    s = scores(t)
+    return s.select("event_id", "p", "value"), s.where(F.col("event_id") % 4 != 0).select("event_id", "y", (F.col("value") + 1).alias("value"))
+
+
+@query(f"WITH {SCORES} SELECT s.event_id, s.p, round(s.value, 6) AS value, a.y, round(a.value + 1, 6) AS value_actual FROM scores s JOIN scores a ON a.event_id = s.event_id AND a.event_id % 4 <> 0")
+def scored_actuals_join(t):
+    d = M.scored_with_actuals(*pair(t), ["event_id"])
+    return d.select("event_id", "p", P.r6(F.col("value")).alias("value"), "y", P.r6(F.col("value_actual")).alias("value_actual"))
+
+
+@query("SELECT count(*) FILTER (event_id % 4 = 0) AS scored_only, 0::BIGINT AS actuals_only FROM events")
+def unmatched_counts(t):
+    return M.unmatched(*pair(t), ["event_id"])
+
+
+@query("SELECT event_id, user_id FROM events WHERE event_id % 4 <> 0")
+def raw_semi_join(t):
+    return t("events").select("event_id", "user_id").join(pair(t)[1].select("event_id").distinct(), "event_id", "left_semi")
+
+
+@query()
+def kmeans_quality(t):
+    from basalt.operators import learn
+
+    return learn.kmeans_quality(t("embeddings"), 10)
+
+
+@query()
+def leaderboard(t):
+    from basalt.operators import learn
+
+    return learn.leaderboard(L.random_split(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("y", (F.col("o_totalprice") > 200000).cast("int")), "o_orderkey"), ["o_totalprice", "c_acctbal", "c_nationkey"], "y")
+
+
+@query()
+def shap_linear(t):
+    from basalt.operators import learn
+
+    return learn.linear_shap(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big")
+
+
+@query()
+def calibrate_isotonic(t):
+    from basalt.operators import learn
+
+    return learn.isotonic(scores(t), "p", "y")
+
+
+@query()
+def partial_dependence(t):
+    from basalt.operators import learn
+
+    return learn.partial_dependence(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big", "l_extendedprice")
