@@ -45,7 +45,9 @@ CAP = 64
 WORDS, SIMILARITY = 5, 0.8
 SEGMENTS = 14
 MOST_BITS = 78
-NEIGHBOURS = 4
+NEIGHBOURS = 1
+#: Texts of one key up to which near duplicates are compared in all pairs; beyond, in a chain.
+NEAR_CAP = 8
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the code.
 GENERATOR = 0b110001110101
@@ -248,13 +250,14 @@ def pair_keys(bits: np.ndarray) -> np.ndarray:
     return np.stack([(k << 24) | (codes[:, i] << 12) | codes[:, j] for k, (i, j) in enumerate(_PAIRS)], axis=1)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = CAP // 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
     """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
 
     ``doc_key`` is xxhash64 of the text. A pair of similarity 0.8 differs in about 9 of 100 bits of
     the long fingerprint and shares a key in some pair of segments with probability of about 0.9 (more for closer pairs).
-    A bucket of up to ``cap`` texts compares all its pairs; in larger ones each text meets its
-    neighbours in the order of a further codeword, for every one of the keys it has.
+    A bucket of up to ``cap`` texts compares all its pairs; in larger ones each text meets the next
+    in the order of the keys, in every bucket that it is in, so that pairs grow with the texts and
+    not with the square of a group. The groups are what these links connect.
     """
     configure(docs.sparkSession)
 
@@ -276,7 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = Window.partitionBy("key").orderBy("k")
     ahead = many.where(F.col("n") > cap).select(F.col("k").alias("a"), F.array(*[F.lead("k", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next"))
     chain = ahead.select("a", F.explode("next").alias("b")).where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    found = pairs.union(chain).distinct()
+    found = checkpoint(pairs.union(chain).distinct())
     sigs = signed.select("k", "sig")
     both = found.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
     apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, LANES)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
