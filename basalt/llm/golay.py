@@ -46,8 +46,10 @@ WORDS, SIMILARITY = 5, 0.8
 SEGMENTS = 14
 MOST_BITS = 78
 NEIGHBOURS = 1
-#: Texts of one key up to which near duplicates are compared in all pairs; beyond, in a chain.
+#: Texts of one key up to which near duplicates are compared in all pairs; beyond, first in a chain, then those it leaves unconnected.
 NEAR_CAP = 8
+#: Times that texts outside a bucket's largest group meet single members of it, before all that are unconnected meet.
+TURNS = 2
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the code.
 GENERATOR = 0b110001110101
@@ -250,14 +252,64 @@ def pair_keys(bits: np.ndarray) -> np.ndarray:
     return np.stack([(k << 24) | (codes[:, i] << 12) | codes[:, j] for k, (i, j) in enumerate(_PAIRS)], axis=1)
 
 
+def _apart(x: str, y: str):
+    """Differing bits of two signature columns."""
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, LANES)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+
+
+def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The pairs (a, b) of text keys whose texts reach the similarity: first by Hamming distance, then by Jaccard."""
+    both = pairs.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
+    likely = checkpoint(both.where(_apart("sa", "sb") <= MOST_BITS).select("a", "b"))
+    involved = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    own = checkpoint(texts.join(involved, "k", "left_semi").dropDuplicates(["k"]))
+    compared = likely.join(own.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
+
+    def verify(batches):
+        for batch in batches:
+            same = [jaccard(x, y, shingle) >= similarity for x, y in zip(text_bytes(batch, "ta"), text_bytes(batch, "tb"), strict=True)]
+            some = batch.filter(pa.array(same, pa.bool_()))
+            yield {"a": some.column("a"), "b": some.column("b")}
+
+    return map_arrow(compared.select("a", "b", "ta", "tb"), verify, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+
+def _opened(hot: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame:
+    """(key, k, c, top, pivot): the rows (key, k) of keys of more than one component, by the roots (node, root) so far.
+
+    ``c`` is a text's component, ``top`` the key's largest, ``pivot`` a member of that, another one for every key and turn.
+    """
+    named = checkpoint(hot.join(roots, hot["k"] == roots["node"], "left").select("key", "k", F.coalesce("root", "k").alias("c")))
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min_by("k", F.xxhash64("key", "k", F.lit(turn))).alias("pivot"))
+    largest = sizes.groupBy("key").agg(F.max_by(F.struct("c", "pivot"), F.struct("m", "c")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
+    return checkpoint(named.join(largest.select("key", F.col("l.c").alias("top"), F.col("l.pivot").alias("pivot")), "key"))
+
+
+def _ordered(a: str, b: str) -> tuple:
+    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+
+
+def _unconnected(opened: DataFrame, sigs: DataFrame) -> DataFrame:
+    """All pairs (a, b) of texts that share a key but no component, and of whose bits few enough differ.
+
+    Of every two such texts one lies outside the key's largest component, so only those outside meet the others.
+    """
+    signed = opened.join(sigs, "k").select("key", "k", "c", "top", "sig")
+    outside = signed.where("c <> top").select("key", F.col("k").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
+    # two outside meet once, by the order of their keys
+    met = outside.join(signed, "key").where("cx <> c and (c = top or x > k)").where(_apart("sx", "sig") <= MOST_BITS)
+    return met.select(*_ordered("x", "k")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
     """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
 
     ``doc_key`` is xxhash64 of the text. A pair of similarity 0.8 differs in about 9 of 100 bits of
     the long fingerprint and shares a key in some pair of segments with probability of about 0.9 (more for closer pairs).
-    A bucket of up to ``cap`` texts compares all its pairs; in larger ones each text meets the next
-    in the order of the keys, in every bucket that it is in, so that pairs grow with the texts and
-    not with the square of a group. The groups are what these links connect.
+    A bucket of up to ``cap`` texts compares all its pairs. In larger ones each text first meets the
+    next in the order of the keys, then those outside a bucket's largest group meet single members of
+    it. At last all pairs of a bucket that these links leave unconnected are compared too: no pair
+    that shares a key is left out unless its texts are in one group already.
     """
     configure(docs.sparkSession)
 
@@ -281,21 +333,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chain = ahead.select("a", F.explode("next").alias("b")).where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     found = checkpoint(pairs.union(chain).distinct())
     sigs = signed.select("k", "sig")
-    both = found.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, LANES)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    likely = checkpoint(both.where(apart <= MOST_BITS).select("a", "b"))
-    involved = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    own = checkpoint(texts.join(involved, "k", "left_semi").dropDuplicates(["k"]))
-    compared = likely.join(own.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
-
-    def verify(batches):
-        for batch in batches:
-            same = [jaccard(x, y, shingle) >= similarity for x, y in zip(text_bytes(batch, "ta"), text_bytes(batch, "tb"), strict=True)]
-            some = batch.filter(pa.array(same, pa.bool_()))
-            yield {"a": some.column("a"), "b": some.column("b")}
-
-    edges = map_arrow(compared.select("a", "b", "ta", "tb"), verify, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
-    return components(edges).select(F.col("node").alias("doc_key"), F.col("root").alias("group"))
+    edges = checkpoint(_verified(found, sigs, texts, similarity, shingle))
+    hot = many.where(F.col("n") > cap)
+    for turn in range(TURNS):
+        met = _opened(hot, components(edges), turn).where("c <> top").select(*_ordered("k", "pivot")).distinct()
+        met = checkpoint(met.join(found, ["a", "b"], "left_anti"))
+        edges = checkpoint(edges.union(_verified(met, sigs, texts, similarity, shingle)))
+        found = found.union(met)
+    met = checkpoint(_unconnected(_opened(hot, components(edges)), sigs).join(found, ["a", "b"], "left_anti"))
+    more = _verified(met, sigs, texts, similarity, shingle)
+    return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

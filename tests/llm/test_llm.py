@@ -121,6 +121,16 @@ def test_simhash_edges(edge, docs):
     assert golay.op_query(docs.limit(0)).count() == 0
 
 
+def test_near_duplicates_in_one_large_bucket(spark):
+    """Near to an original but hardly to each other: large buckets find the groups that all their pairs give."""
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)]
+    texts += [" ".join("zz" if j in (7 * i + 3, 7 * i + 6) else w for j, w in enumerate(words)) for i in range(16)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    few, all_pairs = (set(map(tuple, golay.near_duplicates(d, cap=cap).collect())) for cap in (2, 64))
+    assert few == all_pairs and len(all_pairs) >= 0.8 * len(texts)
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w7 ", "zz ")
