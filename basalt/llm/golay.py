@@ -305,7 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
 
     ``doc_key`` is xxhash64 of the text. A pair of similarity 0.8 differs in about 9 of 100 bits of
-    the long fingerprint and shares a key in some pair of segments with probability of about 0.9 (more for closer pairs).
+    the long fingerprint if its changes are scattered, in 15 if they are one run of words; it shares a key in some pair
+    of segments with a probability of about 0.9 and 0.56 (more for closer pairs).
     A bucket of up to ``cap`` texts compares all its pairs. In larger ones each text first meets the
     next in the order of the keys, then those outside a bucket's largest group meet single members of
     it. At last all pairs of a bucket that these links leave unconnected are compared too: no pair
