@@ -13,8 +13,10 @@ fingerprints, members instead emit themselves and their one-bit neighbours outsi
 segment; two are within two bits just if they share one, so links are found without pairs.
 
 ``near_duplicates``: the same decoding finds texts of a similarity of 0.8 or more on five-word
-shingles: a longer fingerprint of fourteen 23-bit segments over word pairs, keyed by the codewords of
-every two segments, then verified by Hamming distance and by the exact Jaccard similarity.
+shingles. One SimHash over a whole text can't: at 0.8 up to 15 of 100 of its bits differ, whatever its
+length. So each of fourteen 46-bit segments is the SimHash of three shingles, those first in the
+segment's own random order; its halves are decoded, every two segments give a key, and pairs that
+share one are verified by sketches in the JVM and by the exact Jaccard similarity.
 
 Equal texts share a fingerprint and are one node everywhere, however many there are.
 
@@ -30,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.llm.common import checkpoint, configure, map_arrow, text_bytes
@@ -41,15 +43,14 @@ SEED = 42
 #: Fingerprints of one key up to which pairs are compared; beyond, one-bit neighbours meet.
 CAP = 64
 
-#: Near duplicates: words of a shingle, similarity, segments, most differing bits, neighbours in large buckets.
+#: Near duplicates: words of a shingle, similarity, segments of the fingerprint, shingles drawn for one.
 WORDS, SIMILARITY = 5, 0.8
-SEGMENTS = 14
-MOST_BITS = 78
-NEIGHBOURS = 1
+SEGMENTS, DRAWN = 14, 3
+#: Bits, and 64-bit words, of each of the two sketches that rule out pairs before texts are compared.
+BINS = 512
+LANES = BINS // 64
 #: Texts of one key up to which near duplicates are compared in all pairs; beyond, first in a chain, then those it leaves unconnected.
 NEAR_CAP = 8
-#: Times that texts outside a bucket's largest group meet single members of it, before all that are unconnected meet.
-TURNS = 2
 
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the code.
 GENERATOR = 0b110001110101
@@ -208,32 +209,55 @@ def op_query(docs: DataFrame) -> DataFrame:
 # Near duplicates of a similarity threshold
 
 
-def _mixed(h: np.ndarray, words: int) -> np.ndarray:
-    """Further 64-bit hashes from one, by the splitmix finaliser."""
-    out = np.empty((len(h), words), dtype=np.uint64)
-    for k in range(words):
-        x = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = x ^ (x >> np.uint64(31))
-    return out
+def _mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further 64-bit hash of each hash, by the splitmix finaliser."""
+    x = h + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-LANES = -(-SEGMENTS * 23 // 64)
+def _majority64(h: np.ndarray) -> np.uint64:
+    """SimHash of at most DRAWN hashes: the bits set in over half of them."""
+    if len(h) < DRAWN:
+        return np.bitwise_and.reduce(h) if len(h) else np.uint64(0)
+    return (h[0] & h[1]) | (h[0] & h[2]) | (h[1] & h[2])
 
 
-def signature(raw: bytes) -> np.ndarray:
-    """SEGMENTS * 23 fingerprint bits over distinct word pairs."""
-    _, parts = word_shingles(raw, 2)
-    if not parts:
-        return np.zeros(LANES * 64, dtype=np.uint8)
-    parts = set(parts)
+def _lanes(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits).view(">u8").astype(np.uint64)
+
+
+def shingle_hashes(raw: bytes, size: int = WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 values of the word shingles of a text."""
+    parts = set(word_shingles(raw, size)[1])
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(x, SEED) for x in parts), dtype=np.uint64, count=len(parts))
+    return np.unique(np.fromiter((digest(x, SEED) for x in parts), dtype=np.uint64, count=len(parts)))
+
+
+def signature(raw: bytes, size: int = WORDS) -> np.ndarray:
+    """Count of distinct shingles, LANES of parities, LANES of least bits, and the fingerprint's SEGMENTS, as longs."""
+    h = shingle_hashes(raw, size)
+    out = np.zeros(1 + 2 * LANES + SEGMENTS, dtype=np.uint64)
+    out[0] = len(h)
+    bins = (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64)
+    out[1 : 1 + LANES] = _lanes((np.bincount(bins, minlength=BINS) & 1).astype(np.uint8))
+    first = np.flatnonzero(np.diff(bins, prepend=-1))
+    least = np.zeros(BINS, dtype=np.uint8)
+    least[bins[first]] = h[first] & np.uint64(1)
+    out[1 + LANES : 1 + 2 * LANES] = _lanes(least)
     with np.errstate(over="ignore"):
-        bits = majority(_mixed(h, LANES))
-    bits[SEGMENTS * 23 :] = 0
-    return bits
+        for k in range(SEGMENTS):
+            m = _mixed(h, k + 1)
+            drawn = np.partition(m, DRAWN - 1)[:DRAWN] if len(m) > DRAWN else m
+            out[1 + 2 * LANES + k] = _majority64(_mixed(drawn, SEGMENTS + 1))
+    return out.view(np.int64)
+
+
+def segment_codes(segments: np.ndarray) -> np.ndarray:
+    """24 bits of each segment: the nearest codewords of its two 23-bit halves."""
+    low, high = segments & 0x7FFFFF, segments >> 23 & 0x7FFFFF
+    return (nearest(high)[0] << 12) | nearest(low)[0]
 
 
 def jaccard(a: bytes, b: bytes, size: int = WORDS) -> float:
@@ -242,25 +266,35 @@ def jaccard(a: bytes, b: bytes, size: int = WORDS) -> float:
     return len(x & y) / len(x | y) if x or y else 1.0
 
 
-_SHIFTS = 1 << np.arange(22, -1, -1)
-_PAIRS = list(combinations(range(SEGMENTS), 2))
+def _keys(sig: str = "sig"):
+    """One key (numbers of two segments, their codes) for every two segments."""
+    at = [F.col(sig)[1 + 2 * LANES + i] for i in range(SEGMENTS)]
+    return F.array(*[F.shiftleft(at[i], 24).bitwiseOR(at[j]).bitwiseOR(F.lit((i << 4 | j) << 48).cast("long")) for i, j in combinations(range(SEGMENTS), 2)])
 
 
-def pair_keys(bits: np.ndarray) -> np.ndarray:
-    """One key (pair of segments, their two codewords) for every two segments, of rows of signature bits."""
-    codes = np.stack([nearest(bits[:, 23 * i : 23 * i + 23].astype(np.int64) @ _SHIFTS)[0] for i in range(SEGMENTS)], axis=1)
-    return np.stack([(k << 24) | (codes[:, i] << 12) | codes[:, j] for k, (i, j) in enumerate(_PAIRS)], axis=1)
+def _differing(x: str, y: str, start: int):
+    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(start, start + LANES)), F.lit(0))
 
 
-def _apart(x: str, y: str):
-    """Differing bits of two signature columns."""
-    return sum((F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(1, LANES)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
+def _likely(x: str, y: str, similarity: float):
+    """Whether two signatures leave room for the similarity.
+
+    The ratio of the counts and the parities (each shingle of only one text flips one of them) rule
+    out nothing at or above it; the least bits, five standard deviations above their mean, next to nothing.
+    """
+    n, m = F.col(x)[0], F.col(y)[0]
+    union = (n + m) / (1 + similarity)
+    filled = BINS * (1 - F.exp(-union / BINS))
+    sized = F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9
+    parities = _differing(x, y, 1) <= union * (1 - similarity) + 1e-9
+    least = _differing(x, y, 1 + LANES) <= filled * (1 - similarity) / 2 + 1.5 * F.sqrt(filled) + 2
+    return sized & parities & least
 
 
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The pairs (a, b) of text keys whose texts reach the similarity: first by Hamming distance, then by Jaccard."""
+    """The pairs (a, b) of text keys whose texts reach the similarity: first by their signatures, then by Jaccard."""
     both = pairs.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
-    likely = checkpoint(both.where(_apart("sa", "sb") <= MOST_BITS).select("a", "b"))
+    likely = checkpoint(both.where(_likely("sa", "sb", similarity)).select("a", "b"))
     involved = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     own = checkpoint(texts.join(involved, "k", "left_semi").dropDuplicates(["k"]))
     compared = likely.join(own.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
@@ -274,74 +308,80 @@ def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: f
     return map_arrow(compared.select("a", "b", "ta", "tb"), verify, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
 
-def _opened(hot: DataFrame, roots: DataFrame, turn: int = 0) -> DataFrame:
-    """(key, k, c, top, pivot): the rows (key, k) of keys of more than one component, by the roots (node, root) so far.
+def _ordered(a: str, b: str) -> tuple:
+    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+
+
+def _chain(hot: DataFrame, sigs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that follow each other in a bucket, in the order of the segments after those of its key.
 
-    ``c`` is a text's component, ``top`` the key's largest, ``pivot`` a member of that, another one for every key and turn.
+    Texts that agree in more segments come to stand together. Rows are ranged, so a bucket of any size spreads over tasks.
     """
-    named = checkpoint(hot.join(roots, hot["k"] == roots["node"], "left").select("key", "k", F.coalesce("root", "k").alias("c")))
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"), F.min_by("k", F.xxhash64("key", "k", F.lit(turn))).alias("pivot"))
-    largest = sizes.groupBy("key").agg(F.max_by(F.struct("c", "pivot"), F.struct("m", "c")).alias("l"), F.count("*").alias("parts")).where("parts > 1")
-    return checkpoint(named.join(largest.select("key", F.col("l.c").alias("top"), F.col("l.pivot").alias("pivot")), "key"))
+    codes = F.slice("sig", 2 + 2 * LANES, SEGMENTS)
+    after = (F.shiftright("key", 48).bitwiseAND(F.lit(15)) + 1).cast("int")
+    turned = F.concat(F.slice(codes, after + 1, F.lit(SEGMENTS)), F.slice(codes, F.lit(1), after))
+    ranged = hot.join(sigs, "k").select("key", "k", turned.alias("place")).repartitionByRange("key", "place", "k").sortWithinPartitions("key", "place", "k")
 
+    def work(batches):
+        key = k = np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            key = np.concatenate([key[-1:], batch.column("key").to_numpy()])
+            k = np.concatenate([k[-1:], batch.column("k").to_numpy()])
+            same = key[1:] == key[:-1]
+            yield {"a": k[1:][same], "b": k[:-1][same]}
 
-def _ordered(a: str, b: str) -> tuple:
-    return F.greatest(a, b).alias("a"), F.least(a, b).alias("b")
+    pairs = map_arrow(ranged.select("key", "k"), work, "a long, b long", pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    return pairs.select(*_ordered("a", "b"))
 
 
-def _unconnected(opened: DataFrame, sigs: DataFrame) -> DataFrame:
-    """All pairs (a, b) of texts that share a key but no component, and of whose bits few enough differ.
+def _unconnected(hot: DataFrame, sigs: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of texts that share a key of ``hot`` but no component (node, root), and may be similar.
 
-    Of every two such texts one lies outside the key's largest component, so only those outside meet the others.
+    Of every two such texts one lies outside the key's largest component, so only those outside meet
+    the others, each pair in the first two segments it has in common.
     """
-    signed = opened.join(sigs, "k").select("key", "k", "c", "top", "sig")
+    named = checkpoint(hot.join(roots, hot["k"] == roots["node"], "left").select("key", "k", F.coalesce("root", "k").alias("c")))
+    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
+    signed = checkpoint(named.join(largest, "key").join(sigs, "k").select("key", "k", "c", "top", "sig"))
     outside = signed.where("c <> top").select("key", F.col("k").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
+    common = F.filter(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.get("sig", i + 1 + 2 * LANES) == F.get("sx", i + 1 + 2 * LANES))
+    first = F.shiftleft(common[0], 4).bitwiseOR(common[1]) == F.shiftright("key", 48)
     # two outside meet once, by the order of their keys
-    met = outside.join(signed, "key").where("cx <> c and (c = top or x > k)").where(_apart("sx", "sig") <= MOST_BITS)
+    met = outside.join(signed, "key").where("cx <> c and (c = top or x > k)").where(_likely("sx", "sig", similarity)).where(first)
     return met.select(*_ordered("x", "k")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
     """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
 
-    ``doc_key`` is xxhash64 of the text. A pair of similarity 0.8 differs in about 9 of 100 bits of
-    the long fingerprint if its changes are scattered, in 15 if they are one run of words; it shares a key in some pair
-    of segments with a probability of about 0.9 and 0.56 (more for closer pairs).
+    ``doc_key`` is xxhash64 of the text. A segment is the SimHash of the three shingles that come
+    first in an order of its own, so texts of similarity s agree in it with a probability of about
+    s^3 and share a key of two segments, at 0.8, in 0.999 of cases, however their changes lie.
     A bucket of up to ``cap`` texts compares all its pairs. In larger ones each text first meets the
-    next in the order of the keys, then those outside a bucket's largest group meet single members of
-    it. At last all pairs of a bucket that these links leave unconnected are compared too: no pair
-    that shares a key is left out unless its texts are in one group already.
+    next one in the order of the other segments; then all pairs of a bucket that these links leave
+    unconnected are compared too: no pair that shares a key is left out unless its texts are in one
+    group already.
     """
     configure(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
-            bits = np.array([signature(x) for x in text_bytes(batch)], dtype=np.uint8).reshape(batch.num_rows, LANES * 64)
-            lanes = np.packbits(bits, axis=1).reshape(batch.num_rows, LANES, 8)
-            words = np.ascontiguousarray(lanes).view(">i8").reshape(batch.num_rows, LANES).astype(np.int64)
-            yield {"k": batch.column("k"), "sig": list(words), "keys": list(pair_keys(bits))}
+            sigs = np.stack([signature(x, shingle) for x in text_bytes(batch)]) if batch.num_rows else np.zeros((0, 1 + 2 * LANES + SEGMENTS), dtype=np.int64)
+            sigs[:, 1 + 2 * LANES :] = segment_codes(sigs[:, 1 + 2 * LANES :])
+            yield {"k": batch.column("k"), "sig": list(sigs)}
 
     texts = docs.select(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("k"), docs[text_col].alias("text"))
-    signed = map_arrow(texts, work, "k long, sig array<long>, keys array<long>", pa.schema([("k", pa.int64()), ("sig", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))]))
-    signed = checkpoint(signed.groupBy("k").agg(F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    keyed = signed.select("k", F.explode("keys").alias("key"))
+    signed = map_arrow(texts, work, "k long, sig array<long>", pa.schema([("k", pa.int64()), ("sig", pa.list_(pa.int64()))]))
+    sigs = checkpoint(signed.groupBy("k").agg(F.first("sig").alias("sig")))
+    keyed = sigs.select("k", F.explode(_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     many = checkpoint(keyed.join(shared, "key"))
-    few = many.where(F.col("n") <= cap)
+    few, hot = many.where(F.col("n") <= cap), many.where(F.col("n") > cap).select("key", "k")
     pairs = few.select("key", F.col("k").alias("a")).join(few.select("key", F.col("k").alias("b")), "key").where("a > b").select("a", "b")
-    order = Window.partitionBy("key").orderBy("k")
-    ahead = many.where(F.col("n") > cap).select(F.col("k").alias("a"), F.array(*[F.lead("k", i).over(order) for i in range(1, NEIGHBOURS + 1)]).alias("next"))
-    chain = ahead.select("a", F.explode("next").alias("b")).where("b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    found = checkpoint(pairs.union(chain).distinct())
-    sigs = signed.select("k", "sig")
+    found = checkpoint(pairs.union(_chain(hot, sigs)).distinct())
     edges = checkpoint(_verified(found, sigs, texts, similarity, shingle))
-    hot = many.where(F.col("n") > cap)
-    for turn in range(TURNS):
-        met = _opened(hot, components(edges), turn).where("c <> top").select(*_ordered("k", "pivot")).distinct()
-        met = checkpoint(met.join(found, ["a", "b"], "left_anti"))
-        edges = checkpoint(edges.union(_verified(met, sigs, texts, similarity, shingle)))
-        found = found.union(met)
-    met = checkpoint(_unconnected(_opened(hot, components(edges)), sigs).join(found, ["a", "b"], "left_anti"))
+    met = checkpoint(_unconnected(hot, sigs, components(edges), similarity).join(found, ["a", "b"], "left_anti"))
     more = _verified(met, sigs, texts, similarity, shingle)
     return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group"))
 

@@ -3,6 +3,7 @@
 import math
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -131,6 +132,31 @@ def test_near_duplicates_in_one_large_bucket(spark):
     assert few == all_pairs and len(all_pairs) >= 0.8 * len(texts)
 
 
+def test_near_duplicates_lose_no_link(spark):
+    """Groups of brute force over all pairs: one added run of words, scattered changes, short and empty texts, repeats."""
+    draw = np.random.default_rng(3)
+    base = [f"w{i}" for i in draw.integers(0, 10**6, 150)]
+    texts = ["", " ", "\n", "a b", "A  b", " ".join(base)]
+    for i in range(40):
+        some, at = list(base), int(draw.integers(0, 140))
+        some[at:at] = [f"x{i}_{j}" for j in range(int(draw.integers(1, 60)))]
+        texts.append(" ".join(some))
+        texts.append(" ".join(f"y{i}" if draw.random() < 0.006 * (i % 8) else w for w in base))
+    texts += [" ".join(f"z{i}_{j}" for j in range(30)) for i in range(20)] + texts[:8]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {r["k"]: r["text"].encode() for r in d.select("text", F.xxhash64("text").alias("k")).collect()}
+    root = {k: k for k in keys}
+
+    def top(k):
+        return k if root[k] == k else top(root[k])
+
+    for a, b in combinations(keys, 2):
+        if golay.jaccard(keys[a], keys[b]) >= 0.8:
+            root[max(top(a), top(b))] = min(top(a), top(b))
+    got = {r["doc_key"]: r["group"] for r in golay.near_duplicates(d, cap=4).collect()}
+    assert {k: got.get(k, k) for k in keys} == {k: top(k) for k in keys}
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w7 ", "zz ")
