@@ -10,3 +10,4 @@ IMPUTE_SKEW, WOE_CLIP, SMOOTHING, INDICATOR_RATE = 0.5, 4.0, 10.0, 0.05
 WINSOR, MAD_LIMIT, RARE_FREQUENCY, RARE_TOP = 0.01, 3.5, 0.01, 10
 HASH_COMPONENTS, EPSILON = 8, 1e-8
 MAX_CLASSES, MIN_OOT, MAX_RATE_GAP = 20, 50, 0.05
+QUANTILES, KNOTS, SPLINE_DEGREE, COMPONENTS, NOISE, NOISE_ROWS, PERMUTATIONS, ROUNDS = 1000, 5, 3, 10, 0.05, 0.05, 10, 10

@@ -356,6 +356,8 @@ def chain(train: DataFrame, steps: list[Callable[[DataFrame], Stage]]) -> Stage:
 
 def registry(name: str, column: str, target: str | None = None, **how) -> Callable[[DataFrame], Stage]:
     """Builder of a stage by its public name."""
+    from basalt.operators import shape  # which builds on this module
+
     table: dict[str, Callable[[DataFrame], Stage]] = {
         "impute": lambda d: impute(d, [column], **how), "clip_both": lambda d: clip(d, [column], **how),
         "clip_lower": lambda d: clip(d, [column], upper=0.0, **how), "clip_upper": lambda d: clip(d, [column], lower=0.0, **how),
@@ -367,7 +369,8 @@ def registry(name: str, column: str, target: str | None = None, **how) -> Callab
         "scale": lambda d: scale(d, [column], **how), "ordinal_encode": lambda d: ordinal(d, column), "onehot_encode": lambda d: one_hot(d, column, **how),
         "rare_group": lambda d: rare_group(d, column, **how), "target_encode": lambda d: target_encode(d, column, target, **how), "frequency_encode": lambda d: frequency_encode(d, column),
         "woe_encode": lambda d: woe_encode(d, column, target, **how), "binary_encode": lambda d: binary_bits(d, column), "hash_encode": lambda d: hash_encode(column, **how),
-        "polynomial": lambda d: polynomial([column], **how), "noise": lambda d: lambda df: df.withColumn(column, F.col(column) + 0.05 * F.randn(S.SEED)),
+        "polynomial": lambda d: polynomial([column], **how), "noise": lambda d: shape.noise(d, column, **how), "spline": lambda d: shape.spline(d, column, **how),
+        **{f"quantile_{o}": (lambda d, o=o: shape.quantile_map(d, column, o, **how)) for o in ("uniform", "normal")},
     }
     if name not in table:
         raise KeyError(f"no stage is called {name}; there are {', '.join(sorted(table))}")

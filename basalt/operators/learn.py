@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from basalt.core import settings as S
 from basalt.operators import metrics as M
+from basalt.operators.split import _numbered
 
 CLASSIFIERS = {
     "logistic": lambda **k: LogisticRegression(**k),
@@ -81,3 +82,25 @@ def kmeans_quality(df: DataFrame, k: int, vector: str = "embedding") -> DataFram
     near = model.transform(d).join(F.broadcast(centers), "prediction")  # k rows
     gap = F.aggregate(F.zip_with(vector_to_array("features"), "center", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, x: a + x)
     return near.groupBy("prediction").agg(F.count("*").alias("n"), F.avg(gap).alias("mean_squared_distance"))
+
+
+def permutation_importance(df: DataFrame, features: list[str], target: str, key: str, repeats: int = S.PERMUTATIONS, algorithm: str = "logistic") -> DataFrame:
+    """Mean and deviation of the loss of AUC when a feature is permuted over all rows, most important first.
+
+    Rows are numbered in two orders of the key's hash; each takes the value of the row of the same
+    number in the other order. Scores come from one model, so a repeat is a join and a ROC.
+    """
+    model = fit(df, features, target, algorithm)
+    base = M.ranking_metrics(score(model, df), "score", target).first()["auc"]
+    own = df.select(key, target, *features)
+    rows = []
+    for f in features:
+        drops = []
+        for r in range(repeats):
+            here = _numbered(own.drop(f), key, [], 2 * r + 1).select(key, target, *[x for x in features if x != f], "__i")
+            there = _numbered(own.select(key, f), key, [], 2 * r + 2).select(f, "__i")
+            drops.append(base - M.ranking_metrics(score(model, here.join(there, "__i")), "score", target).first()["auc"])
+        mean = sum(drops) / len(drops)
+        rows.append((f, mean, (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5))
+    ranked = sorted(rows, key=lambda x: (-x[1], x[0]))
+    return df.sparkSession.createDataFrame([(f, float(m), float(s), i + 1) for i, (f, m, s) in enumerate(ranked)], "feature string, importance double, std double, rank int")

@@ -150,3 +150,18 @@ def scored_with_actuals(scored: DataFrame, actuals: DataFrame, ids: list[str]) -
 def unmatched(scored: DataFrame, actuals: DataFrame, ids: list[str]) -> DataFrame:
     a, b = scored.join(actuals, ids, "left_anti").agg(F.count("*").alias("scored_only")), actuals.join(scored, ids, "left_anti").agg(F.count("*").alias("actuals_only"))
     return a.join(b)
+
+
+def performance_report(scored: DataFrame, actuals: DataFrame, ids: list[str], score: str, label: str) -> DataFrame:
+    """One row of metrics of the rows that have an actual; none at all is an error."""
+    d = scored_with_actuals(scored, actuals, ids)
+    n = d.count()
+    if not n:
+        raise ValueError("no scored row has an actual")
+    measured = ranking_metrics(d, score, label).join(log_loss(d, score, label))  # one row each
+    return measured.select(F.lit("monitoring").alias("split"), F.lit(n).cast("long").alias("n_rows"), "auc", "gini", "ks", "log_loss")
+
+
+def feature_drift(reference: DataFrame, raw: DataFrame, actuals: DataFrame, ids: list[str]) -> DataFrame:
+    """CSI of the raw rows that have an actual, against a frozen reference."""
+    return csi(reference, raw.join(actuals.select(*ids).distinct(), ids, "left_semi"))

@@ -13,6 +13,7 @@ from basalt.operators import metrics as M
 from basalt.operators import profile as P
 from basalt.operators import relation as R
 from basalt.operators import select as C
+from basalt.operators import shape as G
 from basalt.operators import split as L
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -699,3 +700,93 @@ def partial_dependence(t):
     from basalt.operators import learn
 
     return learn.partial_dependence(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big", "l_extendedprice")
+
+
+# Shapes, monitoring reports and permutations
+
+_PLACE = """q AS (SELECT quantile_cont(gap, [i / 99.0 FOR i IN range(100)]) AS e FROM ev),
+k AS (SELECT event_id, gap, e, len(list_filter(e, lambda z: z < gap)) AS i, len(list_filter(e, lambda z: z <= gap)) AS j FROM ev, q)"""
+
+
+@query(f"WITH {EV}, {_PLACE} SELECT event_id, round(CASE WHEN gap IS NULL THEN NULL WHEN gap <= e[1] THEN 0 WHEN gap >= e[100] THEN 1 WHEN i < j THEN (i + j - 1) / 198 ELSE (j - 1 + (gap - e[j]) / (e[j + 1] - e[j])) / 99 END, 6) AS gap FROM k")
+def quantile_uniform(t):
+    d = ev(t)
+    return out(G.quantile_map(d, "gap", quantiles=100)(d), "gap")
+
+
+@query()
+def quantile_normal(t):
+    d = ev(t)
+    return out(G.quantile_map(d, "gap", "normal")(d), "gap")
+
+
+_U = "(least(greatest(gap, lo), hi) - lo) / ((hi - lo) / 4) + {}"
+
+
+def _spline_sql(k: int) -> str:
+    u = _U.format(3 - k)
+    return "(" + " + ".join(f"{w} * pow(greatest({u} - {i}, 0), 3)" for i, w in enumerate((1, -4, 6, -4, 1))) + ") / 6"
+
+
+@query(f"WITH {EV}, r AS (SELECT min(gap) AS lo, max(gap) AS hi FROM ev) SELECT event_id, " + ", ".join(f"CASE WHEN gap IS NOT NULL THEN round({_spline_sql(k)}, 6) END AS gap_sp_{k}" for k in range(6)) + " FROM ev, r")
+def spline(t):
+    d = ev(t)
+    return out(G.spline(d, "gap")(d), *[f"gap_sp_{k}" for k in range(6)])
+
+
+@query()
+def pca(t):
+    d = t("part")
+    return G.pca(d, ["p_size", "p_retailprice"])(d).select("p_partkey", P.r6(F.col("pc1")).alias("pc1"), P.r6(F.col("pc2")).alias("pc2"))
+
+
+_DRAW = "((('0x' || substr(md5(event_id || ':42:{}'), 1, 8))::BIGINT + 0.5) / 4294967296)".format
+
+
+@query(f"WITH {EV} SELECT event_id, round(gap + CASE WHEN {_DRAW(0)} < 0.05 THEN 0.05 * (SELECT stddev_samp(gap) FROM ev) * sqrt(-2 * ln({_DRAW(1)})) * cos(2 * pi() * {_DRAW(2)}) ELSE 0 END, 6) AS gap FROM ev")
+def noise(t):
+    d = ev(t)
+    return out(G.noise(d, "gap", "event_id")(d), "gap")
+
+
+_MATCHED_ROC = _ROC.replace(SCORES, SCORES[:-1] + " WHERE event_id % 4 <> 0)")
+
+
+@query(f"WITH {_MATCHED_ROC}, a AS (SELECT sum(n * (tp - p / 2)) / (sum(p) * sum(n)) AS auc FROM r) SELECT 'monitoring' AS split, (SELECT count(*) FROM scores) AS n_rows, round(auc, 6) AS auc, round(2 * auc - 1, 6) AS gini, round((SELECT max(abs(tp / (SELECT sum(p) FROM r) - fp / (SELECT sum(n) FROM r))) FROM r), 6) AS ks, (SELECT round(-avg(y * ln(greatest(p, 1e-15)) + (1 - y) * ln(1 - greatest(p, 1e-15))), 6) FROM scores) AS log_loss FROM a")
+def performance_report(t):
+    return M.performance_report(*pair(t), ["event_id"], "p", "y")
+
+
+_MATCHED_FROZEN = _FROZEN.replace(HALVES, HALVES[:-1] + " AND event_id % 4 <> 0)")
+
+
+@query(f"WITH {_MATCHED_FROZEN}, k AS (SELECT greatest(e, 1e-8) AS e, greatest(q, 1e-8) AS q FROM j) SELECT 'value' AS feature, round(sum((q - e) * ln(q / e)), 4) AS csi, sum((q - e) * ln(q / e)) > 0.2 AS flag FROM k")
+def feature_drift_report(t):
+    before, after = halves(t)
+    return M.feature_drift(M.freeze(before, ["value"]), after, pair(t)[1], ["event_id"])
+
+
+@query()
+def permutation_importance(t):
+    from basalt.operators import learn
+
+    d = t("orders").withColumn("y", (F.col("o_totalprice") > 200000).cast("int"))
+    return learn.permutation_importance(d, ["o_totalprice", "o_custkey"], "y", "o_orderkey", repeats=2)
+
+
+@query()
+def impute_iterative(t):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice")).alias("l_extendedprice"))
+    filled = G.impute_iterative(d, ["l_quantity", "l_discount", "l_extendedprice"], rounds=2)(d)
+    return filled.select("l_orderkey", "l_linenumber", *[P.r6(F.col(c)).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
+
+
+@query("WITH d AS (SELECT event_id, value, quantile_cont(value, 0.75) OVER () AS q FROM events) SELECT event_id, (value > q)::INT AS target FROM d")
+def binarise_quantile(t):
+    d = t("events").select("event_id", "value")
+    return L.binarise(d, "value", "quantile", 0.75).select("event_id", F.col("target").cast("int").alias("target"))
+
+
+@query("SELECT event_id, (value > 100)::INT AS target FROM events")
+def binarise_threshold(t):
+    return L.binarise(t("events").select("event_id", "value"), "value", "threshold", 100.0).select("event_id", F.col("target").cast("int").alias("target"))

@@ -39,6 +39,31 @@ def test_query_equals_its_sql(spark, sf, duck, name):
     assert all(same(x, y) for a, b in zip(ours, theirs, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_shapes_by_their_properties(spark, sf):
+    rows = catalogue.QUERIES["spline"](spark, sf).collect()
+    known = [r for r in rows if r["gap_sp_0"] is not None]
+    assert len(known) < len(rows) and all(-1e-9 <= sum(r[f"gap_sp_{k}"] for k in range(6)) <= 1 + 1e-5 for r in known)
+    z = [r["gap"] for r in catalogue.QUERIES["quantile_normal"](spark, sf).collect() if r["gap"] is not None]
+    assert abs(sum(z) / len(z)) < 0.02 and abs(sum(x * x for x in z) / len(z) - 1) < 0.05
+    p = catalogue.QUERIES["pca"](spark, sf).collect()
+    assert abs(sum(r["pc1"] * r["pc2"] for r in p)) / len(p) < 1e-3 and sum(r["pc1"] ** 2 for r in p) >= sum(r["pc2"] ** 2 for r in p)
+
+
+def test_chained_imputation_recovers_a_plane(spark):
+    from basalt.operators.shape import impute_iterative
+
+    rows = [(float(i), float(i * i % 17), 3.0 * i - 2.0 * (i * i % 17) + 1) for i in range(200)]
+    gone = [(a, None if i % 9 == 0 else b, None if i % 7 == 0 and i % 9 else c, None) for i, (a, b, c) in enumerate(rows)]
+    d = spark.createDataFrame(gone, "a double, b double, c double, d double")
+    got = {r["a"]: r for r in impute_iterative(d, ["a", "b", "c", "d"])(d).collect()}
+    assert all(abs(got[a]["b"] - b) < 0.01 and abs(got[a]["c"] - c) < 0.05 and got[a]["d"] is None for a, b, c in rows)
+
+
+def test_permutation_importance_ranks_the_cause_first(spark, sf):
+    r = catalogue.QUERIES["permutation_importance"](spark, sf).collect()
+    assert r[0]["feature"] == "o_totalprice" and r[0]["importance"] > 0.2 > abs(r[1]["importance"])
+
+
 def test_unknown_stage():
     from basalt.operators.features import registry
 
