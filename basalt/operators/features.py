@@ -257,7 +257,11 @@ def bin_edges(train: DataFrame, column: str, strategy: str, bins: int) -> list[f
 
 def bin_column(train: DataFrame, column: str, strategy: str = "quantile", bins: int = 10) -> Stage:
     """Right-closed bins, the lowest edge included; -1 outside and for null."""
-    edges = bin_edges(train, column, strategy, bins)
+    return into_bins(column, bin_edges(train, column, strategy, bins))
+
+
+def into_bins(column: str, edges: list[float]) -> Stage:
+    """Number of the right-closed bin of each value, the lowest edge included; -1 outside and for null."""
     c, out = F.col(column).cast("double"), F.lit(-1)
     for i in range(len(edges) - 2, -1, -1):
         out = F.when((c > edges[i]) & (c <= edges[i + 1]), i).otherwise(out)
@@ -356,7 +360,7 @@ def chain(train: DataFrame, steps: list[Callable[[DataFrame], Stage]]) -> Stage:
 
 def registry(name: str, column: str, target: str | None = None, **how) -> Callable[[DataFrame], Stage]:
     """Builder of a stage by its public name."""
-    from basalt.operators import shape  # which builds on this module
+    from basalt.operators import learn, shape  # which build on this module
 
     table: dict[str, Callable[[DataFrame], Stage]] = {
         "impute": lambda d: impute(d, [column], **how), "clip_both": lambda d: clip(d, [column], **how),
@@ -365,6 +369,7 @@ def registry(name: str, column: str, target: str | None = None, **how) -> Callab
         **{s: (lambda d, s=s: reshape(d, [column], s)) for s in SHAPES},
         "yeo_johnson": lambda d: (lambda lam: lambda df: df.withColumn(column, yeo_johnson(F.col(column).cast("double"), lam)))(yeo_johnson_lambda(d, column)),
         "bucket_quantile": lambda d: bin_column(d, column, "quantile", **how), "bucket_uniform": lambda d: bin_column(d, column, "uniform", **how),
+        "bucket_tree": lambda d: into_bins(column, learn.tree_edges(d, column, target, **how)),
         **{f"{m}_rank": (lambda d, m=m: rank_on_train(d, column, m)) for m in ("percentile", "dense", "global")},
         "scale": lambda d: scale(d, [column], **how), "ordinal_encode": lambda d: ordinal(d, column), "onehot_encode": lambda d: one_hot(d, column, **how),
         "rare_group": lambda d: rare_group(d, column, **how), "target_encode": lambda d: target_encode(d, column, target, **how), "frequency_encode": lambda d: frequency_encode(d, column),

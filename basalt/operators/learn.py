@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,3 +107,20 @@ def permutation_importance(df: DataFrame, features: list[str], target: str, key:
         rows.append((f, mean, (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5))
     ranked = sorted(rows, key=lambda x: (-x[1], x[0]))
     return df.sparkSession.createDataFrame([(f, float(m), float(s), i + 1) for i, (f, m, s) in enumerate(ranked)], "feature string, importance double, std double, rank int")
+
+
+def tree_edges(train: DataFrame, column: str, target: str, bins: int = 10, least: float = 0.05) -> list[float]:
+    """Edges of bins by a decision tree on one column, each leaf with a share of at least ``least`` of the rows.
+
+    A classifier up to 20 distinct targets, a regressor beyond. The tree is as deep as ``bins`` leaves
+    allow; its candidate splits are MLlib's quantile splits, so data of any size fits. The outer edges
+    lie one beyond the range. Rows with a null column or target are left out; without any there are no edges.
+    """
+    d = train.select(array_to_vector(F.array(F.col(column).cast("double"))).alias("features"), F.col(target).cast("double").alias("label"), F.col(column).cast("double").alias("x")).dropna(subset=["label", "x"])
+    lo, hi, n, classes, worst, whole = d.agg(F.min("x"), F.max("x"), F.count("*"), F.count_distinct("label"), F.min("label"), F.every(F.col("label") == F.floor("label"))).first()
+    if not n:
+        return []
+    sorts = classes <= S.MAX_CLASSES and whole and worst >= 0
+    tree = (DecisionTreeClassifier if sorts else DecisionTreeRegressor)(maxDepth=max(int(math.log2(bins)), 1), maxBins=256, minInstancesPerNode=max(int(least * n), 1), seed=S.SEED)
+    inner = re.findall(r"feature 0 <= ([-+0-9.Ee]+)\)", tree.fit(d).toDebugString)
+    return sorted({lo - 1, hi + 1, *map(float, inner)})

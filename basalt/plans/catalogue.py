@@ -790,3 +790,9 @@ def binarise_quantile(t):
 @query("SELECT event_id, (value > 100)::INT AS target FROM events")
 def binarise_threshold(t):
     return L.binarise(t("events").select("event_id", "value"), "value", "threshold", 100.0).select("event_id", F.col("target").cast("int").alias("target"))
+
+
+@query()
+def bin_tree(t):
+    d = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_extendedprice") > 50000).cast("int").alias("y"))
+    return X.registry("bucket_tree", "l_extendedprice", "y")(d)(d).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_extendedprice_bin")

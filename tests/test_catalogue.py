@@ -59,6 +59,19 @@ def test_chained_imputation_recovers_a_plane(spark):
     assert all(abs(got[a]["b"] - b) < 0.01 and abs(got[a]["c"] - c) < 0.05 and got[a]["d"] is None for a, b, c in rows)
 
 
+def test_tree_bins_part_the_classes(spark, sf):
+    from basalt.operators.learn import tree_edges
+
+    d = spark.createDataFrame([(float(i), int(i >= 60), i / 3) for i in range(100)] + [(None, 1, 0.0)], "a double, y int, z double")
+    edges = tree_edges(d, "a", "y")
+    assert (edges[0], edges[-1]) == (-1.0, 100.0) and any(59 <= e < 60 for e in edges)
+    assert len(tree_edges(d, "a", "z")) > 3 and tree_edges(d.limit(0), "a", "y") == []
+    bins = {}
+    for r in catalogue.QUERIES["bin_tree"](spark, sf).collect():
+        bins.setdefault(r["l_extendedprice_bin"], []).append(r["l_extendedprice"])
+    assert len(bins) >= 2 and all(max(bins[k]) <= min(bins[k + 1]) for k in range(max(bins)))
+
+
 def test_permutation_importance_ranks_the_cause_first(spark, sf):
     r = catalogue.QUERIES["permutation_importance"](spark, sf).collect()
     assert r[0]["feature"] == "o_totalprice" and r[0]["importance"] > 0.2 > abs(r[1]["importance"])
