@@ -10,6 +10,12 @@ The tokens are runs of letters and digits. Capitalised words count as names wher
 a passage looks the same whatever stands before it. Windows need ``LITERALS`` tokens that are no
 placeholder.
 
+A passage in another case (capitals, a heading, all lower case) has other names and literals, so there
+is a second set of windows over case-folded tokens, with numbers and units as the only placeholders.
+Pairs that the name template covers are given with its counts; the others are covered by the places
+that either set matches, out of the places that have a window in either. Only the name template is in
+``SQL``, which therefore gives the first kind of rows and not the second.
+
 The benchmark's windows are broadcast if they are ``BROADCAST_ROWS`` or fewer (counted), and joined
 by a shuffle otherwise; so are the matched ids when their texts are read again.
 
@@ -48,15 +54,44 @@ def template(normalised: Column) -> Column:
     return F.regexp_replace(t, rf"(0 ?)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$3")
 
 
+def fold(normalised: Column) -> Column:
+    """Text without case; no token appears or goes (lower case of a dotted capital I is two characters)."""
+    return F.regexp_replace(F.translate(F.lower(F.translate(normalised, "İ", "i")), "ς", "σ"), "ß", "ss")
+
+
+def folded_template(folded: Column) -> Column:
+    """Numbers and the units after them as placeholders."""
+    return F.regexp_replace(F.regexp_replace(folded, r"\d+", NUMBER), rf"(0 ?)({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1{UNIT}$3")
+
+
 def tokens(text: Column) -> Column:
     return F.filter(F.split(text, _SEPARATOR), lambda x: x != "")
 
 
-def windows(df: DataFrame, *keep: str, words: str = "t", width: int = WIDTH) -> DataFrame:
-    """(keep, at, h): hash of every window of ``width`` tokens and its place from 0."""
-    starts = F.sequence(F.lit(1), F.size(words) - width + 1)
-    hashes = F.when(F.size(words) >= width, F.transform(starts, lambda i: F.xxhash64(F.slice(F.col(words), i, width))))
-    return df.select(*keep, F.posexplode(hashes).alias("at", "h"))
+def views(df: DataFrame, *keep: str) -> DataFrame:
+    """(keep, raw, named, plain, folded): tokens as they stand, of the name template, without case, and of the folded template."""
+    plain = df.select(*keep, "s", fold(F.col("s")).alias("l"))
+    return plain.select(*keep, *[tokens(c).alias(n) for c, n in ((F.col("s"), "raw"), (template(F.col("s")), "named"), (F.col("l"), "plain"), (folded_template(F.col("l")), "folded"))])
+
+
+def windows(df: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
+    """(keep, at, kind, h): hashes of every window of ``width`` tokens and its place from 0.
+
+    kind is 0 for the name template, 1 for the folded one and 2 where both are the same.
+    """
+    starts = F.sequence(F.lit(1), F.size("named") - width + 1)
+
+    def hashes(i):
+        a, b = (F.xxhash64(F.slice(F.col(c), i, width)) for c in ("named", "folded"))
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    df = df.select(*keep, F.posexplode(F.when(F.size("named") >= width, F.transform(starts, hashes))).alias("at", "w"))
+
+    def one(kind, h):
+        return F.struct(F.lit(kind).alias("kind"), F.col(f"w.{h}").alias("h"))
+
+    each = F.when(F.col("w.a") == F.col("w.b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b")))
+    return df.select(*keep, "at", F.inline(each))
 
 
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -67,26 +102,35 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: int = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, matched_windows, verbatim) of every contaminated document and item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("s"))
-    items = items.select("item_id", tokens(F.col("s")).alias("ir"), tokens(template(F.col("s"))).alias("it")).where(F.size("it") >= width)
+    items = views(items, "item_id").where(F.size("named") >= width)
     items = checkpoint(items.withColumn("item", F.monotonically_increasing_id()))
-    slots = F.filter(F.slice("it", F.col("at") + 1, width), lambda x: (x != NAME) & (x != NUMBER) & ~x.contains(UNIT))
-    wanted = windows(items, "item", "it", words="it", width=width).where(F.size(slots) >= LITERALS).select("item", F.col("at").alias("j"), "h")
+
+    def literals(words):
+        return F.size(F.filter(F.slice(words, F.col("at") + 1, width), lambda x: (x != NAME) & (x != NUMBER) & ~x.contains(UNIT)))
+
+    wanted = windows(items, "item", "named", "folded", width=width).where(F.when(F.col("kind") == 1, literals("folded")).otherwise(literals("named")) >= LITERALS)
+    wanted = wanted.select("item", F.col("at").alias("j"), F.explode(F.when(F.col("kind") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("kind"))).alias("kind"), "h")
     wanted = checkpoint(wanted)
     n_wanted = wanted.count()
 
-    split = docs.select(docs[id_col].cast("long").alias("id"), tokens(template(normal(docs[text_col]))).alias("t"))
-    hits = windows(split, "id", width=width).join(sized(wanted, n_wanted), "h").select("id", "item", "j", (F.col("at") - F.col("j")).alias("shift"))
-    hits = checkpoint(hits.distinct())
+    split = docs.select(docs[id_col].cast("long").alias("id"), normal(docs[text_col]).alias("s"))
+    seen = windows(views(split, "id"), "id", width=width).withColumnRenamed("kind", "of")
+    hits = seen.join(sized(wanted, n_wanted), "h").where((F.col("of") == 2) | (F.col("of") == F.col("kind")))
+    hits = checkpoint(hits.select("id", "item", "kind", "j", (F.col("at") - F.col("j")).alias("shift")).distinct())
 
-    aligned = hits.groupBy("id", "item", "shift").agg(F.collect_set("j").alias("js"))  # at most an item's windows
+    aligned = hits.groupBy("id", "item", "kind", "shift").agg(F.collect_set("j").alias("js"))  # at most an item's windows
     hit_ids = checkpoint(hits.select("id").distinct())
     same = F.col("id").eqNullSafe(F.col("hit"))
     again = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     again = again.join(sized(hit_ids.withColumnRenamed("id", "hit"), hit_ids.count()), same, "left_semi")
-    again = again.select("id", normal(F.col("text")).alias("s")).select("id", tokens(F.col("s")).alias("dr"), tokens(template(F.col("s"))).alias("dt"))
+    again = views(again.select("id", normal(F.col("text")).alias("s")), "id")
+    again = again.select("id", *[F.col(c).alias("d_" + c) for c in ("raw", "named", "plain", "folded")])
 
     al = aligned.withColumnRenamed("id", "hit")
     pairs = again.join(al, same).join(items, "item")
+    named = F.col("kind") == 0
+    for short, of_name, of_fold in (("it", "named", "folded"), ("ir", "raw", "plain"), ("dt", "d_named", "d_folded"), ("dr", "d_raw", "d_plain")):
+        pairs = pairs.withColumn(short, F.when(named, F.col(of_name)).otherwise(F.col(of_fold)))
     places = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j + 1, j + width))))
     # rows that repeat an id may hold another text: its tokens must have the item's template
     fits = F.forall("p", lambda q: F.try_element_at("dt", q + F.col("shift")).eqNullSafe(F.element_at("it", q)))
@@ -95,12 +139,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both = F.array_distinct(F.transform(slot_places, lambda q: F.struct(F.element_at("ir", q).alias("a"), F.element_at("dr", q + F.col("shift")).alias("b"))))
     found = found.withColumn("slots", both)
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda x: x["a"])))
-    found = found.where(consistent).withColumn("verbatim", F.forall("slots", lambda x: x["a"] == x["b"]))
-    best = found.select("id", "item", "item_id", F.explode("js").alias("j"), "verbatim")
-    total = wanted.groupBy("item").agg(F.count("*").alias("n_windows"))
-    per = best.groupBy("id", "item", "item_id").agg(F.countDistinct("j").alias("matched_windows"), F.max("verbatim").alias("verbatim"))
-    per = per.join(total, "item").where(100 * F.col("matched_windows") >= coverage * F.col("n_windows"))
-    return per.select(F.col("id").alias("doc_id"), "item_id", "n_windows", "matched_windows", "verbatim")
+    as_it_stands = F.forall("p", lambda q: F.element_at("raw", q) == F.element_at("d_raw", q + F.col("shift")))
+    found = found.where(consistent).withColumn("verbatim", as_it_stands)
+    best = found.select("id", "item", "item_id", "kind", F.explode("js").alias("j"), "verbatim")
+    of_name = F.col("kind") == 0
+    total = wanted.groupBy("item").agg(F.countDistinct(F.when(of_name, F.col("j"))).alias("n_named"), F.countDistinct("j").alias("n_all"))
+    per = best.groupBy("id", "item", "item_id").agg(
+        F.countDistinct(F.when(of_name, F.col("j"))).alias("named"), F.countDistinct("j").alias("all"),
+        F.max(F.when(of_name, F.col("verbatim"))).alias("named_verbatim"), F.coalesce(F.max(F.when(~of_name, F.col("verbatim"))), F.lit(False)).alias("all_verbatim"),
+    )
+    per = per.join(total, "item")
+    by_name = (F.col("named") > 0) & (100 * F.col("named") >= coverage * F.col("n_named"))
+    per = per.withColumn("by_name", by_name).where(F.col("by_name") | (100 * F.col("all") >= coverage * F.col("n_all")))
+    chosen = [F.when(F.col("by_name"), F.col(a)).otherwise(F.col(b)).alias(n) for a, b, n in (("n_named", "n_all", "n_windows"), ("named", "all", "matched_windows"), ("named_verbatim", "all_verbatim", "verbatim"))]
+    return per.select(F.col("id").alias("doc_id"), "item_id", *chosen)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -182,6 +182,15 @@ def test_inconsistent_slots_are_no_hit(spark):
     assert decontam.contamination(d, spark.createDataFrame([(1, item)], "item_id long, text string")).count() == 0
 
 
+def test_decontamination_finds_other_case(spark):
+    item = "A train leaves Paris at 7 km per hour and meets another train from the große Stadt Lyon after 12 hours of steady travel"
+    d = spark.createDataFrame([(1, f"INTRO {item.upper()} END"), (2, item.lower()), (3, item), (4, "A TRAIN LEAVES PARIS AND NOTHING ELSE OF IT IS SAID IN THIS TEXT"), (5, item.title().replace("12", "31"))], "doc_id long, text string")
+    got = {r["doc_id"]: (r["verbatim"], r["matched_windows"] == r["n_windows"]) for r in decontam.contamination(d, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (True, True), 5: (False, True)}
+    loud = spark.createDataFrame([(1, item.upper())], "item_id long, text string")
+    assert {r["doc_id"] for r in decontam.contamination(d, loud).collect()} == {1, 2, 3, 5}
+
+
 def test_sql_twins(spark, sf, docs):
     import duckdb
 
