@@ -10,9 +10,9 @@ The dictionary and the character pairs are counted over all texts; the dictionar
 ``DICTIONARY`` most frequent words (a bounded model). The forest is fitted on at most ``FINDINGS``
 labelled findings; without any at hand, ``labelled_findings`` makes them by rule from a seed.
 
-Defined cases: null and empty texts have no finding; candidates don't overlap, an earlier one wins
-and, at one place, the one of the earlier rule; offsets count code points; repeated rows are scanned
-each on its own.
+Defined cases: null and empty texts have no finding; candidates don't overlap: formats win over
+assignments and those over long strings, and what is left of the loser is a candidate of its own if
+it is one by itself; offsets count code points; repeated rows are scanned each on its own.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import random
 import re
 import string
 import zlib
+from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
@@ -50,34 +51,59 @@ RULES = {
 }
 _FORMATS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()))
 _FORMAT_SIGNS = ("-----BEGIN", "AKIA", "ASIA", "gh", "xox", "AIza", "k_live", "k_test", "eyJ", "://")
-_ASSIGN = re.compile(r"(?:(?<=[A-Za-z0-9_\]\"' ])|(?<=^))\s?[:=]{1,2}>?\s?[\"'`]?([^\s\"'`,;<>]{6,512})")
+_ASSIGN = re.compile(r"(?:(?<=[A-Za-z0-9_\]\"' ])|(?<=^))\s?[:=]{1,2}>?\s?[\"'`]?(?=[^\s\"'`,;<>]{6})")
+_VALUE = re.compile(r"[^\s\"'`,;<>]{6,512}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+_PART = re.compile(r"[^=]+(?:=+$)?")
 _KEYWORD = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|signing[_-]?key|client[_-]?key|apikey)", re.I)
 _BENIGN = re.compile(r"(?:sha\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|hash|order|isbn|invoice|example|sample|placeholder|dummy|version|build)", re.I)
 _NAME = re.compile(r"[A-Za-z0-9_-]+[\"'\]]?\s*$")
 _PLACEHOLDER = re.compile(r"(?:x{4,}|\*{3,}|\.{3}|<|>|\$\{|%\(|your|example|change|placeholder|dummy|redacted|none|null|true|false)", re.I)
 
 
+def is_long(s: str) -> bool:
+    return len(s) >= 20 and not s.isalpha() and sum(c.isdigit() for c in s) >= 3 and sum(c.isalpha() for c in s) >= 3
+
+
+def left(a: int, b: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
+    """The parts of a span outside of the spans taken, which are in order and don't overlap."""
+    out = []
+    for i in range(bisect_right(taken, a, key=lambda x: x[1]), len(taken)):
+        x, y, _ = taken[i]
+        if x >= b:
+            break
+        if x > a:
+            out.append((a, x))
+        a = max(a, y)
+    return out + [(a, b)] if a < b else out
+
+
+def long_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """The long strings of a run: its parts between ``=`` (padding at an end stays), or all of it if none is long."""
+    parts = [(a + m.start(), a + m.end()) for m in _PART.finditer(text[a:b])]
+    return [x for x in parts if is_long(text[x[0] : x[1]])] or ([(a, b)] if is_long(text[a:b]) else [])
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, end, rule) of the candidates of a text, in order, without overlap."""
     found = []
     if any(x in text for x in _FORMAT_SIGNS):
-        found += [(m.start(), m.end(), 0, m.lastgroup) for m in _FORMATS.finditer(text)]
+        found = [(m.start(), m.end(), m.lastgroup) for m in _FORMATS.finditer(text)]
     if "=" in text or ":" in text:
+        last, more = 0, []
         for m in _ASSIGN.finditer(text):
+            if m.start() < last:
+                continue
             name = _NAME.search(text, max(0, m.start() - 40), m.start())
             if name and _KEYWORD.search(name[0]):
-                found.append((m.start(1), m.end(1), 1, "assignment"))
+                last = _VALUE.match(text, m.end()).end()
+                more += [(a, b, "assignment") for a, b in left(m.end(), last, found) if b - a >= 6]
+        found = sorted(found + more)
+    more = []
     for m in _LONG.finditer(text):
-        s = m[0]
-        if not s.isalpha() and sum(c.isdigit() for c in s) >= 3 and sum(c.isalpha() for c in s) >= 3:
-            found.append((m.start(), m.end(), 2, "long_string"))
-    out, last = [], 0
-    for a, b, _, rule in sorted(found, key=lambda x: (x[0], x[2], -x[1])):
-        if a >= last:
-            out.append((a, b, rule))
-            last = b
-    return out
+        if is_long(m[0]):
+            more += [(*x, "long_string") for a, b in left(m.start(), m.end(), found) for x in long_parts(text, a, b)]
+    return sorted(found + more)
 
 
 class Prose:
@@ -147,6 +173,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | No
             value = (of(hexa, r.choice([32, 40, 64])), of(alnum, r.randint(20, 48)), of(b64, r.choice([40, 44, 64])), "AKIA" + of(string.ascii_uppercase + string.digits, 16), "ghp_" + of(alnum, 36), of(alnum + "!@#%^&", r.randint(10, 18)), of(alnum + "-_", r.randint(24, 43)))[kind]
             rule = {3: "aws_key", 4: "github"}.get(kind, "assignment")
             named = kind not in (3, 4) or r.random() < 0.5
+            if kind in (1, 2, 6) and r.random() < 0.3:  # after a name or a word that no assignment rule takes
+                lead = r.choice([f"{r.choice(['DB_PASS', 'ENCRYPTION_KEY', 'SESSION_KEY', 'SALT', 'export KEY'])}=", "Authorization: Bearer ", "Bearer ", f"--{key} ", f"{key} "])
+                out.append((value, f"{prose()} {lead}", " " + prose(), "long_string", 1))
+                continue
             out.append((value, f"{prose()} {key}{sign}{quote}" if named else prose() + " ", (quote if named else "") + " " + prose(), rule, 1))
         else:
             kind = r.randrange(9)

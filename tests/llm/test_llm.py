@@ -279,6 +279,24 @@ def test_secrets(spark, docs, edge):
     assert secret_scan.op_query(edge).count() == 0
 
 
+def test_secrets_in_env_style(spark, docs):
+    aws, git, plain = "AKIA" + "Q7RZ2MNB4KXW9TLD", "ghp_" + "a1B2c3D4e5F6g7H8i9J0k1L2m3N4o5P6q7R8", "u7Gk2PqX9rT4vB8nM3zL6wY1"
+    texts = [f"AWS_ACCESS_KEY_ID={aws}", f"token={git}", "STRIPE_KEY=" + "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", f"DB_PASS={plain}", f"see https://host.org/a?page=12&api_key={plain} here", f"Authorization: Bearer {plain}"]
+    got = [{(t[a:b], rule) for a, b, rule in secret_scan.candidates(t)} for t in texts]
+    for want, has in zip([(aws, "aws_key"), (git, "github"), ("sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "stripe"), (plain, "long_string"), (plain, "assignment"), (plain, "long_string")], got, strict=True):
+        assert want in has
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r["text"] for r in secret_scan.redact(d, secret_scan.train(docs)).collect()]
+    assert not any(x in t for t in clean for x in (aws, git, plain, "4eC39")) and "AWS_ACCESS_KEY_ID=[SECRET]" in clean
+
+
+def test_secrets_keep_the_rest_of_a_run():
+    tail = "x9Qm4Tz7Lb2Vn8Rk5Wc1Yd6"
+    t = f"token=abc/eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl/{tail}"
+    got = [(t[a:b], rule) for a, b, rule in secret_scan.candidates(t)]
+    assert [x for x in got if x[1] == "jwt"] and got[-1][0].endswith(tail)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
