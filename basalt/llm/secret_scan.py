@@ -47,12 +47,12 @@ RULES = {
     "google": r"\bAIza[0-9A-Za-z_-]{35}",
     "stripe": r"\b[sr]k_(?:live|test)_[0-9A-Za-z]{16,}\b",
     "jwt": r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*",
-    "url_login": r"(?<=://)[^\s/:@]{1,64}:[^\s/:@]{3,64}(?=@)",
+    "url_login": r"(?<=://)[^\s/:@]+:[^\s/:@]{3,}(?=@)",
 }
 _FORMATS = re.compile("|".join(f"(?P<{k}>{v})" for k, v in RULES.items()))
 _FORMAT_SIGNS = ("-----BEGIN", "AKIA", "ASIA", "gh", "xox", "AIza", "k_live", "k_test", "eyJ", "://")
 _ASSIGN = re.compile(r"(?:(?<=[A-Za-z0-9_\]\"' ])|(?<=^))\s?[:=]{1,2}>?\s?[\"'`]?(?=[^\s\"'`,;<>]{6})")
-_VALUE = re.compile(r"[^\s\"'`,;<>]{6,512}")
+_VALUE = re.compile(r"[^\s\"'`,;<>]{6,}")
 _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PART = re.compile(r"[^=]+(?:=+$)?")
 _KEYWORD = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|signing[_-]?key|client[_-]?key|apikey)", re.I)
@@ -173,6 +173,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | No
             value = (of(hexa, r.choice([32, 40, 64])), of(alnum, r.randint(20, 48)), of(b64, r.choice([40, 44, 64])), "AKIA" + of(string.ascii_uppercase + string.digits, 16), "ghp_" + of(alnum, 36), of(alnum + "!@#%^&", r.randint(10, 18)), of(alnum + "-_", r.randint(24, 43)))[kind]
             rule = {3: "aws_key", 4: "github"}.get(kind, "assignment")
             named = kind not in (3, 4) or r.random() < 0.5
+            if kind in (1, 2, 6) and r.random() < 0.15:  # of any length
+                value = of((alnum, b64, alnum + "-_")[(1, 2, 6).index(kind)], int(64 * 40 ** r.random()))
             if kind in (1, 2, 6) and r.random() < 0.3:  # after a name or a word that no assignment rule takes
                 lead = r.choice([f"{r.choice(['DB_PASS', 'ENCRYPTION_KEY', 'SESSION_KEY', 'SALT', 'export KEY'])}=", "Authorization: Bearer ", "Bearer ", f"--{key} ", f"{key} "])
                 out.append((value, f"{prose()} {lead}", " " + prose(), "long_string", 1))

@@ -290,6 +290,19 @@ def test_secrets_in_env_style(spark, docs):
     assert not any(x in t for t in clean for x in (aws, git, plain, "4eC39")) and "AWS_ACCESS_KEY_ID=[SECRET]" in clean
 
 
+def test_long_secrets_go_whole(spark, docs):
+    r = np.random.default_rng(3)
+    signs = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    scanner = secret_scan.train(docs)
+    for size in (100, 513, 900, 5000):
+        key = "".join(r.choice(signs, size))
+        for text in (f"api_key = {key} end", f"api_key={key}", f"at https://{key}:{key}@host.org/ end"):
+            (a, b, _, p), *more = secret_scan.Scanner.scan(scanner, text)
+            assert text[a:b] == (f"{key}:{key}" if "@" in text else key) and p >= secret_scan.THRESHOLD and not more
+    # time must grow with the text, not with its square
+    assert secret_scan.candidates("a:b" * 200_000) == [] and len(secret_scan.candidates("://" + "x" * 200_000)) <= 1
+
+
 def test_secrets_keep_the_rest_of_a_run():
     tail = "x9Qm4Tz7Lb2Vn8Rk5Wc1Yd6"
     t = f"token=abc/eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.c2lnbmF0dXJl/{tail}"
