@@ -4,7 +4,11 @@ Writers hide words by look-alike symbols (``1d10t``), spacing (``i d i o t``, ``
 repetition (``idiooot``). Every token that is not plain letters becomes a lattice: a character may
 stand for itself, for a letter it looks like, or for nothing; a run of one letter may stand for one
 or two. The Viterbi decoder finds the likeliest letters under channel costs and a character trigram
-model counted over all texts, and a small lexicon competes with it as a word prior. A logistic
+model counted over all texts, and a small lexicon competes with it as a word prior. A run of spaced
+letters may hold several words: double separators among single ones are breaks, and within a part
+the best sequence of words under the same costs is taken, beside the reading as one word. Tokens of
+over ``LONGEST`` characters are read in the parts between separators, single letters in a row as a
+spaced run. A logistic
 model over the restored words and their beginnings (``stem^``) then scores the text.
 
 Bounds (documented parameters): the classifier is fitted on at most ``SAMPLE_ROWS`` labelled
@@ -45,8 +49,13 @@ SEPARATORS = ".-_*~/,'· "
 #: Log10 costs of the channel.
 KEEP, LOOK, DROP, EDGE, SQUEEZE = 0.0, -0.6, -1.2, -0.05, -0.1
 LONGEST = 40
+#: Characters of a word within a run of several.
+WORD = 24
 
 _SPACED = re.compile(r"(?:^|(?<=\s))[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?=[\s.,;:!?]|$)")
+_DOUBLE = re.compile(r"[ .\-_*]{2}")
+_SINGLE = re.compile(r"[ .\-_*]")
+_BREAKS = re.compile(r"[^\w$@!|+(€£*]+|_+")
 _EDGES = ".,;:!?\"'()[]{}<>«»…"
 _JUNK = re.compile(r"([^\w\s])\1\1+")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
@@ -115,25 +124,26 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-def decode(token: str, model: CharModel, lexicon: dict[str, float], beam: int = 64) -> str:
-    """The likeliest letters of a token: Viterbi over its lattice with two letters of context.
+Paths = dict[str, list[tuple[float, str]]]
 
-    At the end the best path of every context competes under the mixture of the lexicon's word
-    prior and the character model.
-    """
-    paths: dict[str, list[tuple[float, str]]] = {"^^": [(0.0, "")]}
-    for choices in lattice(token):
-        after: dict[str, list[tuple[float, str]]] = defaultdict(list)
-        for context, some in paths.items():
-            for letters, cost in choices:
-                gain, now = cost, context
-                for x in letters:
-                    gain += model.log(now + x)
-                    now = now[1] + x
-                after[now] += [(s + gain, w + letters) for s, w in some]
-        paths = {k: sorted(v, reverse=True)[:4] for k, v in after.items()}
-        if len(paths) > beam:
-            paths = dict(sorted(paths.items(), key=lambda x: (-x[1][0][0], x[0]))[:beam])
+
+def advance(paths: Paths, choices: list[tuple[str, float]], model: CharModel, beam: int) -> Paths:
+    after: Paths = defaultdict(list)
+    for context, some in paths.items():
+        for letters, cost in choices:
+            gain, now = cost, context
+            for x in letters:
+                gain += model.log(now + x)
+                now = now[1] + x
+            after[now] += [(s + gain, w + letters) for s, w in some]
+    paths = {k: sorted(v, reverse=True)[:4] for k, v in after.items()}
+    if len(paths) > beam:
+        paths = dict(sorted(paths.items(), key=lambda x: (-x[1][0][0], x[0]))[:beam])
+    return paths
+
+
+def close(paths: Paths, model: CharModel, lexicon: dict[str, float]) -> tuple[float, str]:
+    """The best (log score, word) if the word ends here."""
     best = (-math.inf, "")
     for context, some in paths.items():
         for s, w in some:
@@ -142,7 +152,44 @@ def decode(token: str, model: CharModel, lexicon: dict[str, float], beam: int =
                 channel = s - sum(model.log(f"^^{w}"[i : i + 3]) for i in range(len(w)))
                 full = max(full, channel + lexicon[w])
             best = max(best, (full, w))
-    return best[1]
+    return best
+
+
+def decode(token: str, model: CharModel, lexicon: dict[str, float], beam: int = 64) -> str:
+    """The likeliest letters of a token: Viterbi over its lattice with two letters of context.
+
+    At the end the best path of every context competes under the mixture of the lexicon's word
+    prior and the character model.
+    """
+    paths: Paths = {"^^": [(0.0, "")]}
+    for choices in lattice(token):
+        paths = advance(paths, choices, model, beam)
+    return close(paths, model, lexicon)[1]
+
+
+def segment(steps: list[list[tuple[str, float]]], model: CharModel, lexicon: dict[str, float], beam: int = 8) -> list[str]:
+    """The likeliest words of a lattice that may break after any step; a word has ``WORD`` steps at most."""
+    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-math.inf, 0, "")] * len(steps)
+    for i in range(len(steps)):
+        paths: Paths = {"^^": [(0.0, "")]}
+        for j in range(i, min(len(steps), i + WORD)):
+            paths = advance(paths, steps[j], model, beam)
+            score, word = close(paths, model, lexicon)
+            if best[i][0] + score > best[j + 1][0]:
+                best[j + 1] = (best[i][0] + score, i, word)
+    out, at = [], len(steps)
+    while at:
+        _, at, word = best[at]
+        out.append(word)
+    return [w for w in reversed(out) if w]
+
+
+def spaced_words(run: str, model: CharModel, lexicon: dict[str, float]) -> list[str]:
+    """The words of a run of spaced characters."""
+    parts = _DOUBLE.split(run)
+    if not any(_SINGLE.search(x) for x in parts):  # double throughout: no break
+        parts = [run]
+    return [w for x in parts for w in segment([lattice(c)[0] for c in x if c.isalnum()], model, lexicon)]
 
 
 def tokens(text: str) -> set[str]:
@@ -161,21 +208,44 @@ class Restorer(dict):
     def __init__(self, model: CharModel, lexicon: dict[str, float]) -> None:
         self.model, self.lexicon = model, lexicon
 
-    def __missing__(self, token: str) -> str:
-        word = bare(token)
-        if not is_plain(word):
-            word = decode(token if len(token) <= LONGEST and not _JUNK.search(token) else word, self.model, self.lexicon) if len(word) <= LONGEST and any(x.isalpha() for x in word) else ""
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        words = tuple(dict.fromkeys(w for w in self.read(token) if w))
         if len(token) <= LONGEST:
             if len(self) >= self.LIMIT:
                 self.clear()
-            self[token] = word
-        return word
+            self[token] = words
+        return words
+
+    def read(self, token: str) -> list[str]:
+        word = bare(token)
+        if is_plain(word):
+            return [word]
+        if not any(x.isalpha() for x in word):
+            return []
+        out = spaced_words(word, self.model, self.lexicon) if _SPACED.fullmatch(word) else []
+        if len(word) <= LONGEST:
+            return [decode(token if len(token) <= LONGEST and not _JUNK.search(token) else word, self.model, self.lexicon), *out]
+        return out or self.pieces(word)
+
+    def pieces(self, token: str) -> list[str]:
+        """The words of a long token, by its separators; a long part without any is segmented."""
+        out, single = [], []
+        for x in [*_BREAKS.split(token), ""]:
+            if len(x) == 1 and x.isalnum():
+                single.append(x)
+                continue
+            if single:
+                out += self[".".join(single)] if len(single) > 2 else []
+                single = []
+            if len(x) > LONGEST and not is_plain(x):
+                out += segment(lattice(x), self.model, self.lexicon) if any(c.isalpha() for c in x) else []
+            elif x:
+                out += self[x]
+        return out
 
     def words(self, text: str) -> set[str]:
         """The restored words of a text."""
-        out = set(map(self.__getitem__, tokens(text)))
-        out.discard("")
-        return out
+        return {w for x in tokens(text) for w in self[x]}
 
 
 def char_counts(docs: DataFrame, text_col: str = "text") -> dict[str, int]:
@@ -242,7 +312,7 @@ class Scorer(dict):
         self.model, self.restorer = model, Restorer(CharModel(model.grams), model.lexicon)
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        known = tuple(x for x in features(self.restorer[token]) if x in self.model.weights)
+        known = tuple(x for w in self.restorer[token] for x in features(w) if x in self.model.weights)
         if len(token) <= LONGEST:
             if len(self) >= Restorer.LIMIT:
                 self.clear()

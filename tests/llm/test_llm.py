@@ -230,6 +230,24 @@ def test_toxicity_restores(spark, docs):
     assert "scum" in r.words("$cum")
 
 
+def test_toxicity_restores_several_spaced_words(docs):
+    words = " ".join(r["text"] for r in docs.collect())
+    counts = Counter(w for w in words.lower().split() if w.isalpha()) + Counter({"idiot": 50, "scum": 50, "stupid": 50, "you": 50, "are": 50, "a": 200})
+    grams = Counter()
+    for w, n in counts.items():
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += n
+    r = toxicity.Restorer(toxicity.CharModel(grams), {"idiot": -2.0, "scum": -2.0, "stupid": -2.0, "you": -2.0, "are": -2.0})
+    assert "stupid" in r.words("he is a s t u p i d man")
+    assert {"you", "idiot"} <= r.words("y o u i d i o t")
+    assert {"you", "idiot"} <= r.words("y 0 u  1 d 1 0 t")
+    assert "idiot" in r.words("i  d  i  o  t")
+    assert {"you", "are", "stupid", "idiot", "scum"} <= r.words("y o u  a r e  a  s t u p i d  i d i o t  s c u m")
+    assert {"stupid", "idiot", "scum"} <= r.words("y o u a r e a s t u p i d i d i o t s c u m")
+    assert {"stupid", "idiot", "scum"} <= r.words("you.are.a.$tupid/i.d.i.o.t/and/1d10t/and/always/scum")
+    assert {"stupid", "idiot"} <= r.words("7you" * 9 + "stupid" + "idiot" * 3)
+
+
 def test_toxicity_edges(spark, edge, docs, sf):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.op_query(edge, none).collect()} == {0}
