@@ -6,7 +6,8 @@ content (the text below it) each have a distribution; their entropies, in units
 the page count, make its importance. Menus and notices that look and read alike everywhere score
 near 0, articles near 1. A branch goes from a page if its importance is low or if its tag or class
 names it as furniture; a page's own content roots (``article``, ``main``) stay and, where there are
-any, only text below them counts.
+any, only text below them counts. Branches below a root go like others, unless the root itself is of
+low importance: then the pages are copies, and repetition tells nothing.
 
 Statistics are sums by (host, path, feature), pre-aggregated in each task; a host with a third of
 all pages is one more group of sums. Only paths of low importance are joined back.
@@ -56,10 +57,10 @@ _WORDS = re.compile(r"[a-z]+")
 
 
 class Element:
-    __slots__ = ("children", "first", "key", "noise", "path", "root", "tag")
+    __slots__ = ("children", "first", "key", "noise", "path", "root", "spared", "tag")
 
-    def __init__(self, tag: str, key: str, path: str, noise: bool, root: bool, first: int) -> None:
-        self.tag, self.key, self.path, self.noise, self.root, self.first = tag, key, path, noise, root, first
+    def __init__(self, tag: str, key: str, path: str, noise: bool, root: bool, first: int, spared: bool = False) -> None:
+        self.tag, self.key, self.path, self.noise, self.root, self.first, self.spared = tag, key, path, noise, root, first, spared
         self.children: list[str] = []
 
 
@@ -135,13 +136,15 @@ def page_tree(html: str, low: frozenset[str] | set[str] = frozenset()) -> tuple[
         key = tag + "".join("." + x for x in sorted(names.get("class", "").split()))
         up = stack[-1]
         path = f"{up.path}/{key}"
-        root = up.root or tag in ROOTS or names.get("role") == "main"
+        is_root = tag in ROOTS or names.get("role") == "main"
+        root = up.root or is_root
+        spared = up.spared or is_root and path in low
         said = set(_WORDS.findall(" ".join(names.values())))
-        noise = up.noise or tag in NOISE_TAGS or tag == "header" and not up.root or bool(said & NOISE_NAMES) and tag not in ("body", "html") and not (tag in ROOTS and not said & {"comment", "comments", "related", "recommended", "ad", "ads", "promo"}) or path in low and not root
+        noise = up.noise or tag in NOISE_TAGS or tag == "header" and not up.root or bool(said & NOISE_NAMES) and tag not in ("body", "html") and not (tag in ROOTS and not said & {"comment", "comments", "related", "recommended", "ad", "ads", "promo"}) or path in low and not is_root and not spared
         if not up.children or up.children[-1] != key:
             up.children.append(key)
         if len(stack) < 200:
-            stack.append(Element(tag, key, path, noise, root, len(blocks)))
+            stack.append(Element(tag, key, path, noise, root, len(blocks), spared))
     if at < len(html):
         text.append(html[at:])
     flush()

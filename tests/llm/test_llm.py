@@ -286,6 +286,13 @@ def test_style_tree_drops_what_repeats(spark):
     assert all("Same words" not in r["text"] and "Own words" in r["text"] for r in got)
 
 
+def test_style_tree_drops_what_repeats_below_a_root(spark):
+    rows = [(i, "http://h.example/x", f"<body><article><h1>Title {i}</h1><div>The same words everywhere</div><p>Own words {i} of this page</p></article></body>") for i in range(12)]
+    rows += [(20 + i, "http://copies.example/x", f"<body><div>Visit {i}</div><article><h1>Title</h1><p>Copied words</p></article></body>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in sitetree.op_query(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\nOwn words {i} of this page" and got[20 + i] == "Title\nCopied words" for i in range(12))
+
+
 def test_secrets(spark, docs, edge):
     key = "9c1185a5c5e9fc54612808977ee8f548b2258d31"
     s = secret_scan.train(docs)
