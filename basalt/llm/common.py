@@ -10,24 +10,40 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch: small enough that a batch of very long texts fits beside the JVM.
-BATCH_ROWS = 512
+#: Size of one Arrow batch: a Python worker holds a few batches of texts at a time, however long texts are.
+BATCH_BYTES = 4 << 20
+_BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Bound Arrow batches by rows, so that a Python worker holds a few MB of text at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound Arrow batches by bytes, unless the session has a bound of its own.
+
+    Plans read the setting when they run, after an operator has returned, so it stays set.
+    """
+    if spark.conf.get(_BATCH) == _DEFAULT_BATCH:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     return spark
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
-    A folder of our own is set only where none is configured (local tests).
+    In local mode, as in tests, a temporary one is made where none is set; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
+    known = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if known is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        known = tempfile.mkdtemp(prefix="basalt-checkpoint-")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="basalt-checkpoint-"))
+        sc.setCheckpointDir(known)
+    return known
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder of ``spark.checkpoint.dir``."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

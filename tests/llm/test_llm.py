@@ -293,6 +293,80 @@ def test_style_tree_drops_what_repeats_below_a_root(spark):
     assert all(got[i] == f"Title {i}\nOwn words {i} of this page" and got[20 + i] == "Title\nCopied words" for i in range(12))
 
 
+NEUTRAL = (("<nav>", "<div class=k1>"), ("</nav>", "</div>"), ("<article>", "<div class=k2>"), ("</article>", "</div>"), ("<footer>", "<div class=k3>"), ("</footer>", "</div>"), ('class="ad"', "class=k4"))
+
+
+@pytest.mark.parametrize("wrapped", [False, True])
+def test_importance_decides_without_names(spark, sf, wrapped):
+    """Pages whose telling tags and classes are replaced by neutral ones have the same text, also inside one more wrapper."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    html = F.col("html")
+    for a, b in NEUTRAL:
+        html = F.replace(html, F.lit(a), F.lit(b))
+    if wrapped:
+        html = F.replace(F.replace(html, F.lit("<body>"), F.lit("<body><div class=k0>")), F.lit("</body>"), F.lit("</div></body>"))
+    want = {r["page_id"]: r["text"] for r in sitetree.op_query(pages).collect()}
+    got = {r["page_id"]: r["text"] for r in sitetree.op_query(pages.withColumn("html", html)).collect()}
+    blind = {r["page_id"]: sitetree.main_text(r["html"]) for r in pages.withColumn("html", html).collect()}
+    assert got == want and all(blind[i] != want[i] for i in want)
+
+
+def test_articles_of_the_table(spark, sf):
+    """By another way: the article's blocks by regular expressions that fit this table's markup."""
+    import html
+    import re
+
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        lines = [" ".join(html.unescape(re.sub(r"<br>", " ", re.sub(r"</?b>", "", x))).split()) for x in re.split(r"</?(?:p|h1)>", inner)]
+        assert sitetree.main_text(r["html"]) == "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body><article><header class='entry-header'><h1>Title</h1></header><p>text</p></article></body>", "Title\ntext"),
+        ("<body><div class='layout with-sidebar'><article><p>text</p></article><div class=sidebar>no</div></div></body>", "text"),
+        ("<body><article><p>one</p><div class='social-history'>two</div><div class='post-comments'>no</div></article></body>", "one\ntwo"),
+        ("<body><header>no</header><article><p>a <span class=share-links>no</span> b</p></article></body>", "a b"),
+        ("<body><div><div><article><p>start</p>" + "<div>" * 250 + "deep" + "</div>" * 250 + "<p>after</p></article>", "start\ndeep\nafter"),
+        ("<body><article><p>start" + "<div><b>" * 5000 + "deep</article><p>outside</p>", "start\ndeep"),
+        ("<body><div>no root</div><p>here</p><nav>no</nav></body>", "no root\nhere"),
+        ("<article>a &lt; b<!-- no --><script>no</script><p>x<table><tr><td>1<td>2</table>y", "a < b\nx\n1\n2\ny"),
+        ("<body class='nav-open'><main>text</main>", "text"),
+    ],
+)
+def test_names_are_priors(page, text):
+    assert sitetree.main_text(page) == text
+
+
+def test_importance_equals_brute_force(spark):
+    pages = [(i, f"http://h{i % 2}.x/", f"<body><ul><li>{i % 3}</li></ul><div><p>{'word ' * (i % 5)}</p><p>{i}</p></div></body>") for i in range(40)]
+    hosts, every = sitetree.style_trees(spark.createDataFrame(pages, "page_id long, url string, html string"))
+    for name, some, rows in [("h0.x", pages[::2], hosts), ("h1.x", pages[1::2], hosts), (None, pages, every)]:
+        seen = {}
+        for _, _, html in some:
+            for path, row in sitetree.page_features(html).items():
+                seen.setdefault(path, []).append(row)
+        got = {r["path"]: r for r in (rows.where(F.col("host") == name) if name else rows).collect()}
+        assert set(got) == set(seen)
+        for path, rows_of in seen.items():
+            for column, at in (("presentation", 1), ("content", 2)):
+                p = [n / len(rows_of) for n in Counter(r[at] for r in rows_of).values()]
+                assert math.isclose(got[path][column], -sum(x * math.log(x) for x in p) / math.log(len(rows_of)), abs_tol=1e-9)
+            inside = [sum(r[3] for r in of) for of in seen.values() if of[0][0] == path and any(r[4] for r in of)]
+            words = sum(r[3] for r in rows_of)
+            assert got[path]["pages"] == len(rows_of) and math.isclose(got[path]["wrapped"], max(inside, default=0) / words if words else 0)
+
+
+def test_pages_edges(spark):
+    schema = "page_id long, url string, html string, host string, tree string"
+    rows = [(None, None, None, "x", "y"), (1, "http://a.b", "<article>x</article>", None, None), (1, "http://a.b", "<article>x</article>", None, None), (2, "HTTP://A.b/q", "plain", "z", "z")]
+    got = sitetree.op_query(spark.createDataFrame(rows, schema)).collect()
+    assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, "x", 1), (1, "x", 1), (2, "plain", 5)]
+    assert sitetree.op_query(spark.createDataFrame([], schema)).collect() == []
+
+
 def test_secrets(spark, docs, edge):
     key = "9c1185a5c5e9fc54612808977ee8f548b2258d31"
     s = secret_scan.train(docs)
