@@ -49,9 +49,14 @@ SEGMENTS, DRAWN = 14, 3
 #: Bits, and 64-bit words, of each of the two sketches that rule out pairs before texts are compared.
 BINS = 512
 LANES = BINS // 64
-#: Texts of one key up to which near duplicates are compared in all pairs; beyond, first in a chain, then those it leaves unconnected.
+#: Texts of one key up to which near duplicates are compared in all pairs; beyond, first in a chain, then by rare shingles.
 NEAR_CAP = 8
 
+#: Keys that are broadcast to pick their texts; more are joined, each text under one of so many salts.
+BROADCAST_KEYS, SALTS = 1_000_000, 32
+#: Counters of the estimated frequency of shingles.
+SLOTS = 1 << 16
+
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1, the generator of the code.
 GENERATOR = 0b110001110101
 
@@ -291,12 +296,22 @@ def _likely(x: str, y: str, similarity: float):
     return sized & parities & least
 
 
+def _texts_of(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, text), once for each of ``keys``; copies of a text are never sent to one task before they are reduced."""
+    wanted = checkpoint(keys.distinct())
+    if wanted.count() <= BROADCAST_KEYS:
+        some = texts.join(F.broadcast(wanted), "k", "left_semi")
+    else:
+        salted = wanted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = texts.withColumn("salt", F.spark_partition_id() % SALTS).join(salted, ["k", "salt"], "left_semi").drop("salt")
+    return some.dropDuplicates(["k"])
+
+
 def _verified(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """The pairs (a, b) of text keys whose texts reach the similarity: first by their signatures, then by Jaccard."""
     both = pairs.join(sigs.select(F.col("k").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("k").alias("b"), F.col("sig").alias("sb")), "b")
     likely = checkpoint(both.where(_likely("sa", "sb", similarity)).select("a", "b"))
-    involved = likely.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    own = checkpoint(texts.join(involved, "k", "left_semi").dropDuplicates(["k"]))
+    own = checkpoint(_texts_of(texts, likely.select(F.explode(F.array("a", "b")).alias("k"))))
     compared = likely.join(own.select(F.col("k").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("k").alias("b"), F.col("text").alias("tb")), "b")
 
     def verify(batches):
@@ -334,46 +349,109 @@ def _chain(hot: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.select(*_ordered("a", "b"))
 
 
-def _unconnected(hot: DataFrame, sigs: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of texts that share a key of ``hot`` but no component (node, root), and may be similar.
+def slots(h: np.ndarray) -> np.ndarray:
+    """Slot of a shingle in the table of frequencies."""
+    return (h >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest of a text's shingles: two texts of the similarity have one of theirs in common.
+
+    Of n shingles a similar text holds similarity * n or more, so not all of n - ceil(similarity * n) + 1
+    can be missing; with one order for all texts, the least shingle in common is in both prefixes.
+    """
+    if not len(h):
+        return np.zeros(1, dtype=np.uint64)
+    size = len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1
+    return h[np.lexsort((h, counts[slots(h)]))][:size]
+
+
+def _prefixes(own: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """(shingle, k, c) of the prefix of every text of ``own`` (k, c, text), by estimated frequency among these texts."""
+
+    def count(batches):
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for raw in text_bytes(batch):
+                total += np.bincount(slots(shingle_hashes(raw, shingle)), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield {"slot": at, "n": total[at]}
+
+    counted = map_arrow(own.select("text"), count, "slot long, n long", pa.schema([("slot", pa.int64()), ("n", pa.int64())]))
+    counts = np.zeros(SLOTS, dtype=np.int64)
+    for r in counted.groupBy("slot").agg(F.sum("n").alias("n")).collect():  # at most SLOTS rows
+        counts[r["slot"]] = r["n"]
+    sent = own.sparkSession.sparkContext.broadcast(counts)
+
+    def work(batches):
+        for batch in batches:
+            parts = [prefix(shingle_hashes(raw, shingle), sent.value, similarity) for raw in text_bytes(batch)]
+            at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
+            both = {c: batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("k", "c")}
+            yield {"shingle": np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)} | both
 
-    Of every two such texts one lies outside the key's largest component, so only those outside meet
-    the others, each pair in the first two segments it has in common.
+    return map_arrow(own.select("k", "c", "text"), work, "shingle long, k long, c long", pa.schema([("shingle", pa.int64()), ("k", pa.int64()), ("c", pa.int64())]))
+
+
+def _unconnected(hot: DataFrame, sigs: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """Pairs (a, b) of texts of the buckets of ``hot`` that lie in different components (node, root) and may be similar.
+
+    A bucket is large because its texts share some passage. So they meet by what is rare among them: two
+    texts of the similarity share a shingle of their prefixes, and a passage that many share is in no
+    prefix. Of two texts with a shingle in common one lies outside the shingle's largest component, so
+    only those outside meet the others.
     """
     named = checkpoint(hot.join(roots, hot["k"] == roots["node"], "left").select("key", "k", F.coalesce("root", "k").alias("c")))
-    sizes = named.groupBy("key", "c").agg(F.count("*").alias("m"))
-    largest = sizes.groupBy("key").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("key", "top")
-    signed = checkpoint(named.join(largest, "key").join(sigs, "k").select("key", "k", "c", "top", "sig"))
-    outside = signed.where("c <> top").select("key", F.col("k").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
-    common = F.filter(F.sequence(F.lit(0), F.lit(SEGMENTS - 1)), lambda i: F.get("sig", i + 1 + 2 * LANES) == F.get("sx", i + 1 + 2 * LANES))
-    first = F.shiftleft(common[0], 4).bitwiseOR(common[1]) == F.shiftright("key", 48)
+    parts = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
+    members = checkpoint(named.join(parts, "key", "left_semi").select("k", "c").distinct())
+    own = checkpoint(_texts_of(texts, members.select("k")).join(members, "k"))
+    emitted = checkpoint(_prefixes(own, similarity, shingle))
+    sizes = emitted.groupBy("shingle", "c").agg(F.count("*").alias("m"))
+    largest = sizes.groupBy("shingle").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "top")
+    signed = checkpoint(emitted.join(largest, "shingle").join(sigs, "k").select("shingle", "k", "c", "top", "sig"))
+    outside = signed.where("c <> top").select("shingle", F.col("k").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
     # two outside meet once, by the order of their keys
-    met = outside.join(signed, "key").where("cx <> c and (c = top or x > k)").where(_likely("sx", "sig", similarity)).where(first)
+    met = outside.join(signed, "shingle").where("cx <> c and (c = top or x > k)").where(_likely("sx", "sig", similarity))
     return met.select(*_ordered("x", "k")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
-    """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
+def text_key(text, clashes: tuple[int, ...] = ()):
+    """64-bit key of a text; those that different texts turned out to share are hashed again."""
+    text = F.coalesce(text, F.lit(""))
+    k = F.xxhash64(text)
+    return F.when(k.isin(*clashes), F.xxhash64(F.lit("again"), text)).otherwise(k) if clashes else k
 
-    ``doc_key`` is xxhash64 of the text. A segment is the SimHash of the three shingles that come
-    first in an order of its own, so texts of similarity s agree in it with a probability of about
-    s^3 and share a key of two segments, at 0.8, in 0.999 of cases, however their changes lie.
-    A bucket of up to ``cap`` texts compares all its pairs. In larger ones each text first meets the
-    next one in the order of the other segments; then all pairs of a bucket that these links leave
-    unconnected are compared too: no pair that shares a key is left out unless its texts are in one
-    group already.
+
+def signatures(docs: DataFrame, text_col: str, shingle: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """(k, sig) of every distinct text, and the keys that clash (none, but for some in 10^10 texts).
+
+    A second, independent hash tells whether a key stands for one text.
     """
-    configure(docs.sparkSession)
 
     def work(batches):
         for batch in batches:
             sigs = np.stack([signature(x, shingle) for x in text_bytes(batch)]) if batch.num_rows else np.zeros((0, 1 + 2 * LANES + SEGMENTS), dtype=np.int64)
             sigs[:, 1 + 2 * LANES :] = segment_codes(sigs[:, 1 + 2 * LANES :])
-            yield {"k": batch.column("k"), "sig": list(sigs)}
-
-    texts = docs.select(F.xxhash64(F.coalesce(docs[text_col], F.lit(""))).alias("k"), docs[text_col].alias("text"))
-    signed = map_arrow(texts, work, "k long, sig array<long>", pa.schema([("k", pa.int64()), ("sig", pa.list_(pa.int64()))]))
-    sigs = checkpoint(signed.groupBy("k").agg(F.first("sig").alias("sig")))
+            yield {"k": batch.column("k"), "other": batch.column("other"), "sig": list(sigs)}
+
+    schema = pa.schema([("k", pa.int64()), ("other", pa.int64()), ("sig", pa.list_(pa.int64()))])
+    clashes: tuple[int, ...] = ()
+    while True:
+        text = docs[text_col]
+        texts = docs.select(text_key(text, clashes).alias("k"), F.xxhash64(F.lit("other"), F.coalesce(text, F.lit(""))).alias("other"), text.alias("text"))
+        signed = map_arrow(texts, work, "k long, other long, sig array<long>", schema)
+        sigs = checkpoint(signed.groupBy("k").agg(F.first("sig").alias("sig"), F.min("other").alias("low"), F.max("other").alias("high")))
+        more = tuple(r[0] for r in sigs.where("low <> high").select("k").collect())
+        if not more:
+            return sigs.select("k", "sig"), clashes
+        clashes += more
+
+
+def _groups(docs: DataFrame, text_col: str, similarity: float, shingle: int, cap: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """(doc_key, group) of near duplicates, and the keys that ``text_key`` must hash again."""
+    configure(docs.sparkSession)
+    sigs, clashes = signatures(docs, text_col, shingle)
+    texts = docs.select(text_key(docs[text_col], clashes).alias("k"), docs[text_col].alias("text"))
     keyed = sigs.select("k", F.explode(_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     many = checkpoint(keyed.join(shared, "key"))
@@ -381,18 +459,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pairs = few.select("key", F.col("k").alias("a")).join(few.select("key", F.col("k").alias("b")), "key").where("a > b").select("a", "b")
     found = checkpoint(pairs.union(_chain(hot, sigs)).distinct())
     edges = checkpoint(_verified(found, sigs, texts, similarity, shingle))
-    met = checkpoint(_unconnected(hot, sigs, components(edges), similarity).join(found, ["a", "b"], "left_anti"))
+    met = checkpoint(_unconnected(hot, sigs, texts, components(edges), similarity, shingle).join(found, ["a", "b"], "left_anti"))
     more = _verified(met, sigs, texts, similarity, shingle)
-    return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group"))
+    return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group")), clashes
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
+    """(doc_key, group) of every distinct text that has a near duplicate; group is the least key.
+
+    ``doc_key`` is ``text_key`` of the text. A segment is the SimHash of the three shingles that come
+    first in an order of its own, so texts of similarity s agree in it with a probability of about
+    s^3 and share a key of two segments, at 0.8, in 0.999 of cases, however their changes lie.
+    A bucket of up to ``cap`` texts compares all its pairs. In larger ones each text first meets the
+    next one in the order of the other segments; texts of a bucket that these links leave in several
+    groups then meet by their rarest shingles: no pair that shares a key is left out unless its texts
+    are in one group already.
+    """
+    return _groups(docs, text_col, similarity, shingle, cap)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document, that of the least id, of every group of equal or near-equal texts; all columns stay."""
-    groups = checkpoint(near_duplicates(docs, id_col, text_col))
-    keyed = docs.withColumn("__k", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    ids = keyed.select("__k", F.col(id_col).alias("__id")).join(groups, F.col("__k") == F.col("doc_key"), "left")
-    # the least id, and one row of those that repeat it
-    best = ids.select(F.coalesce("group", "__k").alias("__g"), "__k", "__id").groupBy("__g").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__k")).alias("m"))
-    kept = best.select(F.col("m.__k").alias("__k"), F.col("m.__id").alias("__own"))
-    joined = keyed.join(kept, (keyed["__k"] == kept["__k"]) & keyed[id_col].eqNullSafe(kept["__own"]), "left_semi")
-    return joined.dropDuplicates(["__k"]).select(*docs.columns)
+    """One document, that of the least id, of every group of equal or near-equal texts; all columns stay as they are.
+
+    Null ids come last; of rows that repeat an id and its text one stays.
+    """
+    groups, clashes = _groups(docs, text_col, SIMILARITY, WORDS, NEAR_CAP)
+    groups = checkpoint(groups)
+    rows = docs.select(text_key(docs[text_col], clashes).alias("k"), docs[id_col].alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    # the least id of each text, then of each group
+    first = rows.groupBy("k").agg(F.min(F.struct(F.col("id").isNull().alias("no"), "id")).alias("m"))
+    best = first.join(groups, first["k"] == groups["doc_key"], "left").groupBy(F.coalesce("group", "k").alias("g")).agg(F.min(F.struct("m", "k")).alias("b"))
+    kept = best.select(F.col("b.k").alias("kept"), F.col("b.m.id").alias("own"))
+    joined = rows.join(kept, (rows["k"] == kept["kept"]) & rows["id"].eqNullSafe(kept["own"]), "left_semi")
+    return joined.dropDuplicates(["k"]).select("row.*")

@@ -6,10 +6,11 @@ stand for itself, for a letter it looks like, or for nothing; a run of one lette
 or two. The Viterbi decoder finds the likeliest letters under channel costs and a character trigram
 model counted over all texts, and a small lexicon competes with it as a word prior. A run of spaced
 letters may hold several words: double separators among single ones are breaks, and within a part
-the best sequence of words under the same costs is taken, beside the reading as one word. Tokens of
-over ``LONGEST`` characters are read in the parts between separators, single letters in a row as a
-spaced run. A logistic
-model over the restored words and their beginnings (``stem^``) then scores the text.
+the lattice may end a word after any letter, beside the reading as one word. Tokens of over ``LONGEST``
+characters are read in the parts between separators, single letters in a row as a spaced run, and
+long parts as words without a space. The search keeps every state and is linear in the letters, so neither
+words nor runs have a greatest length. A logistic model over the restored words and their
+beginnings (``stem^``, and with a number where that many words share one) then scores the text.
 
 Bounds (documented parameters): the classifier is fitted on at most ``SAMPLE_ROWS`` labelled
 documents, keeps ``FEATURES`` words and a lexicon of ``LEXICON`` words. Character counts cover all
@@ -42,15 +43,18 @@ SUPPORT = 8
 L2 = 0.03
 #: Lengths of the word beginnings that are features beside the words, for compounds of one stem.
 STEMS = (4, 5, 6, 7)
+#: Numbers of distinct words of one beginning that are features of their own.
+COUNTED = (2, 3)
 
 #: Letters that a symbol can stand for.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou"}
 SEPARATORS = ".-_*~/,'· "
 #: Log10 costs of the channel.
 KEEP, LOOK, DROP, EDGE, SQUEEZE = 0.0, -0.6, -1.2, -0.05, -0.1
+#: The cost of a word without a letter.
+NOTHING = -4.0
+#: Characters of a token beyond which it is read as several words.
 LONGEST = 40
-#: Characters of a word within a run of several.
-WORD = 24
 
 _SPACED = re.compile(r"(?:^|(?<=\s))[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?=[\s.,;:!?]|$)")
 _DOUBLE = re.compile(r"[ .\-_*]{2}")
@@ -74,6 +78,12 @@ def features(word: str) -> list[str]:
     return [word, *(word[:n] + "^" for n in STEMS if len(word) > n)]
 
 
+def bag(words: set[str]) -> set[str]:
+    """Features of a text's distinct words: words, beginnings, and ``stem^2``, ``stem^3`` of beginnings that so many words have."""
+    many = Counter(x for w in words for x in features(w))
+    return set(many) | {f"{x}{k}" for x, n in many.items() if x[-1] == "^" for k in COUNTED if n >= k}
+
+
 class CharModel:
     """Interpolated character trigrams, log10, with ``^`` before and ``$`` after a word."""
 
@@ -124,72 +134,86 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
     return steps
 
 
-Paths = dict[str, list[tuple[float, str]]]
+class Words:
+    """The lexicon as a trie: a word prior for each word, and every beginning of one."""
 
+    def __init__(self, lexicon: dict[str, float]) -> None:
+        self.prior = lexicon
+        self.starts = {w[:n] for w in lexicon for n in range(len(w) + 1)}
 
-def advance(paths: Paths, choices: list[tuple[str, float]], model: CharModel, beam: int) -> Paths:
-    after: Paths = defaultdict(list)
-    for context, some in paths.items():
-        for letters, cost in choices:
-            gain, now = cost, context
-            for x in letters:
-                gain += model.log(now + x)
-                now = now[1] + x
-            after[now] += [(s + gain, w + letters) for s, w in some]
-    paths = {k: sorted(v, reverse=True)[:4] for k, v in after.items()}
-    if len(paths) > beam:
-        paths = dict(sorted(paths.items(), key=lambda x: (-x[1][0][0], x[0]))[:beam])
-    return paths
 
+#: A state's score and the way to it: (the way before, letters) or (the way before, None) at the end of a word.
+Best = tuple[float, tuple | None]
 
-def close(paths: Paths, model: CharModel, lexicon: dict[str, float]) -> tuple[float, str]:
-    """The best (log score, word) if the word ends here."""
-    best = (-math.inf, "")
-    for context, some in paths.items():
-        for s, w in some:
-            full = s + model.log(context + "$") if w else s - 4
-            if w in lexicon:
-                channel = s - sum(model.log(f"^^{w}"[i : i + 3]) for i in range(len(w)))
-                full = max(full, channel + lexicon[w])
-            best = max(best, (full, w))
-    return best
 
+def _better(states: dict[str, Best], key: str, score: float, way: tuple | None) -> None:
+    if key not in states or score > states[key][0]:
+        states[key] = (score, way)
 
-def decode(token: str, model: CharModel, lexicon: dict[str, float], beam: int = 64) -> str:
-    """The likeliest letters of a token: Viterbi over its lattice with two letters of context.
 
-    At the end the best path of every context competes under the mixture of the lexicon's word
-    prior and the character model.
+def viterbi(steps: list[list[tuple[str, float]]], model: CharModel, words: Words, breaks: bool = False) -> list[str]:
+    """The likeliest words of a lattice; with ``breaks`` a word may end after any step, else it is one word.
+
+    A word is scored by the character model, with two letters of context as state, or by the lexicon, with a
+    beginning of its words as state. All states are kept, so the result is the best of all readings.
     """
-    paths: Paths = {"^^": [(0.0, "")]}
-    for choices in lattice(token):
-        paths = advance(paths, choices, model, beam)
-    return close(paths, model, lexicon)[1]
-
-
-def segment(steps: list[list[tuple[str, float]]], model: CharModel, lexicon: dict[str, float], beam: int = 8) -> list[str]:
-    """The likeliest words of a lattice that may break after any step; a word has ``WORD`` steps at most."""
-    best: list[tuple[float, int, str]] = [(0.0, 0, "")] + [(-math.inf, 0, "")] * len(steps)
-    for i in range(len(steps)):
-        paths: Paths = {"^^": [(0.0, "")]}
-        for j in range(i, min(len(steps), i + WORD)):
-            paths = advance(paths, steps[j], model, beam)
-            score, word = close(paths, model, lexicon)
-            if best[i][0] + score > best[j + 1][0]:
-                best[j + 1] = (best[i][0] + score, i, word)
-    out, at = [], len(steps)
-    while at:
-        _, at, word = best[at]
-        out.append(word)
+    spelt: dict[str, Best] = {"^^": (0.0, None)}
+    known: dict[str, Best] = {"": (0.0, None)}
+    end: Best = (-math.inf, None)
+    for i, choices in enumerate(steps):
+        after: dict[str, Best] = {}
+        for context, (score, way) in spelt.items():
+            for letters, cost in choices:
+                gain, now = score + cost, context
+                for x in letters:
+                    gain += model.log(now + x)
+                    now = now[1] + x
+                _better(after, now, gain, (way, letters) if letters else way)
+        grown: dict[str, Best] = {}
+        for start, (score, way) in known.items():
+            for letters, cost in choices:
+                if start + letters in words.starts:
+                    _better(grown, start + letters, score + cost, (way, letters) if letters else way)
+        spelt, known, end = after, grown, (-math.inf, None)
+        if breaks or i == len(steps) - 1:
+            for context, (score, way) in spelt.items():
+                done = score + (model.log(context + "$") if context != "^^" else NOTHING)
+                if done > end[0]:
+                    end = (done, (way, None))
+            for word, (score, way) in known.items():
+                if word in words.prior and score + words.prior[word] > end[0]:
+                    end = (score + words.prior[word], (way, None))
+            if breaks:
+                _better(spelt, "^^", *end)
+                _better(known, "", *end)
+    out, letters, way = [], [], end[1]
+    while way is not None:
+        way, x = way
+        if x is None:
+            out.append("".join(reversed(letters)))
+            letters = []
+        else:
+            letters.append(x)
+    out.append("".join(reversed(letters)))
     return [w for w in reversed(out) if w]
 
 
-def spaced_words(run: str, model: CharModel, lexicon: dict[str, float]) -> list[str]:
+def decode(token: str, model: CharModel, words: Words) -> str:
+    """The likeliest letters of a token as one word; "" if there are none."""
+    return "".join(viterbi(lattice(token), model, words))
+
+
+def segment(steps: list[list[tuple[str, float]]], model: CharModel, words: Words) -> list[str]:
+    """The likeliest words of a lattice that may break after any step."""
+    return viterbi(steps, model, words, breaks=True)
+
+
+def spaced_words(run: str, model: CharModel, words: Words) -> list[str]:
     """The words of a run of spaced characters."""
     parts = _DOUBLE.split(run)
     if not any(_SINGLE.search(x) for x in parts):  # double throughout: no break
         parts = [run]
-    return [w for x in parts for w in segment([lattice(c)[0] for c in x if c.isalnum()], model, lexicon)]
+    return [w for x in parts for w in segment([lattice(c)[0] for c in x if c.isalnum()], model, words)]
 
 
 def tokens(text: str) -> set[str]:
@@ -206,7 +230,7 @@ class Restorer(dict):
     LIMIT = 300_000
 
     def __init__(self, model: CharModel, lexicon: dict[str, float]) -> None:
-        self.model, self.lexicon = model, lexicon
+        self.model, self.lexicon = model, Words(lexicon)
 
     def __missing__(self, token: str) -> tuple[str, ...]:
         words = tuple(dict.fromkeys(w for w in self.read(token) if w))
@@ -306,13 +330,14 @@ class Model:
 
 
 class Scorer(dict):
-    """Score of texts; by token, by memo, the features that the model knows."""
+    """Score of texts; by token, by memo, the restored words of which the model knows a feature."""
 
     def __init__(self, model: Model) -> None:
         self.model, self.restorer = model, Restorer(CharModel(model.grams), model.lexicon)
+        self.known = {x.rstrip("23") if "^" in x else x for x in model.weights}
 
     def __missing__(self, token: str) -> tuple[str, ...]:
-        known = tuple(x for w in self.restorer[token] for x in features(w) if x in self.model.weights)
+        known = tuple(w for w in self.restorer[token] if any(x in self.known for x in features(w)))
         if len(token) <= LONGEST:
             if len(self) >= Restorer.LIMIT:
                 self.clear()
@@ -320,8 +345,8 @@ class Scorer(dict):
         return known
 
     def score(self, text: str | None) -> float:
-        found = set().union(*map(self.__getitem__, tokens(text))) if text else set()
-        z = self.model.bias + sum(self.model.weights[x] for x in sorted(found))
+        found = bag(set().union(*map(self.__getitem__, tokens(text)))) if text else set()
+        z = self.model.bias + sum(self.model.weights.get(x, 0.0) for x in sorted(found))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
@@ -331,7 +356,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     grams = char_counts(docs, text_col)
     chosen = labels.where(labels["toxic"].isNotNull() & labels[id_col].isNotNull() & (crc_mod(labels[id_col], 3) != 1))
     chosen = chosen.select(labels[id_col].cast("long").alias("id"), labels["toxic"].cast("int").alias("y"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(rows)
+    # a draw by hash leaves little more than the rows wanted, whatever the size of labels, for the one task that ranks them
+    share = min(1.0, 1.2 * (rows + 1000) / max(1, chosen.count()))
+    drawn = chosen.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    chosen = drawn.orderBy(F.xxhash64("id"), "id").limit(rows)
     narrow = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     labelled = narrow.join(F.broadcast(chosen), "id").dropDuplicates(["text", "y"])
     sent = spark.sparkContext.broadcast(grams)
@@ -339,8 +367,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def work(batches):
         restorer = Restorer(CharModel(sent.value), {})
         for batch in batches:
-            yield {"id": batch.column("id"), "y": batch.column("y"), "words": [sorted({y for w in restorer.words(x or "") for y in features(w)}) for x in batch.column("text").to_pylist()]}
-
+            yield {"id": batch.column("id"), "y": batch.column("y"), "words": [sorted(bag(restorer.words(x or ""))) for x in batch.column("text").to_pylist()]}
 
 
     bags = checkpoint(map_arrow(labelled, work, "id long, y int, words array<string>", pa.schema([("id", pa.int64()), ("y", pa.int32()), ("words", pa.list_(pa.string()))])))
@@ -357,7 +384,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = toxic / total
     g2 = part(t, n * share) + part(n - t, n * (1 - share)) + part(toxic - t, (total - n) * share) + part((total - n) - (toxic - t), (total - n) * (1 - share))
     picked = [r["word"] for r in by_word.withColumn("g2", g2).where("g2 > 8").orderBy(F.desc("g2"), "word").limit(FEATURES).collect()]
-    lexicon_rows = by_word.where((F.length("word") > 2) & ~F.endswith("word", F.lit("^"))).orderBy(F.desc("n"), "word").limit(LEXICON).collect()
+    lexicon_rows = by_word.where((F.length("word") > 2) & ~F.contains("word", F.lit("^"))).orderBy(F.desc("n"), "word").limit(LEXICON).collect()
     every = sum(r["n"] for r in lexicon_rows) or 1
     lexicon = {r["word"]: math.log10(r["n"] / every / 2) for r in lexicon_rows}
     at = {w: i for i, w in enumerate(picked)}

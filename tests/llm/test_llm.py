@@ -157,6 +157,59 @@ def test_near_duplicates_lose_no_link(spark):
     assert {k: got.get(k, k) for k in keys} == {k: top(k) for k in keys}
 
 
+def test_rare_shingles_meet():
+    """Every two texts of the similarity have one of the rarest shingles in common, whatever the frequencies."""
+    draw = np.random.default_rng(5)
+    for _ in range(300):
+        n = int(draw.integers(1, 60))
+        a = np.unique(draw.integers(0, 2**63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[draw.random(len(a)) < 0.9], draw.integers(0, 2**63, int(draw.integers(0, 8))).astype(np.uint64)]))
+        counts = draw.integers(0, 5, golay.SLOTS)
+        if len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b)):
+            assert np.intersect1d(golay.prefix(a, counts, 0.8), golay.prefix(b, counts, 0.8)).size
+
+
+def test_texts_of_one_template(spark):
+    """Many texts share a passage below the similarity: groups are those of brute force, and few pairs are compared."""
+    shared = " ".join(f"t{i}" for i in range(60))
+    own = [" ".join(f"u{i // 2}_{j}" for j in range(25)) for i in range(80)]
+    texts = [f"{shared} {x}" + (" tail" if i % 2 else "") for i, x in enumerate(own)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = golay.near_duplicates(d, cap=4).groupBy("group").count().collect()
+    assert [r["count"] for r in got] == [2] * 40
+    sigs, _ = golay.signatures(d, "text", 5)
+    named = d.select(golay.text_key(F.col("text")).alias("k"), "text")
+    hot = named.select(F.lit(1).cast("long").alias("key"), "k")
+    met = golay._unconnected(hot, sigs, named, spark.createDataFrame([], "node long, root long"), 0.8, 5)
+    assert 40 <= met.count() < 400 < 80 * 79 // 2
+
+
+def test_clashing_keys_are_told_apart(spark, monkeypatch):
+    words = [" ".join(f"w{i}_{j}" for j in range(30)) for i in range(6)]
+    d = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    real = F.xxhash64
+    monkeypatch.setattr(golay.F, "xxhash64", lambda *c: real(*c) % 3 if len(c) == 1 else real(*c))
+    assert golay.drop_near_duplicates(d).count() == 6
+
+
+def test_near_duplicates_keep_clashing_columns(spark):
+    schema = "doc_id long, text string, k int, row string, id int, `__k` int, kept int"
+    d = spark.createDataFrame([(2, "a b c", 1, "r", 2, 3, 4), (2, "a b c", 1, "r", 2, 3, 4), (1, "a b c", 5, None, 6, 7, 8), (None, None, 9, "x", 1, 1, 1), (7, "", 9, "y", 1, 1, 1)], schema)
+    got = golay.drop_near_duplicates(d)
+    assert got.schema == d.schema and sorted(got.collect()) == [(1, "a b c", 5, None, 6, 7, 8), (7, "", 9, "y", 1, 1, 1)]
+    assert golay.drop_near_duplicates(d.limit(0)).collect() == []
+
+
+def test_fingerprint_by_hand():
+    import xxhash
+
+    for text in ("", "one", "One two", "a b c d e", "the cat sat on the mat the cat sat on the mat", "é ü\x0bX Y"):
+        words = [w for w in text.encode().lower().replace(b"\x0b", b" ").split(b" ") if w]
+        parts = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []
+        h = [xxhash.xxh64(x, seed=42).intdigest() for x in parts]
+        assert golay.fingerprint(text.encode()) == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
 def test_near_duplicates_keep_one(spark):
     base = " ".join(f"w{i}" for i in range(300))
     near = base.replace("w7 ", "zz ")
@@ -248,6 +301,54 @@ def test_toxicity_restores_several_spaced_words(docs):
     assert {"stupid", "idiot"} <= r.words("7you" * 9 + "stupid" + "idiot" * 3)
 
 
+def readings(steps, breaks):
+    """All ways through a lattice: (words, cost of the channel), a word ending after any step or only at the end."""
+    ways = [([""], 0.0)]
+    for n, choices in enumerate(steps):
+        ways = [([*words[:-1], words[-1] + x], cost + c) for words, cost in ways for x, c in choices]
+        if breaks and n < len(steps) - 1:
+            ways += [([*words, ""], cost) for words, cost in ways]
+    return ways
+
+
+@pytest.mark.parametrize("breaks", [False, True])
+@pytest.mark.parametrize("token", ["1d10t", "idiooot", "i.d1ot", "$cum", "b4d!", "a1bad", "no0b", "***", "yo1d"])
+def test_viterbi_equals_all_readings(token, breaks):
+    grams = Counter()
+    for w, n in {"idiot": 5, "scum": 3, "bad": 9, "noob": 2, "you": 20, "a": 30, "die": 4, "nob": 3}.items():
+        for i in range(len(w) + 1):
+            grams[f"^^{w}$"[i : i + 3]] += n
+    model, lexicon = toxicity.CharModel(grams), {"idiot": -1.5, "scum": -1.7, "bad": -1.2, "a": -0.5, "you": -0.8}
+
+    def score(words, cost):
+        parts = [max(model.word(w) if w else toxicity.NOTHING, lexicon.get(w, -math.inf)) for w in words]
+        return cost + sum(parts)
+
+    steps = toxicity.lattice(token)
+    best = max(score(*way) for way in readings(steps, breaks))
+    got = toxicity.viterbi(steps, model, toxicity.Words(lexicon), breaks)
+    same = [way for way in readings(steps, breaks) if [w for w in way[0] if w] == got]
+    assert math.isclose(max(score(*way) for way in same), best, abs_tol=1e-9)
+
+
+def test_toxicity_has_no_length_limit():
+    grams = Counter({"^^i": 9, "^id": 9, "idi": 9, "dio": 9, "iot": 9, "ot$": 9})
+    r = toxicity.Restorer(toxicity.CharModel(grams), {"idiot": -1.0})
+    assert "idiot" in r.words(" ".join("idiot" * 400)) and "idiot" in r.words("1d10t" * 400)
+
+
+def test_toxicity_recall_and_tables(spark, sf):
+    """Held-out recall at sf0.1 is 0.88 or more with a precision over 0.95; null, repeated and clashing rows are scored each on its own."""
+    docs, labels = (spark.read.parquet(f"{sf[:-5]}0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels.unionByName(labels.limit(5)).withColumn("text", F.lit("x")))
+    rows = toxicity.score(docs, model).where("held_out").join(labels, "doc_id").collect()
+    hit = sum(r["toxic"] and r["predicted"] for r in rows)
+    assert hit >= 0.88 * sum(r["toxic"] for r in rows) and hit >= 0.95 * sum(r["predicted"] for r in rows)
+    odd = spark.createDataFrame([(1, "x", 1), (1, "x", 1), (None, None, 2)], "doc_id long, text string, score int")
+    assert toxicity.score(odd, model).count() == 3 and toxicity.drop_toxic(odd, model).collect() == odd.collect()
+    assert toxicity.score(odd.limit(0), model).count() == 0 and toxicity.op_query(odd.limit(0), labels).count() == 0
+
+
 def test_toxicity_edges(spark, edge, docs, sf):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["predicted"] for r in toxicity.op_query(edge, none).collect()} == {0}
