@@ -7,14 +7,13 @@ questions go, secrets are redacted, and what remains is packed into sequences.
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from basalt.llm import decontam, golay, packing, secret_scan, toxicity
-from basalt.llm.common import table
+from basalt.llm.common import shared_folder, table
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,13 +48,25 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; intermediate tables go to the shared folder of spark.checkpoint.dir."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="basalt-pipeline-")
-    base = os.path.join(shared, f"pipeline-{uuid.uuid4().hex}")
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents.
+
+    Intermediate tables go to the shared folder of spark.checkpoint.dir, each until the next one is written;
+    the last stays, because the result reads it.
+    """
+    base = os.path.join(shared_folder(spark), f"pipeline-{uuid.uuid4().hex}")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (name, stage) in enumerate(STAGES[:-1]):
         path = f"{base}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
