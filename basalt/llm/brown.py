@@ -2,9 +2,12 @@
 
 Exchange clustering assigns words to classes: the ``CORE`` most frequent words move one by one to the
 class that most raises the mutual information of adjacent classes, until none moves or ``SWEEPS``
-are done; the next words up to ``CLUSTERED`` then each take their best class given the core, from
-counts of the classes beside them. Document ends are a class of their own, and all rarer words, with
-one place for unseen ones, are another whose members are told apart by their counts (plus one).
+are done. Then all other words of the model take their best class at once, in distributed sweeps: every
+pass over the corpus counts the classes beside each word, each word is exchanged on its own against the
+class bigrams of the pass before, and a sweep whose mutual information is not higher is undone.
+Document ends are a class of their own. Words seen once, those beyond the ``NEAR`` most frequent, and
+one place for unseen ones are another, whose members are told apart by their counts (plus one):
+words seen once tell how likely, and after what, a new word is.
 
     P(w | v) = P(class w | class v) P(w | class w)
 
@@ -29,13 +32,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import checkpoint, configure, crc_mod, map_arrow, text_bytes, word_counts
+from basalt.llm.common import checkpoint, configure, crc_mod, cut, map_arrow, text_bytes, word_counts
 
 CLASSES = 48
 CORE = 1000
-CLUSTERED = 8000
 NEAR = 250_000
 SWEEPS = 8
+#: Passes over the corpus in which all words are exchanged.
+PASSES = 2
+#: Least count of a word that has a class of its neighbours.
+CLUSTERED = 2
 #: A token that no text can hold, for a document's end.
 END = b" "
 
@@ -53,27 +59,39 @@ def numbered(batch: pa.RecordBatch, ids: Ids) -> np.ndarray:
     return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _sparse(docs: DataFrame, ids_of: object, count, size: int) -> dict[int, int]:
-    """Sum of ``count(numbers)`` (codes below size) over all documents, as {code: n}."""
+def _sparse(docs: DataFrame, ids_of: object, count, room: int = 2_000_000) -> DataFrame:
+    """(code, n): the sum of ``count(numbers)``, an array of codes, over all documents."""
 
     def work(batches):
-        ids, total = ids_of.value, np.zeros(size, dtype=np.int64)
-        waiting, n = [], 0
+        ids, waiting, size = ids_of.value, [], 0
+        codes, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+        def merged():
+            one = [np.unique(x, return_counts=True) for x in [np.concatenate([*waiting, np.zeros(0, np.int64)])]][0]
+            both, at = np.unique(np.concatenate([codes, one[0]]), return_inverse=True)
+            return both, np.bincount(at, np.concatenate([n, one[1]]), len(both)).astype(np.int64)
+
         for batch in batches:
             waiting.append(count(numbered(batch, ids)))
-            n += len(waiting[-1])
-            if n > 2_000_000:
-                total += np.bincount(np.concatenate(waiting), minlength=size)
-                waiting, n = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=size)
-        codes = np.flatnonzero(total)
-        for at in range(0, len(codes), 100_000):
-            yield {"code": codes[at : at + 100_000], "n": total[codes[at : at + 100_000]]}
+            size += len(waiting[-1])
+            if size > room:
+                (codes, n), waiting, size = merged(), [], 0
+                if len(codes) > room:
+                    yield {"code": codes, "n": n}
+                    codes, n = codes[:0], n[:0]
+        codes, n = merged()
+        yield {"code": codes, "n": n}
 
     counted = map_arrow(docs, work, "code long, n long", pa.schema([("code", pa.int64()), ("n", pa.int64())]))
-    got = counted.groupBy("code").agg(F.sum("n").alias("n")).toPandas()
-    return got["code"].to_numpy(), got["n"].to_numpy()
+    return counted.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _table(counted: DataFrame, size: int) -> np.ndarray:
+    """Counts of codes below a bounded size."""
+    out = np.zeros(size)
+    got = counted.toPandas()
+    out[got["code"].to_numpy()] = got["n"].to_numpy()
+    return out
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -90,7 +108,8 @@ def gains(n: np.ndarray, right: np.ndarray, left: np.ndarray, own: float) -> np.
     rows[diagonal, diagonal] = columns[diagonal, diagonal] = 0
     d = n[diagonal, diagonal]
     both = rows.sum(axis=1) + columns.sum(axis=0) + _f(d + right + left + own) - _f(d)
-    after, before = n.sum(axis=1), n.sum(axis=0)
+    # a class before the word keeps its row's sum wherever the word goes, and one after it its column's
+    after, before = n.sum(axis=1) + left, n.sum(axis=0) + right
     return both - (_f(after + right.sum() + own) - _f(after)) - (_f(before + left.sum() + own) - _f(before))
 
 
@@ -121,11 +140,46 @@ def exchange(b: np.ndarray, classes: int, sweeps: int = SWEEPS) -> np.ndarray:
     return of
 
 
+def objective(n: np.ndarray) -> float:
+    """Mutual information of adjacent classes, but for a constant and the factor of the token count."""
+    return float(_f(n).sum() - _f(n.sum(axis=0)).sum() - _f(n.sum(axis=1)).sum())
+
+
+def best_classes(owner: np.ndarray, side: np.ndarray, beside: np.ndarray, x: np.ndarray, was: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """The class of each word that most raises the objective, given the class bigrams n.
+
+    x times class ``beside`` stands after (side 0) or before (side 1) word ``owner``; owners ascend from 0.
+    ``was`` is the class under which n holds each word now; its pairs are taken out of n first.
+    """
+    words, k = len(was), len(n)
+    dense = np.zeros((2, words, k))
+    np.add.at(dense, (side, owner, beside), x)
+    right, left = dense
+    sides = side[:, None] == 0
+    base = np.where(sides, n[:classes, beside].T, n[beside, :classes])
+    base -= (was[owner][:, None] == np.arange(classes)) * x[:, None]
+    base -= (was[owner] == beside)[:, None] * np.where(sides, left[owner, :classes], right[owner, :classes])
+    gain = _f(base + x[:, None]) - _f(base)
+    inner = np.flatnonzero(beside < classes)
+    gain[inner, beside[inner]] = 0  # the diagonal comes below, both sides at once
+    total = np.zeros((words, classes))
+    np.add.at(total, owner, gain)
+    loops, mine = (right + left)[:, :classes], was[:, None] == np.arange(classes)
+    d = np.diag(n)[:classes] - mine * loops
+    total += _f(d + loops) - _f(d)
+    # a class before the word keeps its row's sum wherever the word goes
+    for margin, some in ((n.sum(axis=1), right), (n.sum(axis=0), left)):
+        size = some.sum(axis=1)[:, None]
+        m = margin[:classes] - mine * size
+        total -= _f(m + size) - _f(m)
+    return np.argmax(total, axis=1)
+
+
 class Model:
-    """Everything a scorer needs, of bounded size, beside the distributed word counts."""
+    """Everything a scorer needs, of bounded size, beside the numbers of words and the distributed word counts."""
 
-    def __init__(self, ids: Ids, counts: np.ndarray, of: np.ndarray, rare: tuple[int, int], trans: np.ndarray, total: int, distinct: int) -> None:
-        self.ids, self.counts, self.total, self.distinct = ids, counts, total, distinct
+    def __init__(self, counts: np.ndarray, of: np.ndarray, rare: tuple[int, int], trans: np.ndarray, total: int, distinct: int) -> None:
+        self.counts, self.total, self.distinct = counts, total, distinct
         k = len(trans)
         self.rare_class, self.end_class = k - 1, k - 2
         self.of = np.append(of, self.rare_class)  # at -1: a word that is not here
@@ -146,22 +200,47 @@ class Model:
         self.log_count = np.append(np.log10(counts + 1), 0.0)
 
 
-def cut(counts: DataFrame, most: int) -> int:
-    """The count above which there are at most ``most`` words; 0 if there are no more at all.
+def _sweep(texts: DataFrame, ids_of: object, of: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class bigrams, new classes) of one pass: every word from ``first`` to before ``last`` is exchanged against the classes beside it.
 
-    It comes from the counts of counts, whose rows grow as the root of the tokens, so that no task
-    and no driver holds more than the chosen words.
+    ``of`` is the class of each word.
     """
-    above = 0
-    for n, words in sorted((tuple(r) for r in counts.groupBy("n").count().collect()), reverse=True):
-        above += words
-        if above > most:
-            return n
-    return 0
-
+    spark, k = texts.sparkSession, CLASSES + 2
+    sent = spark.sparkContext.broadcast(np.append(of, k - 1))
+    words = len(of)
 
-def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
-    """The bounded model and the table (word, n) of the words that it doesn't hold."""
+    def beside(x: np.ndarray) -> np.ndarray:
+        now, a, b = sent.value, x[:-1], x[1:]
+        right, left = (a >= first) & (a < last), (b >= first) & (b < last)
+        ends = np.concatenate([[CLASSES], now[x[:-1]]]) * k + now[x]  # class bigrams, under words beyond the last
+        return np.concatenate([(a[right] * 2) * k + now[b[right]], (b[left] * 2 + 1) * k + now[a[left]], words * 2 * k + ends])
+
+    counted = checkpoint(_sparse(texts, ids_of, beside))
+    bigrams = counted.where(F.col("code") >= words * 2 * k).select((F.col("code") - words * 2 * k).alias("code"), "n")
+    n = _table(bigrams, k * k).reshape(k, k)
+    law = spark.sparkContext.broadcast((n, of))
+
+    def move(batches):
+        n, was = law.value
+        for batch in batches:
+            w = batch.column("w").to_numpy(zero_copy_only=False)
+            lists = batch.column("near")
+            size = np.diff(lists.offsets.to_numpy())
+            flat = lists.flatten()
+            code, x = flat.field("code").to_numpy(zero_copy_only=False), flat.field("n").to_numpy(zero_copy_only=False).astype(float)
+            owner = np.repeat(np.arange(len(w)), size)
+            yield {"w": w, "to": best_classes(owner, code // k, code % k, x, was[w], n, CLASSES)}
+
+    near = counted.where(F.col("code") < words * 2 * k)
+    near = near.groupBy(F.expr(f"code div {2 * k}").alias("w")).agg(F.collect_list(F.struct((F.col("code") % (2 * k)).alias("code"), "n")).alias("near"))
+    moved = map_arrow(near, move, "w long, to long", pa.schema([("w", pa.int64()), ("to", pa.int64())])).toPandas()  # at most NEAR rows
+    new = of.copy()
+    new[moved["w"].to_numpy()] = moved["to"].to_numpy()
+    return n, new
+
+
+def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, object, DataFrame]:
+    """The bounded model, the numbers of its words (broadcast) and the table (word, n) of the words that it doesn't hold."""
     spark = configure(docs.sparkSession)
     texts = docs.select(docs[text_col].alias("text"))
     counts = checkpoint(word_counts(texts))
@@ -174,69 +253,62 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, DataFrame]:
     ids = Ids(zip(names, range(1, len(names) + 1), strict=True))
     ids[END] = 0  # the end is word 0, then words by frequency
     n = np.concatenate([[ends], n]).astype(np.int64)
-
-    core, clustered = min(CORE, len(n)), min(CLUSTERED, len(n))
-    few = Ids({w: i for w, i in ids.items() if i < clustered})
-    sent = spark.sparkContext.broadcast(few)
+    clustered = 1 + int((n[1:] >= CLUSTERED).sum())
+    core = min(CORE, clustered)
+    sent = spark.sparkContext.broadcast(ids)
 
     def pairs(x: np.ndarray) -> np.ndarray:
         a, b = x[:-1], x[1:]
         both = (a >= 0) & (b >= 0) & (a < core) & (b < core)
         return a[both] * core + b[both]
 
-    codes, seen = _sparse(texts, sent, pairs, core * core)
-    b = np.zeros(core * core)
-    b[codes] = seen
-    b = b.reshape(core, core)
-    # the end takes no part in the exchange: it is a class of its own
-    of_core = np.concatenate([[CLASSES], exchange(b[1:, 1:], CLASSES)]).astype(np.int64)
-
-    def beside(x: np.ndarray) -> np.ndarray:
-        a, b = x[:-1], x[1:]
-        right = (a >= core) & (b >= 0) & (b < core)
-        left = (b >= core) & (a >= 0) & (a < core)
-        return np.concatenate([((a[right] - core) * 2) * width + of_core[b[right]], ((b[left] - core) * 2 + 1) * width + of_core[a[left]]])
-
-    width, more = CLASSES + 1, clustered - core
-    of = np.full(len(n), CLASSES + 1, dtype=np.int64)
-    of[:core] = of_core
-    if more > 0:
-        codes, seen = _sparse(texts, sent, beside, more * 2 * width)
-        near = np.zeros(more * 2 * width)
-        near[codes] = seen
-        near = near.reshape(more, 2, width)
-        c = np.zeros((width, width))
-        np.add.at(c, (of_core[:, None].repeat(core, 1), of_core[None, :].repeat(core, 0)), b)
-        for w in range(more):
-            of[core + w] = int(np.argmax(gains(c, near[w, 0], near[w, 1], 0.0)[:CLASSES]))
-
+    b = _table(_sparse(texts, sent, pairs), core * core).reshape(core, core)
     k = CLASSES + 2
-    of_few = np.append(of[:clustered], CLASSES + 1)
-
-    def transitions(x: np.ndarray) -> np.ndarray:
-        c = of_few[x]
+    of = np.full(len(n), k - 1, dtype=np.int64)
+    # the end takes no part in the exchange: it is a class of its own
+    of[:core] = np.concatenate([[CLASSES], exchange(b[1:, 1:], CLASSES)])
+
+    start = core  # first the others against the core, then all
+    best: tuple[float, np.ndarray] = (-math.inf, of)
+    for sweep in range(PASSES if clustered > core else 0):
+        bigrams, new = _sweep(texts, sent, of, start, clustered)
+        if sweep and objective(bigrams) > best[0]:
+            best = (objective(bigrams), of)
+        of, start = new, 1
+    if clustered > core and PASSES:
+        trans = _transitions(texts, sent, of, k)
+        if objective(trans) <= best[0]:
+            of = best[1]
+            trans = _transitions(texts, sent, of, k)
+    else:
+        trans = _transitions(texts, sent, of, k)
+    kept = n[1:clustered].sum()
+    model = Model(n, of, (int(words_total - kept), int(distinct - (clustered - 1))), trans, int(words_total + ends), int(distinct + (ends > 0)))
+    return model, sent, counts.where(F.col("n") <= least)
+
+
+def _transitions(texts: DataFrame, ids_of: object, of: np.ndarray, k: int) -> np.ndarray:
+    sent = texts.sparkSession.sparkContext.broadcast(np.append(of, k - 1))
+
+    def codes(x: np.ndarray) -> np.ndarray:
+        c = sent.value[x]
         return np.concatenate([[CLASSES], c[:-1]]) * k + c
 
-    codes, seen = _sparse(texts, sent, transitions, k * k)
-    trans = np.zeros(k * k)
-    trans[codes] = seen
-    rare = (int(words_total - n[1:clustered].sum()), int(distinct - (clustered - 1)))
-    model = Model(ids, n, of, rare, trans.reshape(k, k), int(words_total + ends), int(distinct + (ends > 0)))
-    return model, counts.where(F.col("n") <= least)
+    return _table(_sparse(texts, ids_of, codes), k * k).reshape(k, k)
 
 
-def score(docs: DataFrame, model: Model, rest: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, ids_of: object, rest: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     spark = configure(docs.sparkSession)
     sent = spark.sparkContext.broadcast(model)
 
     def work(batches):
-        m = sent.value
+        m, ids = sent.value, ids_of.value
         key = TaskContext.get().partitionId() << 40
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
             for doc_id, held, raw in zip(batch.column("id").to_pylist(), batch.column("held_out").to_pylist(), text_bytes(batch), strict=True):
                 words = [*raw.lower().split(), END]
-                x = np.fromiter(map(m.ids.__getitem__, words), dtype=np.int64, count=len(words))
+                x = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
                 c = m.of[x]
                 logp = m.log_trans[np.concatenate([[m.end_class], c[:-1]]), c].sum() + m.emit[x].sum()
                 # one row for the document, under a word that no text can hold, and one for each word to look up
@@ -264,5 +336,4 @@ def score(docs: DataFrame, model: Model, rest: DataFrame, held_out, id_col: str
 def op_query(docs: DataFrame) -> DataFrame:
     """Score every document; learn from those whose crc32 of the id mod 7 is not 2."""
     held_out = crc_mod("doc_id", 7) == 2
-    model, rest = train(docs.where(~held_out))
-    return score(docs, model, rest, held_out)
+    return score(docs, *train(docs.where(~held_out)), held_out)

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-Every rule has a measured cost (seconds for a document) and selectivity (share of documents it
-rejects), both estimated on a bounded sample; rules then run in order of rejection per cost, and a
-document leaves at its first rejection. The order never changes the verdict, which is the
-conjunction of all rules, only the work; so measured times may differ from run to run.
+Cost (seconds for a document) and selectivity (share of documents it rejects) of each rule are
+estimated on a bounded sample; the rule of most rejection per cost comes first, the next one is that
+of most rejection per cost among the documents that all before it let pass, and so on. A document
+leaves at its first rejection. The order never changes the verdict, which is the conjunction of all
+rules, only the work; so measured times may differ from run to run.
 
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined cases: null text has no words and, like every text of fewer
 than 10 words, fails the base test; nulls in other columns don't matter; repeated rows are judged
@@ -89,39 +90,53 @@ RULES: dict[str, Callable[[Text], bool]] = {
 }
 
 
-def estimate(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Text], bool]] = RULES, rows: int = SAMPLE_ROWS) -> dict[str, tuple[float, float]]:
-    """(seconds a document, share rejected) of each rule on a random sample of about ``rows`` documents.
+def estimate(docs: DataFrame, text_col: str = "text", rules: dict[str, Callable[[Text], bool]] = RULES, rows: int = SAMPLE_ROWS) -> tuple[dict[str, float], dict[frozenset[str], int]]:
+    """Seconds a document of each rule, and how many documents each set of rules rejects, on a random sample of about ``rows``.
 
-    Rows are drawn where they are read, so nothing is sent anywhere but the sums.
+    Rows are drawn where they are read, so nothing is sent anywhere but the sums: one row for every set of
+    rules that rejects some document, at most 2 to the number of rules.
     """
     configure(docs.sparkSession)
 
     def work(batches):
-        spent, hits, n = Counter(), Counter(), 0
+        spent, sets, n = Counter(), Counter(), 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 n += 1
+                by = []
                 for name, rule in rules.items():
                     t = Text(text)  # without what other rules have made
                     began = time.perf_counter()
-                    hits[name] += rule(t)
+                    if rule(t):
+                        by.append(name)
                     spent[name] += time.perf_counter() - began
-        yield {"rule": list(rules), "s": [spent[x] for x in rules], "hits": [hits[x] for x in rules], "n": [n] * len(rules)}
+                sets[tuple(sorted(by))] += 1
+        yield {"rules": [[x] for x in rules] + [list(x) for x in sets], "s": [spent[x] for x in rules] + [None] * len(sets), "n": [n] * len(rules) + list(sets.values())}
 
     sample = docs.select(docs[text_col].alias("text")).sample(fraction=min(1.0, rows / max(1, docs.count())), seed=7)
-    measured = map_arrow(sample, work, "rule string, s double, hits long, n long", pa.schema([("rule", pa.string()), ("s", pa.float64()), ("hits", pa.int64()), ("n", pa.int64())]))
-    out = {}
-    for r in measured.groupBy("rule").agg(F.sum("s").alias("s"), F.sum("hits").alias("hits"), F.sum("n").alias("n")).collect():
-        n = max(r["n"], 1)
-        out[r["rule"]] = (r["s"] / n, r["hits"] / n)
+    measured = map_arrow(sample, work, "rules array<string>, s double, n long", pa.schema([("rules", pa.list_(pa.string())), ("s", pa.float64()), ("n", pa.int64())]))
+    cost, rejected = {}, {}
+    for r in measured.groupBy("rules", F.col("s").isNull().alias("set")).agg(F.sum("s").alias("s"), F.sum("n").alias("n")).collect():
+        if r["set"]:
+            rejected[frozenset(r["rules"])] = r["n"]
+        else:
+            cost[r["rules"][0]] = r["s"] / max(r["n"], 1)
+    return cost or dict.fromkeys(rules, 0.0), rejected
+
+
+def order(cost: dict[str, float], rejected: dict[frozenset[str], int]) -> list[str]:
+    """Rules by rejection per cost among the documents that the rules before let pass, best first; equal ones by cost, then name."""
+    out: list[str] = []
+    while len(out) < len(cost):
+        left = {by: n for by, n in rejected.items() if not by & set(out)}
+
+        def worth(x: str) -> float:
+            return sum(n for by, n in left.items() if x in by) / max(cost[x], 1e-9)
+
+        out.append(min((x for x in cost if x not in out), key=lambda x: (-worth(x), cost[x], x)))
     return out
 
 
-def order(estimates: dict[str, tuple[float, float]]) -> list[str]:
-    """Rules by rejection per cost, best first; equal ones by name."""
-    return sorted(estimates, key=lambda x: (-estimates[x][1] / max(estimates[x][0], 1e-9), estimates[x][0], x))
-
-
 def first_rejection(t: Text, rules: list[tuple[str, Callable[[Text], bool]]]) -> str | None:
     for name, rule in rules:
         if rule(t):
@@ -139,7 +154,7 @@ def judge(docs: DataFrame, cascade: list[str] | None = None, id_col: str = "doc_
     then given as ``rejected_by``.
     """
     configure(docs.sparkSession)
-    named = [(x, RULES[x]) for x in cascade or order(estimate(docs, text_col))]
+    named = [(x, RULES[x]) for x in cascade or order(*estimate(docs, text_col))]
 
     def work(batches):
         for batch in batches:

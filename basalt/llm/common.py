@@ -92,3 +92,18 @@ def word_counts(docs: DataFrame, text_col: str = "text", room: int = 200_000) ->
 
     counted = map_arrow(docs.select(docs[text_col].alias("text")), work, "word binary, n long", pa.schema([("word", pa.binary()), ("n", pa.int64())]))
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def cut(counts: DataFrame, most: int) -> int:
+    """The count (column n) above which there are at most ``most`` rows; 0 if there are no more at all.
+
+    It comes from a histogram of counts by their logarithm, sixteen bins for a power of two, so that no task and
+    no driver holds more than the chosen rows and about a thousand bins. Counts up to sixteen have bins of their own.
+    """
+    bins = counts.groupBy(F.floor(F.log2("n") * 16).alias("b")).agg(F.count("*").alias("rows"), F.max("n").alias("top")).collect()
+    above = 0
+    for b in sorted(bins, key=lambda x: -x["b"]):
+        above += b["rows"]
+        if above > most:
+            return b["top"]
+    return 0

@@ -19,13 +19,17 @@ that either set matches, out of the places that have a window in either. Only th
 The benchmark's windows are broadcast if they are ``BROADCAST_ROWS`` or fewer (counted), and joined
 by a shuffle otherwise; so are the matched ids when their texts are read again.
 
-Defined cases: null and empty texts match nothing; an item of fewer than ``WIDTH`` tokens has no
-window and can't be found; rows that repeat a document id are one document; repeated items each
+An item of fewer than ``WIDTH`` tokens is one window of its own length, if it has ``LITERALS`` literals:
+documents get windows of the lengths that such items have (at most ``WIDTH`` - 1 more), nothing else changes.
+
+Defined cases: null and empty texts match nothing, nor do items of fewer than ``LITERALS`` literals; rows that repeat a document id are one document; repeated items each
 match; a null id is an id like any other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,24 +78,27 @@ def views(df: DataFrame, *keep: str) -> DataFrame:
     return plain.select(*keep, *[tokens(c).alias(n) for c, n in ((F.col("s"), "raw"), (template(F.col("s")), "named"), (F.col("l"), "plain"), (folded_template(F.col("l")), "folded"))])
 
 
-def windows(df: DataFrame, *keep: str, width: int = WIDTH) -> DataFrame:
-    """(keep, at, kind, h): hashes of every window of ``width`` tokens and its place from 0.
+def windows(df: DataFrame, *keep: str, widths: Sequence[int] = (WIDTH,)) -> DataFrame:
+    """(keep, at, width, kind, h): hashes of every window of each of ``widths`` tokens and its place from 0.
 
     kind is 0 for the name template, 1 for the folded one and 2 where both are the same.
     """
-    starts = F.sequence(F.lit(1), F.size("named") - width + 1)
 
-    def hashes(i):
-        a, b = (F.xxhash64(F.slice(F.col(c), i, width)) for c in ("named", "folded"))
-        return F.struct(a.alias("a"), b.alias("b"))
+    def of(width: int) -> Column:
+        def hashes(i):
+            a, b = (F.xxhash64(F.slice(F.col(c), i + 1, width)) for c in ("named", "folded"))
+            return F.struct(i.alias("at"), F.lit(width).alias("width"), a.alias("a"), b.alias("b"))
+
+        return F.when(F.size("named") >= width, F.transform(F.sequence(F.lit(0), F.size("named") - width), hashes))
 
-    df = df.select(*keep, F.posexplode(F.when(F.size("named") >= width, F.transform(starts, hashes))).alias("at", "w"))
+    every = [of(w) for w in widths]
+    df = df.select(*keep, F.explode(every[0] if len(every) == 1 else F.flatten(F.array_compact(F.array(*every)))).alias("w"))
 
     def one(kind, h):
         return F.struct(F.lit(kind).alias("kind"), F.col(f"w.{h}").alias("h"))
 
     each = F.when(F.col("w.a") == F.col("w.b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b")))
-    return df.select(*keep, "at", F.inline(each))
+    return df.select(*keep, F.col("w.at").alias("at"), F.col("w.width").alias("width"), F.inline(each))
 
 
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
@@ -102,19 +109,20 @@ def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coverage: int = COVERAGE) -> DataFrame:
     """(doc_id, item_id, n_windows, matched_windows, verbatim) of every contaminated document and item."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), normal(F.col("text")).alias("s"))
-    items = views(items, "item_id").where(F.size("named") >= width)
+    items = views(items, "item_id").withColumn("own", F.least(F.lit(width), F.size("named"))).where(F.col("own") >= min(width, LITERALS))
     items = checkpoint(items.withColumn("item", F.monotonically_increasing_id()))
+    widths = sorted(r[0] for r in items.select("own").distinct().collect()) or [width]  # at most ``width`` numbers
 
     def literals(words):
-        return F.size(F.filter(F.slice(words, F.col("at") + 1, width), lambda x: (x != NAME) & (x != NUMBER) & ~x.contains(UNIT)))
+        return F.size(F.filter(F.slice(words, F.col("at") + 1, F.col("own")), lambda x: (x != NAME) & (x != NUMBER) & ~x.contains(UNIT)))
 
-    wanted = windows(items, "item", "named", "folded", width=width).where(F.when(F.col("kind") == 1, literals("folded")).otherwise(literals("named")) >= LITERALS)
+    wanted = windows(items, "item", "named", "folded", "own", widths=widths).where("width = own").where(F.when(F.col("kind") == 1, literals("folded")).otherwise(literals("named")) >= LITERALS)
     wanted = wanted.select("item", F.col("at").alias("j"), F.explode(F.when(F.col("kind") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array("kind"))).alias("kind"), "h")
     wanted = checkpoint(wanted)
     n_wanted = wanted.count()
 
     split = docs.select(docs[id_col].cast("long").alias("id"), normal(docs[text_col]).alias("s"))
-    seen = windows(views(split, "id"), "id", width=width).withColumnRenamed("kind", "of")
+    seen = windows(views(split, "id"), "id", widths=widths).withColumnRenamed("kind", "of")
     hits = seen.join(sized(wanted, n_wanted), "h").where((F.col("of") == 2) | (F.col("of") == F.col("kind")))
     hits = checkpoint(hits.select("id", "item", "kind", "j", (F.col("at") - F.col("j")).alias("shift")).distinct())
 
@@ -131,7 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     named = F.col("kind") == 0
     for short, of_name, of_fold in (("it", "named", "folded"), ("ir", "raw", "plain"), ("dt", "d_named", "d_folded"), ("dr", "d_raw", "d_plain")):
         pairs = pairs.withColumn(short, F.when(named, F.col(of_name)).otherwise(F.col(of_fold)))
-    places = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j + 1, j + width))))
+    places = F.array_distinct(F.flatten(F.transform("js", lambda j: F.sequence(j + 1, j + F.col("own")))))
     # rows that repeat an id may hold another text: its tokens must have the item's template
     fits = F.forall("p", lambda q: F.try_element_at("dt", q + F.col("shift")).eqNullSafe(F.element_at("it", q)))
     found = pairs.withColumn("p", places).where(fits)

@@ -10,9 +10,12 @@ The dictionary and the character pairs are counted over all texts; the dictionar
 ``DICTIONARY`` most frequent words (a bounded model). The forest is fitted on at most ``FINDINGS``
 labelled findings; without any at hand, ``labelled_findings`` makes them by rule from a seed.
 
-Defined cases: null and empty texts have no finding; candidates don't overlap: formats win over
-assignments and those over long strings, and what is left of the loser is a candidate of its own if
-it is one by itself; offsets count code points; repeated rows are scanned each on its own.
+All candidates are scored, also those that overlap, with what formats and assignments leave of a run
+as candidates of their own. Then overlaps are settled: true secrets before others, formats before other
+rules, the more probable before the less. So a rejected candidate never hides a secret.
+
+Defined cases: null and empty texts have no finding; findings don't overlap; offsets count code points;
+values have no greatest length; repeated rows are scanned each on its own.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import random
 import re
 import string
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basalt.llm.common import configure, map_arrow, word_counts
+from basalt.llm.common import checkpoint, configure, cut, map_arrow, word_counts
 
 DICTIONARY = 5000
 FINDINGS = 4000
@@ -57,7 +60,6 @@ _LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _PART = re.compile(r"[^=]+(?:=+$)?")
 _KEYWORD = re.compile(r"(?:token|secret|passw(?:or)?d|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key|signing[_-]?key|client[_-]?key|apikey)", re.I)
 _BENIGN = re.compile(r"(?:sha\d*|md5|checksum|digest|commit|revision|uuid|guid|etag|hash|order|isbn|invoice|example|sample|placeholder|dummy|version|build)", re.I)
-_NAME = re.compile(r"[A-Za-z0-9_-]+[\"'\]]?\s*$")
 _PLACEHOLDER = re.compile(r"(?:x{4,}|\*{3,}|\.{3}|<|>|\$\{|%\(|your|example|change|placeholder|dummy|redacted|none|null|true|false)", re.I)
 
 
@@ -65,6 +67,10 @@ def is_long(s: str) -> bool:
     return len(s) >= 20 and not s.isalpha() and sum(c.isdigit() for c in s) >= 3 and sum(c.isalpha() for c in s) >= 3
 
 
+#: Start, end, rule, probability.
+Finding = tuple[int, int, str, float]
+
+
 def left(a: int, b: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
     """The parts of a span outside of the spans taken, which are in order and don't overlap."""
     out = []
@@ -78,6 +84,16 @@ def left(a: int, b: int, taken: list[tuple[int, int, str]]) -> list[tuple[int, i
     return out + [(a, b)] if a < b else out
 
 
+def resolve(scored: list[Finding]) -> list[Finding]:
+    """Findings without overlap, in order of their place."""
+    kept: list[Finding] = []
+    for f in sorted(scored, key=lambda f: (f[3] < THRESHOLD, f[2] not in RULES, -f[3], f[0], -f[1], f[2])):
+        at = bisect_left(kept, f[1], key=lambda x: x[0])  # those before begin ahead of its end
+        if not at or kept[at - 1][1] <= f[0]:
+            kept.insert(at, f)
+    return kept
+
+
 def long_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
     """The long strings of a run: its parts between ``=`` (padding at an end stays), or all of it if none is long."""
     parts = [(a + m.start(), a + m.end()) for m in _PART.finditer(text[a:b])]
@@ -85,25 +101,42 @@ def long_parts(text: str, a: int, b: int) -> list[tuple[int, int]]:
 
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, rule) of the candidates of a text, in order, without overlap."""
-    found = []
+    """(start, end, rule) of all candidates of a text, in order; they may overlap."""
+    formats: list[tuple[int, int, str]] = []
     if any(x in text for x in _FORMAT_SIGNS):
-        found = [(m.start(), m.end(), m.lastgroup) for m in _FORMATS.finditer(text)]
+        formats = [(m.start(), m.end(), m.lastgroup) for m in _FORMATS.finditer(text)]
+    found, values = set(formats), []
     if "=" in text or ":" in text:
-        last, more = 0, []
+        last = 0
         for m in _ASSIGN.finditer(text):
             if m.start() < last:
                 continue
-            name = _NAME.search(text, max(0, m.start() - 40), m.start())
-            if name and _KEYWORD.search(name[0]):
+            name = _name_before(text, m.start())
+            if name and _KEYWORD.search(name):
                 last = _VALUE.match(text, m.end()).end()
-                more += [(a, b, "assignment") for a, b in left(m.end(), last, found) if b - a >= 6]
-        found = sorted(found + more)
-    more = []
+                values.append((m.end(), last, "assignment"))
+                found.add(values[-1])
+                found |= {(a, b, "assignment") for a, b in left(m.end(), last, formats) if b - a >= 6}
+    taken = sorted(formats)
+    taken = sorted(taken + [(a, b, rule) for x, y, rule in values for a, b in left(x, y, taken)])
     for m in _LONG.finditer(text):
         if is_long(m[0]):
-            more += [(*x, "long_string") for a, b in left(m.start(), m.end(), found) for x in long_parts(text, a, b)]
-    return sorted(found + more)
+            for a, b in [(m.start(), m.end()), *left(m.start(), m.end(), taken)]:
+                found |= {(*x, "long_string") for x in long_parts(text, a, b)}
+    return sorted(found)
+
+
+def _name_before(text: str, end: int) -> str:
+    """The name that ends at a place, with a closing quote or bracket and blanks after it; of any length."""
+    at = end
+    while at and text[at - 1].isspace():
+        at -= 1
+    if at and text[at - 1] in "\"']":
+        at -= 1
+    start = at
+    while start and (text[start - 1].isascii() and text[start - 1].isalnum() or text[start - 1] in "_-"):
+        start -= 1
+    return text[start:at]
 
 
 class Prose:
@@ -259,20 +292,25 @@ class Scanner:
     def __init__(self, prose: Prose, forest: Forest) -> None:
         self.prose, self.forest = prose, forest
 
-    def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, rule, probability) of every candidate."""
+    def score(self, text: str | None) -> list[Finding]:
+        """Every candidate with its probability."""
         found = candidates(text) if text else []
         if not found:
             return []
         x = np.array([vector(text[a:b], text[max(0, a - CONTEXT) : a], text[b : b + 2], rule, self.prose) for a, b, rule in found])
         return [(a, b, rule, float(p)) for (a, b, rule), p in zip(found, self.forest.predict(x), strict=True)]
 
+    def scan(self, text: str | None) -> list[Finding]:
+        """The candidates of a text without overlap."""
+        return resolve(self.score(text))
+
 
 def train(docs: DataFrame, text_col: str = "text", findings: list[tuple[str, str, str, str, int]] | None = None) -> Scanner:
     """A scanner whose prose statistics cover all docs, trained from at most ``FINDINGS`` labelled findings."""
     is_word = F.col("text_word").rlike(r"^[\p{L}]{2,24}$")
-    counted = word_counts(docs, text_col).select(F.decode("word", "UTF-8").alias("text_word"), "n").where(is_word)
-    words = [(r[0].lower(), r[1]) for r in counted.orderBy(F.desc("n"), "text_word").limit(DICTIONARY).collect()]
+    counted = checkpoint(word_counts(docs, text_col).select(F.decode("word", "UTF-8").alias("text_word"), "n").where(is_word))
+    frequent = counted.where(F.col("n") > cut(counted, DICTIONARY)).collect()
+    words = [(r[0].lower(), r[1]) for r in sorted(frequent, key=lambda r: (-r[1], r[0]))]
     prose = Prose(words)
     rows = (findings or labelled_findings(words=[w for w, _ in words if len(w) > 2] or None))[:FINDINGS]
     x = np.array([vector(value, before, after, rule, prose) for value, before, after, rule, _ in rows])

@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
-from basalt.core.schema import numeric
+from basalt.core.lineage import checkpoint
+from basalt.core.schema import buckets, non_numeric, numeric
+from basalt.operators.order import column_quantiles, mode, running
 from basalt.operators.profile import skewness
 
 Stage = Callable[[DataFrame], DataFrame]
@@ -35,48 +37,55 @@ def _lookup(df: DataFrame, state: DataFrame, column: str, value: str, out: str,
     return joined.withColumn(out, F.coalesce("__v", default)).drop(key, "__v")
 
 
-def impute(train: DataFrame, columns: list[str], strategy: str = "auto", fill: object = None, indicator_rate: float | None = S.INDICATOR_RATE) -> Stage:
-    """Fill columns that have nulls in train; numeric ``auto`` is the mean below a skewness of 0.5, else the median."""
-    nums = set(numeric(train))
+def impute(train: DataFrame, columns: list[str], strategy: str = "auto", fill: object = None, indicator_rate: float | None = S.INDICATOR_RATE, strategies: dict[str, str] | None = None, fills: dict[str, object] | None = None) -> Stage:
+    """Fill columns that have nulls in train; numeric ``auto`` is the mean below a skewness of 0.5, else the median.
+
+    ``strategies`` and ``fills`` override the strategy and the constant of single columns.
+    """
+    nums, strategies, fills = set(numeric(train)), strategies or {}, fills or {}
     aggs = [F.count("*").alias("n")]
     for c in columns:
-        aggs += [F.count(c).alias(f"{c}__n"), F.mode(c, True).alias(f"{c}__mode")]
+        aggs.append(F.count(c).alias(f"{c}__n"))
         if c in nums:
-            aggs += [F.avg(c).alias(f"{c}__mean"), F.percentile(c, F.lit(0.5)).alias(f"{c}__median"), skewness(c).alias(f"{c}__skew")]
+            aggs += [F.avg(c).alias(f"{c}__mean"), skewness(c).alias(f"{c}__skew")]
     r = train.agg(*aggs).first()
-    values, flags = {}, []
-    for c in columns:
-        missing = 1 - r[f"{c}__n"] / max(1, r["n"])
-        if missing <= 0 or (c in nums and not r[f"{c}__n"] and strategy != "constant"):
-            continue
+    gaps = [c for c in columns if r[f"{c}__n"] < r["n"]]
+    how = {}
+    for c in gaps:
+        wish = strategies.get(c, strategy)
         if c in nums:
-            how = ("mean" if abs(r[f"{c}__skew"] or 0.0) < S.IMPUTE_SKEW else "median") if strategy == "auto" else strategy
-            values[c] = (0 if fill is None else fill) if how == "constant" else r[f"{c}__{'mode' if how == 'most_frequent' else how}"]
-            if indicator_rate is not None and missing > indicator_rate:
-                flags.append(c)
+            how[c] = ("mean" if abs(r[f"{c}__skew"] or 0.0) < S.IMPUTE_SKEW else "median") if wish == "auto" else wish
+        else:
+            how[c] = "constant" if wish == "constant" else "most_frequent"
+        if c in nums and not r[f"{c}__n"] and how[c] != "constant":
+            del how[c]
+    medians = column_quantiles(train, [c for c, h in how.items() if h == "median"], [0.5]) if "median" in how.values() else {}
+    values = {}
+    for c, h in how.items():
+        if h == "constant":
+            values[c] = fills.get(c, fill) if fills.get(c, fill) is not None else 0 if c in nums else "MISSING"
         else:
-            values[c] = ("MISSING" if fill is None else fill) if strategy == "constant" else r[f"{c}__mode"]
+            values[c] = r[f"{c}__mean"] if h == "mean" else medians[c][0] if h == "median" else mode(train, c)
+    flags = [c for c in how if c in nums and indicator_rate is not None and 1 - r[f"{c}__n"] / max(1, r["n"]) > indicator_rate]
     return lambda df: df.withColumns({f"{c}_was_missing": F.col(c).isNull().cast("int") for c in flags}).withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in values.items()})
 
 
 def clip_limits(train: DataFrame, columns: list[str], method: str, multiplier: float | None = None, lower: float = S.WINSOR, upper: float = S.WINSOR) -> dict[str, tuple[float, float]]:
     """Limits by winsor, iqr, zscore or mad; a column without spread has none."""
-    p = lambda c, x: F.percentile(c, F.lit(float(x)))
     if method == "winsor":
-        r = train.agg(*[x for c in columns for x in (p(c, lower), p(c, 1 - upper))]).first()
-        return {c: (r[2 * i], r[2 * i + 1]) for i, c in enumerate(columns) if r[2 * i] is not None}
+        return {c: (q[0], q[1]) for c, q in column_quantiles(train, columns, [lower, 1 - upper]).items()}
     if method == "mad":
-        m = train.agg(*[p(c, 0.5) for c in columns]).first()
-        d = train.agg(*[F.percentile(F.abs(F.col(c) - F.lit(m[i])), F.lit(0.5)) for i, c in enumerate(columns)]).first()
+        m = {c: q[0] for c, q in column_quantiles(train, columns, [0.5]).items()}
+        gaps = train.select(*[F.abs(F.col(c) - F.lit(v)).alias(c) for c, v in m.items()])
+        d = {c: q[0] for c, q in column_quantiles(gaps, list(m), [0.5]).items()} if m else {}
         k = S.MAD_LIMIT if multiplier is None else multiplier
-        return {c: (m[i] - k * 1.4826 * d[i], m[i] + k * 1.4826 * d[i]) for i, c in enumerate(columns) if d[i]}
+        return {c: (m[c] - k * 1.4826 * v, m[c] + k * 1.4826 * v) for c, v in d.items() if v}
     if method == "zscore":
         r = train.agg(*[x for c in columns for x in (F.avg(c), F.stddev_samp(c))]).first()
         k = S.Z_LIMIT if multiplier is None else multiplier
         return {c: (r[2 * i] - k * r[2 * i + 1], r[2 * i] + k * r[2 * i + 1]) for i, c in enumerate(columns) if r[2 * i + 1]}
-    r = train.agg(*[x for c in columns for x in (p(c, 0.25), p(c, 0.75))]).first()
     k = S.IQR_FACTOR if multiplier is None else multiplier
-    return {c: (q1 - k * (q3 - q1), q3 + k * (q3 - q1)) for i, c in enumerate(columns) for q1, q3 in [(r[2 * i], r[2 * i + 1])] if q1 is not None and q3 > q1}
+    return {c: (a - k * (b - a), b + k * (b - a)) for c, (a, b) in column_quantiles(train, columns, [0.25, 0.75]).items() if b > a}
 
 
 def clip(train: DataFrame, columns: list[str], method: str = "winsor", **how) -> Stage:
@@ -84,22 +93,40 @@ def clip(train: DataFrame, columns: list[str], method: str = "winsor", **how) ->
     return lambda df: _each(df, {c: F.when(F.col(c).isNotNull(), F.greatest(F.least(F.col(c).cast("double"), F.lit(hi)), F.lit(lo))) for c, (lo, hi) in limits.items()})
 
 
-def scale(train: DataFrame, columns: list[str], strategy: str = "robust") -> Stage:
-    """Nulls count as 0, at fit and at transform."""
+def scale_parameters(train: DataFrame, columns: list[str], strategy: str) -> dict[str, tuple[float, float]]:
+    """(centre, width) of each column, nulls counted as 0; a column without spread has width 1."""
     filled = train.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in columns])
+    if strategy == "robust":
+        found = {c: (b, d - a) for c, (a, b, d) in column_quantiles(filled, columns, [0.25, 0.5, 0.75]).items()}
+    else:
+        parts = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)), "max_abs": lambda c: (F.lit(0.0), F.max(F.abs(c)))}[strategy]
+        r = filled.agg(*[x for c in columns for x in parts(c)]).first()
+        found = {c: (r[2 * i], r[2 * i + 1]) for i, c in enumerate(columns)}
+    return {c: (found.get(c, (0.0, 1.0))[0] or 0.0, found.get(c, (0.0, 1.0))[1] or 1.0) for c in columns}
+
+
+def scale(train: DataFrame, columns: list[str], strategy: str = "robust", centering: bool = True, scaling: bool = True) -> Stage:
+    """Nulls count as 0, at fit and at transform."""
     if strategy == "l2_norm":
         norm = F.sqrt(sum((F.pow(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(2)) for c in columns), F.lit(0.0)))
         return lambda df: df.withColumn("__norm", norm).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.when(F.col("__norm") == 0, 1.0).otherwise(F.col("__norm")) for c in columns}).drop("__norm")
     if strategy == "none":
         return lambda df: df
-    parts = {
-        "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "max_abs": lambda c: (F.lit(0.0), F.max(F.abs(c))),
-        "robust": lambda c: (F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[strategy]
-    r = filled.agg(*[x for c in columns for x in parts(c)]).first()
-    return lambda df: _each(df, {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(r[2 * i] or 0.0)) / F.lit(r[2 * i + 1] or 1.0) for i, c in enumerate(columns)})
+    return scaled(scale_parameters(train, columns, strategy), centering, scaling)
+
+
+def scaled(parameters: dict[str, tuple[float, float]], centering: bool = True, scaling: bool = True) -> Stage:
+    return lambda df: _each(df, {c: (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(a if centering else 0.0)) / F.lit(b if scaling else 1.0) for c, (a, b) in parameters.items()})
+
+
+def unscaled(train: DataFrame, columns: list[str], strategy: str = "robust", centering: bool = True, scaling: bool = True) -> Stage:
+    """The inverse of ``scale``; row-wise norms can't be undone."""
+    if strategy == "l2_norm":
+        raise NotImplementedError("the norm of a row is not kept")
+    if strategy == "none":
+        return lambda df: df
+    parameters = scale_parameters(train, columns, strategy)
+    return lambda df: _each(df, {c: F.col(c) * F.lit(b if scaling else 1.0) + F.lit(a if centering else 0.0) for c, (a, b) in parameters.items()})
 
 
 #: Shape, and the least value that training data may have (None: any; exclusive with True).
@@ -108,40 +135,50 @@ SHAPES: dict[str, tuple[Callable[[Column], Column], float | None, bool]] = {
 }
 
 
-def reshape(train: DataFrame, columns: list[str], strategy: str) -> Stage:
-    shape, least, strict = SHAPES[strategy]
-    if least is not None:
-        r = train.agg(*[F.min(c) for c in columns]).first()
-        for c, lo in zip(columns, r, strict=True):
-            if lo is not None and (lo < least or strict and lo == least):
-                raise ValueError(f"{strategy} needs values above {least} in {c}")
-    return lambda df: _each(df, {c: shape(F.col(c).cast("double")) for c in columns})
+def reshape(train: DataFrame, columns: list[str], strategy: str, overrides: dict[str, str] | None = None) -> Stage:
+    """A shape for each column, ``strategy`` unless ``overrides`` names another; train must lie in its domain, null stays null."""
+    plans = {c: (overrides or {}).get(c, strategy) for c in columns}
+    if unknown := sorted(set(plans.values()) - set(SHAPES) - {"yeo_johnson", "quantile_uniform", "quantile_normal", "none"}):
+        raise ValueError(f"no shape is called {', '.join(unknown)}")
+    r = train.agg(*[x for c in columns for x in (F.min(c), F.count_if(F.col(c) == 0))]).first()
+    for i, (c, name) in enumerate(plans.items()):
+        lo, zeros = r[2 * i], r[2 * i + 1]
+        least, strict = SHAPES[name][1:] if name in SHAPES else (None, False)
+        if lo is not None and least is not None and (lo < least or strict and lo == least):
+            raise ValueError(f"{name} needs values above {least} in {c}")
+        if name == "reciprocal" and zeros:
+            raise ValueError(f"reciprocal needs values other than 0 in {c}")
+    done: list[Stage] = []
+    plain = {c: SHAPES[n][0](F.col(c).cast("double")) for c, n in plans.items() if n in SHAPES}
+    done.append(lambda df: _each(df, plain) if plain else df)
+    for c, name in plans.items():
+        if name not in SHAPES and name != "none":
+            done.append(registry(name, c)(train))
+
+    def run(df: DataFrame) -> DataFrame:
+        for stage in done:
+            df = stage(df)
+        return df
 
+    return run
 
-def yeo_johnson_lambda(train: DataFrame, column: str, steps: int = 40) -> float:
-    """Maximum likelihood by golden-section search; each step is one aggregate over the column."""
-    x = F.col(column).cast("double")
 
-    def loss(lam: float) -> float:
-        y = yeo_johnson(x, lam)
-        r = train.where(x.isNotNull()).agg(F.var_pop(y), F.sum(F.signum(x) * F.log1p(F.abs(x))), F.count(x)).first()
-        return 0.5 * r[2] * math.log(max(r[0] or 1e-300, 1e-300)) - (lam - 1) * (r[1] or 0.0)
-
-    lo, hi, g = -2.0, 4.0, (math.sqrt(5) - 1) / 2
-    a, b = hi - g * (hi - lo), lo + g * (hi - lo)
-    fa, fb = loss(a), loss(b)
-    for _ in range(steps):
-        if hi - lo < 1e-4:
-            break
-        if fa < fb:
-            hi, b, fb = b, a, fa
-            a = hi - g * (hi - lo)
-            fa = loss(a)
-        else:
-            lo, a, fa = a, b, fb
-            b = lo + g * (hi - lo)
-            fb = loss(b)
-    return (lo + hi) / 2
+def yeo_johnson_lambda(train: DataFrame, column: str, grid: int = 25, rounds: int = 4) -> float:
+    """Maximum likelihood over a grid of lambdas, all in one aggregate, refined around the best: one scan a round."""
+    x = F.col(column).cast("double")
+    known = train.where(x.isNotNull())
+    lo, hi = -2.0, 4.0
+    best = 1.0
+    for _ in range(rounds):
+        grid_of = [lo + (hi - lo) * i / (grid - 1) for i in range(grid)]
+        r = known.agg(F.count(x), F.sum(F.signum(x) * F.log1p(F.abs(x))), *[F.var_pop(yeo_johnson(x, g)) for g in grid_of]).first()
+        if not r[0]:
+            return best
+        loss = [0.5 * r[0] * math.log(max(v or 1e-300, 1e-300)) - (g - 1) * r[1] for g, v in zip(grid_of, r[2:], strict=True)]
+        best = grid_of[loss.index(min(loss))]
+        step = (hi - lo) / (grid - 1)
+        lo, hi = best - step, best + step
+    return best
 
 
 def yeo_johnson(x: Column, lam: float) -> Column:
@@ -160,7 +197,7 @@ def combine(a: str, b: str, separator: str = "_") -> Stage:
     return lambda df: df.withColumn(f"{a}{separator}{b}", F.concat_ws(separator, F.coalesce(F.col(a).cast("string"), F.lit("nan")), F.coalesce(F.col(b).cast("string"), F.lit("nan"))))
 
 
-def date_parts(train: DataFrame, column: str, reference: str | None = None, drop: bool = True) -> Stage:
+def date_parts(train: DataFrame, column: str, reference: str | None = None, drop: bool = True, hour: bool = False) -> Stage:
     """Age, calendar parts and cyclic encodings; the reference is given or the column's latest value."""
     latest = F.to_timestamp(F.lit(reference)) if reference else F.lit(train.agg(F.max(F.col(column).cast("timestamp"))).first()[0])
     ts = F.col(column).cast("timestamp")
@@ -174,16 +211,26 @@ def date_parts(train: DataFrame, column: str, reference: str | None = None, drop
         "age_days": days, "age_months": F.bround(days / 30.44), "year": F.year(ts), "month": month, "day_of_week": dow, "quarter": F.quarter(ts),
         "month_sin": turn(F.sin, month, 12), "month_cos": turn(F.cos, month, 12), "dow_sin": turn(F.sin, dow, 7), "dow_cos": turn(F.cos, dow, 7), "is_weekend": F.coalesce((dow >= 5).cast("int"), F.lit(0)),
     }
+    if hour:
+        new |= {"hour_sin": turn(F.sin, F.hour(ts), 24), "hour_cos": turn(F.cos, F.hour(ts), 24)}
     return lambda df: (lambda x: x.drop(column) if drop else x)(df.withColumns({f"{column}_{k}": v for k, v in new.items()}))
 
 
 def categories(train: DataFrame, column: str) -> DataFrame:
-    """(category, index) in order of the category; the ranking is over distinct values only."""
-    distinct = train.where(F.col(column).isNotNull()).select(column).distinct()
-    return distinct.withColumn("index", F.row_number().over(Window.orderBy(column)) - 1)
+    """(category, index) in order of the category, numbered in ranges of distinct values."""
+    distinct = train.where(F.col(column).isNotNull()).select(column).distinct().withColumn("__one", F.lit(1).cast("long"))
+    return running(distinct, column, ["__one"]).select(column, F.col("__one_before").alias("index"))
+
 
+def ordered(column: str, order: list[str]) -> Stage:
+    """Numbers of categories in a given order; -1 for others and null."""
+    places = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
+    return lambda df: df.withColumn(f"{column}_ordinal", F.coalesce(F.try_element_at(places, F.col(column).cast("string")), F.lit(-1)))
 
-def ordinal(train: DataFrame, column: str) -> Stage:
+
+def ordinal(train: DataFrame, column: str, order: list[str] | None = None) -> Stage:
+    if order:
+        return ordered(column, order)
     state = categories(train, column)
     return lambda df: _lookup(df, state, column, "index", f"{column}_ordinal", F.lit(-1))
 
@@ -239,20 +286,71 @@ def frequency_encode(train: DataFrame, column: str) -> Stage:
     return lambda df: _lookup(df, freq.withColumn("v", F.col("n") / (all_rows or 1)), column, "v", f"{column}_frequency", F.lit(1.0 / max(1, k)))
 
 
-def woe_encode(train: DataFrame, column: str, target: str, limit: float = S.WOE_CLIP) -> Stage:
+def high_cardinality(train: DataFrame, columns: list[str], target: str | None = None, strategy: str = "target_encoding", m: float = S.SMOOTHING, threshold: int = S.HIGH_CARDINALITY) -> Stage:
+    """Encode the non-numeric columns of more than ``threshold`` categories in place; by frequency if there is no target."""
+    wide = [c for c in columns if c in set(non_numeric(train))]
+    kinds = train.agg(*[F.countDistinct(c) for c in wide]).first() if wide else []
+    stages = []
+    for c, n in zip(wide, kinds, strict=True):
+        if n > threshold:
+            by_target = strategy == "target_encoding" and target is not None
+            stages.append((c, f"{c}_target" if by_target else f"{c}_frequency", target_encode(train, c, target, m) if by_target else frequency_encode(train, c)))
+
+    def run(df: DataFrame) -> DataFrame:
+        for c, made, stage in stages:
+            df = stage(df).withColumn(c, F.col(made)).drop(made)
+        return df
+
+    return run
+
+
+def woe_encode(train: DataFrame, column: str, target: str, limit: float = S.WOE_CLIP, bins: int = S.IV_BINS) -> Stage:
+    """Weight of evidence of a category, or of a number's quantile bin; 0 for null and unseen categories.
+
+    Numbers beyond train's range belong to the outer bins.
+    """
     from basalt.operators.relation import category_bins, woe
 
-    state = woe(category_bins(train, [column], target)).select(F.col("bin").alias(column), F.greatest(F.least("woe", F.lit(limit)), F.lit(-limit)).alias("v"))
-    return lambda df: _lookup(df, state, column, "v", f"{column}_woe", F.lit(0.0))
+    held = F.greatest(F.least("woe", F.lit(limit)), F.lit(-limit))
+    if column not in numeric(train):
+        state = woe(category_bins(train, [column], target)).select(F.col("bin").alias(column), held.alias("v"))
+        return lambda df: _lookup(df, state, column, "v", f"{column}_woe", F.lit(0.0))
+    uppers = sorted(set(column_quantiles(train, [column], [i / bins for i in range(1, bins + 1)]).get(column, [])))
+    c = F.col(column).cast("double")
+    at = F.lit(max(len(uppers) - 1, 0))
+    for i in range(len(uppers) - 2, -1, -1):
+        at = F.when(c <= uppers[i], i).otherwise(at)
+    binned = train.where(c.isNotNull()).select(F.lit(column).alias("feature"), at.cast("string").alias("bin"), F.col(target).cast("int").alias("y"))
+    found = {int(r["bin"]): r["v"] for r in woe(binned).select("bin", held.alias("v")).collect()}  # a row a bin
+    value = F.lit(0.0)
+    for i, v in found.items():
+        value = F.when(at == i, F.lit(v)).otherwise(value)
+    return lambda df: df.withColumn(f"{column}_woe", F.when(c.isNotNull(), value).otherwise(F.lit(0.0)))
 
 
 def bin_edges(train: DataFrame, column: str, strategy: str, bins: int) -> list[float]:
+    """Edges by quantiles, by equal widths, or half way between the centres of k-means on the column."""
     c = F.col(column).cast("double")
     if strategy == "quantile":
-        edges = train.agg(F.percentile(c, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0] or []
-        return sorted(set(edges))
+        return sorted(set(column_quantiles(train, [column], [i / bins for i in range(bins + 1)]).get(column, [])))
     lo, hi = train.agg(F.min(c), F.max(c)).first()
-    return [] if lo is None else sorted({lo + (hi - lo) * i / bins for i in range(bins + 1)})
+    if lo is None:
+        return []
+    if strategy == "kmeans":
+        from pyspark.ml.clustering import KMeans
+        from pyspark.ml.functions import array_to_vector
+
+        d = train.where(c.isNotNull()).select(array_to_vector(F.array(c)).alias("features"))
+        centres = sorted(float(x[0]) for x in KMeans(k=bins, seed=S.SEED).fit(d).clusterCenters()) if hi > lo else []
+        return sorted({lo, hi, *((a + b) / 2 for a, b in zip(centres, centres[1:], strict=False))})
+    return sorted({lo + (hi - lo) * i / bins for i in range(bins + 1)})
+
+
+def bin_labels(column: str, edges: list[float]) -> Stage:
+    """``into_bins`` as text: the edges with three digits, or ``unknown``."""
+    names = F.create_map(F.lit(-1), F.lit("unknown"), *[x for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) for x in (F.lit(i), F.lit(f"[{a:.3g}, {b:.3g})"))])
+    place = into_bins(column, edges)
+    return lambda df: place(df).withColumn(f"{column}_bin", F.element_at(names, F.col(f"{column}_bin")))
 
 
 def bin_column(train: DataFrame, column: str, strategy: str = "quantile", bins: int = 10) -> Stage:
@@ -271,22 +369,25 @@ def into_bins(column: str, edges: list[float]) -> Stage:
 
 
 def rank_on_train(train: DataFrame, column: str, method: str = "percentile") -> Stage:
-    """Rank of each value among train's, by a join on distinct values.
+    """Rank of each value among train's, also of values that train doesn't have.
 
-    Running counts come from per-range sums, so no task sorts the whole column: values are ranged,
-    counted in their range, and ranges get the total of those before.
+    percentile: share of train's values below; global: number up to and with it; dense: distinct values below.
+    The values to rank join train's as rows of no weight; running totals over all distinct values then give
+    every one its place, and a join on the value brings it back.
     """
-    freq = train.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    ranged = freq.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    totals = ranged.groupBy("part").agg(F.sum("n").alias("rows"), F.count("*").alias("kinds"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    start = totals.select("part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("r0"), F.coalesce(F.sum("kinds").over(before), F.lit(0)).alias("k0"))
-    inside = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    counted = ranged.withColumn("upto", F.sum("n").over(inside)).withColumn("kind", F.row_number().over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-    state = counted.join(start, "part").select("v", (F.col("r0") + F.col("upto")).alias("le"), (F.col("r0") + F.col("upto") - F.col("n")).alias("lt"), (F.col("k0") + F.col("kind") - 1).alias("dense"))
-    n = train.where(F.col(column).isNotNull()).count()
-    value = {"percentile": F.col("lt") / max(1, n), "global": F.col("le").cast("double"), "dense": F.col("dense").cast("double")}[method]
-    return lambda df: df.join(state, df[column].cast("double") == state["v"], "left").withColumn(f"{column}_rank", value).drop("v", "le", "lt", "dense")
+    v = F.col(column).cast("double")
+    freq = checkpoint(train.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("__n"), F.lit(1).cast("long").alias("__k")))
+    total = freq.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+
+    def run(df: DataFrame) -> DataFrame:
+        other = df.where(v.isNotNull()).select(v.alias("__v")).distinct().select("__v", F.lit(0).cast("long").alias("__n"), F.lit(0).cast("long").alias("__k"))
+        both = freq.unionByName(other).groupBy("__v").agg(F.sum("__n").alias("__n"), F.sum("__k").alias("__k"))
+        state = running(both, "__v", ["__n", "__k"])
+        value = {"percentile": F.col("__n_before") / max(1, total), "global": (F.col("__n_before") + F.col("__n")).cast("double"), "dense": F.col("__k_before").cast("double")}[method]
+        state = state.select("__v", value.alias("__rank"))
+        return df.join(state, v == state["__v"], "left").withColumn(f"{column}_rank", F.col("__rank")).drop("__v", "__rank")
+
+    return run
 
 
 def group_relative(train: DataFrame, group: str, column: str, strategy: str) -> Stage:
@@ -322,12 +423,26 @@ def polynomial(columns: list[str], degree: int = 2, interaction_only: bool = Fal
     return lambda df: df.select(*[c for c in df.columns if c not in columns], *[value(t).alias(name(t)) for t in terms])
 
 
-def leakage(df: DataFrame, columns: list[str], target: str, limit: float = S.LEAKAGE) -> DataFrame:
-    """(feature, r, level): critical above the limit; a name that contains the target's is a warning."""
+class LeakageError(ValueError):
+    """A feature gives the target away."""
+
+
+def leakage(df: DataFrame, columns: list[str], target: str, limit: float = S.LEAKAGE, reference: str | None = None, strict: bool = False) -> DataFrame:
+    """(feature, r, level): critical above the limit; a name that contains the target's, or dates after the reference, are a warning.
+
+    ``strict`` raises where a feature is critical.
+    """
     y = F.col(target).cast("double")
-    one = df.agg(*[F.corr(F.col(c).cast("double"), y).alias(c) for c in columns])
-    rows = one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("r"), F.lit(target.lower() in c.lower()).alias("named")) for c in columns])))
-    return rows.select("feature", "r", F.when(F.abs("r") > limit, "critical").when(F.col("named"), "warning").otherwise("ok").alias("level"))
+    dates = set(buckets(df)["datetime"])
+    nums = [c for c in columns if c not in dates and c in set(numeric(df))]
+    late = {c: F.max(F.col(c).cast("timestamp")) > F.lit(reference).cast("timestamp") if reference and c in dates else F.lit(False) for c in columns}
+    one = df.agg(*[(F.corr(F.col(c).cast("double"), y) if c in nums else F.lit(None).cast("double")).alias(c) for c in columns], *[F.coalesce(late[c], F.lit(False)).alias(f"__late{i}") for i, c in enumerate(columns)])
+    each = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("r"), (F.lit(target.lower() in c.lower()) | F.col(f"__late{i}")).alias("named")) for i, c in enumerate(columns)]
+    rows = one.select(F.inline(F.array(*each)))
+    out = rows.select("feature", "r", F.when(F.abs("r") > limit, "critical").when(F.col("named"), "warning").otherwise("ok").alias("level"))
+    if strict and (bad := [r["feature"] for r in out.where("level = 'critical'").collect()]):
+        raise LeakageError(f"these features give the target away: {', '.join(bad)}")
+    return out
 
 
 def recommend(summary: dict) -> list[str]:
@@ -369,9 +484,9 @@ def registry(name: str, column: str, target: str | None = None, **how) -> Callab
         **{s: (lambda d, s=s: reshape(d, [column], s)) for s in SHAPES},
         "yeo_johnson": lambda d: (lambda lam: lambda df: df.withColumn(column, yeo_johnson(F.col(column).cast("double"), lam)))(yeo_johnson_lambda(d, column)),
         "bucket_quantile": lambda d: bin_column(d, column, "quantile", **how), "bucket_uniform": lambda d: bin_column(d, column, "uniform", **how),
-        "bucket_tree": lambda d: into_bins(column, learn.tree_edges(d, column, target, **how)),
+        "bucket_kmeans": lambda d: bin_column(d, column, "kmeans", **how), "bucket_tree": lambda d: into_bins(column, learn.tree_edges(d, column, target, **how)),
         **{f"{m}_rank": (lambda d, m=m: rank_on_train(d, column, m)) for m in ("percentile", "dense", "global")},
-        "scale": lambda d: scale(d, [column], **how), "ordinal_encode": lambda d: ordinal(d, column), "onehot_encode": lambda d: one_hot(d, column, **how),
+        "scale": lambda d: scale(d, [column], **how), "ordinal_encode": lambda d: ordinal(d, column, **how), "onehot_encode": lambda d: one_hot(d, column, **how),
         "rare_group": lambda d: rare_group(d, column, **how), "target_encode": lambda d: target_encode(d, column, target, **how), "frequency_encode": lambda d: frequency_encode(d, column),
         "woe_encode": lambda d: woe_encode(d, column, target, **how), "binary_encode": lambda d: binary_bits(d, column), "hash_encode": lambda d: hash_encode(column, **how),
         "polynomial": lambda d: polynomial([column], **how), "noise": lambda d: shape.noise(d, column, **how), "spline": lambda d: shape.spline(d, column, **how),

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from basalt.core import settings as S
 from basalt.operators import metrics as M
+from basalt.operators.order import column_quantiles
 from basalt.operators.split import _numbered
 
 CLASSIFIERS = {
@@ -72,7 +73,7 @@ def linear_shap(df: DataFrame, features: list[str], target: str) -> DataFrame:
 def partial_dependence(df: DataFrame, features: list[str], target: str, feature: str, points: int = 10) -> DataFrame:
     """Mean prediction with one feature set to each quantile of its own; the grid is ``points`` rows."""
     model = fit(df, features, target)
-    grid = df.agg(F.percentile(feature, F.array(*[F.lit(i / (points - 1)) for i in range(points)]))).first()[0]
+    grid = column_quantiles(df, [feature], [i / (points - 1) for i in range(points)])[feature]
     spread = df.select(*[c for c in features if c != feature], F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(grid))])).alias(feature))
     return score(model, spread).groupBy(feature).agg(F.avg("score").alias("mean_score"))
 

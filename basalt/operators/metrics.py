@@ -2,28 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.core.lineage import checkpoint
 from basalt.core.schema import long_form
+from basalt.operators.order import column_quantiles, quantiles, ranged, running
 from basalt.operators.profile import r6
 
 
 def roc(df: DataFrame, score: str, label: str) -> DataFrame:
     """(score, p, n, tp, fp): labels by distinct score, with running sums from the highest."""
     per = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("int")).alias("p"), F.sum(1 - F.col(label).cast("int")).alias("n"))
-    ranged = per.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id())
-    totals = ranged.groupBy("part").agg(F.sum("p").alias("pp"), F.sum("n").alias("nn"))
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    start = totals.select("part", F.coalesce(F.sum("pp").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("nn").over(before), F.lit(0)).alias("n0"))
-    inside = Window.partitionBy("part").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranged.join(start, "part").select("score", "p", "n", (F.col("p0") + F.sum("p").over(inside)).alias("tp"), (F.col("n0") + F.sum("n").over(inside)).alias("fp"))
+    falling = running(per.withColumn("down", -F.col("score")), "down", ["p", "n"])
+    return falling.select("score", "p", "n", (F.col("p_before") + F.col("p")).alias("tp"), (F.col("n_before") + F.col("n")).alias("fp"))
 
 
 def ranking_metrics(df: DataFrame, score: str, label: str) -> DataFrame:
     """AUC with ties at their average rank, Gini and KS."""
-    t = roc(df, score, label)
+    t = checkpoint(roc(df, score, label))
     area = F.sum(F.col("n").cast("double") * (F.col("tp") - F.col("p") / 2))
     both = F.nullif(F.sum("p").cast("double") * F.sum("n"), F.lit(0.0))
     one = t.agg((area / both).alias("auc"), F.sum("p").alias("pos"), F.sum("n").alias("neg"))
@@ -51,12 +51,24 @@ def confusion(df: DataFrame, score: str, label: str, threshold: float = 0.5) ->
 def decile_table(df: DataFrame, score: str, label: str, key: str, q: int = 10) -> DataFrame:
     """Rows by falling score (ties by key) in q groups of the size that quantile cuts of their places give."""
     per = df.select(F.col(score).alias("s"), F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
-    ranged = per.repartitionByRange(F.desc("s"), "k").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("c"))
-    start = sizes.select("part", F.coalesce(F.sum("c").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("c0"), F.sum("c").over(Window.partitionBy()).alias("rows"))
-    place = F.col("c0") + F.row_number().over(Window.partitionBy("part").orderBy(F.desc("s"), "k")) - 1
-    group = F.greatest(F.lit(1), F.ceil(place * F.lit(q) / F.nullif(F.col("rows") - 1, F.lit(0)))).cast("int")
-    t = ranged.join(start, "part").select(F.coalesce(group, F.lit(1)).alias("decile"), "y").groupBy("decile").agg(F.count("*").alias("count"), F.sum("y").alias("events"))
+    by_score = per.groupBy((-F.col("s")).alias("down")).agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    placed = checkpoint(running(by_score, "down", ["n"]))
+    rows = placed.agg(F.sum("n")).first()[0] or 0
+
+    def group(place: Column) -> Column:
+        return F.coalesce(F.greatest(F.lit(1), F.ceil(place * F.lit(q) / F.nullif(F.lit(rows) - 1, F.lit(0)))), F.lit(1)).cast("int")
+
+    ends = placed.select("*", group(F.col("n_before")).alias("first"), group(F.col("n_before") + F.col("n") - 1).alias("last"))
+    whole = ends.where("first = last").select(F.col("first").alias("decile"), F.col("n").alias("c"), F.col("y").alias("e"))
+    # at most q - 1 scores lie across a border; the rows of each are ordered by key, in ranges
+    split = []
+    for r in ends.where("first < last").select("down", "n", "n_before").collect():
+        tied = ranged(per.where(F.col("s") == -r["down"]).select("k", "y"), "k", r["n"])
+        sizes = tied.groupBy("__part").agg(F.count("*").alias("c"))
+        starts = sizes.select("__part", F.coalesce(F.sum("c").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("c0"))  # one row per range
+        place = F.lit(r["n_before"]) + F.col("c0") + F.row_number().over(Window.partitionBy("__part").orderBy("k")) - 1
+        split.append(tied.join(F.broadcast(starts), "__part").select(group(place).alias("decile"), F.lit(1).cast("long").alias("c"), F.col("y").cast("long").alias("e")))
+    t = reduce(DataFrame.unionByName, split, whole).groupBy("decile").agg(F.sum("c").alias("count"), F.sum("e").alias("events"))
     run, every = Window.orderBy("decile").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()  # q rows
     rate, total = F.col("events") / F.col("count"), F.sum("events").over(every)
     return t.select("decile", "count", "events", r6(rate).alias("event_rate"), F.sum("count").over(run).alias("cum_count"), F.sum("events").over(run).alias("cum_events"), r6(F.sum("events").over(run) / total).alias("capture_rate"), r6(rate / (total / F.sum("count").over(every))).alias("lift"))
@@ -75,9 +87,14 @@ def ece(df: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     return t.join(F.broadcast(rows)).agg(r6(F.sum(F.col("n") * F.abs(F.col("predicted") - F.col("observed"))) / F.max("rows")).alias("ece"))  # one row
 
 
+def r6_of(x: float | None) -> float | None:
+    return None if x is None else round(x, 6)
+
+
 def regression(df: DataFrame, predicted: str, actual: str) -> DataFrame:
     e, y = F.col(actual).cast("double") - F.col(predicted).cast("double"), F.col(actual).cast("double")
-    return df.agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"), r6(1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), r6(F.avg(F.when(y != 0, F.abs(e / F.nullif(y, F.lit(0.0)))))).alias("mape"), r6(F.percentile(F.abs(e), F.lit(0.5))).alias("median_ae"))
+    median = column_quantiles(df.select(F.abs(e).alias("gap")), ["gap"], [0.5]).get("gap", [None])[0]
+    return df.agg(r6(F.sqrt(F.avg(e * e))).alias("rmse"), r6(F.avg(F.abs(e))).alias("mae"), r6(1 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), r6(F.avg(F.when(y != 0, F.abs(e / F.nullif(y, F.lit(0.0)))))).alias("mape"), F.lit(r6_of(median)).alias("median_ae"))
 
 
 def _psi(e: Column, a: Column) -> Column:
@@ -87,9 +104,8 @@ def _psi(e: Column, a: Column) -> Column:
 
 def psi_numeric(expected: DataFrame, actual: DataFrame, columns: list[str], bins: int = S.PSI_BINS) -> DataFrame:
     """Deciles of expected; values of actual outside them count in the total only; the last bin is closed."""
-    levels = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
     e, a = long_form(expected, columns).where("value is not null"), long_form(actual, columns).where("value is not null")
-    edges = e.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", levels))).alias("edges"))
+    edges = checkpoint(quantiles(e, [i / bins for i in range(bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges")))
 
     def shares(cells: DataFrame, name: str) -> DataFrame:
         v, k = F.col("value"), F.size("edges")
@@ -115,9 +131,8 @@ def psi_categorical(expected: DataFrame, actual: DataFrame, columns: list[str])
 
 def freeze(df: DataFrame, columns: list[str], bins: int = S.PSI_BINS) -> DataFrame:
     """(feature, bin, lo, hi, proportion): a reference with open ends, to compare later data with."""
-    levels = F.array(*[F.lit(i / bins) for i in range(1, bins)])
     cells = long_form(df, columns).where("value is not null")
-    edges = cells.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", levels))).alias("edges"), F.count("*").alias("rows"))
+    edges = quantiles(cells, [i / bins for i in range(1, bins)]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"), "rows")
     inf = float("inf")
     full = edges.select("feature", "rows", F.concat(F.array(F.lit(-inf)), "edges", F.array(F.lit(inf))).alias("edges"))
     ranges = full.select("feature", "rows", F.explode(F.sequence(F.lit(1), F.size("edges") - 1)).alias("bin"), "edges").select("feature", "rows", "bin", F.element_at("edges", F.col("bin")).alias("lo"), F.element_at("edges", F.col("bin") + 1).alias("hi"))

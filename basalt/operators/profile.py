@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.core.lineage import checkpoint
 from basalt.core.schema import buckets, long_form, numeric
+from basalt.operators.order import counted, quantiles
 
 LEVELS = {"p1": 0.01, "p2": 0.02, "p3": 0.03, "p4": 0.04, "p5": 0.05, "p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9, "p95": 0.95, "p96": 0.96, "p97": 0.97, "p98": 0.98, "p99": 0.99}
 
@@ -15,6 +17,11 @@ def r6(c: Column) -> Column:
     return F.round(c.cast("double"), 6)
 
 
+def stable(c: Column) -> Column:
+    """Six digits of a sum over many rows, by way of ten: the order in which tasks add up shows in neither."""
+    return F.round(c.cast("decimal(38,10)"), 6).cast("double")
+
+
 def skewness(c: str | Column) -> Column:
     """Adjusted Fisher-Pearson G1; null below three values or without spread."""
     c = F.col(c) if isinstance(c, str) else c
@@ -30,7 +37,7 @@ def kurtosis(c: str | Column) -> Column:
 
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Thirty statistics of every numeric column: one pass for the moments and quantiles, one for outliers."""
+    """Thirty statistics of every numeric column: one pass for the moments, one for value counts, one for outliers."""
     columns = columns or numeric(df)
     cells = long_form(df, columns)
     v = F.col("value")
@@ -38,8 +45,10 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     first = cells.groupBy("feature").agg(
         rows.alias("rows"), F.count(v).alias("count"), (F.sum(v.isNull().cast("int")) / rows).alias("missing_pct"), (F.sum(F.when(v == 0, 1).otherwise(0)) / rows).alias("zero_pct"),
         F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.stddev_pop(v).alias("sd0"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.percentile(v, F.array(*[F.lit(x) for x in LEVELS.values()])).alias("q"), skewness(v).alias("skewness"), kurtosis(v).alias("kurtosis"),
+        skewness(v).alias("skewness"), kurtosis(v).alias("kurtosis"),
     )
+    levels = quantiles(cells, list(LEVELS.values())).select(F.col("feature").alias("__f"), "q")
+    first = checkpoint(first.join(F.broadcast(levels), F.col("feature") == F.col("__f"), "left").drop("__f"))  # one row per column
     at = {k: F.col("q")[i] for i, k in enumerate(LEVELS)}
     spread = at["p75"] - at["p25"]
     bounds = first.select("feature", "mean", "sd0", (at["p25"] - S.IQR_FACTOR * spread).alias("lo"), (at["p75"] + S.IQR_FACTOR * spread).alias("hi"))
@@ -52,8 +61,9 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     constant = F.coalesce(F.col("std") == 0, F.lit(True))
     variance = F.col("std") * F.col("std")
     return out.select(
-        "feature", "count", *[r6(F.col(c)).alias(c) for c in ("missing_pct", "zero_pct", "mean", "std")], r6(F.try_divide(F.col("std"), F.abs("mean"))).alias("cv"), r6(F.col("min")).alias("min"),
-        *[r6(c).alias(k) for k, c in at.items()], *[r6(F.col(c)).alias(c) for c in ("max", "skewness", "kurtosis", "outlier_pct_iqr", "outlier_pct_zscore")],
+        "feature", "count", *[r6(F.col(c)).alias(c) for c in ("missing_pct", "zero_pct")], *[stable(F.col(c)).alias(c) for c in ("mean", "std")],
+        stable(F.try_divide(F.col("std"), F.abs("mean"))).alias("cv"), r6(F.col("min")).alias("min"), *[r6(c).alias(k) for k, c in at.items()], r6(F.col("max")).alias("max"),
+        *[stable(F.col(c)).alias(c) for c in ("skewness", "kurtosis")], *[r6(F.col(c)).alias(c) for c in ("outlier_pct_iqr", "outlier_pct_zscore")],
         constant.alias("constant_flag"), F.coalesce(variance < S.NEAR_ZERO_VARIANCE, F.lit(True)).alias("near_zero_variance_flag"),
     )
 
@@ -63,9 +73,15 @@ def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     return long_form(df, columns, to="string").where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
 
 
+def with_total(freq: DataFrame) -> DataFrame:
+    """``total``: the sum of n of each feature; one row per feature is joined, so no task holds all values of one."""
+    total = freq.groupBy("feature").agg(F.sum("n").alias("total"))
+    return freq.join(F.broadcast(total), "feature")
+
+
 def imbalance_score(df: DataFrame, columns: list[str]) -> DataFrame:
     """1 - H / log2(k), to 4 digits; 1 for a single level."""
-    freq = frequencies(df, columns).withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("feature")))
+    freq = with_total(frequencies(df, columns)).withColumn("p", F.col("n") / F.col("total"))
     h, k = -F.sum(F.col("p") * F.log2("p")), F.count("*")
     return freq.groupBy("feature").agg(k.alias("levels"), F.round(F.when(k == 1, 1.0).otherwise(1 - h / F.nullif(F.log2(k.cast("double")), F.lit(0.0))), 4).alias("imbalance"))
 
@@ -102,18 +118,23 @@ def duplicate_groups(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def value_counts(df: DataFrame, columns: list[str], top: int) -> DataFrame:
     """The ``top`` values of each column with their share; ties by value."""
-    freq = frequencies(df, columns).withColumn("pct", r6(F.col("n") / F.sum("n").over(Window.partitionBy("feature"))))
+    freq = with_total(frequencies(df, columns)).withColumn("pct", r6(F.col("n") / F.col("total"))).drop("total")
+    # the rank's limit is pushed below the exchange: each task keeps ``top`` rows a feature
     order = Window.partitionBy("feature").orderBy(F.desc("n"), "value")
     return freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
 
 
 def extreme_values(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
-    """The ``top`` smallest and largest distinct values of each column."""
-    values = long_form(df, columns).where("value is not null").distinct()
+    """The ``top`` smallest and largest values of each column; repeated values count each."""
+    freq = counted(long_form(df, columns))
     low, high = Window.partitionBy("feature").orderBy("value"), Window.partitionBy("feature").orderBy(F.desc("value"))
-    least = values.withColumn("rank", F.row_number().over(low)).where(F.col("rank") <= top).withColumn("side", F.lit("low"))
-    most = values.withColumn("rank", F.row_number().over(high)).where(F.col("rank") <= top).withColumn("side", F.lit("high"))
-    return least.unionByName(most)
+    sides = []
+    for name, order in (("low", low), ("high", high)):
+        few = freq.withColumn("__k", F.row_number().over(order)).where(F.col("__k") <= top)  # top rows a task, then a feature
+        copies = few.withColumn("__c", F.explode(F.sequence(F.lit(1).cast("long"), F.least("n", F.lit(top)))))
+        ranked = copies.select("feature", "value", F.row_number().over(order).alias("rank"))
+        sides.append(ranked.where(F.col("rank") <= top).withColumn("side", F.lit(name)))
+    return sides[0].unionByName(sides[1])
 
 
 def threshold_guide(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,22 +2,28 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.core.lineage import checkpoint
 from basalt.core.schema import long_form
+from basalt.operators.order import quantiles, running
 from basalt.operators.profile import r6
 
 
+#: Cells of a table of two columns that is made in full.
+MOST_CELLS = 1_000_000
+
+
 def quantile_bins(df: DataFrame, columns: list[str], target: str, bins: int = S.IV_BINS) -> DataFrame:
     """(feature, bin, y): right-closed quantile bins with distinct edges, named by their upper edge."""
     cells = long_form(df, columns, F.col(target).cast("int").alias("y")).where("value is not null")
-    levels = F.array(*[F.lit(i / bins) for i in range(1, bins + 1)])
-    edges = cells.groupBy("feature").agg(F.array_sort(F.array_distinct(F.percentile("value", levels))).alias("edges"))
+    edges = quantiles(cells.select("feature", "value"), [i / bins for i in range(1, bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
     upper = F.element_at(F.filter("edges", lambda e: e >= F.col("value")), 1)
     # one row of edges per column
     return cells.join(F.broadcast(edges), "feature").select("feature", r6(upper).cast("string").alias("bin"), "y")
@@ -30,8 +36,9 @@ def category_bins(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 def woe(binned: DataFrame) -> DataFrame:
     """Weight of evidence of every observed bin; shares are held above 1e-8."""
     per = binned.groupBy("feature", "bin").agg(F.count("*").alias("count"), F.sum("y").alias("events"))
-    all_of = Window.partitionBy("feature")
-    events, non = F.sum("events").over(all_of), F.sum(F.col("count") - F.col("events")).over(all_of)
+    totals = per.groupBy("feature").agg(F.sum("events").alias("__e"), F.sum(F.col("count") - F.col("events")).alias("__o"))
+    per = per.join(F.broadcast(totals), "feature")  # one row per column
+    events, non = F.col("__e"), F.col("__o")
     per = per.withColumn("de", F.greatest(F.col("events") / F.greatest(events, F.lit(S.EPSILON)), F.lit(S.EPSILON)))
     per = per.withColumn("dn", F.greatest((F.col("count") - F.col("events")) / F.greatest(non, F.lit(S.EPSILON)), F.lit(S.EPSILON)))
     per = per.withColumn("w", F.log(F.col("de") / F.col("dn")))
@@ -64,30 +71,92 @@ def high_correlation(df: DataFrame, columns: list[str], limit: float = S.HIGH_CO
     return pearson(df, columns).where(F.abs("r") > limit).select("a", "b", F.round("r", 2).alias("r"))
 
 
-def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, n, e) of all cells, also empty ones; e is the expected count."""
+def cells_of(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, n, e, total) of the cells that hold rows; e is the expected count."""
     t = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
     rows, columns = t.groupBy("a").agg(F.sum("n").alias("na")), t.groupBy("b").agg(F.sum("n").alias("nb"))
-    # every cell of the table that is asked for: levels of one column by levels of the other
-    cells = rows.crossJoin(columns).crossJoin(t.agg(F.sum("n").alias("total")))
-    full = cells.join(t, ["a", "b"], "left").fillna(0, ["n"])
-    return full.select("a", "b", "n", (F.col("na") * F.col("nb") / F.col("total")).alias("e"), "total")
+    total = F.broadcast(t.agg(F.sum("n").alias("total")))  # one row
+    return t.join(rows, "a").join(columns, "b").join(total).select("a", "b", "n", (F.col("na") * F.col("nb") / F.col("total")).alias("e"), "total")
+
+
+def crosstab(df: DataFrame, a: str, b: str, most: int = MOST_CELLS) -> DataFrame:
+    """(a, b, n, e) of all cells, also empty ones; e is the expected count. More than ``most`` cells are an error."""
+    full = checkpoint(cells_of(df, a, b))
+    levels = full.agg(F.countDistinct("a"), F.countDistinct("b")).first()
+    if levels[0] * levels[1] > most:
+        raise ValueError(f"a table of {levels[0]} by {levels[1]} levels has more than {most} cells")
+    rows, columns = full.groupBy("a").agg(F.sum("n").alias("na")), full.groupBy("b").agg(F.sum("n").alias("nb"))
+    total = full.agg(F.max("total").alias("total"))
+    # bounded by ``most``: levels of one column by levels of the other
+    cells = rows.join(F.broadcast(columns)).join(F.broadcast(total))
+    joined = cells.join(full.select("a", "b", "n"), ["a", "b"], "left").fillna(0, ["n"])
+    return joined.select("a", "b", "n", (F.col("na") * F.col("nb") / F.col("total")).alias("e"), "total")
 
 
 def cramers_v(df: DataFrame, a: str, b: str, correction: bool = False) -> DataFrame:
-    """Cramer's V; with ``correction`` Yates' on tables of 2 by 2."""
-    t = crosstab(df, a, b)
-    k = F.least(F.countDistinct("a"), F.countDistinct("b")) - 1
-    gap = F.abs(F.col("n") - F.col("e"))
-    plain, yates = F.sum(gap * gap / F.col("e")), F.sum(F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2)) / F.col("e"))
-    chi2 = F.when((F.countDistinct("a") == 2) & (F.countDistinct("b") == 2), yates).otherwise(plain) if correction else plain
-    return t.agg(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(F.sqrt(chi2 / F.max("total") / F.nullif(k, F.lit(0))), 2 if correction else 4).alias("cramers_v"))
+    """Cramer's V; with ``correction`` Yates' on tables of 2 by 2.
+
+    Only cells that hold rows are made: the sum over all cells of (n - e)^2 / e is the sum over those of n^2 / e, less the total.
+    """
+    t = checkpoint(cells_of(df, a, b))
+    kinds = t.agg(F.countDistinct("a"), F.countDistinct("b")).first()
+    k = min(kinds) - 1
+    if correction and kinds[0] == kinds[1] == 2:
+        t = crosstab(df, a, b)
+        gap = F.abs(F.col("n") - F.col("e"))
+        chi2 = F.sum(F.pow(gap - F.least(F.lit(0.5), gap), F.lit(2)) / F.col("e"))
+    else:
+        chi2 = F.greatest(F.sum(F.col("n") * F.col("n") / F.col("e")) - F.max("total"), F.lit(0.0))
+    return t.agg(F.lit(a).alias("feature_a"), F.lit(b).alias("feature_b"), F.round(F.sqrt(chi2 / F.max("total") / F.lit(k or None)), 2 if correction else 4).alias("cramers_v"))
 
 
 def residuals(df: DataFrame, a: str, b: str) -> DataFrame:
+    t = checkpoint(crosstab(df, a, b))
+    low = t.agg(F.avg((F.col("e") < 5).cast("int")).alias("low"))
+    return t.join(F.broadcast(low)).select("a", "b", "n", r6((F.col("n") - F.col("e")) / F.sqrt("e")).alias("residual"), (F.col("low") > 0.2).alias("unreliable"))  # one row
+
+
+def crosstab_sorted(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Cells of a bounded table in falling order of their row's and column's totals, ties by level."""
     t = crosstab(df, a, b)
-    low = F.avg((F.col("e") < 5).cast("int")).over(Window.partitionBy())
-    return t.select("a", "b", "n", r6((F.col("n") - F.col("e")) / F.sqrt("e")).alias("residual"), (low > 0.2).alias("unreliable"))
+    rows, columns = t.groupBy("a").agg(F.sum("n").alias("row_total")), t.groupBy("b").agg(F.sum("n").alias("column_total"))
+    joined = t.join(F.broadcast(rows), "a").join(F.broadcast(columns), "b")
+    return joined.select("a", "b", "n", "row_total", "column_total").orderBy(F.desc("row_total"), "a", F.desc("column_total"), "b")
+
+
+def ranked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Columns as their ranks, ties at the average; null stays null. Rows keep no other column."""
+    out = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    for i, c in enumerate(columns):
+        freq = out.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("__v")).agg(F.count("*").alias("n"))
+        ranks = running(freq, "__v", ["n"]).select("__v", (F.col("n_before") + (F.col("n") + 1) / 2).alias(f"__r{i}"))
+        out = out.join(ranks, out[c] == ranks["__v"], "left").drop("__v")
+    return out.select(*[F.col(f"__r{i}").alias(c) for i, c in enumerate(columns)])
+
+
+def spearman(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r): Pearson correlation of ranks over the rows that have both values."""
+    parts = []
+    for a, b in combinations(columns, 2):
+        parts.append(pearson(ranked(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()), [a, b]), [a, b]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def kendall(df: DataFrame, a: str, b: str, most: int = MOST_CELLS) -> DataFrame:
+    """Kendall's tau-b from counts of value pairs; more than ``most`` comparisons of such pairs are an error.
+
+    It compares distinct pairs of values, not rows; columns of many values are binned first (``into_bins``).
+    """
+    t = checkpoint(df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")).agg(F.count("*").alias("n")))
+    kinds = t.count()
+    if kinds * kinds > most * 100:
+        raise ValueError(f"{kinds} distinct pairs of values are too many to compare; bin the columns")
+    other = t.select(F.col("x").alias("u"), F.col("y").alias("v"), F.col("n").alias("m"))
+    weight, sign = F.col("n") * F.col("m"), F.signum(F.col("x") - F.col("u")) * F.signum(F.col("y") - F.col("v"))
+    both = t.join(F.broadcast(other)).agg(  # bounded by the check above
+        F.sum(sign * weight).alias("s"), F.sum(F.when(F.col("x") != F.col("u"), weight).otherwise(0)).alias("p"), F.sum(F.when(F.col("y") != F.col("v"), weight).otherwise(0)).alias("q")
+    )
+    return both.select(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col("s") / F.nullif(F.sqrt(F.col("p").cast("double")) * F.sqrt(F.col("q").cast("double")), F.lit(0.0))).alias("tau"))
 
 
 def mean_sem(df: DataFrame, category: str, value: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
@@ -16,8 +16,7 @@ def basic(df: DataFrame, columns: list[str], max_null: float = S.MAX_NULL_RATE,
     per = long_form(df, columns).groupBy("feature", "value").agg(F.count("*").alias("n"))
     known = F.when(F.col("value").isNotNull(), F.col("n"))
     v = F.col("value")
-    mean = F.sum(v * F.col("n")).over(Window.partitionBy("feature")) / F.sum(known).over(Window.partitionBy("feature"))
-    t = per.withColumn("__m", mean).groupBy("feature").agg((F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("nulls"), (F.max(known) / F.sum(known)).alias("share"), F.count("value").alias("kinds"), F.sum(known * F.pow(v - F.col("__m"), F.lit(2))).alias("ss"))
+    t = per.groupBy("feature").agg((F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("nulls"), (F.max(known) / F.sum(known)).alias("share"), F.count("value").alias("kinds"))
     constant = F.coalesce((F.col("kinds") <= 1) | (F.col("share") >= quasi), F.lit(True))
     return t.select("feature", r6(F.col("nulls")).alias("null_rate"), (F.col("nulls") > max_null).alias("drop_null"), constant.alias("drop_constant"), F.col("kinds").alias("n_unique"), (F.col("kinds") <= 1).alias("drop_cardinality"))
 

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.core.lineage import checkpoint
 from basalt.operators.features import Stage
+from basalt.operators.order import column_quantiles
 from basalt.operators.relation import gram
 
 
@@ -28,8 +30,8 @@ def quantile_map(train: DataFrame, column: str, output: str = "uniform", quantil
     stays null. Train without values gives null.
     """
     n = min(quantiles, train.where(F.col(column).isNotNull()).count())
-    levels = F.array(*[F.lit(i / max(n - 1, 1)) for i in range(max(n, 1))])
-    edges = np.array(train.agg(F.percentile(F.col(column).cast("double"), levels)).first()[0] or [], dtype=float)
+    levels = [i / max(n - 1, 1) for i in range(max(n, 1))]
+    edges = np.array(column_quantiles(train, [column], levels).get(column, []), dtype=float)
     # normal scores by inverting a table of the distribution; ends as far as 1e-7 of either tail
     z = np.linspace(-5.2, 5.2, 20_801)
     tail = NormalDist().inv_cdf(1 - 1e-7)
@@ -114,7 +116,8 @@ def impute_iterative(train: DataFrame, columns: list[str], rounds: int = S.ROUND
     """Nulls by chained regressions: each column in turn is fitted on the others, as filled so far.
 
     Starts from means; a column without nulls in train is only a predictor, one without any value
-    stays null. Fitting reads sums of products only, one aggregate for each round and column.
+    stays null. Fitting reads sums of products only, one aggregate for each round and column, over values
+    that are filled and checkpointed once a round, so plans don't grow.
     """
     first = train.agg(*[F.avg(F.col(c).cast("double")) for c in columns], *[F.count_if(F.col(c).isNull()) for c in columns]).first()
     k = len(columns)
@@ -123,30 +126,34 @@ def impute_iterative(train: DataFrame, columns: list[str], rounds: int = S.ROUND
     gaps = [i for i, c in enumerate(used) if first[k + columns.index(c)]]
     steps: list[tuple[int, list[float], float]] = []
 
-    def filled(df: DataFrame) -> DataFrame:
-        done = list(steps)
-
-        @F.pandas_udf("array<double>")
-        def fill(rows: pd.Series) -> pd.Series:
-            x = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=float).reshape(len(rows), len(used))
-            gone = np.isnan(x)
-            x = np.where(gone, means, x)
-            for i, w, b in done:
-                x[gone[:, i], i] = x[gone[:, i]] @ np.array(w) + b
-            return pd.Series(list(x))
-
-        d = df.withColumn("__f", fill(F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in used])))
-        return d
+    def line(i: int, w: list[float], b: float) -> Column:
+        return sum((F.col(f"x{j}") * float(v) for j, v in enumerate(w) if v), F.lit(float(b)))
 
+    now = train.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(means[j]))).alias(f"x{j}") for j, c in enumerate(used)], *[F.col(used[i]).isNull().alias(f"gone{i}") for i in gaps])
     for _ in range(rounds if len(used) > 1 else 0):
         for i in gaps:
             others = [j for j in range(len(used)) if j != i]
-            known = filled(train.where(F.col(used[i]).isNotNull())).select(*[F.col("__f")[j].alias(f"x{j}") for j in range(len(used))])
-            g, s, n = gram(known, [f"x{j}" for j in range(len(used))])
+            g, s, n = gram(now.where(~F.col(f"gone{i}")), [f"x{j}" for j in range(len(used))])
             cov = g / n - np.outer(s / n, s / n)
             part = cov[np.ix_(others, others)]
             part = part + ridge * np.diag(np.maximum(np.diag(part), 1e-12))
             w = np.zeros(len(used))
             w[others] = np.linalg.solve(part, cov[others, i])
             steps.append((i, w.tolist(), float(s[i] / n - w @ s / n)))
-    return lambda df: filled(df).withColumns({c: F.col("__f")[i] for i, c in enumerate(used)}).drop("__f") if used else df
+            now = now.withColumn(f"x{i}", F.when(F.col(f"gone{i}"), line(*steps[-1])).otherwise(F.col(f"x{i}")))
+        now = checkpoint(now)
+
+    @F.pandas_udf("array<double>")
+    def fill(rows: pd.Series) -> pd.Series:
+        x = np.array([[np.nan if v is None else v for v in r] for r in rows], dtype=float).reshape(len(rows), len(used))
+        gone = np.isnan(x)
+        x = np.where(gone, means, x)
+        for i, w, b in steps:
+            x[gone[:, i], i] = x[gone[:, i]] @ np.array(w) + b
+        return pd.Series(list(x))
+
+    def run(df: DataFrame) -> DataFrame:
+        d = df.withColumn("__f", fill(F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in used])))
+        return d.withColumns({c: F.col("__f")[i] for i, c in enumerate(used)}).drop("__f")
+
+    return run if used else lambda df: df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.operators.order import column_quantiles
 
 
 def key_order(key: str, seed: int = S.SEED) -> Column:
@@ -13,17 +14,20 @@ def key_order(key: str, seed: int = S.SEED) -> Column:
 
 
 def _numbered(df: DataFrame, key: str, by: list[str], seed: int) -> DataFrame:
-    """``__i`` from 1 within ``by`` in hash order, and ``__n`` rows; without ``by`` ranks come from ranged partitions."""
-    d = df.withColumn("__h", key_order(key, seed))
-    if by:
-        w = Window.partitionBy(*by)
-        return d.withColumns({"__i": F.row_number().over(w.orderBy("__h", key)), "__n": F.count("*").over(w)})
-    # hashes are uniform: their first three digits are 4096 even buckets, each ordered on its own
-    d = d.withColumn("__b", F.substring("__h", 1, 3))
-    sizes = d.groupBy("__b").agg(F.count("*").alias("__c"))
-    starts = sizes.select("__b", F.coalesce(F.sum("__c").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__s"), F.sum("__c").over(Window.partitionBy()).alias("__n"))
-    inside = Window.partitionBy("__b").orderBy("__h", key)
-    return d.join(F.broadcast(starts), "__b").withColumn("__i", F.col("__s") + F.row_number().over(inside)).drop("__b", "__s")  # at most 4096 rows
+    """``__i`` from 1 within ``by`` in hash order, and ``__n`` rows.
+
+    Hashes are uniform: their first three digits make 4096 even buckets of every group, each ordered on its own.
+    """
+    d = df.withColumn("__h", key_order(key, seed)).withColumn("__b", F.substring("__h", 1, 3))
+    sizes = d.groupBy(*by, "__b").agg(F.count("*").alias("__c"))
+    ahead, every = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy(*by)  # at most 4096 rows a group
+    starts = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__b").alias("__b2"), F.coalesce(F.sum("__c").over(ahead), F.lit(0)).alias("__s"), F.sum("__c").over(every).alias("__n"))
+    same = d["__b"] == starts["__b2"]
+    for c in by:
+        same = same & d[c].eqNullSafe(starts[f"__{c}"])
+    inside = Window.partitionBy(*by, "__b").orderBy("__h", key)
+    joined = d.join(F.broadcast(starts) if not by else starts, same)
+    return joined.withColumn("__i", F.col("__s") + F.row_number().over(inside)).drop("__b", "__b2", "__s", *[f"__{c}" for c in by])
 
 
 def _roles(i: Column, n: Column, test: float, val: float) -> Column:
@@ -79,7 +83,7 @@ def date_ranges(split: DataFrame, date: str) -> DataFrame:
 
 def binarise(df: DataFrame, column: str, method: str = "median", value: float | None = None) -> DataFrame:
     """1 strictly above the threshold, else 0, also for null."""
-    t = value if method == "threshold" else df.agg(F.percentile(column, F.lit(0.5 if method == "median" else value))).first()[0]
+    t = value if method == "threshold" else column_quantiles(df, [column], [0.5 if method == "median" else value]).get(column, [None])[0]
     return df.withColumn("target", F.coalesce((F.col(column) > F.lit(t)).cast("int"), F.lit(0)))
 
 

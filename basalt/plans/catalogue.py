@@ -60,9 +60,16 @@ def cells(table: str, columns: list[str], keep: str = "", kind: str = "DOUBLE")
 
 NUM = ["l_quantity", "l_extendedprice", "disc", "l_tax", "flat"]
 _Q = ", ".join(f"round(quantile_cont(value, {x}), 6) AS {k}" for k, x in P.LEVELS.items())
+
+
+def _stable(x: str) -> str:
+    """Six digits by way of ten, so that the order of summation doesn't show."""
+    return f"round(({x})::DECIMAL(38, 10), 6)::DOUBLE"
+
+
 _SUMMARY = f"""WITH {LINES}, c AS ({cells("lines", NUM)}),
-a AS (SELECT feature, count(value) AS count, round(avg((value IS NULL)::INT), 6) AS missing_pct, round(count(*) FILTER (value = 0) / count(*), 6) AS zero_pct, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std,
- round(stddev_samp(value) / nullif(abs(avg(value)), 0), 6) AS cv, round(min(value), 6) AS min, {_Q}, round(max(value), 6) AS max, CASE WHEN stddev_pop(value) > 0 THEN round(skewness(value), 6) END AS skewness, CASE WHEN stddev_pop(value) > 0 THEN round(kurtosis(value), 6) END AS kurtosis,
+a AS (SELECT feature, count(value) AS count, round(avg((value IS NULL)::INT), 6) AS missing_pct, round(count(*) FILTER (value = 0) / count(*), 6) AS zero_pct, {_stable("avg(value)")} AS mean, {_stable("stddev_samp(value)")} AS std,
+ {_stable("stddev_samp(value) / nullif(abs(avg(value)), 0)")} AS cv, round(min(value), 6) AS min, {_Q}, round(max(value), 6) AS max, CASE WHEN stddev_pop(value) > 0 THEN {_stable("skewness(value)")} END AS skewness, CASE WHEN stddev_pop(value) > 0 THEN {_stable("kurtosis(value)")} END AS kurtosis,
  avg(value) AS m, stddev_pop(value) AS s, quantile_cont(value, 0.25) - 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS lo, quantile_cont(value, 0.75) + 1.5 * (quantile_cont(value, 0.75) - quantile_cont(value, 0.25)) AS hi,
  coalesce(stddev_samp(value) = 0, true) AS constant_flag, coalesce(var_samp(value) < 0.01, true) AS near_zero_variance_flag FROM c GROUP BY feature),
 b AS (SELECT feature, round(count(*) FILTER (value < lo OR value > hi) / count(*), 6) AS outlier_pct_iqr, round(count(*) FILTER (s > 0 AND abs(value - m) / nullif(s, 0) > 3) / nullif(count(value), 0), 6) AS outlier_pct_zscore FROM c JOIN a USING (feature) GROUP BY feature)
@@ -116,7 +123,7 @@ def value_counts_top(t):
     return P.value_counts(t("part"), ["p_brand", "p_type"], 5)
 
 
-@query(f"WITH c AS (SELECT DISTINCT * FROM ({cells('customer', ['c_acctbal', 'c_nationkey'])})), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) AS rank, 'low' AS side FROM c UNION ALL SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC), 'high' FROM c) SELECT * FROM r WHERE rank <= 5")
+@query(f"WITH c AS ({cells('customer', ['c_acctbal', 'c_nationkey'])}), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value) AS rank, 'low' AS side FROM c UNION ALL SELECT *, row_number() OVER (PARTITION BY feature ORDER BY value DESC), 'high' FROM c) SELECT * FROM r WHERE rank <= 5")
 def extreme_values(t):
     return P.extreme_values(t("customer"), ["c_acctbal", "c_nationkey"])
 

@@ -244,6 +244,33 @@ def test_decontamination_finds_other_case(spark):
     assert {r["doc_id"] for r in decontam.contamination(d, loud).collect()} == {1, 2, 3, 5}
 
 
+def test_short_items_and_edges(spark, docs, sf):
+    b = spark.createDataFrame([(1, "How far is Rome?"), (2, "two words"), (2, "two words"), (None, "How far is Rome?"), (4, "what is the mass of 3 kg gold"), (5, None)], "item_id long, text string")
+    d = spark.createDataFrame([(1, "He asked: how far is Oslo? Nobody", "x"), (2, "How far is", "x"), (3, "what is the mass of 12 kg gold", "x"), (3, "what is the mass of 12 kg gold", "x"), (4, None, "x"), (5, "", None)], "doc_id long, text string, item_id string")
+    got = sorted((r["doc_id"], r["item_id"] or 0, r["n_windows"], r["matched_windows"], r["verbatim"]) for r in decontam.contamination(d, b).collect())
+    # names are read in lower case too, where Rome and Oslo differ, so only an item whose name keeps its capital is met
+    assert (3, 4, 1, 1, False) in got and not any(r[0] in (2, 4, 5) or r[1] == 2 for r in got)
+    same = spark.createDataFrame([(1, "So: How far is Oslo?", 7)], "doc_id long, text string, n_windows int")
+    assert {r["item_id"] for r in decontam.contamination(same, b).collect()} == {1, None}
+    assert decontam.drop_contaminated(same, b).count() == 0 and decontam.drop_contaminated(d, b).columns == d.columns
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet")
+    assert decontam.op_query(docs.limit(0), bench).collect() == [] == decontam.op_query(docs, bench.limit(0)).collect()
+
+
+def test_decontamination_recall(spark, sf):
+    """Of items re-parameterised at random (other numbers, other names) in a document, 0.95 or more are found."""
+    import random
+    import re
+
+    r = random.Random(3)
+    items = [(i, f"{a} has {n} apples and gives {m} kg of them to {b} before the {w} market opens again at {h} hours") for i, (a, b, n, m, w, h) in enumerate((r.choice(["Anna", "Ben", "Carla"]), r.choice(["Dora", "Emil"]), r.randint(2, 99), r.randint(2, 99), "".join(r.choices("abcdefgh", k=6)), r.randint(1, 23)) for _ in range(60))]
+    names = {"Anna": "Greta", "Ben": "Hugo", "Carla": "Ines", "Dora": "Jana", "Emil": "Karl"}
+    moved = [(i, "Some words before. " + re.sub(r"\d+", lambda m: str(int(m[0]) + 7), re.sub("|".join(names), lambda m: names[m[0]], x)) + " Then more.") for i, x in items]
+    d, b = spark.createDataFrame(moved, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in decontam.contamination(d, b).collect()}
+    assert sum((i, i) in got for i, _ in items) >= 57
+
+
 def test_sql_twins(spark, sf, docs):
     import duckdb
 
@@ -267,7 +294,36 @@ def test_cascade_order_keeps_the_verdict(docs):
     a = cascade.judge(docs, list(cascade.RULES))
     b = cascade.judge(docs, list(reversed(cascade.RULES)))
     assert sorted(a.select("doc_id", "kept").collect()) == sorted(b.select("doc_id", "kept").collect())
-    assert cascade.order({"x": (1.0, 0.1), "y": (1.0, 0.5), "z": (0.1, 0.1)}) == ["z", "y", "x"]
+    cost = {"x": 1.0, "y": 1.0, "z": 0.1}
+    assert cascade.order(cost, {frozenset("x"): 10, frozenset("y"): 50, frozenset("z"): 10, frozenset(): 30}) == ["z", "y", "x"]
+    # y rejects most, but nothing that z lets pass
+    assert cascade.order(cost, {frozenset("yz"): 50, frozenset("x"): 5}) == ["z", "x", "y"]
+
+
+def test_short_circuit(docs, monkeypatch):
+    """Each document runs the rules up to its first rejection and no more; the verdict is that of all rules."""
+    cost, rejected = cascade.estimate(docs)
+    assert set(cost) == set(cascade.RULES) and sum(rejected.values()) == docs.count()
+    named = [(x, cascade.RULES[x]) for x in cascade.order(cost, rejected)]
+    texts = [r["text"] for r in docs.collect()]
+    for text in texts:
+        ran = []
+        rules = [(x, lambda t, x=x, rule=rule: ran.append(x) or rule(t)) for x, rule in named]
+        why = cascade.first_rejection(cascade.Text(text), rules)
+        failed = [x for x, rule in named if rule(cascade.Text(text))]
+        assert why == (failed[0] if failed else None)
+        assert ran == [x for x, _ in named][: [x for x, _ in named].index(why) + 1 if why else None]
+    short = {r["doc_id"]: r["kept"] for r in cascade.judge(docs, counts=False).collect()}
+    assert short == {r["doc_id"]: r["kept"] for r in cascade.op_query(docs).collect()}
+
+
+def test_cascade_edges(spark, edge, docs):
+    rows = cascade.op_query(edge.withColumn("kept", F.lit("x")).withColumn("n_words", F.lit(1))).collect()
+    assert len(rows) == len(EDGE)
+    got = {r["doc_id"]: (r["n_words"], r["word_chars"], r["n_repeat_words"], r["base_failed"], r["kept"]) for r in rows}
+    assert got[1] == got[2] == got[7] == (0, 0, 0, True, False) and got[4] == got[None] == (2, 2, 0, True, False)
+    assert got[3] == (18000, 51000, 18000, True, False)
+    assert cascade.op_query(docs.limit(0)).collect() == [] == cascade.judge(docs.limit(0), counts=False).collect()
 
 
 def test_toxicity_restores(spark, docs):
@@ -369,6 +425,105 @@ def test_brown_base(docs, texts):
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
+def test_brown_exchange_by_brute_force():
+    """A word's best class is the one of the greatest objective over all ways to class it, whatever class it leaves."""
+    draw = np.random.default_rng(4)
+    classes, words = 3, 9
+    for _ in range(60):
+        pairs = draw.integers(0, 4, (words, words)).astype(float)
+        np.fill_diagonal(pairs, 0)
+        of = draw.integers(0, classes, words)
+        of[-2:] = classes, classes + 1  # the end, and words without a class
+
+        def bigrams(of, but=None):
+            n = np.zeros((classes + 2, classes + 2))
+            for a, b in zip(*np.nonzero(pairs), strict=True):
+                if but not in (a, b):
+                    n[of[a], of[b]] += pairs[a, b]
+            return n
+
+        some = draw.permutation(words - 2)[:3]
+        of[some[0]] = classes + 1
+        owner, side, beside, x = [], [], [], []
+        for i, w in enumerate(some):
+            for k, row in enumerate((pairs[w], pairs[:, w])):
+                by_class = np.bincount(of, row, classes + 2)
+                at = np.flatnonzero(by_class)
+                owner, side, beside, x = owner + [i] * len(at), side + [k] * len(at), [*beside, *at], [*x, *by_class[at]]
+        got = brown.best_classes(np.array(owner), np.array(side), np.array(beside), np.array(x), of[some], bigrams(of), classes)
+        for w, to in zip(some, got, strict=True):
+            value = []
+            for k in range(classes):
+                moved = of.copy()
+                moved[w] = k
+                value.append(brown.objective(bigrams(moved)))
+            assert math.isclose(value[to], max(value))
+
+
+def test_brown_core_exchange_by_brute_force():
+    draw = np.random.default_rng(6)
+    for _ in range(40):
+        pairs = draw.integers(0, 5, (8, 8)).astype(float)
+        of = draw.integers(0, 3, 8)
+
+        def bigrams(of, but=None):
+            n = np.zeros((3, 3))
+            for a, b in zip(*np.nonzero(pairs), strict=True):
+                if but not in (a, b):
+                    n[of[a], of[b]] += pairs[a, b]
+            return n
+
+        w = int(draw.integers(0, 8))
+        right, left = np.bincount(of, pairs[w], 3), np.bincount(of, pairs[:, w], 3)
+        right[of[w]] -= pairs[w, w]
+        left[of[w]] -= pairs[w, w]
+        gain = brown.gains(bigrams(of, w), right, left, pairs[w, w])
+        value = [brown.objective(bigrams(np.where(np.arange(8) == w, k, of))) for k in range(3)]
+        assert np.allclose(gain - gain[0], np.array(value) - value[0])
+
+
+def test_brown_scores_sum_to_one(spark, docs):
+    """The chances of all words after a class, and one of no count, are one."""
+    model, ids, rest = brown.train(docs)
+    p = 10.0 ** model.log_trans
+    assert np.allclose(p.sum(axis=1), 1)
+    for c in range(len(p)):
+        inside = model.of[:-1] == c
+        if c != model.rare_class:
+            assert not inside.any() or math.isclose((10.0 ** model.emit[:-1][inside]).sum(), 1, rel_tol=1e-6)
+    far = [10.0 ** (math.log10(r["n"] + 1) - model.log_rare) for r in rest.collect()]
+    assert math.isclose((10.0 ** model.emit[:-1][model.of[:-1] == model.rare_class]).sum() + sum(far) + 10.0**-model.log_rare, 1, rel_tol=1e-6)
+
+
+def test_brown_score_by_hand(spark, docs, texts):
+    """The score of a document is the product of class transitions and emissions, word by word; also with words beyond the broadcast ones."""
+    import unittest.mock
+
+    with unittest.mock.patch.object(brown, "NEAR", 3000):
+        model, ids, rest = brown.train(docs)
+    far = {bytes(r["word"]): r["n"] for r in rest.collect()}
+    assert far and 0 < len(model.counts) - 1 <= 3000
+    for r in brown.score(docs.where("doc_id < 40"), model, ids, rest, F.lit(False)).collect():
+        total, was = 0.0, model.end_class
+        for w in [*texts[r["doc_id"]].encode().lower().split(), brown.END]:
+            i = ids.value[w]
+            c = model.of[i]
+            count = model.counts[i] if i >= 0 else far.get(w, 0)
+            emit = math.log10(count + 1) - model.log_rare if c == model.rare_class else model.emit[i]
+            total, was = total + model.log_trans[was, c] + emit, c
+        assert math.isclose(total, r["score"], rel_tol=1e-9)
+
+
+def test_cut(spark):
+    from basalt.llm.common import cut
+
+    d = spark.createDataFrame([(i, n) for i, n in enumerate([1] * 50 + [2] * 20 + [3] * 5 + [900, 901, 5000])], "i int, n long")
+    for most in (0, 1, 3, 8, 28, 30, 78, 100):
+        least = cut(d, most)
+        kept = d.where(F.col("n") > least).count()
+        assert kept <= most and (least > 0 or most >= 78) and (most not in (8, 28, 78) or kept == most)
+
+
 def test_brown_edges(edge, docs):
     assert brown.op_query(edge).count() == len(EDGE)
     assert brown.op_query(docs.limit(0)).count() == 0
@@ -510,6 +665,87 @@ def test_secrets_keep_the_rest_of_a_run():
     assert [x for x in got if x[1] == "jwt"] and got[-1][0].endswith(tail)
 
 
+def planted_secrets(n=300, seed=5):
+    """(text, secret or None): true secrets and decoys in shapes and contexts that training doesn't copy."""
+    import random
+    import string
+
+    r = random.Random(seed)
+    alnum, hexa = string.ascii_letters + string.digits, "0123456789abcdef"
+
+    def of(signs, k):
+        return "".join(r.choices(signs, k=k))
+
+    out = []
+    for i in range(n):
+        lead, tail = " ".join(r.choices(["we", "saw", "the", "log", "of", "a", "job"], k=5)), " ".join(r.choices(["and", "then", "left", "it"], k=4))
+        if i % 2:
+            key = r.choice([of(alnum, 32), of(alnum + "_-", 40), of(hexa, 48), of(string.ascii_uppercase + "234567", 32), of(alnum + "+/", 44)])
+            before = r.choice(["service_token: ", "export DB_PASSWORD=", '"apiKey": "', "smtp_secret = '", "x-api-key: ", "auth_key="])
+            out.append((f"{lead} {before}{key}{chr(34) if chr(34) in before else chr(39) if chr(39) in before else ''} {tail}", key))
+        else:
+            decoy = r.choice([
+                f"index {of(hexa, 7)}..{of(hexa, 40)} 100644", f"request_id={of(hexa, 8)}-{of(hexa, 4)}-{of(hexa, 4)}-{of(hexa, 4)}-{of(hexa, 12)}",
+                f"sha256: {of(hexa, 64)}", f"src/main/java/org/module{r.randint(10, 99)}/parts/file_{r.randint(100, 999)}.java", "password = <your_password_here>",
+                "token = get_token_from_environment_2()", f"build 2024-1{r.randint(0, 2)}-2{r.randint(0, 8)}T1{r.randint(0, 9)}-{r.randint(100000, 999999)}", "api_key: ${API_KEY_FROM_VAULT}",
+            ])
+            out.append((f"{lead} {decoy} {tail}", None))
+    return out
+
+
+def test_secrets_precision_and_recall(spark, sf):
+    """On planted secrets and decoys precision and recall are over 0.9, and the forest rejects candidates."""
+    scanner = secret_scan.train(spark.read.parquet(f"{sf[:-5]}0.01/documents.parquet"))
+    hit = false = missed = rejected = 0
+    for text, key in planted_secrets():
+        found = scanner.scan(text)
+        said = [text[a:b] for a, b, _, p in found if p >= secret_scan.THRESHOLD]
+        rejected += sum(p < secret_scan.THRESHOLD for *_, p in found)
+        hit, missed = hit + (key in said), missed + (key is not None and key not in said)
+        false += sum(x != key for x in said)
+    assert rejected >= 50 and hit >= 0.9 * (hit + missed) and hit >= 0.9 * (hit + false), (hit, missed, false, rejected)
+
+
+def test_overlaps_are_settled_after_scoring():
+    findings = [(0, 30, "long_string", 0.4), (6, 30, "assignment", 0.7), (6, 12, "jwt", 0.6), (12, 30, "long_string", 0.9), (40, 50, "long_string", 0.1)]
+    assert secret_scan.resolve(findings) == [(6, 12, "jwt", 0.6), (12, 30, "long_string", 0.9), (40, 50, "long_string", 0.1)]
+    draw = np.random.default_rng(1)
+    for _ in range(50):
+        some = [(int(a), int(a + n), "long_string", float(p)) for a, n, p in zip(draw.integers(0, 60, 12), draw.integers(1, 20, 12), draw.random(12), strict=True)]
+        kept = []
+        for f in sorted(some, key=lambda f: (f[3] < secret_scan.THRESHOLD, -f[3])):
+            if all(f[1] <= x[0] or x[1] <= f[0] for x in kept):
+                kept.append(f)
+        assert sorted(kept) == secret_scan.resolve(some)
+    text = "token=AB12cd/34ef56gh78ij90kl"
+    assert (6, len(text), "assignment") in secret_scan.candidates(text)
+
+
+def test_forest_parts_and_predicts(spark):
+    """Every tree's share at a row is that of a walk by hand; a separable target is learnt."""
+    draw = np.random.default_rng(2)
+    x = draw.random((300, 5))
+    y = (x[:, 2] > 0.5).astype(float)
+    forest = secret_scan.Forest(x, y, trees=9, depth=4)
+    for row, p in zip(x[:50], forest.predict(x[:50]), strict=True):
+        shares = []
+        for t in forest.trees:
+            at = 0
+            while t[at][0] >= 0:
+                at = int(t[at][2] if row[int(t[at][0])] <= t[at][1] else t[at][3])
+            shares.append(t[at][4])
+        assert math.isclose(p, sum(shares) / len(shares))
+    assert ((forest.predict(x) >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_secret_edges(spark, docs):
+    scanner = secret_scan.train(docs.limit(0))
+    odd = spark.createDataFrame([(1, None, 3, "a"), (1, "", 3, "a"), (None, "api_key = 'k9X2m4Q7z1B8v3N6c5L0'", 3, None)], "doc_id long, text string, start int, rule string")
+    assert secret_scan.scan(odd, scanner).count() == 1 and secret_scan.scan(odd.limit(0), scanner).count() == 0
+    assert [r[0] for r in secret_scan.redact(odd, scanner).select("start").collect()] == [3, 3, 3]
+    assert secret_scan.op_query(docs.limit(0)).collect() == []
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 

@@ -100,3 +100,79 @@ def test_readers(spark, tmp_path):
         readers.load(spark, str(tmp_path / "none.parquet"))
     (tmp_path / "d.csv").write_text("a,a,b\n1,2,3\n")
     assert readers.load_csv_resolving(spark, str(tmp_path / "d.csv"), {1: "rename:c"}).columns == ["a", "c", "b"]
+
+
+def test_quantiles_in_ranges(spark):
+    """Cut into ranges of a few values, quantiles are those of numpy; nulls, ties, NaN and empty features included."""
+    import numpy as np
+
+    from basalt.operators.order import column_quantiles, quantiles
+
+    draw = np.random.default_rng(0)
+    rows = [("a", float(x)) for x in draw.normal(size=700)] + [("b", float(x)) for x in draw.integers(0, 5, 300)] + [("c", None), ("b", None), ("d", 7.0), ("d", float("nan"))]
+    cells, levels = spark.createDataFrame(rows, "feature string, value double"), [0.0, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0]
+    for part_rows in (20, 10**6):
+        got = {r["feature"]: r["q"] for r in quantiles(cells, levels, part_rows).collect()}
+        assert set(got) == {"a", "b", "d"}
+        for f, q in got.items():
+            assert np.allclose(q, np.quantile([v for k, v in rows if k == f and v is not None and v == v], levels), rtol=1e-12)
+    assert column_quantiles(spark.createDataFrame([], "x double"), ["x"], [0.5]) == {}
+
+
+def test_running_totals_in_ranges(spark):
+    from basalt.operators.order import running
+
+    for values, kind in ((range(0, 500, 3), "long"), ([f"k{i:03d}" for i in range(200)], "string")):
+        d = spark.createDataFrame([(v, i % 4) for i, v in enumerate(values)], f"v {kind}, n long").repartition(7)
+        got = sorted((r["v"], r["n_before"]) for r in running(d, "v", ["n"], part_rows=15).collect())
+        assert got == [(v, sum(j % 4 for j in range(i))) for i, v in enumerate(values)]
+
+
+def test_ranks_of_values_that_train_lacks(spark):
+    from basalt.operators.features import rank_on_train
+
+    train = spark.createDataFrame([(float(x),) for x in (1, 2, 2, 3, 4, 5)] + [(None,)], "x double")
+    new = spark.createDataFrame([(x,) for x in (0.5, 1.0, 2.0, 2.5, 5.0, 10.0, 10.0, None)], "x double")
+    want = {"percentile": [0, 0, 1 / 6, 3 / 6, 5 / 6, 1, 1, None], "global": [0, 1, 3, 3, 6, 6, 6, None], "dense": [0, 0, 1, 2, 4, 5, 5, None]}
+    for method, ranks in want.items():
+        got = {r["x"]: r["x_rank"] for r in rank_on_train(train, "x", method)(new).collect()}
+        assert all(got[x] == r or math.isclose(got[x], r) for x, r in zip((0.5, 1.0, 2.0, 2.5, 5.0, 10.0, 10.0, None), ranks, strict=True))
+
+
+def test_numeric_weight_of_evidence_is_by_bin(spark):
+    from basalt.operators.features import woe_encode
+
+    d = spark.createDataFrame([(float(i), int(i % 10 < (2 if i < 50 else 8))) for i in range(100)], "x double, y int")
+    got = {r["x"]: r["x_woe"] for r in woe_encode(d, "x", "y", bins=2)(d.unionByName(spark.createDataFrame([(24.5, 0), (-9.0, 0), (999.0, 0), (None, 0)], "x double, y int"))).collect()}
+    low, high = math.log((10 / 50) / (40 / 50)), math.log((40 / 50) / (10 / 50))
+    assert math.isclose(got[24.5], low) and math.isclose(got[-9.0], low) and math.isclose(got[999.0], high) and got[None] == 0
+
+
+def test_vif_and_components_equal_numpy(spark, sf):
+    import numpy as np
+
+    rows = catalogue.lines(lambda t: spark.read.parquet(f"{sf}/{t}.parquet")).select("l_quantity", "l_extendedprice", "l_discount", "l_tax", "price2").collect()
+    x = np.array([list(r) for r in rows])
+    got = {r["feature"]: r["vif"] for r in catalogue.QUERIES["vif"](spark, sf).collect()}
+    for i, c in enumerate(("l_quantity", "l_extendedprice", "l_discount", "l_tax")):
+        others = np.delete(x[:, :4], i, axis=1)
+        rest = x[:, i] - others @ np.linalg.lstsq(others, x[:, i], rcond=None)[0]
+        assert got[c] == round(float((x[:, i] ** 2).sum() / (rest**2).sum()), 2)
+    z = (x - x.mean(0)) / x.std(0)
+    values = np.sort(np.linalg.eigvalsh(z.T @ z / len(z)))[::-1]
+    assert np.allclose([r["ratio"] for r in catalogue.QUERIES["pca_variance"](spark, sf).collect()], values / values.sum(), atol=1e-9)
+
+
+def test_yeo_johnson_is_the_best_lambda(spark, sf):
+    import numpy as np
+
+    from basalt.operators.features import yeo_johnson_lambda
+
+    x = np.random.default_rng(1).lognormal(size=400)
+    lam = yeo_johnson_lambda(spark.createDataFrame([(float(v),) for v in x], "x double"), "x")
+
+    def loss(g):
+        y = np.log1p(x) if abs(g) < 1e-9 else ((x + 1) ** g - 1) / g
+        return 0.5 * len(x) * math.log(y.var()) - (g - 1) * np.log1p(x).sum()
+
+    assert all(loss(lam) <= loss(lam + d) + 1e-6 for d in (-0.05, -0.005, 0.005, 0.05))
