@@ -367,7 +367,10 @@ def prefix(h: np.ndarray, counts: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _prefixes(own: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """(shingle, k, c) of the prefix of every text of ``own`` (k, c, text), by estimated frequency among these texts."""
+    """(shingle, k, c, n, place) of the prefix of every text of ``own`` (k, c, text), by estimated frequency among these texts.
+
+    n is the number of the text's shingles, place that of the shingle among them, the rarest being 0.
+    """
 
     def count(batches):
         total = np.zeros(SLOTS, dtype=np.int64)
@@ -385,20 +388,23 @@ def _prefixes(own: DataFrame, similarity: float, shingle: int) -> DataFrame:
 
     def work(batches):
         for batch in batches:
-            parts = [prefix(shingle_hashes(raw, shingle), sent.value, similarity) for raw in text_bytes(batch)]
+            every = [shingle_hashes(raw, shingle) for raw in text_bytes(batch)]
+            parts = [prefix(h, sent.value, similarity) for h in every]
             at = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
-            both = {c: batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("k", "c")}
-            yield {"shingle": np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)} | both
+            out = {c: batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("k", "c")}
+            out["n"] = np.array([len(h) for h in every], dtype=np.int64)[at]
+            out["place"] = np.concatenate([*(np.arange(len(x)) for x in parts), np.zeros(0, np.int64)])
+            yield {"shingle": np.concatenate([*parts, np.zeros(0, np.uint64)]).view(np.int64)} | out
 
-    return map_arrow(own.select("k", "c", "text"), work, "shingle long, k long, c long", pa.schema([("shingle", pa.int64()), ("k", pa.int64()), ("c", pa.int64())]))
+    return map_arrow(own.select("k", "c", "text"), work, "shingle long, k long, c long, n long, place long", pa.schema([(x, pa.int64()) for x in ("shingle", "k", "c", "n", "place")]))
 
 
-def _unconnected(hot: DataFrame, sigs: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
+def _unconnected(hot: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float, shingle: int) -> DataFrame:
     """Pairs (a, b) of texts of the buckets of ``hot`` that lie in different components (node, root) and may be similar.
 
     A bucket is large because its texts share some passage. So they meet by what is rare among them: two
-    texts of the similarity share a shingle of their prefixes, and a passage that many share is in no
-    prefix. Of two texts with a shingle in common one lies outside the shingle's largest component, so
+    texts of the similarity share a shingle of their prefixes, and a passage that many share comes late there,
+    where too little is left for the similarity. Of two texts with a shingle in common one lies outside the shingle's largest component, so
     only those outside meet the others.
     """
     named = checkpoint(hot.join(roots, hot["k"] == roots["node"], "left").select("key", "k", F.coalesce("root", "k").alias("c")))
@@ -408,11 +414,14 @@ def _unconnected(hot: DataFrame, sigs: DataFrame, texts: DataFrame, roots: DataF
     emitted = checkpoint(_prefixes(own, similarity, shingle))
     sizes = emitted.groupBy("shingle", "c").agg(F.count("*").alias("m"))
     largest = sizes.groupBy("shingle").agg(F.max_by("c", F.struct("m", "c")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "top")
-    signed = checkpoint(emitted.join(largest, "shingle").join(sigs, "k").select("shingle", "k", "c", "top", "sig"))
-    outside = signed.where("c <> top").select("shingle", F.col("k").alias("x"), F.col("c").alias("cx"), F.col("sig").alias("sx"))
+    known = emitted.join(largest, "shingle")
+    outside = known.where("c <> top").select("shingle", *[F.col(c).alias(f"{c}_x") for c in ("k", "c", "n", "place")])
+    sized = F.least("n", "n_x") >= similarity * F.greatest("n", "n_x") - 1e-9
+    # at the first shingle in common, nothing before it and at most what follows it in either text is common
+    room = F.least(F.col("n") - F.col("place"), F.col("n_x") - F.col("place_x")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n_x")) - 1e-9
     # two outside meet once, by the order of their keys
-    met = outside.join(signed, "shingle").where("cx <> c and (c = top or x > k)").where(_likely("sx", "sig", similarity))
-    return met.select(*_ordered("x", "k")).distinct()
+    met = outside.join(known, "shingle").where("c_x <> c and (c = top or k_x > k)").where(sized & room)
+    return met.select(*_ordered("k_x", "k")).distinct()
 
 
 def text_key(text, clashes: tuple[int, ...] = ()):
@@ -459,7 +468,7 @@ def _groups(docs: DataFrame, text_col: str, similarity: float, shingle: int, cap
     pairs = few.select("key", F.col("k").alias("a")).join(few.select("key", F.col("k").alias("b")), "key").where("a > b").select("a", "b")
     found = checkpoint(pairs.union(_chain(hot, sigs)).distinct())
     edges = checkpoint(_verified(found, sigs, texts, similarity, shingle))
-    met = checkpoint(_unconnected(hot, sigs, texts, components(edges), similarity, shingle).join(found, ["a", "b"], "left_anti"))
+    met = checkpoint(_unconnected(hot, texts, components(edges), similarity, shingle).join(found, ["a", "b"], "left_anti"))
     more = _verified(met, sigs, texts, similarity, shingle)
     return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group")), clashes
 

@@ -214,7 +214,7 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | No
                 continue
             out.append((value, f"{prose()} {key}{sign}{quote}" if named else prose() + " ", (quote if named else "") + " " + prose(), rule, 1))
         else:
-            kind = r.randrange(9)
+            kind = r.randrange(11)
             if kind < 3:  # digests, commits, identifiers
                 value = (of(hexa, 40), of(hexa, 64), f"{of(hexa, 8)}-{of(hexa, 4)}-4{of(hexa, 3)}-a{of(hexa, 3)}-{of(hexa, 12)}")[kind]
                 before, rule = f"{prose()} {r.choice(['commit', 'sha256', 'md5', 'checksum', 'uuid', 'etag', 'order', 'build'])}{sign}", "long_string"
@@ -233,6 +233,10 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED, words: list[str] | No
             elif kind == 7:  # prose after a telling word
                 value = r.choice(words) + r.choice(words)
                 before, rule = f"{prose()} {key}{sign}", "assignment"
+            elif kind > 8:  # code that fetches a secret, and names of settings
+                name = "_".join(r.choices(words, k=r.randint(2, 4)))
+                value = r.choice([f"{name}({r.choice(['', r.choice(words)])})", f"{r.choice(words)}.{name}", f"os.environ[{name.upper()}]", f"{name}_{r.randint(1, 9)}()", f"${{{name.upper()}}}", f"{{{{{name}}}}}"])
+                before, rule = f"{prose()} {key}{sign}", "assignment"
             else:  # snake case names
                 value = "_".join(r.choices(words, k=4)) + f"_{r.randint(100, 999)}"
                 before, rule = f"{prose()} {r.choice(['', key + sign])}", r.choice(["long_string", "assignment"])

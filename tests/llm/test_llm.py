@@ -177,10 +177,9 @@ def test_texts_of_one_template(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = golay.near_duplicates(d, cap=4).groupBy("group").count().collect()
     assert [r["count"] for r in got] == [2] * 40
-    sigs, _ = golay.signatures(d, "text", 5)
     named = d.select(golay.text_key(F.col("text")).alias("k"), "text")
     hot = named.select(F.lit(1).cast("long").alias("key"), "k")
-    met = golay._unconnected(hot, sigs, named, spark.createDataFrame([], "node long, root long"), 0.8, 5)
+    met = golay._unconnected(hot, named, spark.createDataFrame([], "node long, root long"), 0.8, 5)
     assert 40 <= met.count() < 400 < 80 * 79 // 2
 
 
@@ -245,12 +244,11 @@ def test_decontamination_finds_other_case(spark):
 
 
 def test_short_items_and_edges(spark, docs, sf):
-    b = spark.createDataFrame([(1, "How far is Rome?"), (2, "two words"), (2, "two words"), (None, "How far is Rome?"), (4, "what is the mass of 3 kg gold"), (5, None)], "item_id long, text string")
+    b = spark.createDataFrame([(1, "how far away is Rome?"), (2, "two words"), (2, "two words"), (None, "how far away is Rome?"), (4, "what is the mass of 3 kg gold"), (5, None)], "item_id long, text string")
     d = spark.createDataFrame([(1, "He asked: how far is Oslo? Nobody", "x"), (2, "How far is", "x"), (3, "what is the mass of 12 kg gold", "x"), (3, "what is the mass of 12 kg gold", "x"), (4, None, "x"), (5, "", None)], "doc_id long, text string, item_id string")
     got = sorted((r["doc_id"], r["item_id"] or 0, r["n_windows"], r["matched_windows"], r["verbatim"]) for r in decontam.contamination(d, b).collect())
-    # names are read in lower case too, where Rome and Oslo differ, so only an item whose name keeps its capital is met
     assert (3, 4, 1, 1, False) in got and not any(r[0] in (2, 4, 5) or r[1] == 2 for r in got)
-    same = spark.createDataFrame([(1, "So: How far is Oslo?", 7)], "doc_id long, text string, n_windows int")
+    same = spark.createDataFrame([(1, "So, how far away is Oslo?", 7)], "doc_id long, text string, n_windows int")
     assert {r["item_id"] for r in decontam.contamination(same, b).collect()} == {1, None}
     assert decontam.drop_contaminated(same, b).count() == 0 and decontam.drop_contaminated(d, b).columns == d.columns
     bench = spark.read.parquet(f"{sf}/benchmark.parquet")
