@@ -11,3 +11,5 @@ WINSOR, MAD_LIMIT, RARE_FREQUENCY, RARE_TOP = 0.01, 3.5, 0.01, 10
 HASH_COMPONENTS, EPSILON = 8, 1e-8
 MAX_CLASSES, MIN_OOT, MAX_RATE_GAP = 20, 50, 0.05
 QUANTILES, KNOTS, SPLINE_DEGREE, COMPONENTS, NOISE, NOISE_ROWS, PERMUTATIONS, ROUNDS = 1000, 5, 3, 10, 0.05, 0.05, 10, 10
+LEAKAGE_AUC, RANDOM_AUC, OVERFIT_GAP, PSI_WATCH, ECE_GAIN = 0.99, 0.55, 0.10, 0.10, 0.001
+BALANCED, RED_MISSING = (0.35, 0.65), 0.5

@@ -149,8 +149,8 @@ def reshape(train: DataFrame, columns: list[str], strategy: str, overrides: dict
         if name == "reciprocal" and zeros:
             raise ValueError(f"reciprocal needs values other than 0 in {c}")
     done: list[Stage] = []
-    plain = {c: SHAPES[n][0](F.col(c).cast("double")) for c, n in plans.items() if n in SHAPES}
-    done.append(lambda df: _each(df, plain) if plain else df)
+    plain = {c: n for c, n in plans.items() if n in SHAPES}
+    done.append(lambda df: _each(df, {c: SHAPES[n][0](F.col(c).cast("double")) for c, n in plain.items()}) if plain else df)
     for c, name in plans.items():
         if name not in SHAPES and name != "none":
             done.append(registry(name, c)(train))
@@ -199,21 +199,27 @@ def combine(a: str, b: str, separator: str = "_") -> Stage:
 
 def date_parts(train: DataFrame, column: str, reference: str | None = None, drop: bool = True, hour: bool = False) -> Stage:
     """Age, calendar parts and cyclic encodings; the reference is given or the column's latest value."""
-    latest = F.to_timestamp(F.lit(reference)) if reference else F.lit(train.agg(F.max(F.col(column).cast("timestamp"))).first()[0])
-    ts = F.col(column).cast("timestamp")
-    days = F.floor((F.unix_micros(latest.cast("timestamp")) - F.unix_micros(ts)) / 86_400_000_000)
-    month, dow = F.month(ts), F.weekday(ts)
+    last = None if reference else train.agg(F.max(F.col(column).cast("timestamp"))).first()[0]
 
-    def turn(f, c: Column, period: int) -> Column:
-        return f(2 * math.pi * c / period)
+    def run(df: DataFrame) -> DataFrame:
+        latest = F.to_timestamp(F.lit(reference)) if reference else F.lit(last).cast("timestamp")
+        ts = F.col(column).cast("timestamp")
+        days = F.floor((F.unix_micros(latest.cast("timestamp")) - F.unix_micros(ts)) / 86_400_000_000)
+        month, dow = F.month(ts), F.weekday(ts)
+
+        def turn(f, c: Column, period: int) -> Column:
+            return f(2 * math.pi * c / period)
+
+        new = {
+            "age_days": days, "age_months": F.bround(days / 30.44), "year": F.year(ts), "month": month, "day_of_week": dow, "quarter": F.quarter(ts),
+            "month_sin": turn(F.sin, month, 12), "month_cos": turn(F.cos, month, 12), "dow_sin": turn(F.sin, dow, 7), "dow_cos": turn(F.cos, dow, 7), "is_weekend": F.coalesce((dow >= 5).cast("int"), F.lit(0)),
+        }
+        if hour:
+            new |= {"hour_sin": turn(F.sin, F.hour(ts), 24), "hour_cos": turn(F.cos, F.hour(ts), 24)}
+        out = df.withColumns({f"{column}_{k}": v for k, v in new.items()})
+        return out.drop(column) if drop else out
 
-    new = {
-        "age_days": days, "age_months": F.bround(days / 30.44), "year": F.year(ts), "month": month, "day_of_week": dow, "quarter": F.quarter(ts),
-        "month_sin": turn(F.sin, month, 12), "month_cos": turn(F.cos, month, 12), "dow_sin": turn(F.sin, dow, 7), "dow_cos": turn(F.cos, dow, 7), "is_weekend": F.coalesce((dow >= 5).cast("int"), F.lit(0)),
-    }
-    if hour:
-        new |= {"hour_sin": turn(F.sin, F.hour(ts), 24), "hour_cos": turn(F.cos, F.hour(ts), 24)}
-    return lambda df: (lambda x: x.drop(column) if drop else x)(df.withColumns({f"{column}_{k}": v for k, v in new.items()}))
+    return run
 
 
 def categories(train: DataFrame, column: str) -> DataFrame:
@@ -224,8 +230,12 @@ def categories(train: DataFrame, column: str) -> DataFrame:
 
 def ordered(column: str, order: list[str]) -> Stage:
     """Numbers of categories in a given order; -1 for others and null."""
-    places = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
-    return lambda df: df.withColumn(f"{column}_ordinal", F.coalesce(F.try_element_at(places, F.col(column).cast("string")), F.lit(-1)))
+
+    def run(df: DataFrame) -> DataFrame:
+        places = F.create_map(*[x for i, c in enumerate(order) for x in (F.lit(c), F.lit(i))])
+        return df.withColumn(f"{column}_ordinal", F.coalesce(F.try_element_at(places, F.col(column).cast("string")), F.lit(-1)))
+
+    return run
 
 
 def ordinal(train: DataFrame, column: str, order: list[str] | None = None) -> Stage:
@@ -239,9 +249,9 @@ def binary_bits(train: DataFrame, column: str) -> Stage:
     state = categories(train, column)
     k = max(1, state.count())
     bits = max(1, math.ceil(math.log2(k))) if k > 1 else 1
-    code = F.coalesce("__i", F.lit(0))
 
     def run(df: DataFrame) -> DataFrame:
+        code = F.coalesce("__i", F.lit(0))
         return _lookup(df, state, column, "index", "__i", F.lit(0)).withColumns({f"{column}_bin{i}": F.shiftright(code, i).bitwiseAND(F.lit(1)) for i in range(bits)}).drop("__i")
 
     return run
@@ -268,10 +278,14 @@ def rare_group(train: DataFrame, column: str, min_frequency: float = S.RARE_FREQ
 
 def hash_encode(column: str, components: int = S.HASH_COMPONENTS) -> Stage:
     """Signed hashing by md5: bucket from the first 8 hex digits, sign from the parity of the next 8."""
-    digest = F.md5(F.coalesce(F.col(column).cast("string"), F.lit("__missing__")))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % components
-    sign = F.when(F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    return lambda df: _each(df, {f"{column}_hash{i}": F.when(bucket == i, sign).otherwise(0) for i in range(components)})
+
+    def run(df: DataFrame) -> DataFrame:
+        digest = F.md5(F.coalesce(F.col(column).cast("string"), F.lit("__missing__")))
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % components
+        sign = F.when(F.conv(F.substring(digest, 9, 8), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
+        return _each(df, {f"{column}_hash{i}": F.when(bucket == i, sign).otherwise(0) for i in range(components)})
+
+    return run
 
 
 def target_encode(train: DataFrame, column: str, target: str, m: float = S.SMOOTHING) -> Stage:
@@ -360,12 +374,16 @@ def bin_column(train: DataFrame, column: str, strategy: str = "quantile", bins:
 
 def into_bins(column: str, edges: list[float]) -> Stage:
     """Number of the right-closed bin of each value, the lowest edge included; -1 outside and for null."""
-    c, out = F.col(column).cast("double"), F.lit(-1)
-    for i in range(len(edges) - 2, -1, -1):
-        out = F.when((c > edges[i]) & (c <= edges[i + 1]), i).otherwise(out)
-    if edges:
-        out = F.when(c == edges[0], 0).otherwise(out)
-    return lambda df: df.withColumn(f"{column}_bin", out)
+
+    def run(df: DataFrame) -> DataFrame:
+        c, out = F.col(column).cast("double"), F.lit(-1)
+        for i in range(len(edges) - 2, -1, -1):
+            out = F.when((c > edges[i]) & (c <= edges[i + 1]), i).otherwise(out)
+        if edges:
+            out = F.when(c == edges[0], 0).otherwise(out)
+        return df.withColumn(f"{column}_bin", out)
+
+    return run
 
 
 def rank_on_train(train: DataFrame, column: str, method: str = "percentile") -> Stage:
@@ -423,6 +441,13 @@ def polynomial(columns: list[str], degree: int = 2, interaction_only: bool = Fal
     return lambda df: df.select(*[c for c in df.columns if c not in columns], *[value(t).alias(name(t)) for t in terms])
 
 
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r over the rows that have both; null where one of them doesn't vary."""
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a), F.when(both, b)
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
 class LeakageError(ValueError):
     """A feature gives the target away."""
 
@@ -436,7 +461,7 @@ def leakage(df: DataFrame, columns: list[str], target: str, limit: float = S.LEA
     dates = set(buckets(df)["datetime"])
     nums = [c for c in columns if c not in dates and c in set(numeric(df))]
     late = {c: F.max(F.col(c).cast("timestamp")) > F.lit(reference).cast("timestamp") if reference and c in dates else F.lit(False) for c in columns}
-    one = df.agg(*[(F.corr(F.col(c).cast("double"), y) if c in nums else F.lit(None).cast("double")).alias(c) for c in columns], *[F.coalesce(late[c], F.lit(False)).alias(f"__late{i}") for i, c in enumerate(columns)])
+    one = df.agg(*[(correlation(F.col(c).cast("double"), y) if c in nums else F.lit(None).cast("double")).alias(c) for c in columns], *[F.coalesce(late[c], F.lit(False)).alias(f"__late{i}") for i, c in enumerate(columns)])
     each = [F.struct(F.lit(c).alias("feature"), F.round(F.col(c), 6).alias("r"), (F.lit(target.lower() in c.lower()) | F.col(f"__late{i}")).alias("named")) for i, c in enumerate(columns)]
     rows = one.select(F.inline(F.array(*each)))
     out = rows.select("feature", "r", F.when(F.abs("r") > limit, "critical").when(F.col("named"), "warning").otherwise("ok").alias("level"))

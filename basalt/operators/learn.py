@@ -1,82 +1,24 @@
-"""Model lifecycle on pyspark.ml: train, compare, calibrate and explain."""
+"""What needs a fitted model beside an operator: tree bins, cluster quality, permutation importance."""
 
 from __future__ import annotations
 
 import math
 import re
+from functools import reduce
 
-from pyspark.ml import Pipeline
-from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, IsotonicRegression
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.models.factory import Model
 from basalt.operators import metrics as M
-from basalt.operators.order import column_quantiles
+from basalt.operators.order import running
 from basalt.operators.split import _numbered
 
-CLASSIFIERS = {
-    "logistic": lambda **k: LogisticRegression(**k),
-    "decision_tree": lambda **k: DecisionTreeClassifier(seed=S.SEED, **k),
-    "random_forest": lambda **k: RandomForestClassifier(seed=S.SEED, **({"numTrees": 20} | k)),
-    "gradient_boosting": lambda **k: GBTClassifier(seed=S.SEED, **({"maxIter": 5} | k)),
-}
-
-
-def fit(train: DataFrame, features: list[str], target: str, algorithm: str = "logistic", **params):
-    """A pipeline of assembling, scaling and the named classifier; rows with nulls are skipped."""
-    made = CLASSIFIERS[algorithm](labelCol=target, featuresCol="__x", **params)
-    stages = [VectorAssembler(inputCols=features, outputCol="__raw", handleInvalid="skip"), StandardScaler(inputCol="__raw", outputCol="__x", withMean=True, withStd=True), made]
-    return Pipeline(stages=stages).fit(train.select(*features, target))
-
-
-def score(model, df: DataFrame) -> DataFrame:
-    out = model.transform(df).withColumn("score", vector_to_array("probability")[1])
-    return out.drop("__raw", "__x", "rawPrediction", "probability")
-
-
-def leaderboard(split: DataFrame, features: list[str], target: str, algorithms: list[str] | None = None) -> DataFrame:
-    """Validation metrics of every algorithm, best AUC first; a failure is a row with its reason."""
-    spark, rows = split.sparkSession, []
-    train, val = split.where("split = 'train'"), split.where("split = 'val'")
-    for name in algorithms or list(CLASSIFIERS):
-        try:
-            scored = score(fit(train, features, target, name), val).select("score", target)
-            r = M.ranking_metrics(scored, "score", target).join(M.log_loss(scored, "score", target)).first()
-            rows.append((name, r["auc"], r["ks"], r["log_loss"], None))
-        except Exception as e:  # noqa: BLE001  a model that can't be trained is a result here
-            rows.append((name, None, None, None, str(e)[:200]))
-    return spark.createDataFrame(rows, "algorithm string, auc double, ks double, log_loss double, error string").orderBy(F.desc_nulls_last("auc"), "algorithm")
-
-
-def isotonic(df: DataFrame, score_col: str, label: str, bins: int = 10) -> DataFrame:
-    """Calibrated scores by isotonic regression, summarised by bin."""
-    d = df.select(F.col(score_col).alias("features"), F.col(label).cast("double").alias("label"))
-    model = IsotonicRegression().fit(d)
-    return M.calibration_bins(model.transform(d).withColumnRenamed("prediction", "p"), "p", "label", bins)
-
-
-def linear_shap(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """Mean absolute contribution coef * (x - mean) of each feature, best first."""
-    model = fit(df, features, target)
-    weights = model.stages[-1].coefficients.toArray().tolist()
-    stats = model.stages[1]
-    means, sds = stats.mean.toArray().tolist(), stats.std.toArray().tolist()
-    one = df.dropna(subset=features).agg(*[F.avg(F.abs(F.lit(w / (s or 1.0)) * (F.col(c) - F.lit(m)))).alias(c) for c, w, m, s in zip(features, weights, means, sds, strict=True)])
-    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("mean_abs_shap")) for c in features])))
-
-
-def partial_dependence(df: DataFrame, features: list[str], target: str, feature: str, points: int = 10) -> DataFrame:
-    """Mean prediction with one feature set to each quantile of its own; the grid is ``points`` rows."""
-    model = fit(df, features, target)
-    grid = column_quantiles(df, [feature], [i / (points - 1) for i in range(points)])[feature]
-    spread = df.select(*[c for c in features if c != feature], F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(grid))])).alias(feature))
-    return score(model, spread).groupBy(feature).agg(F.avg("score").alias("mean_score"))
-
 
 def kmeans_quality(df: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """Size and mean squared distance of every cluster."""
@@ -92,18 +34,26 @@ def permutation_importance(df: DataFrame, features: list[str], target: str, key:
     """Mean and deviation of the loss of AUC when a feature is permuted over all rows, most important first.
 
     Rows are numbered in two orders of the key's hash; each takes the value of the row of the same
-    number in the other order. Scores come from one model, so a repeat is a join and a ROC.
+    number in the other order. All repeats of a feature are scored, and their ROC curves summed, at once.
     """
-    model = fit(df, features, target, algorithm)
-    base = M.ranking_metrics(score(model, df), "score", target).first()["auc"]
-    own = df.select(key, target, *features)
+    model = Model(algorithm, features, target).fit(df)
+    own = df.dropna(subset=[*features, target]).select(key, target, *features)
+    base = M.ranking_metrics(model.predict(own), "score", target).first()["auc"]
+    pos, neg = own.agg(F.sum(F.col(target).cast("long")), F.sum(1 - F.col(target).cast("long"))).first()
     rows = []
     for f in features:
-        drops = []
+        shuffled = []
         for r in range(repeats):
-            here = _numbered(own.drop(f), key, [], 2 * r + 1).select(key, target, *[x for x in features if x != f], "__i")
+            here = _numbered(own.drop(f), key, [], 2 * r + 1).select(target, *[x for x in features if x != f], "__i")
             there = _numbered(own.select(key, f), key, [], 2 * r + 2).select(f, "__i")
-            drops.append(base - M.ranking_metrics(score(model, here.join(there, "__i")), "score", target).first()["auc"])
+            shuffled.append(here.join(there, "__i").withColumn("__r", F.lit(r)))
+        scored = model.predict(reduce(DataFrame.unionByName, shuffled))
+        # scores fall within a repeat, and repeats follow each other
+        per = scored.groupBy("__r", (F.col("__r") * 2 + 1 - F.col("score")).alias("down")).agg(F.sum(F.col(target).cast("long")).alias("p"), F.sum(1 - F.col(target).cast("long")).alias("n"))
+        placed = running(per, "down", ["p"])
+        area = F.sum(F.col("n").cast("double") * (F.col("p_before") - F.col("__r") * pos + F.col("p") / 2))
+        aucs = [r["a"] / (pos * neg) for r in placed.groupBy("__r").agg(area.alias("a")).collect()]
+        drops = [base - a for a in aucs]
         mean = sum(drops) / len(drops)
         rows.append((f, mean, (sum((x - mean) ** 2 for x in drops) / len(drops)) ** 0.5))
     ranked = sorted(rows, key=lambda x: (-x[1], x[0]))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basalt.core import settings as S
+from basalt.operators import explore as E
 from basalt.operators import features as X
 from basalt.operators import metrics as M
 from basalt.operators import profile as P
@@ -281,7 +282,10 @@ def select_iv(t):
     return C.low_iv(lines(t), IVN, "big")
 
 
-@query()
+_CORRELATED = " UNION ALL ".join(f"SELECT CASE WHEN var_samp({a}) < var_samp({b}) THEN '{a}' ELSE '{b}' END AS feature, CASE WHEN var_samp({a}) < var_samp({b}) THEN '{b}' ELSE '{a}' END AS correlated_with FROM lines HAVING abs(corr({a}, {b})) > 0.85" for a, b in _PAIRS)
+
+
+@query(f"WITH {LINES} {_CORRELATED}")
 def select_correlation(t):
     return C.correlated(lines(t), COR)
 
@@ -681,32 +685,47 @@ def kmeans_quality(t):
     return learn.kmeans_quality(t("embeddings"), 10)
 
 
+def orders_split(t) -> DataFrame:
+    joined = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return L.random_split(joined.withColumn("y", (F.col("o_totalprice") > 200000).cast("int")), "o_orderkey")
+
+
 @query()
 def leaderboard(t):
-    from basalt.operators import learn
+    from basalt.models import factory
+
+    return factory.leaderboard(orders_split(t), ["o_totalprice", "c_acctbal", "c_nationkey"], "y", ["logistic", "decision_tree", "naive_bayes", "lda"])
+
+
+@query()
+def regression_board(t):
+    from basalt.models import factory
 
-    return learn.leaderboard(L.random_split(t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("y", (F.col("o_totalprice") > 200000).cast("int")), "o_orderkey"), ["o_totalprice", "c_acctbal", "c_nationkey"], "y")
+    return factory.leaderboard(orders_split(t), ["o_custkey", "c_acctbal", "y"], "o_totalprice", ["linear", "ridge", "decision_tree"], "regression")
 
 
 @query()
 def shap_linear(t):
-    from basalt.operators import learn
+    from basalt.models import explain
 
-    return learn.linear_shap(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big")
+    return explain.shap_table(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big")
 
 
 @query()
 def calibrate_isotonic(t):
-    from basalt.operators import learn
+    from basalt.models.calibrate import Calibrator
 
-    return learn.isotonic(scores(t), "p", "y")
+    d = scores(t)
+    return M.calibration_bins(Calibrator("isotonic").fit(d, "p", "y").transform(d, "p", "q"), "q", "y")
 
 
 @query()
 def partial_dependence(t):
-    from basalt.operators import learn
+    from basalt.models import explain, factory
 
-    return learn.partial_dependence(lines(t), ["l_quantity", "l_extendedprice", "l_discount"], "big", "l_extendedprice")
+    d = lines(t)
+    model = factory.Model("logistic", ["l_quantity", "l_extendedprice", "l_discount"], "big").fit(d)
+    return explain.partial_dependence(model, d, "l_extendedprice", points=10)
 
 
 # Shapes, monitoring reports and permutations
@@ -778,13 +797,13 @@ def permutation_importance(t):
     from basalt.operators import learn
 
     d = t("orders").withColumn("y", (F.col("o_totalprice") > 200000).cast("int"))
-    return learn.permutation_importance(d, ["o_totalprice", "o_custkey"], "y", "o_orderkey", repeats=2)
+    return learn.permutation_importance(d, ["o_totalprice", "o_custkey"], "y", "o_orderkey")
 
 
 @query()
 def impute_iterative(t):
     d = t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.nullif("l_discount", F.lit(0.0)).alias("l_discount"), F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice")).alias("l_extendedprice"))
-    filled = G.impute_iterative(d, ["l_quantity", "l_discount", "l_extendedprice"], rounds=2)(d)
+    filled = G.impute_iterative(d, ["l_quantity", "l_discount", "l_extendedprice"])(d)
     return filled.select("l_orderkey", "l_linenumber", *[P.r6(F.col(c)).alias(c) for c in ("l_quantity", "l_discount", "l_extendedprice")])
 
 
@@ -803,3 +822,141 @@ def binarise_threshold(t):
 def bin_tree(t):
     d = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", (F.col("l_extendedprice") > 50000).cast("int").alias("y"))
     return X.registry("bucket_tree", "l_extendedprice", "y")(d)(d).select("l_orderkey", "l_linenumber", "l_extendedprice", "l_extendedprice_bin")
+
+
+# Findings, and stages fitted on one part and applied to another
+
+_ALL = "a AS (SELECT *, l_extendedprice AS x1, price2 AS x2, flat AS x3, l_returnflag AS c1, l_linestatus AS c2 FROM lines)"
+_STAT = f"n AS ({cells('a', ['x1', 'x2', 'x3'])}), c AS ({cells('a', ['c1', 'c2'], kind='VARCHAR')}), s AS (SELECT feature, coalesce(stddev_samp(value) = 0, true) AS const, coalesce(var_samp(value) < 0.01, true) AS nzv, coalesce(abs(CASE WHEN stddev_pop(value) > 0 THEN skewness(value) END), 0) AS skew, count(*) FILTER (value = 0) / count(*) AS zeros FROM n GROUP BY feature), f AS (SELECT feature, value, count(*) AS k FROM c GROUP BY ALL), i AS (SELECT feature, count(*) AS kinds, 1 + sum(p * log2(p)) / nullif(log2(count(*)), 0) AS imb FROM (SELECT *, k / sum(k) OVER (PARTITION BY feature) AS p FROM f) GROUP BY feature)"
+_BINS = f"e AS (SELECT feature, list_sort(list_distinct(quantile_cont(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS edges FROM n GROUP BY feature), b AS (SELECT m.feature, list_filter(edges, lambda z: z >= value)[1]::VARCHAR AS bin, y FROM ({cells('a', ['x1', 'x2', 'x3'], 'big AS y, ')}) m JOIN e ON e.feature = m.feature UNION ALL SELECT feature, value, y FROM ({cells('a', ['c1', 'c2'], 'big AS y, ', 'VARCHAR')})), g AS (SELECT feature, bin, count(*) AS count, sum(y) AS events FROM b GROUP BY feature, bin), h AS (SELECT *, greatest(events / greatest(sum(events) OVER p, 1e-8), 1e-8) AS de, greatest((count - events) / greatest(sum(count - events) OVER p, 1e-8), 1e-8) AS dn FROM g WINDOW p AS (PARTITION BY feature)), iv AS (SELECT feature, sum((de - dn) * ln(de / dn)) AS iv FROM h GROUP BY feature)"
+_VIF2 = "v AS (SELECT sum(x1 * x1) * sum(x2 * x2) / (sum(x1 * x1) * sum(x2 * x2) - sum(x1 * x2) * sum(x1 * x2)) AS vif, corr(x1, x2) AS r FROM a)"
+_TYPES = "SELECT feature, 'CONSTANT' AS type FROM s WHERE const UNION ALL SELECT feature, 'NEAR_ZERO_VARIANCE' FROM s WHERE nzv UNION ALL SELECT feature, 'SKEWED' FROM s WHERE skew >= 1 UNION ALL SELECT feature, 'ZEROS' FROM s WHERE zeros >= 0.05 UNION ALL SELECT feature, 'HIGH_CARDINALITY' FROM i WHERE kinds > 50 UNION ALL SELECT feature, 'CONSTANT' FROM i WHERE kinds <= 1 UNION ALL SELECT feature, 'IMBALANCED' FROM i WHERE imb >= 0.5 UNION ALL SELECT feature, 'LOW_IV' FROM iv WHERE iv < 0.02 UNION ALL SELECT unnest(['x1', 'x2']), 'MULTICOLLINEAR' FROM v WHERE vif > 10 UNION ALL SELECT unnest(['x1', 'x2']), 'HIGH_CORRELATION' FROM v WHERE abs(r) > 0.85"
+
+
+def faults(t) -> DataFrame:
+    c = {"x1": "l_extendedprice", "x2": "price2", "x3": "flat", "c1": "l_returnflag", "c2": "l_linestatus"}
+    return lines(t).select(*[F.col(v).alias(k) for k, v in c.items()], "big")
+
+
+@query(f"WITH {LINES}, {_ALL}, {_STAT}, {_BINS}, {_VIF2} {_TYPES}")
+def alerts_all(t):
+    return E.alerts(faults(t), ["x1", "x2", "x3"], ["c1", "c2"], "big").select("feature", "type")
+
+
+@query(f"WITH {LINES}, {_ALL}, {_STAT}, {_BINS}, {_VIF2}, t AS ({_TYPES}) SELECT feature, string_agg(DISTINCT lower(type), ',' ORDER BY lower(type)) AS reasons FROM t WHERE type IN ('CONSTANT', 'NEAR_ZERO_VARIANCE', 'LOW_IV') GROUP BY feature")
+def recommended_drops(t):
+    return E.recommended_drops(faults(t), ["x1", "x2", "x3"], ["c1", "c2"], "big")
+
+
+@query(f"WITH {LINES}, {_ALL}, {_STAT} SELECT feature, false AS high_missing, nzv AS near_zero_variance, false AS high_cardinality, const AS constant FROM s UNION ALL SELECT feature, false, false, kinds > 50, kinds <= 1 FROM i")
+def flag_issues(t):
+    return E.flag_issues(faults(t), ["x1", "x2", "x3"], ["c1", "c2"])
+
+
+def parts(t) -> tuple[DataFrame, DataFrame]:
+    """Events of the first half of the time, to fit on, and all, to apply to."""
+    d = ev(t)
+    return d.where(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz")), d
+
+
+PARTS = f"{EV}, tr AS (SELECT * FROM ev WHERE ts < TIMESTAMP '2024-01-15')"
+for _m, _e in {"percentile": "count(*) FILTER (tr.value < e.value) / (SELECT count(*) FROM tr)", "global": "count(*) FILTER (tr.value <= e.value)", "dense": "count(DTINCT CASE WHEN tr.value < e.value THEN tr.value END)".replace("DTINCT", "DISTINCT")}.items():
+
+    @query(f"WITH {PARTS}, e AS (SELECT DISTINCT value FROM ev), r AS (SELECT e.value, {_e} AS rank FROM e, tr GROUP BY e.value) SELECT event_id, round(rank, 6) AS value_rank FROM ev JOIN r USING (value)", name=f"{_m}_rank_unseen")
+    def _rank_unseen(t, m=_m):
+        train, d = parts(t)
+        return out(X.rank_on_train(train, "value", m)(d), "value_rank")
+
+
+@query(f"WITH {LINES}, tr AS (SELECT * FROM lines WHERE l_orderkey % 2 = 0), q AS (SELECT list_sort(list_distinct(quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]))) AS u FROM tr), p AS (SELECT lines.*, least(len(list_filter(u, lambda z: z < l_extendedprice)), len(u) - 1) AS bin FROM lines, q), g AS (SELECT bin, count(*) AS c, sum(big) AS e FROM p WHERE l_orderkey % 2 = 0 GROUP BY bin), w AS (SELECT bin, greatest(least(ln(greatest(e / sum(e) OVER (), 1e-8) / greatest((c - e) / sum(c - e) OVER (), 1e-8)), 4), -4) AS woe FROM g) SELECT bin, round(woe, 6) AS woe, count(*) AS n FROM p JOIN w USING (bin) GROUP BY ALL")
+def woe_encode_numeric(t):
+    d = lines(t)
+    train = d.where(F.col("l_orderkey") % 2 == 0)
+    coded = X.woe_encode(train, "l_extendedprice", "big")(d)
+    edges = X.column_quantiles(train, ["l_extendedprice"], [i / 10 for i in range(1, 11)])["l_extendedprice"]
+    uppers = sorted(set(edges))
+    place = F.least(F.size(F.filter(F.array(*map(F.lit, uppers)), lambda z: z < F.col("l_extendedprice"))), F.lit(len(uppers) - 1))
+    return coded.groupBy(place.alias("bin"), P.r6(F.col("l_extendedprice_woe")).alias("woe")).agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {EV} SELECT event_id, round(coalesce(gap, 0), 6) AS gap FROM ev")
+def scale_inverse(t):
+    d = ev(t)
+    return out(X.unscaled(d, ["gap"], "standard")(X.scale(d, ["gap"], "standard")(d)), "gap")
+
+
+@query(f"WITH {PARTS}, m AS (SELECT avg((event_type = 'purchase')::INT) AS prior FROM tr), g AS (SELECT user_id::VARCHAR AS u, (sum((event_type = 'purchase')::INT) + 10 * any_value(prior)) / (count(*) + 10) AS v FROM tr, m GROUP BY user_id) SELECT event_id, round(coalesce(v, prior), 6) AS u FROM ev LEFT JOIN g ON g.u = ev.user_id::VARCHAR, m")
+def high_cardinality_target(t):
+    train, d = parts(t)
+
+    def keyed(x):
+        return x.select("event_id", F.col("user_id").cast("string").alias("u"), "event_type", (F.col("event_type") == "purchase").cast("int").alias("y"))
+
+    return out(X.high_cardinality(keyed(train), ["u", "event_type"], "y", threshold=10)(keyed(d)), "u")
+
+
+@query(f"WITH {EV} SELECT event_id, CASE kind WHEN 'view' THEN 0 WHEN 'purchase' THEN 1 ELSE -1 END AS kind_ordinal FROM ev")
+def ordinal_given_order(t):
+    return X.ordinal(ev(t), "kind", ["view", "purchase"])(ev(t)).select("event_id", "kind_ordinal")
+
+
+@query("SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 6) AS ts_hour_sin, round(cos(2 * pi() * hour(ts) / 24), 6) AS ts_hour_cos FROM events")
+def date_hours(t):
+    d = t("events").select("event_id", "ts")
+    return out(X.date_parts(d, "ts", "2024-02-10 00:00:00", hour=True)(d), "ts_hour_sin", "ts_hour_cos")
+
+
+@query(f"WITH s AS ({_split_sql('scores2', 'event_id')}), r AS (SELECT split, avg(y) AS rate FROM s GROUP BY split) SELECT split, round(rate, 6) AS rate, round(rate - (SELECT rate FROM r WHERE split = 'train'), 6) AS gap, abs(rate - (SELECT rate FROM r WHERE split = 'train')) > 0.05 AS warning FROM r".replace("FROM scores2", "FROM (SELECT event_id, (event_type = 'purchase')::INT AS y FROM events)"))
+def class_gap(t):
+    return L.class_gap(L.random_split(scores(t).select("event_id", "y"), "event_id"), "y")
+
+
+@query("WITH r AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5(o_orderkey::VARCHAR || ':42'), o_orderkey) AS i, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders), m AS (SELECT max(n) AS most FROM r) SELECT o_orderkey, o_orderstatus, unnest(range(1, (most // n + (i <= most % n)::INT + 1)::BIGINT)) AS copy FROM r, m")
+def oversample(t):
+    return L.oversample(t("orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+
+
+@query("WITH d AS (SELECT event_id, (event_type = 'purchase')::INT AS y FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY md5(event_id::VARCHAR || ':42'), event_id) AS i FROM d), m AS (SELECT floor(min(n) / 0.5) AS k FROM (SELECT count(*) AS n FROM d GROUP BY y)) SELECT event_id, y FROM r, m WHERE i <= k")
+def undersample_ratio(t):
+    return L.undersample(scores(t).select("event_id", "y"), "event_id", "y", ratio=0.5)
+
+
+_RANKED = "(rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0)"
+
+
+@query(f"WITH {LINES}, " + ", ".join(f"r{i} AS (SELECT {_RANKED.format(a)} AS a, {_RANKED.format(b)} AS b FROM lines WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for i, (a, b) in enumerate([("l_quantity", "l_extendedprice"), ("l_quantity", "disc"), ("l_extendedprice", "disc")])) + " " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, (SELECT round(corr(a, b), 6) FROM r{i}) AS r" for i, (a, b) in enumerate([("l_quantity", "l_extendedprice"), ("l_quantity", "disc"), ("l_extendedprice", "disc")])))
+def spearman(t):
+    return R.spearman(lines(t), ["l_quantity", "l_extendedprice", "disc"])
+
+
+@query(f"WITH {LINES}, c AS (SELECT l_quantity AS x, l_tax AS y, count(*) AS n FROM lines GROUP BY ALL), p AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y) * a.n * b.n) AS s, sum((a.x <> b.x)::INT * a.n * b.n) AS p, sum((a.y <> b.y)::INT * a.n * b.n) AS q FROM c a, c b) SELECT 'l_quantity' AS a, 'l_tax' AS b, round(s / (sqrt(p) * sqrt(q)), 6) AS tau FROM p")
+def kendall(t):
+    return R.kendall(lines(t), "l_quantity", "l_tax")
+
+
+@query(f"WITH {_cross('orders', 'o_orderstatus', 'o_orderpriority')} SELECT a, b, n, sum(n) OVER (PARTITION BY a)::BIGINT AS row_total, sum(n) OVER (PARTITION BY b)::BIGINT AS column_total FROM x")
+def crosstab_sorted(t):
+    return R.crosstab_sorted(t("orders"), "o_orderstatus", "o_orderpriority")
+
+
+@query("(SELECT c_custkey, c_name, 'head' AS side FROM customer ORDER BY c_custkey LIMIT 5) UNION ALL (SELECT c_custkey, c_name, 'tail' FROM customer ORDER BY c_custkey DESC LIMIT 5)")
+def sample_rows(t):
+    return E.sample_rows(t("customer").select("c_custkey", "c_name"), "c_custkey")
+
+
+@query("SELECT (n_nationkey IS NULL)::INT AS a, (nullif(n_regionkey, 2) IS NULL)::INT AS b FROM nation")
+def nullity_matrix(t):
+    return E.nullity_matrix(t("nation").select(F.col("n_nationkey").alias("a"), F.nullif("n_regionkey", F.lit(2)).alias("b")), ["a", "b"])
+
+
+@query("WITH r AS (SELECT min(value) AS lo, (max(value) - min(value)) / 40 AS w, count(*) AS n FROM events), c AS (SELECT least(floor((value - lo) / w), 39)::INT AS bin, count(*) AS k FROM events, r GROUP BY 1) SELECT g.bin::INT AS bin, round(lo + g.bin * w, 6) AS lo, round(lo + (g.bin + 1) * w, 6) AS hi, round(coalesce(k, 0) / n / w, 6) AS density FROM (SELECT unnest(range(40)) AS bin) g CROSS JOIN r LEFT JOIN c ON c.bin = g.bin")
+def density_histogram(t):
+    return E.density(t("events"), "value")[0].select("bin", *[P.r6(F.col(c)).alias(c) for c in ("lo", "hi", "density")])
+
+
+@query(f"WITH s AS ({_split_sql('orders', 'o_orderkey')}) SELECT o_orderstatus AS metric, count(*) FILTER (split = 'train')::DOUBLE AS train, count(*) FILTER (split = 'val')::DOUBLE AS val, count(*) FILTER (split = 'test')::DOUBLE AS test, NULL::DOUBLE AS oot FROM s GROUP BY 1")
+def metrics_wide(t):
+    from basalt.models import factory
+
+    d = L.class_distribution(L.random_split(t("orders"), "o_orderkey"), "o_orderstatus")
+    return factory.wide(d.select("split", F.col("class").alias("metric"), F.col("n").cast("double").alias("value")))
