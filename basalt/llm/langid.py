@@ -26,6 +26,8 @@ ORDERS = (1, 2, 3, 4)
 UNKNOWN = "und"
 #: Symbols: 0 boundary, 1-26 a-z, 27-63 other letters by hash.
 _BITS = 6
+#: No letter lies beyond; tags and private-use characters do.
+LETTERS = 0x34000
 _TABLE: list[np.ndarray] = []
 
 
@@ -33,12 +35,11 @@ def _symbols() -> np.ndarray:
     """Symbol of every code point; built once in each worker."""
     if not _TABLE:
         table = np.zeros(0x110000, dtype=np.uint8)
-        for cp in range(0x30000):
+        for cp in range(LETTERS):
             c = chr(cp)
             if c.isalpha():
                 low = ord(c.lower()[0])
                 table[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % 37
-        table[0x30000:] = 27
         _TABLE.append(table)
     return _TABLE[0]
 

@@ -744,6 +744,101 @@ def test_secret_edges(spark, docs):
     assert secret_scan.op_query(docs.limit(0)).collect() == []
 
 
+def test_tokenizer_on_random_text():
+    """The cut at spaces gives the ids of the tokenizer file for text of any script, blanks and controls."""
+    import random
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t, enc, r = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.encoder(), random.Random(9)
+    ranges = [(32, 127), (9, 14), (160, 592), (0x370, 0x5FF), (0x900, 0xDFF), (0x2000, 0x2100), (0x3040, 0x3100), (0x4E00, 0x5000), (0x1F300, 0x1F650), (0xE000, 0xE010)]
+    for _ in range(400):
+        text = "".join(" " if r.random() < 0.2 else chr(r.randrange(*r.choice(ranges))) for _ in range(r.randint(0, 60)))
+        assert np.frombuffer(enc.encode(text), dtype="<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_packing_edges(edge, docs):
+    rows = packing.op_query(edge).collect()
+    per = {}
+    for r in rows:
+        per.setdefault((r["doc_id"], r["doc_tokens"]), []).append((r["start"], r["length"]))
+    assert per[1, 1] == per[2, 1] == [(0, 1)] and len(rows) == len({r["sequence_id"] for r in rows}) and any(k[0] is None for k in per)
+    assert all(sum(n for _, n in v) == k[1] * (2 if k[0] == 4 else 1) for k, v in per.items())
+    assert packing.op_query(docs.limit(0)).collect() == []
+
+
+def test_sharding_digest_and_uniformity(spark, docs, texts, edge):
+    for r in sharding.op_query(docs).collect():
+        raw = texts[r["doc_id"]].encode()
+        assert r["size"] == len(raw) + 8 and r["text_crc32"] == zlib.crc32(raw)
+    assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in sharding.op_query(edge).collect() if r["doc_id"] in (1, 2)} == {(1, 8, 0), (2, 8, 0)}
+    # over many seeds every row comes to every place about as often
+    small = spark.range(12).repartition(3).withColumnRenamed("id", "doc_id")
+    seen = Counter()
+    for seed in range(60):
+        seen.update((r["doc_id"], r["shard"]) for r in sharding.shuffle_into_shards(small, shards=3, seed=seed, block_rows=2).collect())
+    chi = sum((seen[i, s] - 20) ** 2 / 20 for i in range(12) for s in range(3))
+    assert chi < 60  # 24 degrees of freedom
+
+
+def test_language_by_brute_force(spark, docs):
+    """Held-out languages, and distances by dictionaries of n-grams made by hand."""
+    rows = docs.collect()
+    train = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+
+    def symbol(c):
+        low = ord(c.lower()[0])
+        return low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % 37
+
+    def counts(text):
+        out = Counter()
+        words = "".join(c if c.isalpha() else " " for c in text).split()
+        for w in words:
+            s = [0, *map(symbol, w), 0]
+            for n in (1, 2, 3, 4):
+                for i in range(len(s) - n + 1):
+                    g = s[i : i + n]
+                    if (n == 1 and g[0]) or n == 2 or (n > 2 and all(g[1:-1])):
+                        code = n << 24
+                        out[code | sum(x << 6 * (n - 1 - k) for k, x in enumerate(g))] += 1
+        return out
+
+    def rank(c):
+        return [g for g, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[: langid.TOP]]
+
+    profiles = {x: rank(sum((counts(r["text"]) for r in train if r["lang"] == x), Counter())) for x in {r["lang"] for r in train}}
+    held = {r["doc_id"]: r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1}
+    right = 0
+    for r in langid.op_query(docs).where("held_out").collect():
+        own = rank(counts(held[r["doc_id"]]["text"]))
+        far = {x: sum(abs(p.index(g) - i) if g in p else langid.TOP for i, g in enumerate(own)) for x, p in profiles.items()}
+        if own:
+            assert r["lang_pred"] == min(far, key=lambda x: (far[x], x)) and math.isclose(r["score"], 1 - min(far.values()) / (langid.TOP * len(own)))
+        right += r["lang_pred"] == held[r["doc_id"]]["lang"]
+    assert right >= 0.95 * len(held)
+    none = spark.createDataFrame([(1, "\U000e0041\U000e0042 \U0010ffff 12"), (2, "\U00030001")], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(none, profiles).collect()}
+    assert got[1] == "und" and got[2] != "und"
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf):
+    """Nulls, repeats, blanks, ties and columns of clashing names pass every stage; an empty table gives an empty one."""
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, k string, row int, id int, item_id long, __bad int"
+    plain = "the quiet river runs below the old stone bridge near our small town"
+    rows = [(1, None, None, None, None, "a", 1, 1, 1, 1), (2, "", "en", "x", 0, "a", 1, 1, 1, 1), (3, plain, "en", "x", 3, None, 1, 1, 1, 1), (3, plain, "en", "x", 3, None, 1, 1, 1, 1), (None, plain + " today", "en", "x", 9, "b", 1, 1, 1, 1), (5, "word " * 5000, "en", "x", 9, "b", 1, 1, 1, 1)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        now = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            now = stage(spark, now, sf)
+            assert now.columns == docs.columns, name
+        kept = now.collect()
+        assert {r["doc_id"] for r in kept} == ({1, 3, 5} if docs.count() else set()) and len(kept) == len({r["doc_id"] for r in kept})
+        assert corpus_pipeline.STAGES[-1][1](spark, now, sf).select("doc_id").distinct().count() == len(kept)
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
