@@ -88,7 +88,8 @@ class Calibrator:
         return F.when(s.isNotNull(), steps(s))
 
     def transform(self, df: DataFrame, score: str, out: str = "calibrated") -> DataFrame:
-        return df.withColumn(out, F.greatest(F.least(self.output(F.col(score)), F.lit(1.0)), F.lit(0.0)))
+        held = F.greatest(F.least(self.output(F.col(score)), F.lit(1.0)), F.lit(0.0))
+        return df.withColumn(out, F.when(F.col(score).isNotNull(), held))
 
     def recommended(self) -> bool:
         """Whether the expected error falls by more than a thousandth."""
