@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
+from itertools import count
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,9 @@ from pyspark.sql import functions as F
 
 #: Size of one Arrow batch: a Python worker holds a few batches of texts at a time, however long texts are.
 BATCH_BYTES = 4 << 20
+#: Checkpoints after which the driver looks for shuffle files that nobody needs.
+COLLECT = 6
+_made = count(1)
 _BATCH, _DEFAULT_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
@@ -44,7 +48,11 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder of ``spark.checkpoint.dir``."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if next(_made) % COLLECT == 0:
+        # shuffle files of plans that are cut off are deleted once the driver's JVM finds nobody refers to them
+        df.sparkSession._jvm.System.gc()
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -467,10 +467,11 @@ def _groups(docs: DataFrame, text_col: str, similarity: float, shingle: int, cap
     few, hot = many.where(F.col("n") <= cap), many.where(F.col("n") > cap).select("key", "k")
     pairs = few.select("key", F.col("k").alias("a")).join(few.select("key", F.col("k").alias("b")), "key").where("a > b").select("a", "b")
     found = checkpoint(pairs.union(_chain(hot, sigs)).distinct())
-    edges = checkpoint(_verified(found, sigs, texts, similarity, shingle))
-    met = checkpoint(_unconnected(hot, texts, components(edges), similarity, shingle).join(found, ["a", "b"], "left_anti"))
+    roots = checkpoint(components(_verified(found, sigs, texts, similarity, shingle)))
+    met = checkpoint(_unconnected(hot, texts, roots, similarity, shingle).join(found, ["a", "b"], "left_anti"))
     more = _verified(met, sigs, texts, similarity, shingle)
-    return components(edges.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group")), clashes
+    stars = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    return components(stars.union(more)).select(F.col("node").alias("doc_key"), F.col("root").alias("group")), clashes
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, shingle: int = WORDS, cap: int = NEAR_CAP) -> DataFrame:
