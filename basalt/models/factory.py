@@ -241,7 +241,7 @@ def tune(split: DataFrame, features: list[str], target: str, algorithm: str, tas
 
 
 class Clusters:
-    """kmeans, hierarchical (by bisection) or dbscan over scaled columns."""
+    """kmeans, hierarchical (Ward's linkage over the centres of a fine k-means) or dbscan over scaled columns."""
 
     def __init__(self, algorithm: str, features: list[str], key: str, **params) -> None:
         if algorithm not in ("kmeans", "hierarchical", "dbscan"):
@@ -255,9 +255,39 @@ class Clusters:
         scaled = d.select(self.key, *[((F.col(c).cast("double") - (r[2 * i] or 0.0)) / (r[2 * i + 1] or 1.0)).alias(c) for i, c in enumerate(self.features)])
         if self.algorithm == "dbscan":
             return own.dbscan(scaled, self.features, self.key, **{"eps": 0.5, "least": 5} | self.params)
-        made = K.KMeans(seed=S.SEED, **({"k": 8} | self.params)) if self.algorithm == "kmeans" else K.BisectingKMeans(seed=S.SEED, **({"k": 5} | self.params))
         d = VectorAssembler(inputCols=self.features, outputCol="features").transform(scaled)
-        return made.fit(d).transform(d).select(self.key, F.col("prediction").cast("long").alias("cluster"))
+        if self.algorithm == "kmeans":
+            return K.KMeans(seed=S.SEED, **({"k": 8} | self.params)).fit(d).transform(d).select(self.key, F.col("prediction").cast("long").alias("cluster"))
+        fine = K.KMeans(k=min(MICRO, max(2, d.count())), seed=S.SEED).fit(d)
+        placed = fine.transform(d)
+        sizes = {r["prediction"]: r["count"] for r in placed.groupBy("prediction").count().collect()}
+        groups = ward([c.tolist() for c in fine.clusterCenters()], [sizes.get(i, 0) for i in range(len(fine.clusterCenters()))], self.params.get("k", 5))
+        of = F.create_map(*[x for i, g in enumerate(groups) for x in (F.lit(i), F.lit(g).cast("long"))])
+        return placed.select(self.key, F.element_at(of, F.col("prediction")).alias("cluster"))
+
+
+#: Centres that Ward's linkage starts from (a documented bound).
+MICRO = 100
+
+
+def ward(centres: list[list[float]], sizes: list[int], k: int) -> list[int]:
+    """Group of each centre: the two groups whose union adds least to the squared distances merge until k are left."""
+    import numpy as np
+
+    c, n = np.array(centres, dtype=float), np.array(sizes, dtype=float)
+    alive, of = [i for i in range(len(c)) if n[i] > 0], np.arange(len(c))
+    while len(alive) > max(1, k):
+        x, w = c[alive], n[alive]
+        cost = ((x[:, None] - x[None]) ** 2).sum(-1) * (w[:, None] * w[None]) / (w[:, None] + w[None])
+        np.fill_diagonal(cost, np.inf)
+        i, j = sorted(divmod(int(np.argmin(cost)), len(alive)))
+        a, b = alive[i], alive[j]
+        c[a] = (c[a] * n[a] + c[b] * n[b]) / (n[a] + n[b])
+        n[a] += n[b]
+        of[of == b] = a
+        alive.pop(j)
+    names = {g: i for i, g in enumerate(alive)}
+    return [names.get(int(g), 0) for g in of]
 
 
 def cluster_metrics(df: DataFrame, features: list[str], cluster: str = "cluster", sample: int = 5000, seed: int = S.SEED) -> DataFrame:

@@ -190,7 +190,8 @@ def test_clusters(spark):
         assert found.select("truth", "cluster").distinct().count() == 3, name
         metrics = {r["metric"]: r["value"] for r in factory.cluster_metrics(found, ["u", "v"]).collect()}
         assert metrics["silhouette"] > 0.7 and metrics["davies_bouldin"] < 0.5 and metrics["calinski_harabasz"] > 100
-    assert [r["inertia"] for r in factory.elbow(d, ["u", "v"], 4).orderBy("k").collect()] == sorted((r["inertia"] for r in factory.elbow(d, ["u", "v"], 4).collect()), reverse=True)
+    inertia = [r["inertia"] for r in factory.elbow(d, ["u", "v"], 4).orderBy("k").collect()]
+    assert len(inertia) == 3 and inertia[0] > 5 * inertia[1] and inertia[1] >= 0.9 * inertia[2]
     # silhouette by hand
     label, far = np.repeat([0, 1, 2], 50), np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
     sil = []
