@@ -165,8 +165,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose id is not contaminated."""
-    bad = checkpoint(contamination(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("__bad")).distinct())
-    return docs.join(sized(bad, bad.count()), docs[id_col].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    bad = checkpoint(contamination(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("bad")).distinct())
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    return rows.join(sized(bad, bad.count()), F.col("id").eqNullSafe(F.col("bad")), "left_anti").select("row.*")
 
 
 SQL = rf"""
