@@ -60,7 +60,8 @@ def template(normalised: Column) -> Column:
 
 def fold(normalised: Column) -> Column:
     """Text without case; no token appears or goes (lower case of a dotted capital I is two characters)."""
-    return F.regexp_replace(F.translate(F.lower(F.translate(normalised, "İ", "i")), "ς", "σ"), "ß", "ss")
+    lower = F.lower(F.replace(normalised, F.lit("İ"), F.lit("i")))
+    return F.replace(F.replace(lower, F.lit("ς"), F.lit("σ")), F.lit("ß"), F.lit("ss"))
 
 
 def folded_template(folded: Column) -> Column:
@@ -81,24 +82,22 @@ def views(df: DataFrame, *keep: str) -> DataFrame:
 def windows(df: DataFrame, *keep: str, widths: Sequence[int] = (WIDTH,)) -> DataFrame:
     """(keep, at, width, kind, h): hashes of every window of each of ``widths`` tokens and its place from 0.
 
-    kind is 0 for the name template, 1 for the folded one and 2 where both are the same.
+    kind is 0 for the name template, 1 for the folded one and 2 where both are the same. Every token is hashed
+    once, and a window is the hash of the hashes of its tokens.
     """
-
-    def of(width: int) -> Column:
-        def hashes(i):
-            a, b = (F.xxhash64(F.slice(F.col(c), i + 1, width)) for c in ("named", "folded"))
-            return F.struct(i.alias("at"), F.lit(width).alias("width"), a.alias("a"), b.alias("b"))
-
-        return F.when(F.size("named") >= width, F.transform(F.sequence(F.lit(0), F.size("named") - width), hashes))
-
-    every = [of(w) for w in widths]
-    df = df.select(*keep, F.explode(every[0] if len(every) == 1 else F.flatten(F.array_compact(F.array(*every)))).alias("w"))
+    hashed = [F.transform(F.col(c), lambda x: F.xxhash64(x)).alias("h_" + c) for c in ("named", "folded")]
+    n, least = F.size("h_named"), min(widths)
+    df = df.select(*keep, *hashed)
+    df = df.select(*keep, "h_named", "h_folded", F.explode(F.when(n >= least, F.sequence(F.lit(0), n - least))).alias("at"))
+    df = df.select("*", F.explode(F.array(*[F.lit(w) for w in widths])).alias("width")).where(F.col("at") + F.col("width") <= n)
+    a, b = (F.xxhash64(F.slice(F.col("h_" + c), F.col("at") + 1, F.col("width"))) for c in ("named", "folded"))
+    df = df.select(*keep, "at", "width", a.alias("a"), b.alias("b"))
 
     def one(kind, h):
-        return F.struct(F.lit(kind).alias("kind"), F.col(f"w.{h}").alias("h"))
+        return F.struct(F.lit(kind).alias("kind"), F.col(h).alias("h"))
 
-    each = F.when(F.col("w.a") == F.col("w.b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b")))
-    return df.select(*keep, F.col("w.at").alias("at"), F.col("w.width").alias("width"), F.inline(each))
+    each = F.when(F.col("a") == F.col("b"), F.array(one(2, "a"))).otherwise(F.array(one(0, "a"), one(1, "b")))
+    return df.select(*keep, "at", "width", F.inline(each))
 
 
 def sized(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:

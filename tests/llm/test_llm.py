@@ -269,6 +269,42 @@ def test_decontamination_recall(spark, sf):
     assert sum((i, i) in got for i, _ in items) >= 57
 
 
+def test_windows_equal_brute_force(spark, docs):
+    """Two windows have one hash if and only if their tokens are the same; kind 2 is where both templates are."""
+    odd = spark.createDataFrame([(-1, "İSTANBUL Straße ΣΊΣΥΦΟΣ at 5 km, 3,000 m and 7.5 Km"), (-2, None), (-3, ""), (-4, "one two"), (-5, "one two Three"), (None, "ONE TWO THREE")], "doc_id long, text string")
+    views = decontam.views(docs.select("doc_id", "text").limit(20).union(odd).select("doc_id", decontam.normal(F.col("text")).alias("s")), "doc_id").localCheckpoint()
+    want, of_hash, seen = [], {}, {}
+    tokens = {r["doc_id"]: (r["named"], r["folded"]) for r in views.collect()}
+    for i, (named, folded) in tokens.items():
+        for w in (3, 8):
+            for at in range(len(named) - w + 1):
+                same = named[at : at + w] == folded[at : at + w]
+                want += [(i, at, w, 2)] if same else [(i, at, w, 0), (i, at, w, 1)]
+    got = decontam.windows(views, "doc_id", widths=(3, 8)).collect()
+    assert sorted((tuple(r)[:4] for r in got), key=str) == sorted(want, key=str) and want
+    for i, at, w, kind, h in got:
+        window = tuple(tokens[i][kind == 1][at : at + w])
+        assert of_hash.setdefault(h, window) == window and seen.setdefault(window, h) == h
+
+
+def test_windows_cost_little_more_than_tokens(spark):
+    """Windows of six widths take less than four times the time of the tokens they are made of."""
+    import time
+
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4).localCheckpoint()
+    views = decontam.views(rows.select("doc_id", decontam.normal(F.col("text")).alias("s")), "doc_id")
+
+    def seconds(df):
+        best = []
+        for _ in range(3):
+            start = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            best.append(time.perf_counter() - start)
+        return min(best)
+
+    assert seconds(decontam.windows(views, "doc_id", widths=range(3, 9))) < 4 * seconds(views.select(F.size("named"), F.size("folded")))
+
+
 def test_sql_twins(spark, sf, docs):
     import duckdb
 
