@@ -5,6 +5,7 @@ class that most raises the mutual information of adjacent classes, until none mo
 are done. Then all other words of the model take their best class at once, in distributed sweeps: every
 pass over the corpus counts the classes beside each word, each word is exchanged on its own against the
 class bigrams of the pass before, and a sweep whose mutual information is not higher is undone.
+The corpus is numbered once, and the passes read the numbers.
 Document ends are a class of their own. Words seen once, those beyond the ``NEAR`` most frequent, and
 one place for unseen ones are another, whose members are told apart by their counts (plus one):
 words seen once tell how likely, and after what, a new word is.
@@ -42,6 +43,9 @@ SWEEPS = 8
 PASSES = 2
 #: Least count of a word that has a class of its neighbours.
 CLUSTERED = 2
+#: Tokens that are counted at a time, codes that a task adds up before it hands them on, and pairs of a word and
+#: a class beside it that are weighed at a time: they bound a worker's memory and change no result.
+PIECE, ROOM, WEIGHED = 1 << 17, 1_000_000, 1 << 12
 #: A token that no text can hold, for a document's end.
 END = b" "
 
@@ -59,30 +63,58 @@ def numbered(batch: pa.RecordBatch, ids: Ids) -> np.ndarray:
     return np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
 
 
-def _sparse(docs: DataFrame, ids_of: object, count, room: int = 2_000_000) -> DataFrame:
-    """(code, n): the sum of ``count(numbers)``, an array of codes, over all documents."""
+def _numbers(texts: DataFrame, ids_of: object) -> DataFrame:
+    """(x): word numbers of the texts of one batch, 32 bits each, so that later passes neither split texts nor look up words."""
 
     def work(batches):
-        ids, waiting, size = ids_of.value, [], 0
-        codes, n = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        ids = ids_of.value
+        for batch in batches:
+            yield {"x": [numbered(batch, ids).astype(np.int32).tobytes()]}
+
+    return checkpoint(map_arrow(texts, work, "x binary", pa.schema([("x", pa.binary())])))
+
+
+def tally(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(codes, return_counts=True)
 
-        def merged():
-            one = [np.unique(x, return_counts=True) for x in [np.concatenate([*waiting, np.zeros(0, np.int64)])]][0]
-            both, at = np.unique(np.concatenate([codes, one[0]]), return_inverse=True)
-            return both, np.bincount(at, np.concatenate([n, one[1]]), len(both)).astype(np.int64)
+
+def merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending codes and their sums, from several such runs."""
+    codes, n = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*runs, strict=True))
+    order = np.argsort(codes, kind="stable")
+    codes, n = codes[order], n[order]
+    first = np.flatnonzero(np.diff(codes, prepend=-1))
+    return codes[first], np.add.reduceat(n, first) if len(n) else n
+
+
+def _sparse(numbers: DataFrame, count) -> DataFrame:
+    """(code, n): the sum of ``count(words before, words)``, codes from 0 and how often each is found, over all tokens.
+
+    The end of a document stands before the next one's first word. A task holds one and a half ``ROOM`` codes at most, not counting a piece.
+    """
+
+    def work(batches):
+        runs = []
+
+        def rows(codes, n):
+            for at in range(0, len(codes), PIECE):
+                yield {"code": codes[at : at + PIECE], "n": n[at : at + PIECE]}
 
         for batch in batches:
-            waiting.append(count(numbered(batch, ids)))
-            size += len(waiting[-1])
-            if size > room:
-                (codes, n), waiting, size = merged(), [], 0
-                if len(codes) > room:
-                    yield {"code": codes, "n": n}
-                    codes, n = codes[:0], n[:0]
-        codes, n = merged()
-        yield {"code": codes, "n": n}
-
-    counted = map_arrow(docs, work, "code long, n long", pa.schema([("code", pa.int64()), ("n", pa.int64())]))
+            for raw in batch.column("x"):
+                x = np.concatenate([[0], np.frombuffer(raw.as_buffer(), dtype=np.int32)])
+                for at in range(0, len(x) - 1, PIECE):
+                    piece = x[at : at + PIECE + 1]
+                    runs.append(count(piece[:-1], piece[1:]))
+                    if sum(len(codes) for codes, _ in runs[1:]) > ROOM // 2:
+                        runs = [merged(runs)]
+                    if len(runs[0][0]) > ROOM:
+                        yield from rows(*merged(runs))
+                        runs = []
+        if runs:
+            yield from rows(*merged(runs))
+
+    counted = map_arrow(numbers, work, "code long, n long", pa.schema([("code", pa.int64()), ("n", pa.int64())]))
     return counted.groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -149,8 +181,20 @@ def best_classes(owner: np.ndarray, side: np.ndarray, beside: np.ndarray, x: np.
     """The class of each word that most raises the objective, given the class bigrams n.
 
     x times class ``beside`` stands after (side 0) or before (side 1) word ``owner``; owners ascend from 0.
-    ``was`` is the class under which n holds each word now; its pairs are taken out of n first.
+    ``was`` is the class under which n holds each word now; its pairs are taken out of n first. Words are weighed apart,
+    so a few at a time give the same.
     """
+    starts, best, at = np.searchsorted(owner, np.arange(len(was) + 1)), [np.zeros(0, np.int64)], 0
+    while at < len(was):
+        to = min(max(int(np.searchsorted(starts, starts[at] + WEIGHED, "right")) - 1, at + 1), at + WEIGHED)
+        some = slice(starts[at], starts[to])
+        best.append(_best(owner[some] - at, side[some], beside[some], x[some], was[at:to], n, classes))
+        at = to
+    return np.concatenate(best)
+
+
+def _best(owner: np.ndarray, side: np.ndarray, beside: np.ndarray, x: np.ndarray, was: np.ndarray, n: np.ndarray, classes: int) -> np.ndarray:
+    """``best_classes`` at once: it takes about 1.6 kilobytes a pair."""
     words, k = len(was), len(n)
     dense = np.zeros((2, words, k))
     np.add.at(dense, (side, owner, beside), x)
@@ -200,22 +244,23 @@ class Model:
         self.log_count = np.append(np.log10(counts + 1), 0.0)
 
 
-def _sweep(texts: DataFrame, ids_of: object, of: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+def _sweep(numbers: DataFrame, of: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
     """(class bigrams, new classes) of one pass: every word from ``first`` to before ``last`` is exchanged against the classes beside it.
 
     ``of`` is the class of each word.
     """
-    spark, k = texts.sparkSession, CLASSES + 2
+    spark, k = numbers.sparkSession, CLASSES + 2
     sent = spark.sparkContext.broadcast(np.append(of, k - 1))
     words = len(of)
 
-    def beside(x: np.ndarray) -> np.ndarray:
-        now, a, b = sent.value, x[:-1], x[1:]
+    def beside(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        now = sent.value
         right, left = (a >= first) & (a < last), (b >= first) & (b < last)
-        ends = np.concatenate([[CLASSES], now[x[:-1]]]) * k + now[x]  # class bigrams, under words beyond the last
-        return np.concatenate([(a[right] * 2) * k + now[b[right]], (b[left] * 2 + 1) * k + now[a[left]], words * 2 * k + ends])
+        near, n = tally(np.concatenate([(a[right] * 2) * k + now[b[right]], (b[left] * 2 + 1) * k + now[a[left]]]))
+        ends, m = tally(now[a] * k + now[b])  # class bigrams, under words beyond the last
+        return np.concatenate([near, words * 2 * k + ends]), np.concatenate([n, m])
 
-    counted = checkpoint(_sparse(texts, ids_of, beside))
+    counted = checkpoint(_sparse(numbers, beside))
     bigrams = counted.where(F.col("code") >= words * 2 * k).select((F.col("code") - words * 2 * k).alias("code"), "n")
     n = _table(bigrams, k * k).reshape(k, k)
     law = spark.sparkContext.broadcast((n, of))
@@ -257,12 +302,13 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, object, DataF
     core = min(CORE, clustered)
     sent = spark.sparkContext.broadcast(ids)
 
-    def pairs(x: np.ndarray) -> np.ndarray:
-        a, b = x[:-1], x[1:]
+    numbers = _numbers(texts, sent)
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         both = (a >= 0) & (b >= 0) & (a < core) & (b < core)
-        return a[both] * core + b[both]
+        return tally(a[both] * core + b[both])
 
-    b = _table(_sparse(texts, sent, pairs), core * core).reshape(core, core)
+    b = _table(_sparse(numbers, pairs), core * core).reshape(core, core)
     k = CLASSES + 2
     of = np.full(len(n), k - 1, dtype=np.int64)
     # the end takes no part in the exchange: it is a class of its own
@@ -271,30 +317,29 @@ def train(docs: DataFrame, text_col: str = "text") -> tuple[Model, object, DataF
     start = core  # first the others against the core, then all
     best: tuple[float, np.ndarray] = (-math.inf, of)
     for sweep in range(PASSES if clustered > core else 0):
-        bigrams, new = _sweep(texts, sent, of, start, clustered)
+        bigrams, new = _sweep(numbers, of, start, clustered)
         if sweep and objective(bigrams) > best[0]:
             best = (objective(bigrams), of)
         of, start = new, 1
     if clustered > core and PASSES:
-        trans = _transitions(texts, sent, of, k)
+        trans = _transitions(numbers, of, k)
         if objective(trans) <= best[0]:
             of = best[1]
-            trans = _transitions(texts, sent, of, k)
+            trans = _transitions(numbers, of, k)
     else:
-        trans = _transitions(texts, sent, of, k)
+        trans = _transitions(numbers, of, k)
     kept = n[1:clustered].sum()
     model = Model(n, of, (int(words_total - kept), int(distinct - (clustered - 1))), trans, int(words_total + ends), int(distinct + (ends > 0)))
     return model, sent, counts.where(F.col("n") <= least)
 
 
-def _transitions(texts: DataFrame, ids_of: object, of: np.ndarray, k: int) -> np.ndarray:
-    sent = texts.sparkSession.sparkContext.broadcast(np.append(of, k - 1))
+def _transitions(numbers: DataFrame, of: np.ndarray, k: int) -> np.ndarray:
+    sent = numbers.sparkSession.sparkContext.broadcast(np.append(of, k - 1))
 
-    def codes(x: np.ndarray) -> np.ndarray:
-        c = sent.value[x]
-        return np.concatenate([[CLASSES], c[:-1]]) * k + c
+    def codes(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return tally(sent.value[a] * k + sent.value[b])
 
-    return _table(_sparse(texts, ids_of, codes), k * k).reshape(k, k)
+    return _table(_sparse(numbers, codes), k * k).reshape(k, k)
 
 
 def score(docs: DataFrame, model: Model, ids_of: object, rest: DataFrame, held_out, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

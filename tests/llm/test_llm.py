@@ -516,6 +516,40 @@ def test_brown_core_exchange_by_brute_force():
         assert np.allclose(gain - gain[0], np.array(value) - value[0])
 
 
+def test_brown_exchange_needs_little_memory():
+    """The 10,000 words of one batch, beside 25 classes each, used to take over 400 MB at once."""
+    import tracemalloc
+
+    draw = np.random.default_rng(1)
+    words, near, k = 10_000, 25, brown.CLASSES + 2
+    owner, side = np.repeat(np.arange(words), near), np.tile(np.arange(near) % 2, words)
+    beside = np.concatenate([draw.permutation(k)[:near] for _ in range(words)])
+    x, was = draw.integers(1, 9, words * near).astype(float), draw.integers(0, brown.CLASSES, words)
+    n = draw.integers(100_000, 1_000_000, (k, k)).astype(float)
+    tracemalloc.start()
+    got = brown.best_classes(owner, side, beside, x, was, n, brown.CLASSES)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50e6
+    some = owner >= words - 40
+    assert (got[-40:] == brown.best_classes(owner[some] - words + 40, side[some], beside[some], x[some], was[-40:], n, brown.CLASSES)).all()
+
+
+def test_brown_counts_do_not_depend_on_batches(spark, docs):
+    """The neighbours of a batch's, a row's or a piece's first word count like others."""
+    import unittest.mock
+
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    whole = brown.train(docs)[0]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+        with unittest.mock.patch.multiple(brown, PIECE=100, ROOM=1000, WEIGHED=200):
+            cut = brown.train(docs)[0]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert (whole.of == cut.of).all() and (whole.log_trans == cut.log_trans).all()
+
+
 def test_brown_scores_sum_to_one(spark, docs):
     """The chances of all words after a class, and one of no count, are one."""
     model, ids, rest = brown.train(docs)
