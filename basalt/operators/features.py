@@ -134,14 +134,23 @@ SHAPES: dict[str, tuple[Callable[[Column], Column], float | None, bool]] = {
     "log": (F.log, 0.0, True), "log1p": (F.log1p, -1.0, True), "sqrt": (F.sqrt, 0.0, False), "cbrt": (F.cbrt, None, False), "reciprocal": (lambda c: F.try_divide(F.lit(1.0), c), None, False),
 }
 
+#: Shapes that have a limit at the edge of their domain, and none beyond: as IEEE 754 has it, infinite at the edge and NaN beyond.
+LIMITS: dict[str, Callable[[Column], Column]] = {
+    "log": lambda c: F.when(c > 0, F.log(c)).when(c == 0, -math.inf).when(c < 0, math.nan), "log1p": lambda c: F.when(c > -1, F.log1p(c)).when(c == -1, -math.inf).when(c < -1, math.nan),
+    "reciprocal": lambda c: F.when(c == 0, F.pow(c, F.lit(-1.0))).otherwise(F.try_divide(F.lit(1.0), c)),
+}
+
 
-def reshape(train: DataFrame, columns: list[str], strategy: str, overrides: dict[str, str] | None = None) -> Stage:
-    """A shape for each column, ``strategy`` unless ``overrides`` names another; train must lie in its domain, null stays null."""
+def reshape(train: DataFrame, columns: list[str], strategy: str, overrides: dict[str, str] | None = None, strict: bool = True) -> Stage:
+    """A shape for each column, ``strategy`` unless ``overrides`` names another; null stays null.
+
+    Train must lie in the shape's domain; without ``strict`` it need not, and values outside become infinite or NaN.
+    """
     plans = {c: (overrides or {}).get(c, strategy) for c in columns}
     if unknown := sorted(set(plans.values()) - set(SHAPES) - {"yeo_johnson", "quantile_uniform", "quantile_normal", "none"}):
         raise ValueError(f"no shape is called {', '.join(unknown)}")
-    r = train.agg(*[x for c in columns for x in (F.min(c), F.count_if(F.col(c) == 0))]).first()
-    for i, (c, name) in enumerate(plans.items()):
+    r = train.agg(*[x for c in columns for x in (F.min(c), F.count_if(F.col(c) == 0))]).first() if strict else None
+    for i, (c, name) in enumerate(plans.items() if strict else ()):
         lo, zeros = r[2 * i], r[2 * i + 1]
         least, strict = SHAPES[name][1:] if name in SHAPES else (None, False)
         if lo is not None and least is not None and (lo < least or strict and lo == least):
@@ -150,7 +159,8 @@ def reshape(train: DataFrame, columns: list[str], strategy: str, overrides: dict
             raise ValueError(f"reciprocal needs values other than 0 in {c}")
     done: list[Stage] = []
     plain = {c: n for c, n in plans.items() if n in SHAPES}
-    done.append(lambda df: _each(df, {c: SHAPES[n][0](F.col(c).cast("double")) for c, n in plain.items()}) if plain else df)
+    shape = {n: SHAPES[n][0] if strict else LIMITS.get(n, SHAPES[n][0]) for n in plain.values()}
+    done.append(lambda df: _each(df, {c: shape[n](F.col(c).cast("double")) for c, n in plain.items()}) if plain else df)
     for c, name in plans.items():
         if name not in SHAPES and name != "none":
             done.append(registry(name, c)(train))

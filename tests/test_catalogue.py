@@ -176,3 +176,39 @@ def test_yeo_johnson_is_the_best_lambda(spark, sf):
         return 0.5 * len(x) * math.log(y.var()) - (g - 1) * np.log1p(x).sum()
 
     assert all(loss(lam) <= loss(lam + d) + 1e-6 for d in (-0.05, -0.005, 0.005, 0.05))
+
+
+def test_shapes_at_zero_are_those_of_sql(spark, duck):
+    """log, log1p and reciprocal reach their limits where the queries' SQL does; the stages stay strict."""
+    from basalt.operators.features import reshape
+
+    rows = [(i, v) for i, v in enumerate((0.0, 2.5, -1.0, -3.0, None, float("nan")))]
+    d = spark.createDataFrame(rows, "event_id int, value double")
+    for name in ("log", "log1p", "reciprocal"):
+        with pytest.raises(ValueError):
+            reshape(d.where("value <= 0"), ["value"], name)(d)
+        got = {r["event_id"]: r["value"] for r in catalogue.out(reshape(d, ["value"], name, strict=False)(d), "value").collect()}
+        values = ", ".join(f"({i}, {'NULL' if v is None else repr(str(v))}::DOUBLE)" for i, v in rows)
+        want = dict(duck.sql(catalogue.ORACLE_SQL[f"shape_{name}"].replace("FROM events", f"FROM (VALUES {values}) e(event_id, value)")).fetchall())
+        assert all(str(got[i]) == str(want[i]) for i, _ in rows)
+
+
+def _queried(spark, tmp_path, name, **tables):
+    """A query over tables of its own, and the same by its SQL: rows as sorted texts."""
+    c = duckdb.connect()
+    for t, d in tables.items():
+        d.write.parquet(str(tmp_path / f"{t}.parquet"))
+        c.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    df, o = catalogue.QUERIES[name](spark, str(tmp_path)), c.sql(catalogue.ORACLE_SQL[name])
+    columns = sorted(df.columns)
+    return sorted(str([r[x] for x in columns]) for r in df.collect()), sorted(str([r[o.columns.index(x)] for x in columns]) for r in o.fetchall())
+
+
+def _events(spark, values):
+    return spark.createDataFrame([(i, i % 3, "view", v) for i, v in enumerate(values)], "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-02 00:00:00' AS ts")
+
+
+@pytest.mark.parametrize("name", ["shape_log", "shape_reciprocal"])
+def test_queries_of_events_without_value_equal_their_sql(spark, tmp_path, name):
+    ours, theirs = _queried(spark, tmp_path, name, events=_events(spark, [0.0, 1.5, 0.0, 7.25, 3.0, 2.0, 9.5, 0.0]))
+    assert ours == theirs and any("inf" in x or "nan" in x for x in ours)
