@@ -105,11 +105,11 @@ def scale_parameters(train: DataFrame, columns: list[str], strategy: str) -> dic
     return {c: (found.get(c, (0.0, 1.0))[0] or 0.0, found.get(c, (0.0, 1.0))[1] or 1.0) for c in columns}
 
 
-def scale(train: DataFrame, columns: list[str], strategy: str = "robust", centering: bool = True, scaling: bool = True) -> Stage:
-    """Nulls count as 0, at fit and at transform."""
+def scale(train: DataFrame, columns: list[str], strategy: str = "robust", centering: bool = True, scaling: bool = True, empty: float = 0.0) -> Stage:
+    """Nulls count as 0, at fit and at transform; ``empty`` is what l2_norm makes of rows of zeros only."""
     if strategy == "l2_norm":
         norm = F.sqrt(sum((F.pow(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(2)) for c in columns), F.lit(0.0)))
-        return lambda df: df.withColumn("__norm", norm).withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) / F.when(F.col("__norm") == 0, 1.0).otherwise(F.col("__norm")) for c in columns}).drop("__norm")
+        return lambda df: df.withColumn("__norm", norm).withColumns({c: F.when(F.col("__norm") == 0, empty).otherwise(F.try_divide(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.col("__norm"))) for c in columns}).drop("__norm")
     if strategy == "none":
         return lambda df: df
     return scaled(scale_parameters(train, columns, strategy), centering, scaling)

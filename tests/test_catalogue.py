@@ -208,7 +208,7 @@ def _events(spark, values):
     return spark.createDataFrame([(i, i % 3, "view", v) for i, v in enumerate(values)], "event_id long, user_id long, event_type string, value double").selectExpr("*", "timestamp_ntz'2024-01-02 00:00:00' AS ts")
 
 
-@pytest.mark.parametrize("name", ["shape_log", "shape_reciprocal"])
+@pytest.mark.parametrize("name", ["shape_log", "shape_reciprocal", "scale_l2"])
 def test_queries_of_events_without_value_equal_their_sql(spark, tmp_path, name):
     ours, theirs = _queried(spark, tmp_path, name, events=_events(spark, [0.0, 1.5, 0.0, 7.25, 3.0, 2.0, 9.5, 0.0]))
     assert ours == theirs and any("inf" in x or "nan" in x for x in ours)
