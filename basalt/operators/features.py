@@ -367,7 +367,8 @@ def bin_edges(train: DataFrame, column: str, strategy: str, bins: int) -> list[f
         d = train.where(c.isNotNull()).select(array_to_vector(F.array(c)).alias("features"))
         centres = sorted(float(x[0]) for x in KMeans(k=bins, seed=S.SEED).fit(d).clusterCenters()) if hi > lo else []
         return sorted({lo, hi, *((a + b) / 2 for a, b in zip(centres, centres[1:], strict=False))})
-    return sorted({lo + (hi - lo) * i / bins for i in range(bins + 1)})
+    # the ends are the range itself: lo + (hi - lo) * bins / bins can be less than hi
+    return sorted({lo, hi, *(min(lo + (hi - lo) * i / bins, hi) for i in range(1, bins))})
 
 
 def bin_labels(column: str, edges: list[float]) -> Stage:

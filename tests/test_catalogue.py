@@ -212,3 +212,10 @@ def _events(spark, values):
 def test_queries_of_events_without_value_equal_their_sql(spark, tmp_path, name):
     ours, theirs = _queried(spark, tmp_path, name, events=_events(spark, [0.0, 1.5, 0.0, 7.25, 3.0, 2.0, 9.5, 0.0]))
     assert ours == theirs and any("inf" in x or "nan" in x for x in ours)
+
+
+def test_uniform_bins_end_at_the_greatest_value(spark, tmp_path):
+    """lo + (hi - lo) * 5 / 5 may lie just below hi."""
+    hi = next(h / 100 for h in range(40000, 90000) if 0.01 + (h / 100 - 0.01) * 5 / 5 < h / 100)
+    ours, theirs = _queried(spark, tmp_path, "bin_uniform", events=_events(spark, [0.01, hi, hi / 2]))
+    assert ours == theirs and "[1, 4]" in ours
