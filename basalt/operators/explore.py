@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -81,11 +82,26 @@ def flagged(df: DataFrame, numeric: list[str], categorical: list[str], target: s
 
 
 def recommended_drops(df: DataFrame, numeric: list[str], categorical: list[str], target: str) -> DataFrame:
-    """(feature, reasons): constant, nearly constant or of low information value, with the sorted reasons."""
-    names = {"CONSTANT": "constant", "NEAR_ZERO_VARIANCE": "near_zero_variance", "LOW_IV": "low_iv"}
-    of = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    found = alerts(df, numeric, categorical, target).where(F.col("type").isin(*names))
-    return found.groupBy("feature").agg(F.array_join(F.array_sort(F.collect_set(F.element_at(of, F.col("type")))), ",").alias("reasons"))
+    """(feature, reasons): constant, nearly constant or of low information value, with the sorted reasons.
+
+    The rules are those of ``alerts``, which measures much else: here moments of the numbers, levels of the categories
+    and information values do.
+    """
+    out = []
+
+    def add(d: DataFrame, **rules) -> None:
+        out.append(d.select("feature", F.array_compact(F.array(*[F.when(F.col(c) if isinstance(c, str) else c, F.lit(k)) for k, c in rules.items()])).alias("found")))
+
+    if numeric:
+        add(P.spread_flags(df, numeric), constant="constant_flag", near_zero_variance="near_zero_variance_flag")
+    if categorical:
+        # one level or none: no two values differ
+        ends = df.agg(*[x for i, c in enumerate(categorical) for x in (F.min(F.col(c).cast("string")).alias(f"a{i}"), F.max(F.col(c).cast("string")).alias(f"b{i}"))])
+        levels = ends.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), (~F.coalesce(F.col(f"a{i}") < F.col(f"b{i}"), F.lit(False))).alias("one")) for i, c in enumerate(categorical)])))
+        add(levels, constant="one")
+    add(information(df, numeric, categorical, target), low_iv=F.col("iv") < S.LOW_IV)
+    found = reduce(DataFrame.unionByName, out)
+    return found.groupBy("feature").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))), ",").alias("reasons")).where("reasons <> ''")
 
 
 def flag_issues(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:

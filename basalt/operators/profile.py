@@ -68,6 +68,14 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None) -> DataFram
     )
 
 
+def spread_flags(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, constant_flag, near_zero_variance_flag) as in ``numeric_summary``, by one aggregate."""
+    v = {i: F.col(c).cast("double") for i, c in enumerate(columns)}
+    one = df.agg(*[F.stddev_samp(x).alias(f"s{i}") for i, x in v.items()])
+    flags = [F.struct(F.lit(c).alias("feature"), F.coalesce(F.col(f"s{i}") == 0, F.lit(True)).alias("constant_flag"), F.coalesce(F.col(f"s{i}") * F.col(f"s{i}") < S.NEAR_ZERO_VARIANCE, F.lit(True)).alias("near_zero_variance_flag")) for i, c in enumerate(columns)]
+    return one.select(F.inline(F.array(*flags)))
+
+
 def frequencies(df: DataFrame, columns: list[str]) -> DataFrame:
     """(feature, value, n) of the non-null values of categorical columns."""
     return long_form(df, columns, to="string").where("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))

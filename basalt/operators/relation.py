@@ -24,9 +24,11 @@ def quantile_bins(df: DataFrame, columns: list[str], target: str, bins: int = S.
     """(feature, bin, y): right-closed quantile bins with distinct edges, named by their upper edge."""
     cells = long_form(df, columns, F.col(target).cast("int").alias("y")).where("value is not null")
     edges = quantiles(cells.select("feature", "value"), [i / bins for i in range(1, bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
-    upper = F.element_at(F.filter("edges", lambda e: e >= F.col("value")), 1)
+    # edges are made text once a column, not once a row
+    edges = edges.withColumn("names", F.transform("edges", lambda e: r6(e).cast("string")))
+    upper = F.element_at("names", F.size(F.filter("edges", lambda e: e < F.col("value"))) + 1)
     # one row of edges per column
-    return cells.join(F.broadcast(edges), "feature").select("feature", r6(upper).cast("string").alias("bin"), "y")
+    return cells.join(F.broadcast(edges), "feature").select("feature", upper.alias("bin"), "y")
 
 
 def category_bins(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -183,10 +185,24 @@ def gram(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray, int
 
 
 def vif(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Variance inflation without an added intercept, from the inverse Gram matrix."""
+    """Variance inflation without an added intercept, from the inverse Gram matrix; of exact copies it is infinite.
+
+    A Gram matrix of near copies holds little but rounding where they differ. So columns are turned to nearly
+    orthogonal ones by the first, and the inverse is that of a second Gram matrix, of the turned columns.
+    """
     g, _, _ = gram(df, columns)
-    inverse = np.linalg.pinv(g)
-    rows = [(c, float(round(g[i, i] * inverse[i, i], 2)), bool(g[i, i] * inverse[i, i] > S.HIGH_VIF)) for i, c in enumerate(columns)]
+    size = np.sqrt(np.diag(g))
+    size[size == 0] = 1
+    values, turn = np.linalg.eigh(g / np.outer(size, size))
+    turn = turn / np.sqrt(np.maximum(values, 1e-14 * max(values.max(), 1e-300))) / size[:, None]
+    k = range(len(columns))
+    turned = df.dropna(how="any", subset=columns).select(*[sum((F.col(columns[i]).cast("double") * float(turn[i, j]) for i in k), F.lit(0.0)).alias(f"x{j}") for j in k])
+    h, _, _ = gram(turned, turned.columns)
+    values, vectors = np.linalg.eigh(h)
+    part = (size[:, None] * (turn @ vectors)) ** 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        found = np.where(part > 0, part / np.maximum(values, 0), 0).sum(axis=1) * np.diag(g) / size**2
+    rows = [(c, float(round(v, 2)), bool(v > S.HIGH_VIF)) for c, v in zip(columns, found.tolist(), strict=True)]
     return df.sparkSession.createDataFrame(rows, "feature string, vif double, high boolean")
 
 

@@ -219,3 +219,34 @@ def test_uniform_bins_end_at_the_greatest_value(spark, tmp_path):
     hi = next(h / 100 for h in range(40000, 90000) if 0.01 + (h / 100 - 0.01) * 5 / 5 < h / 100)
     ours, theirs = _queried(spark, tmp_path, "bin_uniform", events=_events(spark, [0.01, hi, hi / 2]))
     assert ours == theirs and "[1, 4]" in ours
+
+
+def test_inflation_of_near_and_exact_copies(spark):
+    """The inverse of one Gram matrix loses a copy that differs by little; exact copies are infinite."""
+    from basalt.operators.relation import vif
+
+    d = spark.range(0, 20000, 1, 4).selectExpr("CAST(900 + id * 7919 % 104729 AS DOUBLE) AS a", "(900 + id * 7919 % 104729) * 1.05D + id % 9 * 0.01D AS b", "CAST(id % 13 AS DOUBLE) AS c", "CAST(id % 13 AS DOUBLE) * 2 AS e")
+    near = {r["feature"]: r for r in vif(d, ["a", "b", "c"]).collect()}
+    assert near["a"]["high"] and near["b"]["high"] and not near["c"]["high"]
+    x = [(r["a"], r["b"] - 1.05 * r["a"], r["c"]) for r in d.collect()]
+    import numpy as np
+
+    m = np.array(x)
+    rest = m[:, 1] - m[:, [0, 2]] @ np.linalg.lstsq(m[:, [0, 2]], m[:, 1], rcond=None)[0]
+    b = 1.05 * m[:, 0] + m[:, 1]
+    assert math.isclose(near["b"]["vif"], (b**2).sum() / (rest**2).sum(), rel_tol=1e-3)
+    copies = {r["feature"]: r for r in vif(d, ["a", "c", "e"]).collect()}
+    assert copies["c"]["high"] and copies["e"]["high"] and not copies["a"]["high"]
+
+
+def test_recommended_drops_follow_the_alerts(spark):
+    from basalt.operators import explore as E
+
+    d = spark.range(400).selectExpr("id % 2 AS y", "id % 2 * 5.0D + id % 7 AS good", "0.001D * (id % 3) AS near", "CAST(NULL AS DOUBLE) AS empty", "7 AS flat", "'a' AS one", "CAST(NULL AS STRING) AS none", "CAST(id % 3 AS STRING) AS three", "CAST(id % 2 AS STRING) AS tells")
+    numeric, categorical = ["good", "near", "empty", "flat"], ["one", "none", "three", "tells"]
+    want = {}
+    for r in E.alerts(d, numeric, categorical, "y").collect():
+        if r["type"] in ("CONSTANT", "NEAR_ZERO_VARIANCE", "LOW_IV"):
+            want.setdefault(r["feature"], set()).add(r["type"].lower())
+    got = {r["feature"]: r["reasons"] for r in E.recommended_drops(d, numeric, categorical, "y").collect()}
+    assert got == {k: ",".join(sorted(v)) for k, v in want.items()} and "near" in got and "good" not in got
