@@ -20,6 +20,8 @@ from basalt.core.schema import long_form
 
 #: Distinct values that one task orders.
 PART_ROWS = 1_000_000
+#: Parts of a histogram, and rows of a part that come to the driver.
+HISTOGRAM, FEW_ROWS = 2048, 2000
 #: Ranges that a value is searched in by comparison, where it is no number.
 MOST_PARTS = 256
 
@@ -60,15 +62,72 @@ def counted(cells: DataFrame) -> DataFrame:
 def quantiles(cells: DataFrame, levels: Sequence[float], part_rows: int = PART_ROWS) -> DataFrame:
     """(feature, rows, q): exact quantiles, linear between neighbours, of the values (doubles) of every feature.
 
-    Values are counted first. Features of more than ``part_rows`` distinct values are cut in ranges, again
-    and again, and only the ranges that hold a wanted place are kept, so that no task orders more than that.
+    Histograms narrow the ranges that hold a wanted place (``_quantiles``). Where a range overflows, values are counted,
+    features of more than ``part_rows`` distinct values are cut in ranges, again and again, and only the ranges that
+    hold a wanted place are kept, so that no task orders more than that.
     """
     found = _quantiles(cells, levels, part_rows)
     return cells.sparkSession.createDataFrame([(f, n, q) for f, (n, q) in found.items()], "feature string, rows long, q array<double>")
 
 
 def _quantiles(cells: DataFrame, levels: Sequence[float], part_rows: int = PART_ROWS) -> dict[str, tuple[int, list[float]]]:
-    """Rows and quantiles of every feature: two values for each level come to the driver."""
+    """Rows and quantiles of every feature, by histograms: no row is shuffled.
+
+    Ranges are cut in even parts, counted with their ends, and those that hold a wanted place cut again, until one
+    value or few rows are left. Values whose range overflows are counted and ordered instead.
+    """
+    own = cells.where(F.col("value").isNotNull() & ~F.isnan("value")).select("feature", "value")
+    ends = {r["feature"]: r for r in own.groupBy("feature").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect()}
+    far = [f for f, r in ends.items() if not math.isfinite(r["hi"] - r["lo"])]
+    out = _counted_quantiles(own.where(F.col("feature").isin(*far)), levels, part_rows) if far else {}
+    wanted = {f: sorted({k for p in levels for k in (math.floor(p * (r["n"] - 1)), math.ceil(p * (r["n"] - 1)))}) for f, r in ends.items() if f not in far}
+    at = {(f, k): ends[f]["lo"] for f, places in wanted.items() if ends[f]["lo"] == ends[f]["hi"] for k in places}
+    # ranges by number: (feature, rows before, places wanted)
+    ranges = {i: (f, 0, places) for i, (f, places) in enumerate(wanted.items()) if ends[f]["lo"] < ends[f]["hi"]}
+    law = [(f, i, ends[f]["lo"], ends[f]["hi"] - ends[f]["lo"]) for i, (f, _, _) in ranges.items()]
+    spark, few = cells.sparkSession, min(part_rows, FEW_ROWS)
+    now = own.join(F.broadcast(spark.createDataFrame(law, "feature string, id int, lo double, width double")), "feature") if law else own
+    while ranges:
+        parts = max(16, min(HISTOGRAM, 500_000 // len(ranges)))
+        now = now.select("id", F.floor((F.col("value") - F.col("lo")) / F.col("width") * (parts - 1)).cast("int").alias("part"), "value")
+        cells_of: dict[int, list] = {}
+        for r in now.groupBy("id", "part").agg(F.count("*").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect():
+            cells_of.setdefault(r["id"], []).append(r)
+        more, small = {}, {}
+        law, direct = [], []
+        for i, (f, before, places) in ranges.items():
+            for r in sorted(cells_of[i], key=lambda r: r["part"]):
+                mine = [k for k in places if before <= k < before + r["n"]]
+                if mine and r["lo"] == r["hi"]:
+                    at |= {(f, k): r["lo"] for k in mine}
+                elif mine and r["n"] <= few:
+                    small[len(small)] = (f, before, mine)
+                    direct.append((i, r["part"], len(direct)))
+                elif mine:
+                    law.append((i, r["part"], len(law), r["lo"], r["hi"] - r["lo"]))
+                    more[len(more)] = (f, before, mine)
+                before += r["n"]
+        if direct:
+            values: dict[int, list] = {}
+            picked = now.join(F.broadcast(spark.createDataFrame(direct, "id int, part int, at int")), ["id", "part"])
+            for r in picked.groupBy("at", "value").agg(F.count("*").alias("n")).collect():
+                values.setdefault(r["at"], []).append((r["value"], r["n"]))
+            for i, (f, before, places) in small.items():
+                for v, n in sorted(values[i]):
+                    at |= {(f, k): v for k in places if before <= k < before + n}
+                    before += n
+        if more:
+            inner = spark.createDataFrame(law, "id int, part int, next int, lo double, width double")
+            now = now.join(F.broadcast(inner), ["id", "part"]).select(F.col("next").alias("id"), "value", "lo", "width")
+        ranges = more
+    for f in wanted:
+        places = [p * (ends[f]["n"] - 1) for p in levels]
+        out[f] = (ends[f]["n"], [at[f, math.floor(x)] + (at[f, math.ceil(x)] - at[f, math.floor(x)]) * (x - math.floor(x)) for x in places])
+    return out
+
+
+def _counted_quantiles(cells: DataFrame, levels: Sequence[float], part_rows: int = PART_ROWS) -> dict[str, tuple[int, list[float]]]:
+    """Rows and quantiles of every feature by counted values: two values for each level come to the driver."""
     freq = checkpoint(counted(cells.where(~F.isnan("value"))))
     sizes = {r["feature"]: (r["kinds"], r["rows"]) for r in freq.groupBy("feature").agg(F.count("*").alias("kinds"), F.sum("n").alias("rows")).collect()}
     spark = freq.sparkSession

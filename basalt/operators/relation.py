@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basalt.core import settings as S
 from basalt.core.lineage import checkpoint
 from basalt.core.schema import long_form
-from basalt.operators.order import quantiles, running
+from basalt.operators.order import column_quantiles, running
 from basalt.operators.profile import r6
 
 
@@ -22,13 +22,19 @@ MOST_CELLS = 1_000_000
 
 def quantile_bins(df: DataFrame, columns: list[str], target: str, bins: int = S.IV_BINS) -> DataFrame:
     """(feature, bin, y): right-closed quantile bins with distinct edges, named by their upper edge."""
-    cells = long_form(df, columns, F.col(target).cast("int").alias("y")).where("value is not null")
-    edges = quantiles(cells.select("feature", "value"), [i / bins for i in range(1, bins + 1)]).select("feature", F.array_sort(F.array_distinct("q")).alias("edges"))
-    # edges are made text once a column, not once a row
-    edges = edges.withColumn("names", F.transform("edges", lambda e: r6(e).cast("string")))
-    upper = F.element_at("names", F.size(F.filter("edges", lambda e: e < F.col("value"))) + 1)
-    # one row of edges per column
-    return cells.join(F.broadcast(edges), "feature").select("feature", upper.alias("bin"), "y")
+    edges = {c: sorted(set(q)) for c, q in column_quantiles(df, columns, [i / bins for i in range(1, bins + 1)]).items()}
+    law = df.sparkSession.createDataFrame(list(edges.items()), "feature string, edges array<double>")
+    names = {r["feature"]: r["names"] for r in law.select("feature", F.transform("edges", lambda e: r6(e).cast("string")).alias("names")).collect()}
+
+    def upper(c: str) -> Column:
+        v = F.col(c).cast("double")
+        below = sum(((v > e).cast("int") for e in edges[c]), F.lit(0))
+        return F.when(v.isNotNull() & ~F.isnan(v), F.element_at(F.array(*map(F.lit, names[c])), below + 1))
+
+    pairs = [F.struct(F.lit(c).alias("feature"), upper(c).alias("bin")) for c in columns if c in edges]
+    if not pairs:
+        return df.limit(0).select(F.lit("").alias("feature"), F.lit("").alias("bin"), F.col(target).cast("int").alias("y"))
+    return df.select(F.inline(F.array(*pairs)), F.col(target).cast("int").alias("y")).where("bin is not null")
 
 
 def category_bins(df: DataFrame, columns: list[str], target: str) -> DataFrame:
