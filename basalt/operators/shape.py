@@ -112,36 +112,95 @@ def noise(train: DataFrame, column: str, key: str, kind: str = "gaussian", scale
     return lambda df: df.withColumn(column, F.when(chosen < rows, c + width * draws[kind]).otherwise(c))
 
 
+#: Patterns of missing values that are summed apart, and those that are written out as expressions.
+MOST_PATTERNS, EXPRESSED = 4096, 32
+
+
 def impute_iterative(train: DataFrame, columns: list[str], rounds: int = S.ROUNDS, ridge: float = 1e-6) -> Stage:
     """Nulls by chained regressions: each column in turn is fitted on the others, as filled so far.
 
     Starts from means; a column without nulls in train is only a predictor, one without any value
-    stays null. Fitting reads sums of products only, one aggregate for each round and column, over values
-    that are filled and checkpointed once a round, so plans don't grow.
+    stays null; NaN is null. What is filled is a line in the known values of a row, one for each pattern of missing
+    values, so sums of products by pattern, one aggregate, serve all rounds. With very many patterns the
+    values are filled and checkpointed once a round instead.
     """
-    first = train.agg(*[F.avg(F.col(c).cast("double")) for c in columns], *[F.count_if(F.col(c).isNull()) for c in columns]).first()
+    value = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in columns}
+    first = train.agg(*[F.avg(value[c]) for c in columns], *[F.count_if(value[c].isNull()) for c in columns]).first()
     k = len(columns)
     used = [c for c, m in zip(columns, first[:k], strict=True) if m is not None]
     means = [m for m in first[:k] if m is not None]
     gaps = [i for i, c in enumerate(used) if first[k + columns.index(c)]]
+    size = len(used)
     steps: list[tuple[int, list[float], float]] = []
 
-    def line(i: int, w: list[float], b: float) -> Column:
-        return sum((F.col(f"x{j}") * float(v) for j, v in enumerate(w) if v), F.lit(float(b)))
-
-    now = train.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), F.lit(float(means[j]))).alias(f"x{j}") for j, c in enumerate(used)], *[F.col(used[i]).isNull().alias(f"gone{i}") for i in gaps])
-    for _ in range(rounds if len(used) > 1 else 0):
-        for i in gaps:
-            others = [j for j in range(len(used)) if j != i]
-            g, s, n = gram(now.where(~F.col(f"gone{i}")), [f"x{j}" for j in range(len(used))])
-            cov = g / n - np.outer(s / n, s / n)
-            part = cov[np.ix_(others, others)]
-            part = part + ridge * np.diag(np.maximum(np.diag(part), 1e-12))
-            w = np.zeros(len(used))
-            w[others] = np.linalg.solve(part, cov[others, i])
-            steps.append((i, w.tolist(), float(s[i] / n - w @ s / n)))
-            now = now.withColumn(f"x{i}", F.when(F.col(f"gone{i}"), line(*steps[-1])).otherwise(F.col(f"x{i}")))
-        now = checkpoint(now)
+    def step(i: int, g: np.ndarray, s: np.ndarray, n: int) -> tuple[int, list[float], float]:
+        others = [j for j in range(size) if j != i]
+        cov = g / n - np.outer(s / n, s / n)
+        part = cov[np.ix_(others, others)]
+        part = part + ridge * np.diag(np.maximum(np.diag(part), 1e-12))
+        w = np.zeros(size)
+        w[others] = np.linalg.solve(part, cov[others, i])
+        return i, w.tolist(), float(s[i] / n - w @ s / n)
+
+    def start(gone: frozenset[int]) -> np.ndarray:
+        """Rows of the filled columns in terms of 1 and the known values."""
+        a = np.zeros((size + 1, size + 1))
+        for j in range(-1, size):
+            a[j + 1, 0 if j in gone else j + 1] = means[j] if j in gone else 1.0
+        return a
+
+    def advance(a: np.ndarray, i: int, w: list[float], b: float) -> None:
+        a[i + 1] = np.array([b, *w]) @ a
+
+    bits = sum((F.when(value[used[i]].isNull(), F.lit(1 << b)).otherwise(F.lit(0)).cast("long") for b, i in enumerate(gaps)), F.lit(0).cast("long")) if len(gaps) < 63 else None
+
+    def pattern(mask: int) -> frozenset[int]:
+        return frozenset(i for b, i in enumerate(gaps) if mask >> b & 1)
+
+    if size > 1 and gaps and rounds:
+        few = bits is not None and (1 << len(gaps) <= MOST_PATTERNS or train.select(bits.alias("m")).distinct().limit(MOST_PATTERNS + 1).count() <= MOST_PATTERNS)
+        if few:
+            x = [F.coalesce(value[c], F.lit(0.0)) for c in used]
+            pairs = [(i, j) for i in range(size) for j in range(i, size)]
+            rows = train.groupBy(bits.alias("m")).agg(F.count("*").alias("n"), *[F.sum(v).alias(f"s{i}") for i, v in enumerate(x)], *[F.sum(x[i] * x[j]).alias(f"p{i}_{j}") for i, j in pairs]).collect()
+            sums = []
+            for r in rows:
+                g = np.zeros((size + 1, size + 1))
+                g[0, 0] = r["n"]
+                for i in range(size):
+                    g[0, i + 1] = g[i + 1, 0] = r[f"s{i}"]
+                for i, j in pairs:
+                    g[i + 1, j + 1] = g[j + 1, i + 1] = r[f"p{i}_{j}"]
+                sums.append((pattern(r["m"]), g, start(pattern(r["m"]))))
+            for _ in range(rounds):
+                for i in gaps:
+                    g = sum(a @ m @ a.T for gone, m, a in sums if i not in gone)
+                    steps.append(step(i, g[1:, 1:], g[0, 1:], g[0, 0]))
+                    for gone, _, a in sums:
+                        if i in gone:
+                            advance(a, *steps[-1])
+        else:
+            now = train.select(*[F.coalesce(value[c], F.lit(float(means[j]))).alias(f"x{j}") for j, c in enumerate(used)], *[value[used[i]].isNull().alias(f"gone{i}") for i in gaps])
+            for _ in range(rounds):
+                for i in gaps:
+                    steps.append(step(i, *gram(now.where(~F.col(f"gone{i}")), [f"x{j}" for j in range(size)])))
+                    _, w, b = steps[-1]
+                    line = sum((F.col(f"x{j}") * float(v) for j, v in enumerate(w) if v), F.lit(float(b)))
+                    now = now.withColumn(f"x{i}", F.when(F.col(f"gone{i}"), line).otherwise(F.col(f"x{i}")))
+                now = checkpoint(now)
+
+    def lines() -> dict[int, Column]:
+        """Filled values of the columns with gaps, a case for each pattern."""
+        known = [F.coalesce(value[c], F.lit(0.0 if j in gaps else float(means[j]))) for j, c in enumerate(used)]
+        out = {i: value[used[i]] for i in gaps}
+        for mask in range(1, 1 << len(gaps)):
+            gone, a = pattern(mask), start(pattern(mask))
+            for s in steps:
+                if s[0] in gone:
+                    advance(a, *s)
+            for i in gone:
+                out[i] = F.when(bits == mask, sum((known[j] * float(v) for j, v in enumerate(a[i + 1, 1:]) if v), F.lit(float(a[i + 1, 0])))).otherwise(out[i])
+        return out
 
     @F.pandas_udf("array<double>")
     def fill(rows: pd.Series) -> pd.Series:
@@ -153,7 +212,10 @@ def impute_iterative(train: DataFrame, columns: list[str], rounds: int = S.ROUND
         return pd.Series(list(x))
 
     def run(df: DataFrame) -> DataFrame:
-        d = df.withColumn("__f", fill(F.array(*[F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in used])))
+        if 1 << len(gaps) <= EXPRESSED:
+            filled = lines()
+            return df.withColumns({c: filled[j] if j in filled else F.coalesce(value[c], F.lit(float(means[j]))) for j, c in enumerate(used)})
+        d = df.withColumn("__f", fill(F.array(*[value[c] for c in used])))
         return d.withColumns({c: F.col("__f")[i] for i, c in enumerate(used)}).drop("__f")
 
     return run if used else lambda df: df
