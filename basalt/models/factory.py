@@ -112,11 +112,12 @@ class Model:
         """(split, metric, value) on each of the splits that there are, to six digits; PSI is against the scores of train."""
         return split.sparkSession.createDataFrame(self.metric_rows(split), "split string, metric string, value double")
 
-    def metric_rows(self, split: DataFrame) -> list[tuple[str, str, float | None]]:
+    def metric_rows(self, split: DataFrame, only: str | None = None) -> list[tuple[str, str, float | None]]:
+        """Metrics of every split, or of ``only`` one; of train there are then just the scores, for PSI."""
         there = {r[0] for r in split.select("split").distinct().collect()}
         scored = checkpoint(self.predict(split.where(F.col(self.target).isNotNull())).select("split", "score", "prediction", F.col(self.target).alias("y")))
         rows: list[tuple[str, str, float | None]] = []
-        for name in (s for s in SPLITS if s in there):
+        for name in (s for s in SPLITS if s in there and only in (None, s)):
             d = scored.where(F.col("split") == name)
             if self.task == "classification":
                 c = M.confusion(d, "score", "y").first()
@@ -158,7 +159,7 @@ def leaderboard(split: DataFrame, features: list[str], target: str, names: list[
     for name in names or algorithms(task):
         try:
             model = Model(name, features, target, task, (params or {}).get(name)).fit(data.where("split = 'train'"))
-            got = {m: v for s, m, v in model.metric_rows(data) if s == on}
+            got = {m: v for _, m, v in model.metric_rows(data, on)}
             rows.append((name, got.get(metric), got, None))
         except (ValueError, PySparkException) as e:
             rows.append((name, None, {}, str(e)[:200]))
@@ -228,7 +229,7 @@ def tune(split: DataFrame, features: list[str], target: str, algorithm: str, tas
     for i in range(len(candidates or []) if backend == "predefined" else trials):
         params = candidates[i] if backend == "predefined" else draw(space, rng, seen if backend == "density" else None, (lambda v: v) if falling else (lambda v: -v))
         model = Model(algorithm, features, target, task, params).fit(data.where("split = 'train'"))
-        value = next((v for s, m, v in model.metric_rows(data) if s == "val" and m == metric), None)
+        value = next((v for _, m, v in model.metric_rows(data, "val") if m == metric), None)
         if value is not None:
             seen.append((value, params))
             best = value if best is None else min(best, value) if falling else max(best, value)
