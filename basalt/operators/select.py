@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from abc import ABC, abstractmethod
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basalt.core import settings as S
 from basalt.core.schema import long_form, non_numeric
@@ -15,11 +17,30 @@ from basalt.operators.profile import r6
 from basalt.operators.relation import category_bins, iv_table, pearson, quantile_bins, woe
 
 
-def basic(df: DataFrame, columns: list[str], max_null: float = S.MAX_NULL_RATE, quasi: float = S.QUASI_CONSTANT, most: int = S.HIGH_CARDINALITY) -> DataFrame:
-    """Null-rate, constant and cardinality rules from value counts; the last also drops non-numeric columns of over ``most`` values."""
-    per = long_form(df, columns, to="string").groupBy("feature", "value").agg(F.count("*").alias("n"))
+def _shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(feature, nulls, share, kinds): share of nulls, of the most frequent value among the others, and distinct values.
+
+    Numbers are counted as numbers, not as text.
+    """
+    types = {f.name: f.dataType for f in df.schema.fields}
+    kinds: dict[str, list[str]] = {}
+    for c in columns:
+        kind = "long" if isinstance(types[c], T.IntegralType) else "double" if isinstance(types[c], T.FractionalType) and not isinstance(types[c], T.DecimalType) else "string"
+        kinds.setdefault(kind, []).append(c)
     known, v = F.when(F.col("value").isNotNull(), F.col("n")), F.col("value")
-    t = per.groupBy("feature").agg((F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("nulls"), (F.max(known) / F.sum(known)).alias("share"), F.count("value").alias("kinds"))
+    out = []
+    for kind, some in kinds.items():
+        per = long_form(df, some, to=kind).groupBy("feature", "value").agg(F.count("*").alias("n"))
+        out.append(per.groupBy("feature").agg((F.sum(F.when(v.isNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("nulls"), (F.max(known) / F.sum(known)).alias("share"), F.count("value").alias("kinds")))
+    return reduce(DataFrame.unionByName, out)
+
+
+def basic(df: DataFrame, columns: list[str], max_null: float = S.MAX_NULL_RATE, quasi: float = S.QUASI_CONSTANT, most: int = S.HIGH_CARDINALITY, shares: DataFrame | None = None) -> DataFrame:
+    """Null-rate, constant and cardinality rules from value counts; the last also drops non-numeric columns of over ``most`` values.
+
+    ``shares`` are counts of before (``_shares``), of these columns at least.
+    """
+    t = _shares(df, columns) if shares is None else shares.where(F.col("feature").isin(*columns))
     constant = F.coalesce((F.col("kinds") <= 1) | (F.col("share") >= quasi), F.lit(True))
     texts = [c for c in columns if c in set(non_numeric(df))]
     wide = F.col("feature").isin(*texts) & (F.col("kinds") > most) if texts else F.lit(False)
@@ -65,9 +86,10 @@ class Flag(Selector):
 
     def __init__(self, name: str, flag: str, reason: str, **limits) -> None:
         self.name, self.flag, self.reason, self.limits = name, flag, reason, limits
+        self.shares: DataFrame | None = None
 
     def removed(self, df, columns, target):
-        return {r["feature"]: self.reason.format(**r.asDict()) for r in basic(df, columns, **self.limits).collect() if r[self.flag]}
+        return {r["feature"]: self.reason.format(**r.asDict()) for r in basic(df, columns, **self.limits, shares=self.shares).collect() if r[self.flag]}
 
 
 class Correlation(Selector):
@@ -166,10 +188,17 @@ class Selection:
 
     def fit(self, df: DataFrame, columns: list[str], target: str | None = None) -> Selection:
         self.columns, self.kept, self.log = list(columns), list(columns), []
+        flags = [s for s in self.selectors if isinstance(s, Flag)]
+        # values are counted once for all flags; one row a column
+        shares = df.sparkSession.createDataFrame(_shares(df, self.columns).collect(), "feature string, nulls double, share double, kinds long") if len(flags) > 1 and self.columns else None
+        for s in flags:
+            s.shares = shares
         for s in self.selectors:
             gone = s.removed(df, self.kept, target) if self.kept else {}
             self.log += [(c, s.name, gone[c]) for c in self.kept if c in gone]
             self.kept = [c for c in self.kept if c not in gone]
+        for s in flags:
+            s.shares = None
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

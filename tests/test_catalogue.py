@@ -250,3 +250,88 @@ def test_recommended_drops_follow_the_alerts(spark):
             want.setdefault(r["feature"], set()).add(r["type"].lower())
     got = {r["feature"]: r["reasons"] for r in E.recommended_drops(d, numeric, categorical, "y").collect()}
     assert got == {k: ",".join(sorted(v)) for k, v in want.items()} and "near" in got and "good" not in got
+
+
+def test_imputation_by_patterns_equals_rounds(spark, monkeypatch):
+    """Sums by pattern give what filling every row once a round gives; no round reads the rows again."""
+    import random
+
+    from basalt.operators import shape
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(600):
+        a, b = rng.gauss(0, 1), rng.gauss(5, 2)
+        x = [a, b, a + b + rng.gauss(0, 0.3), a - 2 * b + rng.gauss(0, 0.5)]
+        rows.append((i, *[v if j == 0 or rng.random() > 0.2 else None for j, v in enumerate(x)]))
+    d = spark.createDataFrame(rows, "i int, a double, b double, c double, e double")
+    columns = ["a", "b", "c", "e"]
+
+    def filled():
+        return {r["i"]: [r[c] for c in columns] for r in shape.impute_iterative(d, columns)(d).collect()}
+
+    monkeypatch.setattr(shape, "EXPRESSED", 0)
+    monkeypatch.setattr(shape, "MOST_PATTERNS", 1)
+    slow = filled()
+    monkeypatch.undo()
+    monkeypatch.setattr(shape, "checkpoint", lambda df: pytest.fail("rows are filled in a round"))
+    fast = filled()
+    assert all(math.isclose(x, y, rel_tol=1e-8, abs_tol=1e-8) for i in slow for x, y in zip(slow[i], fast[i], strict=True))
+
+
+def test_values_are_counted_once_for_all_flags(spark, monkeypatch):
+    from basalt.operators import select as C
+
+    calls, shares = [], C._shares
+    monkeypatch.setattr(C, "_shares", lambda df, columns: calls.append(columns) or shares(df, columns))
+    d = spark.range(200).selectExpr("id AS k", "CAST(id % 2 AS DOUBLE) AS x", "1 AS flat", "CAST(id AS STRING) AS text", "id % 2 AS y")
+    audit = {r["feature"]: r["removed_by"] for r in C.audit(d, ["x", "flat", "text"], "y").collect()}
+    assert audit == {"x": "kept", "flat": "constant", "text": "cardinality"} and len(calls) == 1
+    plan = C._shares(d.select("k", "x").where("k >= 0"), ["k", "x"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "as string" not in plan
+
+
+def test_boards_measure_one_split(spark, monkeypatch):
+    from basalt.models import factory
+    from basalt.operators import metrics as M
+
+    seen, regression = [], M.regression
+    monkeypatch.setattr(M, "regression", lambda d, *a: seen.append(d.count()) or regression(d, *a))
+    d = spark.range(300).selectExpr("CAST(id % 17 AS DOUBLE) AS x", "CAST(id % 17 * 2 + id % 3 AS DOUBLE) AS z", "CASE WHEN id % 5 = 0 THEN 'val' WHEN id % 5 = 1 THEN 'test' ELSE 'train' END AS split")
+    board = factory.leaderboard(d, ["x"], "z", ["linear"], "regression").collect()
+    assert seen == [60] and "psi" in board[0]["metrics"]
+
+
+@pytest.mark.parametrize("part_rows", [30, 10**6])
+def test_permuted_area_is_that_of_the_md5_orders(spark, monkeypatch, part_rows):
+    """In ranges or not, the loss of AUC is that of rows paired by the two orders of the key's md5, also for scores near 1."""
+    import hashlib
+
+    from basalt.operators import learn
+
+    class Sigmoid:
+        def __init__(self, *a):
+            pass
+
+        fit = lambda self, d: self
+        predict = lambda self, d: d.selectExpr("*", "1 / (1 + exp(-4 * a - b / 9)) AS score", "1 AS prediction")
+
+    monkeypatch.setattr(learn, "Model", Sigmoid)
+    monkeypatch.setattr(learn, "PART_ROWS", part_rows)
+    rows = [(i, i * 37 % 41 / 4.0, float(i % 9), int(i * 37 % 41 + i % 7 > 22)) for i in range(300)]
+    got = {r["feature"]: r["importance"] for r in learn.permutation_importance(spark.createDataFrame(rows, "k long, a double, b double, y int"), ["a", "b"], "y", "k", 2).collect()}
+
+    def auc(xs):
+        s = [(1 / (1 + math.exp(-4 * a - b / 9)), y) for a, b, y in xs]
+        p, n = [v for v, y in s if y], [v for v, y in s if not y]
+        return sum((u > v) + (u == v) / 2 for u in p for v in n) / len(p) / len(n)
+
+    def order(seed):
+        return sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}:{seed}".encode()).hexdigest(), r[0]))
+
+    for j, f in enumerate("ab"):
+        drops = []
+        for r in range(2):
+            pairs = zip(order(2 * r + 1), order(2 * r + 2), strict=True)
+            drops.append(auc([(v[1] if j == 0 else u[1], v[2] if j == 1 else u[2], u[3]) for u, v in pairs]))
+        assert abs(got[f] - (auc([x[1:] for x in rows]) - sum(drops) / 2)) < 2e-6
